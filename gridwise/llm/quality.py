@@ -66,75 +66,77 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _vote(ratio: Column, good: float, bad: float) -> Column:
-    """1 where the ratio is on the good side, -1 on the bad side, 0 (abstain) between."""
-    if good < bad:
-        return F.when(ratio <= good, 1).when(ratio >= bad, -1).otherwise(0)
-    return F.when(ratio >= good, 1).when(ratio <= bad, -1).otherwise(0)
-
-
 def _share(n: str, of: str = "n_words") -> Column:
     return F.col(n) / F.greatest(F.col(of), F.lit(1))
 
 
+def _bad_if(condition: Column) -> Column:
+    return F.when(condition, -1).otherwise(0)
+
+
 def rules() -> dict[str, Column]:
-    """Name -> vote. The thresholds are ratios that ordinary prose keeps to in any alphabet."""
+    """Name -> vote: 1 good, -1 bad, 0 abstains.  Most rules know one kind of damage and say nothing where they do
+    not see it; `prose` alone speaks for a text.  The thresholds are ratios that prose keeps to in any alphabet."""
+    prose = _share("n_distinct_words").between(0.25, 1) & _share("word_chars").between(3, 11) & (_share("n_sentence_ends") >= 0.02)
     return {
-        "symbols": _vote(_share("n_symbols"), 0.05, 0.25),
-        "repeated_windows": _vote(_share("n_repeat_words"), 0.15, 0.45),
-        "repeated_lines": _vote(_share("n_dup_lines"), 0.02, 0.2),
-        "stutter": _vote(_share("n_stutters"), 0.03, 0.2),
-        "capitals": _vote(_share("n_capitals"), 0.12, 0.4),
-        "shouts": _vote(_share("n_shouts"), 0.02, 0.2),
-        "table_bars": _vote(_share("n_bars"), 0.02, 0.2),
-        "variety": _vote(_share("n_distinct_words"), 0.4, 0.15),
-        "word_length": F.when(_share("word_chars").between(3, 11), 1).when(_share("word_chars").between(2, 16), 0).otherwise(-1),
-        "sentences": _vote(_share("n_sentence_ends"), 0.02, 0.003),
+        "prose": F.when(prose & (F.col("n_words") >= 50), 1).otherwise(0),
+        "short": _bad_if(F.col("n_words") < 20),
+        "symbols": _bad_if(_share("n_symbols") >= 0.25),
+        "repeated_windows": _bad_if(_share("n_repeat_words") >= 0.4),
+        "repeated_lines": _bad_if(_share("n_dup_lines") >= 0.1),
+        "stutter": _bad_if(_share("n_stutters") >= 0.2),
+        "capitals": _bad_if(_share("n_capitals") >= 0.4),
+        "shouts": _bad_if(_share("n_shouts") >= 0.2),
+        "table_bars": _bad_if(_share("n_bars") >= 0.2),
+        "variety": _bad_if(_share("n_distinct_words") <= 0.15),
+        "word_length": _bad_if(~_share("word_chars").between(2, 16)),
+        "no_sentences": _bad_if(_share("n_sentence_ends") <= 0.003),
     }
 
 
 class RuleModel:
-    """Naive Bayes over votes with a hidden class (good or bad), fitted by expectation-maximisation.
+    """A hidden class (good or bad) behind the votes, fitted by expectation-maximisation.
 
-    Each rule has, for each class, a probability of voting good, bad or not at all; so a rule's accuracy and how often it
-    abstains are both estimated.  The start treats every rule alike and takes it that good documents hardly ever trip
-    a rule, while bad ones trip a few of many; pseudo-counts of that start, and a bar on votes that would speak
-    for the other side, let the classes keep their meaning.
+    How often a rule casts each vote on good and on bad documents is estimated; that ratio is what a vote weighs, and
+    with the class sizes it is the rule's accuracy.  An abstention weighs nothing: kinds of damage exclude each other,
+    so that a rule sees none says little about the others.  At the start all rules are alike and good documents
+    hardly ever trip one.  What votes alone cannot tell is given: the share of good documents, pseudo-documents of
+    the start, and that a bad document gets a good vote half as often at most; so the classes keep their meaning.
     """
 
+    #: At the start, the chance of a bad vote and of a good vote, on bad and on good documents.
+    START = np.array([[0.3, 0.5], [0.01, 0.8]])
+
     def __init__(self, prior: float, chances: np.ndarray):
-        self.prior, self.chances = prior, chances  # chances[class, rule, vote + 1]; class 1 is good
+        self.prior, self.chances = prior, chances  # chances[class, rule, 0 for a bad vote or 1 for a good one]
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, strength: float = 20.0, steps: int = 50) -> RuleModel:
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, strength: float = 20.0, steps: int = 50) -> RuleModel:
         """patterns: distinct vectors of votes; counts: how many documents have each."""
-        k = patterns.shape[1]
-        base = np.array([[0.3, 0.05, 0.65], [0.01, 0.19, 0.8]])  # [class][bad vote, none, good vote]
-        model = cls(0.8, np.repeat(base[:, None, :], k, axis=1))
-        if not len(counts):
-            return model
-        for _ in range(steps):
+        model = cls(prior, np.repeat(cls.START[:, None, :], patterns.shape[1], axis=1))
+        votes = np.stack([patterns == -1, patterns == 1], axis=2) if len(counts) else None
+        for _ in range(steps if len(counts) else 0):
             good = model.posterior(patterns)
-            prior = (counts @ good + 8) / (counts.sum() + 10)
             chances = np.empty_like(model.chances)
             for c, weight in ((0, counts * (1 - good)), (1, counts * good)):
-                for v in (-1, 0, 1):
-                    chances[c, :, v + 1] = weight @ (patterns == v) + strength * base[c, v + 1]
-            chances /= chances.sum(axis=2, keepdims=True)
-            for rule in range(k):  # a vote may lose its weight but never speak for the other side
-                for v, right in ((0, 0), (2, 1)):
-                    if chances[right, rule, v] < chances[1 - right, rule, v]:
-                        chances[:, rule, v] = chances[:, rule, v].mean()
-            model = cls(float(prior), chances)
+                chances[c] = (np.tensordot(weight, votes, 1) + strength * cls.START[c]) / (weight.sum() + strength)
+            chances[1, :, 0] = np.minimum(chances[1, :, 0], chances[0, :, 0])
+            chances[0, :, 1] = np.minimum(chances[0, :, 1], chances[1, :, 1] / 2)
+            model = cls(prior, chances)
         return model
 
     def weights(self) -> np.ndarray:
-        """Log odds of good that each (rule, vote) adds."""
+        """Log odds of good that a bad and a good vote of each rule carry."""
         return np.log(self.chances[1] / self.chances[0])
 
+    def accuracy(self) -> np.ndarray:
+        """Chance that a bad and that a good vote of each rule is right."""
+        bad, good = (1 - self.prior) * self.chances[0], self.prior * self.chances[1]
+        return np.stack([bad[:, 0] / (bad + good)[:, 0], good[:, 1] / (bad + good)[:, 1]], axis=1)
+
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         w = self.weights()
-        odds = math.log(self.prior / (1 - self.prior)) + sum(w[i, patterns[:, i] + 1] for i in range(patterns.shape[1]))
+        odds = math.log(self.prior / (1 - self.prior)) + (patterns == -1) @ w[:, 0] + (patterns == 1) @ w[:, 1]
         return 1 / (1 + np.exp(-odds))
 
 
@@ -157,8 +159,8 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     model = fit_rules(votes)
     w = model.weights()
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for i, r in enumerate(rules()):
-        odds = odds + F.element_at(F.array(*map(F.lit, w[i].tolist())), F.col(f"vote_{r}") + 2)
+    for r, weight in zip(rules(), w.tolist(), strict=True):
+        odds = odds + F.when(F.col(f"vote_{r}") == -1, weight[0]).when(F.col(f"vote_{r}") == 1, weight[1]).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = votes.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
