@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.llm import lexicon, order_minhash, packing, quality, sharding, shingle_join, toxicity
+from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, sharding, shingle_join, toxicity
 from gridwise.shared import stored
 
 
@@ -51,6 +51,11 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_along_curve(_documents(spark, sf_dir))
 
 
+def op8_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
+    return ngram_trie.score(_documents(spark, sf_dir), training)
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.feistel_shards(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")
