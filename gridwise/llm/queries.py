@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, sharding, shingle_join, toxicity
+from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, sharding, shingle_join, token_counts, toxicity
 from gridwise.shared import stored
 
 
@@ -20,6 +20,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute_lines(_documents(spark, sf_dir))
+
+
 def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     out = lexicon.encode_decode(docs, lexicon.build_lexicon(docs))
