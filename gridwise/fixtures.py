@@ -46,6 +46,18 @@ FIXTURES: dict[str, str] = {
     "subject_maps": """
         SELECT cast(l_suppkey % 12 AS bigint) AS subject, cast(l_partkey % 200 AS bigint) AS unit, round(avg(l_extendedprice) / 1000, 6) AS value
         FROM {lineitem} GROUP BY 1, 2""",
+    # each user's kinds of events as conditions: onset in days, duration in days
+    "cond_events": """
+        SELECT cast(user_id AS bigint) AS subject, event_type AS cond, cast(dayofyear(ts) - 1 AS bigint) AS onset_t, cast(min(1 + event_id % 3) AS bigint) AS duration
+        FROM {events} GROUP BY 1, 2, 3""",
+    # embeddings by place of the vector; class is the label, half alternates within a class
+    "sample_matrix": """
+        SELECT sample, class, half, cast(unit AS bigint) AS unit, cast(y AS double) AS y
+        FROM (SELECT vec_id AS sample, cast(label AS bigint) AS class, 1 + (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 2 AS half, embedding FROM {embeddings}) e
+        POSEXPLODE_EMBEDDING""",
+    # pairs of months as label and control frames
+    "label_control": """
+        SELECT unit, z, t, y, first_value(y) OVER (PARTITION BY unit ORDER BY t) + 1 AS m0 FROM ({lattice_series}) ls WHERE subject = 'A'""",
     "task_onsets": """
         SELECT DISTINCT cast(user_id % 4 AS bigint) AS subject, cast(user_id AS bigint) AS unit, cast(dayofyear(ts) - 1 AS bigint) AS onset_t, min(1 + event_id % 3) OVER (PARTITION BY user_id, dayofyear(ts)) AS duration
         FROM {events} WHERE event_type = 'signup'""",
@@ -55,6 +67,7 @@ FIXTURES: dict[str, str] = {
 def in_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs a text with `{table}` and `{fixture}` names on the tables of a directory."""
     sql = with_fixtures(sql)
+    sql = sql.replace("POSEXPLODE_EMBEDDING", "LATERAL VIEW posexplode(embedding) v AS unit, y")
     own = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if "{" + name + "}" in sql}
     return spark.sql(sql, **own)
 
@@ -67,7 +80,8 @@ def with_fixtures(sql: str) -> str:
 
 def in_duckdb(sql: str) -> str:
     """The same text for DuckDB, where the given tables are views."""
-    return re.sub(r"\{(\w+)\}", r"\1", with_fixtures(sql))
+    unnested = ", (SELECT unnest(range(len(embedding))) AS unit, unnest(embedding) AS y)"
+    return re.sub(r"\{(\w+)\}", r"\1", with_fixtures(sql).replace("POSEXPLODE_EMBEDDING", unnested))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gridwise.fixtures import in_duckdb
-from gridwise.plans import selection
+from gridwise.plans import design, selection, series
 
-MODULES = [selection]
+MODULES = [selection, series, design]
 
 
 def registered() -> dict:
