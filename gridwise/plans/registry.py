@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gridwise.fixtures import in_duckdb
-from gridwise.plans import design, selection, series
+from gridwise.plans import design, groups, selection, series
 
-MODULES = [selection, series, design]
+MODULES = [selection, series, design, groups]
 
 
 def registered() -> dict:
