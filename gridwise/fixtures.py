@@ -44,7 +44,7 @@ FIXTURES: dict[str, str] = {
         FROM (SELECT subject, unit, y, median(y) OVER (PARTITION BY subject) AS med
               FROM (SELECT subject, unit, round(sum(y), 4) AS y FROM ({series_daily}) sd GROUP BY subject, unit) a) m""",
     "subject_maps": """
-        SELECT cast(l_suppkey % 12 AS bigint) AS subject, cast(l_partkey % 200 AS bigint) AS unit, round(avg(l_extendedprice) / 1000, 6) AS value
+        SELECT cast(l_suppkey % 12 AS bigint) AS subject, cast(l_partkey % 200 AS bigint) AS unit, round(avg(l_extendedprice), 6) / 1000 AS value
         FROM {lineitem} GROUP BY 1, 2""",
     # each user's kinds of events as conditions: onset in days, duration in days
     "cond_events": """
