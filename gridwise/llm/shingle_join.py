@@ -22,6 +22,8 @@ TABLE_ENTRIES = 300_000
 SHARD_KEYS, BLOCK_KEYS = 2_000_000, 2_000_000
 #: Members of one block of a long inverted list.
 LIST_BLOCK = 256
+#: Words of 64 bits in the sketch that bounds an overlap before whole sets meet.
+SKETCH_WORDS = 32
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -91,15 +93,19 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
     distinct set of a task once: hashes of the sets, their numbers of shingles here, and the shingles' low 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         table, sent, block, held = _Hashes(), set(), [], 0
-        names = ["doc_id", "n", "fp", "shard", "fps", "counts", "keys"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["doc_id", "n", "fp", "shard", "block", "fps", "counts", "keys"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        number = TaskContext.get().partitionId() << 32
 
         def rows(columns: list) -> pa.RecordBatch:
             n = max(len(c) for c in columns if c is not None)
             return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
             if not block:
                 return
             keys = np.concatenate([k for _, k in block])
@@ -108,14 +114,15 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
             shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((of, shard))
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for s in range(shards):
                 if (mine := order[edges[s] : edges[s + 1]]).size:
                     sets, counts = np.unique(of[mine], return_counts=True)
-                    for column, value in zip(out, (s, fps[sets].tobytes(), counts.astype("<u4").tobytes(), keys[mine].astype("<u4").tobytes()), strict=True):
+                    for column, value in zip(out, (s, number, fps[sets].tobytes(), counts.astype("<u4").tobytes(), keys[mine].astype("<u4").tobytes()), strict=True):
                         column.append(value)
             yield rows([None, None, None, *out])
             block.clear()
+            number += 1
 
         for batch in batches:
             ids, sizes, fps = [], [], []
@@ -133,15 +140,15 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
                         yield from flush()
                         held = 0
             if ids:
-                yield rows([ids, sizes, fps, None, None, None, None])
+                yield rows([ids, sizes, fps, None, None, None, None, None])
         yield from flush()
 
-    schema = "doc_id long, n long, fp long, shard int, fps binary, counts binary, keys binary"
+    schema = "doc_id long, n long, fp long, shard int, block long, fps binary, counts binary, keys binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """For the blocks of one shard: how many of each set's shingles another set has too."""
+    """For the blocks of one shard: how many of each set's shingles another set has too; a row a block, in its order of sets."""
     fps = [np.frombuffer(x, "<i8") for x in table.column("fps").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
     fp = np.concatenate(fps)
@@ -154,32 +161,47 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     several = np.minimum.reduceat(holder, starts) != np.maximum.reduceat(holder, starts)
     shared = np.repeat(several, np.diff(np.concatenate([starts, [len(keys)]])))
     n = np.bincount(of[shared], minlength=len(fp))
-    # a set that two tasks sent is here twice with the same shingles
-    unique, first = np.unique(fp, return_index=True)
-    return pa.table({"fp": pa.array(unique[n[first] > 0]), "common": pa.array(n[first][n[first] > 0], pa.int64())})
+    edges = np.cumsum([0, *map(len, fps)])
+    parts = [n[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"block": table.column("block"), "fps": table.column("fps"), "common": pa.array(parts, pa.binary())})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of all shards for the sets of one block."""
+    fp = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("fps").to_pylist()])
+    common = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("common").to_pylist()])
+    sets, at = np.unique(fp, return_inverse=True)
+    return pa.table({"fp": pa.array(sets), "common": pa.array(np.bincount(at, weights=common).astype(np.int64))})
+
+
+def sketch(keys: np.ndarray) -> np.ndarray:
+    """A bitmap of a set's hashes: members of A whose bit B lacks are not in B, so it bounds how much two sets share."""
+    bits = np.zeros(SKETCH_WORDS * 64, np.uint8)
+    bits[(keys % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """fp, share and the shingles of the wanted sets (fp, doc_id, share), read again from a document that has each."""
+    """fp, common, the shingles and the sketch of the wanted sets (fp, doc_id, common), read again from a document that has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for text, fp, share in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[list] = [[], [], [], []]
+            for text, fp, common in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 keys = shingle_set(text, words, table)
                 if len(keys) and xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) == fp:
-                    for column, value in zip(out, (fp, share, keys.view(np.int64)), strict=True):
+                    for column, value in zip(out, (fp, common, keys.view(np.int64), sketch(keys)), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.float64(), pa.list_(pa.int64())), strict=True)], names=["fp", "share", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["fp", "common", "keys", "sketch"])
 
     own = wanted.withColumnRenamed("doc_id", "_doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return rows.select("text", "fp", "share").mapInArrow(run, "fp long, share double, keys array<long>")
+    return rows.select("text", "fp", "common").mapInArrow(run, "fp long, common long, keys array<long>, sketch array<long>")
 
 
 def _signatures(sets: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """signature, fp, n, share: inverted lists.  Every set enters the lists of its prefix; a set up to the boundary also enters those of its
+    """signature, fp, n, common: inverted lists.  Every set enters the lists of its prefix; a set up to the boundary also enters those of its
     subsets, and meets other small sets only there (`light`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +221,18 @@ def _signatures(sets: DataFrame, percent: int, boundary: int) -> DataFrame:
             sizes = np.asarray([len(k) for k in batch.column(1).to_pylist()], np.int64)
             at = np.asarray(own, np.int64)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(light, pa.bool_()), batch.column(0).take(take), pa.array(sizes[at] if len(at) else [], pa.int64()), batch.column(2).take(take)], names=["signature", "light", "fp", "n", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(light, pa.bool_()), batch.column(0).take(take), pa.array(sizes[at] if len(at) else [], pa.int64()), batch.column(2).take(take)], names=["signature", "light", "fp", "n", "common"])
 
-    return sets.select("fp", "keys", "share").mapInArrow(run, "signature long, light boolean, fp long, n long, share double")
+    return sets.select("fp", "keys", "common").mapInArrow(run, "signature long, light boolean, fp long, n long, common long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b) that are similar: sketches meet first, and whole sets only where those leave room."""
+    small = sets.select("fp", "sketch", F.size("keys").alias("n"))
+    near = pairs.join(small.toDF("b", "b_sketch", "b_n"), "b").join(small.toDF("a", "a_sketch", "a_n"), "a")
+    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, v: s + v)
+    most = F.least(F.col("a_n") - lacking("a_sketch", "b_sketch"), F.col("b_n") - lacking("b_sketch", "a_sketch"))
+    pairs = stored(near.withColumn("most", most).filter(100 * F.col("most") >= percent * (F.col("a_n") + F.col("b_n") - F.col("most"))).select("a", "b"), "pairs-near")
     left = pairs.join(sets.select(F.col("fp").alias("b"), F.col("keys").alias("b_keys")), "b")
     both = left.join(sets.select(F.col("fp").alias("a"), F.col("keys").alias("a_keys")), "a")
     common = F.size(F.array_intersect("a_keys", "b_keys"))
@@ -213,26 +240,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    """Sizes, and what each set shares with any other set at all, leave room for that similarity of two sets (columns of a and
+    of b end in n and common)."""
+    most = F.least(f"{a}common", f"{b}common")
+    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
 
 
 def links_of_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """fp and component of the sets (fp, share, keys) that are similar to another, directly or through others; exact.
+    """fp and component of the sets (fp, common, keys) that are similar to another, directly or through others; exact.
 
     First each set is held against one set that shares a list with it: the one least changed, whose shingles others have
     too.  In a group of copies that is mostly the original, so most groups come together in as many checks as they have members.
     Lists whose members are all in one component by then are done.  In the others every pair from two components that
-    passes the size filter is checked, long lists in blocks, so none is lost.
+    passes the filters on sizes is checked, long lists in blocks, so none is lost.
     """
     histogram = [(r.n, r["count"]) for r in sets.groupBy(F.size("keys").alias("n")).count().collect()]  # one row a size
     total = sum(c for _, c in histogram)
     entries = sum(prefix_length(n, percent) * c for n, c in histogram)
     boundary = choose_boundary(histogram, entries / max(1, total) / 4, percent)
     lists = _signatures(sets, percent, boundary)
-    shared = lists.groupBy("signature", "light").agg(F.count("*").alias("members"), F.max(F.struct("share", "fp", "n")).alias("hub")).filter("members > 1")
+    shared = lists.groupBy("signature", "light").agg(F.count("*").alias("members"), F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "fp", "n", "common")).alias("hub")).filter("members > 1")
     lists = stored(lists.join(shared.select("signature", "light", "members", "hub"), ["signature", "light"]), "lists")
 
-    hubs = lists.filter(F.col("fp") != F.col("hub.fp")).filter(_fits("n", "hub.n", percent))
+    hubs = lists.filter(F.col("fp") != F.col("hub.fp")).filter(_fits("", "hub.", percent))
     near = hubs.groupBy("fp").agg(F.max("hub").alias("hub")).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"))
     found = stored(_verified(near, sets, percent), "links-hub")
     labels = components(found)
@@ -242,11 +272,11 @@ def links_of_sets(sets: DataFrame, percent: int) -> DataFrame:
     rest = labelled.join(mixed.select("signature", "light"), ["signature", "light"], "left_semi")
     rest = rest.withColumn("blocks", F.ceil(F.col("members") / LIST_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = rest.select("signature", "light", "fp", "n", "component", "block", other)
-    spread = spread.select("signature", "light", "fp", "n", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    spread = rest.select("signature", "light", "fp", "n", "common", "component", "block", other)
+    spread = spread.select("signature", "light", "fp", "n", "common", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     one, two = spread.alias("x"), spread.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "light", "i", "j")]
-    pairs = one.join(two, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.component") != F.col("y.component"), _fits("x.n", "y.n", percent)])
+    pairs = one.join(two, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.component") != F.col("y.component"), _fits("x.", "y.", percent)])
     pairs = pairs.filter(F.col("x.light") | (F.greatest("x.n", "y.n") > boundary))  # two small sets meet in their subsets
     pairs = stored(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs-rest")
     more = stored(_verified(pairs, sets, percent), "links-rest")
@@ -274,10 +304,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     shards = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shingled = stored(_shingled(docs, words, shards), "shingles")
     rows = shingled.filter("shard IS NULL").select("doc_id", "n", "fp")
-    common = shingled.filter("shard IS NOT NULL").groupBy("shard").applyInArrow(_shared_counts, "fp long, common long")
-    common = common.groupBy("fp").agg(F.sum("common").alias("common"))
+    common = shingled.filter("shard IS NOT NULL").groupBy("shard").applyInArrow(_shared_counts, "block long, fps binary, common binary")
+    # a set that several tasks sent has the same count from each
+    common = common.groupBy("block").applyInArrow(_summed, "fp long, common long").groupBy("fp").agg(F.max("common").alias("common"))
     sized = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    wanted = sized.join(common, "fp").filter(100 * F.col("common") >= percent * F.col("n")).select("fp", "doc_id", (F.col("common") / F.col("n")).alias("share"))
+    wanted = sized.join(common, "fp").filter(100 * F.col("common") >= percent * F.col("n")).select("fp", "doc_id", "common")
     sets = stored(_sets(docs, wanted, words).dropDuplicates(["fp"]), "sets")
     labels = links_of_sets(sets, percent)
 
