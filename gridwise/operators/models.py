@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwise.operators.stats import rspm
+from gridwise.operators.stats import midpoint_percentile, rspm
 
 
 def _moments(samples: DataFrame) -> DataFrame:
@@ -94,9 +94,11 @@ def cv_timecourse(series: DataFrame, maps: DataFrame, keys: Sequence[str], weigh
 def tissue_weight(series: DataFrame, keys: Sequence[str], top_percent: float = 95.0) -> DataFrame:
     """Weight 0..1 of each unit from its inverse variance: the sorted curve's departure from the straight line of its middle
     half, from a 99% bound of that half's departures (1) up to the given percentile (0).  Units without variance get a half."""
-    from gridwise.operators.stats import midpoint_percentile
+    return curve_weight(series.groupBy(*keys, "unit").agg((1 / F.nullif(F.var_samp("y"), F.lit(0.0))).alias("iv")), keys, top_percent)
 
-    v = series.groupBy(*keys, "unit").agg((1 / F.nullif(F.var_samp("y"), F.lit(0.0))).alias("iv"))
+
+def curve_weight(v: DataFrame, keys: Sequence[str], top_percent: float) -> DataFrame:
+    """The weights of a sorted curve of values `iv`, one a unit; a null value weighs a half."""
     w = Window.partitionBy(*keys)
     kept = v.filter("iv IS NOT NULL").withColumn("k", F.row_number().over(w.orderBy("iv", "unit"))).withColumn("n", F.count(F.lit(1)).over(w))
     all_n = v.groupBy(*keys).agg(F.round(F.count(F.lit(1)) / 4).alias("q"))

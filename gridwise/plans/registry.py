@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gridwise.fixtures import in_duckdb
-from gridwise.plans import design, groups, models, selection, series
+from gridwise.plans import design, groups, linear, models, selection, series
 
-MODULES = [selection, series, design, groups, models]
+MODULES = [selection, series, design, groups, models, linear]
 
 
 def registered() -> dict:
