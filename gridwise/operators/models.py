@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwise.operators.stats import midpoint_percentile, rspm
+from gridwise.operators.stats import rspm
 
 
 def _moments(samples: DataFrame) -> DataFrame:
@@ -98,20 +98,24 @@ def tissue_weight(series: DataFrame, keys: Sequence[str], top_percent: float = 9
 
 
 def curve_weight(v: DataFrame, keys: Sequence[str], top_percent: float) -> DataFrame:
-    """The weights of a sorted curve of values `iv`, one a unit; a null value weighs a half."""
+    """The weights of a sorted curve of values `iv`, one a unit; a null value weighs a half.  One exchange: all steps are windows over the
+    same groups."""
     w = Window.partitionBy(*keys)
-    kept = v.filter("iv IS NOT NULL").withColumn("k", F.row_number().over(w.orderBy("iv", "unit"))).withColumn("n", F.count(F.lit(1)).over(w))
-    all_n = v.groupBy(*keys).agg(F.round(F.count(F.lit(1)) / 4).alias("q"))
-    middle = (F.col("k") >= F.col("q")) & (F.col("k") <= F.col("n") - F.col("q"))
-    x = kept.join(all_n, list(keys))
-    line = x.filter(middle).groupBy(*keys).agg(F.regr_slope("iv", "k").alias("a"), F.regr_intercept("iv", "k").alias("b"))
-    rsd = x.join(line, list(keys)).withColumn("rsd", F.col("iv") - F.col("a") * F.col("k") - F.col("b"))
-    cut = rsd.filter(middle).groupBy(*keys).agg((2.3263478740408408 * F.stddev_samp("rsd")).alias("cut"))
-    low = rsd.join(cut, list(keys)).withColumn("pct", 100 * F.avg((F.col("rsd") < F.col("cut")).cast("double")).over(w))
-    bounds = midpoint_percentile(low, "rsd", F.col("pct"), keys, "low").join(midpoint_percentile(low, "rsd", F.lit(top_percent), keys, "high"), list(keys))
-    weight = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rsd") - F.col("low")) / F.col("high"))
-    out = rsd.join(bounds, list(keys)).select(*keys, "unit", weight.alias("w"))
-    return v.select(*keys, "unit").join(out, [*keys, "unit"], "left").withColumn("w", F.coalesce("w", F.lit(0.5)))
+    x = v.withColumn("_k", F.row_number().over(w.orderBy(F.asc_nulls_last("iv"), "unit"))).withColumn("_n", F.count("iv").over(w)).withColumn("_q", F.round(F.count(F.lit(1)).over(w) / 4))
+    middle = F.col("iv").isNotNull() & (F.col("_k") >= F.col("_q")) & (F.col("_k") <= F.col("_n") - F.col("_q"))
+    mid = lambda c: F.when(middle, F.col(c))
+    x = x.withColumn("_a", F.regr_slope(mid("iv"), mid("_k")).over(w)).withColumn("_b", F.regr_intercept(mid("iv"), mid("_k")).over(w))
+    x = x.withColumn("_rsd", F.col("iv") - F.col("_a") * F.col("_k") - F.col("_b")).withColumn("_cut", 2.3263478740408408 * F.stddev_samp(mid("_rsd")).over(w))
+    x = x.withColumn("_pct", 100 * F.avg((F.col("_rsd") < F.col("_cut")).cast("double")).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.asc_nulls_last("_rsd"), "unit")))
+
+    def percentile(percent):
+        at = F.greatest(F.lit(1.0), F.least(F.col("_n") * 1.0, percent * F.col("_n") / 100 + 0.5))
+        near = F.when(F.col("_rsd").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col("_r") - at))).otherwise(0.0)
+        return F.sum(F.coalesce("_rsd", F.lit(0.0)) * near).over(w) / F.sum(near).over(w)
+
+    x = x.withColumn("_low", percentile(F.col("_pct"))).withColumn("_high", percentile(F.lit(top_percent)))
+    weight = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_rsd") - F.col("_low")) / F.col("_high"))
+    return x.select(*keys, "unit", F.coalesce(weight, F.lit(0.5)).alias("w"))
 
 
 def window_median_displacement(points: DataFrame, keys: Sequence[str], reach: int = 7) -> DataFrame:
@@ -163,3 +167,79 @@ def status_report(expected: DataFrame, found: DataFrame, keys: Sequence[str]) ->
     mark = found.select(*keys, "stage", "output").distinct().withColumn("_f", F.lit(1))
     joined = expected.join(mark, [*keys, "stage", "output"], "left").groupBy(*keys, "stage").agg(F.count(F.lit(1)).alias("expected"), F.count("_f").alias("found"))
     return joined.withColumn("status", F.when(F.col("expected") == F.col("found"), "done").otherwise("incomplete"))
+
+
+def split_half_resamples(subjects: DataFrame, resamples: int, seed: int = 42) -> DataFrame:
+    """resample, subject, half: subjects dealt to two equal halves by the order of a seeded hash, once for each resample."""
+    r = subjects.distinct().select("subject", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    w = Window.partitionBy("resample").orderBy(F.xxhash64(F.lit(seed), "resample", F.col("subject").cast("string")), "subject")
+    n = F.count(F.lit(1)).over(Window.partitionBy("resample"))
+    return r.withColumn("half", F.when(F.row_number().over(w) <= n / 2, 1).otherwise(2)).select("resample", "subject", "half")
+
+
+def model_gnb_group(samples: DataFrame, resamples: DataFrame) -> DataFrame:
+    """Reproducibility of the naive-Bayes map over subject splits: each subject's sums are taken once and recombined for every resample."""
+    sums = samples.groupBy("subject", "unit", "class").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+    joined = sums.join(resamples, "subject").groupBy("resample", "half", "unit", "class").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    at = lambda c, k: F.sum(F.when(F.col("class") == c, F.col(k)).otherwise(0.0))
+    m = joined.groupBy("resample", "half", "unit").agg(*(at(c, k).alias(f"{k}{i}") for i, c in ((1, -1), (2, 1)) for k in ("n", "s", "ss")))
+    pooled = (F.col("ss1") - F.col("s1") * F.col("s1") / F.col("n1") + F.col("ss2") - F.col("s2") * F.col("s2") / F.col("n2")) / (F.col("n1") + F.col("n2") - 2)
+    t = m.filter("n1 > 0 AND n2 > 0 AND n1 + n2 > 2").withColumn("t", (F.col("s2") / F.col("n2") - F.col("s1") / F.col("n1")) / F.nullif(pooled, F.lit(0.0)))
+    maps = t.groupBy("resample", "unit").agg(F.max(F.when(F.col("half") == 1, F.col("t"))).alias("one"), F.max(F.when(F.col("half") == 2, F.col("t"))).alias("two"))
+    return maps.groupBy("resample").agg(F.corr("one", "two").alias("R"))
+
+
+def model_glm_group(series: DataFrame, regressor: DataFrame, resamples: DataFrame) -> DataFrame:
+    """Reproducibility of one regressor's slope map over subject splits, from each subject's sums of products."""
+    x = series.join(regressor, ["subject", "t"])
+    p = {"n": F.count("y"), "x": F.sum("x"), "y": F.sum("y"), "xx": F.sum(F.col("x") * F.col("x")), "xy": F.sum(F.col("x") * F.col("y"))}
+    sums = x.groupBy("subject", "unit").agg(*(e.alias(f"_{k}") for k, e in p.items()))
+    joined = sums.join(resamples, "subject").groupBy("resample", "half", "unit").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in p))
+    slope = (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / F.nullif(F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x"), F.lit(0.0))
+    maps = joined.withColumn("b", slope).groupBy("resample", "unit").agg(F.max(F.when(F.col("half") == 1, F.col("b"))).alias("one"), F.max(F.when(F.col("half") == 2, F.col("b"))).alias("two"))
+    return maps.groupBy("resample").agg(F.corr("one", "two").alias("R"))
+
+
+def model_seed_corr_group(series: DataFrame, seed: DataFrame, resamples: DataFrame) -> DataFrame:
+    """Reproducibility over subject splits of correlation maps with a seed's mean series, from each subject's sums of products."""
+    mean = series.join(seed.select("unit"), "unit", "left_semi").groupBy("subject", "t").agg(F.avg("y").alias("x"))
+    x = series.join(mean, ["subject", "t"])
+    p = {"n": F.count("y"), "x": F.sum("x"), "y": F.sum("y"), "xx": F.sum(F.col("x") * F.col("x")), "yy": F.sum(F.col("y") * F.col("y")), "xy": F.sum(F.col("x") * F.col("y"))}
+    sums = x.groupBy("subject", "unit").agg(*(e.alias(f"_{k}") for k, e in p.items()))
+    j = sums.join(resamples, "subject").groupBy("resample", "half", "unit").agg(*(F.sum(f"_{k}").alias(f"_{k}") for k in p))
+    spread = (F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x")) * (F.col("_n") * F.col("_yy") - F.col("_y") * F.col("_y"))
+    r = F.when(spread > 1e-9, (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")) / F.sqrt(spread)).otherwise(0.0)
+    maps = j.withColumn("r", r).groupBy("resample", "unit").agg(F.max(F.when(F.col("half") == 1, F.col("r"))).alias("one"), F.max(F.when(F.col("half") == 2, F.col("r"))).alias("two"))
+    return maps.join(seed.select("unit"), "unit", "left_anti").groupBy("resample").agg(F.corr("one", "two").alias("R"))
+
+
+def multiple_correlation(table: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Canonical correlation of one column with up to three others (square root of R squared), from correlations alone."""
+    names = [y, *xs]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
+    c = table.groupBy(*keys).agg(*(F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"_{a}_{b}") for a, b in pairs))
+    r = lambda a, b: F.lit(1.0) if a == b else (F.col(f"_{a}_{b}") if (a, b) in pairs else F.col(f"_{b}_{a}"))
+
+    def det(rows, columns):
+        if len(rows) == 1:
+            return r(rows[0], columns[0])
+        return sum(((-1) ** j * r(rows[0], columns[j]) * det(rows[1:], columns[:j] + columns[j + 1 :]) for j in range(len(columns))), F.lit(0.0))
+
+    inner = det(list(xs), list(xs))
+    r2 = F.when(inner > 1e-12, 1 - det(names, names) / inner).otherwise(0.0)
+    return c.select(*keys, F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r2))).alias("r"))
+
+
+def model_ergnb(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Event-locked map: variance between lags over variance within lags, from window averages (unit, lag, block, y) of each key."""
+    by = [*keys, "unit"]
+    lag = windows.groupBy(*by, "lag").agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"))
+    return lag.groupBy(*by).agg((F.var_samp("m") / F.nullif(F.avg("v"), F.lit(0.0))).alias("ratio"))
+
+
+def rv_coefficient(table: DataFrame, left: Sequence[str], right: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """trace(Sxy Syx) / sqrt(trace(Sxx Sxx) trace(Syy Syy)) of two sets of columns."""
+    pairs = {(a, b): F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in (*left, *right) for b in (*left, *right)}
+    c = table.groupBy(*keys).agg(*pairs.values())
+    square = lambda p, q: sum((F.col(f"c_{a}_{b}") * F.col(f"c_{a}_{b}") for a in p for b in q), F.lit(0.0))
+    return c.select(*keys, (square(left, right) / F.sqrt(square(left, left) * square(right, right))).alias("rv"))
