@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.llm.encoder import shared_encoder, token_table
+from gridwise.shared import stored
 
 #: Words in the transducer at most (its compiled form then stays under a few MB, which is what is broadcast).
 MAX_WORDS = 32_768
 #: Longer words are not counted: they hardly repeat.
 MAX_WORD_CHARS = 48
 #: Answers that a process keeps at hand; a full table starts again.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 500_000
 #: Where byte-level BPE cuts a text before merging.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SINGLE = [bytes((b,)) for b in range(256)]
@@ -157,7 +158,7 @@ def words_of(text: str) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
-    """The most frequent words of all texts (ties by word), each counted at least twice."""
+    """The most frequent words of all texts, each counted at least twice: all words of a count, or none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -175,7 +176,15 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
         yield flush()
 
     counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    counts = stored(counts.filter("n > 1"), "word-counts")
+    # the count that a word needs, from how many words have each count; so no partition sends more than is taken
+    least, held = 2, 0
+    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        held += words
+        if held > max_words:
+            least = n + 1
+            break
+    return [r.word for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, max_words: int = MAX_WORDS) -> bytes:
