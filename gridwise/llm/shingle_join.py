@@ -23,7 +23,7 @@ SHARD_KEYS, BLOCK_KEYS = 2_000_000, 2_000_000
 #: Members of one block of a long inverted list.
 LIST_BLOCK = 256
 #: Words of 64 bits in the sketch that bounds an overlap before whole sets meet.
-SKETCH_WORDS = 32
+SKETCH_WORDS = 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -90,7 +90,8 @@ def choose_boundary(histogram: list[tuple[int, int]], list_length: float, percen
 
 def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
     """Two kinds of rows: for each document its doc_id, set size and set hash `fp`; and blocks of shingles by shard, each
-    distinct set of a task once: hashes of the sets, their numbers of shingles here, and the shingles' low 32 bits."""
+    distinct set of a task once: hashes of the sets, their numbers of shingles here, and the shingles' low 24 bits (a clash can only let a
+    set pass that could have been left out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,7 +119,7 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
             for s in range(shards):
                 if (mine := order[edges[s] : edges[s + 1]]).size:
                     sets, counts = np.unique(of[mine], return_counts=True)
-                    for column, value in zip(out, (s, number, fps[sets].tobytes(), counts.astype("<u4").tobytes(), keys[mine].astype("<u4").tobytes()), strict=True):
+                    for column, value in zip(out, (s, number, fps[sets].tobytes(), counts.astype("<u4").tobytes(), _low_bytes(keys[mine])), strict=True):
                         column.append(value)
             yield rows([None, None, None, *out])
             block.clear()
@@ -147,13 +148,23 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
+def _low_bytes(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _from_low_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _shared_counts(table: pa.Table) -> pa.Table:
     """For the blocks of one shard: how many of each set's shingles another set has too; a row a block, in its order of sets."""
     fps = [np.frombuffer(x, "<i8") for x in table.column("fps").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
     fp = np.concatenate(fps)
     of = np.repeat(np.arange(len(fp)), np.concatenate(counts))
-    keys = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()])
+    keys = np.concatenate([_from_low_bytes(x) for x in table.column("keys").to_pylist()])
     order = np.argsort(keys, kind="stable")
     keys, of = keys[order], of[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -230,15 +241,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar: sketches meet first, and whole sets only where those leave room."""
     small = sets.select("fp", "sketch", F.size("keys").alias("n"))
     near = pairs.join(small.toDF("b", "b_sketch", "b_n"), "b").join(small.toDF("a", "a_sketch", "a_n"), "a")
-    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, v: s + v)
-    most = F.least(F.col("a_n") - lacking("a_sketch", "b_sketch"), F.col("b_n") - lacking("b_sketch", "a_sketch"))
-    pairs = stored(near.withColumn("most", most).filter(100 * F.col("most") >= percent * (F.col("a_n") + F.col("b_n") - F.col("most"))).select("a", "b"), "pairs-near")
+    pairs = stored(near.filter(_room("a_", "b_", percent)).select("a", "b"), "pairs-near")
     left = pairs.join(sets.select(F.col("fp").alias("b"), F.col("keys").alias("b_keys")), "b")
     both = left.join(sets.select(F.col("fp").alias("a"), F.col("keys").alias("a_keys")), "a")
     common = F.size(F.array_intersect("a_keys", "b_keys"))
     return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("a_keys") + F.size("b_keys") - F.col("common"))).select("a", "b")
 
 
+def _room(a: str, b: str, percent: int):
+    """The sketches leave room for that similarity: members whose bit the other set lacks are not shared."""
+    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, v: s + v)
+    most = F.least(F.col(f"{a}n") - lacking(f"{a}sketch", f"{b}sketch"), F.col(f"{b}n") - lacking(f"{b}sketch", f"{a}sketch"))
+    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
+
+
 def _fits(a: str, b: str, percent: int):
     """Sizes, and what each set shares with any other set at all, leave room for that similarity of two sets (columns of a and
     of b end in n and common)."""
@@ -252,7 +268,7 @@ def links_of_sets(sets: DataFrame, percent: int) -> DataFrame:
     First each set is held against one set that shares a list with it: the one least changed, whose shingles others have
     too.  In a group of copies that is mostly the original, so most groups come together in as many checks as they have members.
     Lists whose members are all in one component by then are done.  In the others every pair from two components that
-    passes the filters on sizes is checked, long lists in blocks, so none is lost.
+    passes the filters on sizes and sketches is checked, long lists in blocks, so none is lost.
     """
     histogram = [(r.n, r["count"]) for r in sets.groupBy(F.size("keys").alias("n")).count().collect()]  # one row a size
     total = sum(c for _, c in histogram)
@@ -269,14 +285,14 @@ def links_of_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     labelled = stored(lists.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "lists-labelled")
     mixed = labelled.groupBy("signature", "light").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = labelled.join(mixed.select("signature", "light"), ["signature", "light"], "left_semi")
+    rest = labelled.join(mixed.select("signature", "light"), ["signature", "light"], "left_semi").join(sets.select("fp", "sketch"), "fp")
     rest = rest.withColumn("blocks", F.ceil(F.col("members") / LIST_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = rest.select("signature", "light", "fp", "n", "common", "component", "block", other)
-    spread = spread.select("signature", "light", "fp", "n", "common", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    spread = rest.select("signature", "light", "fp", "n", "common", "sketch", "component", "block", other)
+    spread = spread.select("signature", "light", "fp", "n", "common", "sketch", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     one, two = spread.alias("x"), spread.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "light", "i", "j")]
-    pairs = one.join(two, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.component") != F.col("y.component"), _fits("x.", "y.", percent)])
+    pairs = one.join(two, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.component") != F.col("y.component"), _fits("x.", "y.", percent), _room("x.", "y.", percent)])
     pairs = pairs.filter(F.col("x.light") | (F.greatest("x.n", "y.n") > boundary))  # two small sets meet in their subsets
     pairs = stored(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs-rest")
     more = stored(_verified(pairs, sets, percent), "links-rest")
