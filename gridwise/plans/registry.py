@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gridwise.fixtures import in_duckdb
-from gridwise.plans import design, groups, linear, models, selection, series, sources
+from gridwise.plans import design, groups, linear, models, resampled, selection, series, sources
 
-MODULES = [selection, series, design, groups, models, linear, sources]
+MODULES = [selection, series, design, groups, models, linear, sources, resampled]
 
 
 def registered() -> dict:

@@ -43,6 +43,11 @@ def encode_volume(values: np.ndarray, shape: tuple[int, int, int]) -> bytes:
 
 def volume_scan(spark: SparkSession, path: str) -> DataFrame:
     """path, unit, x, y_, z and y (values over time) of every voxel; files are read whole, one task each."""
+    return decoded(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The voxels of files given as (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,19 +59,20 @@ def volume_scan(spark: SparkSession, path: str) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * y.shape[1], pa.int32()), pa.array(part.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(unit)), pa.array(unit), pa.array(unit % nx), pa.array(unit // nx % ny), pa.array(unit // (nx * ny)), lists], names=["path", "unit", "x", "y_", "z", "y"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, unit long, x long, y_ long, z long, y array<double>")
+    return files.select("path", "content").mapInArrow(run, "path string, unit long, x long, y_ long, z long, y array<double>")
 
 
 def volume_frames(spark: SparkSession, path: str) -> DataFrame:
     """path and number of frames, from the headers."""
-    raw = spark.read.format("binaryFile").load(path)
+    return frames(spark.read.format("binaryFile").load(path))
+
 
+def frames(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_volume(x)[1][3] for x in batch.column(1).to_pylist()], pa.int64())], names=["path", "frames"])
 
-    return raw.select("path", "content").mapInArrow(run, "path string, frames long")
+    return files.select("path", "content").mapInArrow(run, "path string, frames long")
 
 
 def write_results(table: DataFrame, path: str, *partitions: str) -> None:
