@@ -271,3 +271,30 @@ def model_param_check(params: DataFrame, rules: dict[str, tuple[bool, str | None
     x = params.select("subject", "params", F.explode(table).alias("r"))
     value = F.coalesce(F.try_element_at("params", F.col("r.param")), F.col("r.default"))
     return x.select("subject", F.col("r.param").alias("param"), value.alias("value"), (F.col("r.required") & value.isNull()).cast("bigint").alias("violation"))
+
+
+def model_gconn_partial(packed: DataFrame, grams: DataFrame, keys: Sequence[str], share: float = 0.95) -> DataFrame:
+    """Mean partial correlation of each unit with all others, from the inverse spectrum of the components that pass a share of the variance: with
+    u the units' coordinates, the inverse covariance is sum of u u' / lambda, and its row sums need one vector of sums over units."""
+
+    def use(g, _s, _n):
+        values, vectors = G.eigen(G.centred(g))
+        return [(i + 1, float(values[i]), vectors[:, i] / np.sqrt(values[i])) for i in range(G.components_for(values, share) if len(values) else 0)]
+
+    parts = G.per_group(grams, keys, "component int, lam double, w array<double>", use)
+    u = G.back_project(packed, parts, keys).join(parts.select(*keys, "component", "lam"), [*keys, "component"])
+    own = u.groupBy(*keys, "unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value") / F.col("lam"))).alias("_d"))
+    u = u.join(own, [*keys, "unit"]).filter("_d > 0")
+    sums = u.groupBy(*keys, "component").agg(F.sum(F.col("value") / F.col("_d")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    out = u.join(sums, [*keys, "component"]).groupBy(*keys, "unit").agg(F.sum(F.col("value") * F.col("_m") / F.col("lam")).alias("_t"), F.max("_d").alias("_d"), F.max("_n").alias("_n"))
+    return out.select(*keys, "unit", (-(F.col("_t") / F.col("_d") - 1) / (F.col("_n") - 1)).alias("gconn"))
+
+
+def event_regressor(events: DataFrame, keys: Sequence[str], scans: int, tr: float) -> DataFrame:
+    """Response (keys, t, x) to impulses at distinct rounded onsets; times without response are 0."""
+    from gridwise.operators.design import design_event, hrf_convolve
+
+    on = design_event(events, keys, scans).select(*keys, (F.col("scan") - 1).alias("sample"))
+    v = hrf_convolve(on, keys, scans, tr).select(*keys, F.col("sample").alias("t"), F.col("v").alias("x"))
+    every = events.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(scans - 1).cast("bigint"))).alias("t"))
+    return every.join(v, [*keys, "t"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))

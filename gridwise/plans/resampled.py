@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridwise.fixtures import fixture
+from gridwise.fixtures import fixture, in_spark
 from gridwise.operators import gram as G
 from gridwise.operators import groups
 from gridwise.operators import models as M
@@ -13,7 +15,9 @@ from gridwise.operators import resampled as R
 from gridwise.operators import selection as C
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
+from gridwise.shared import shared_folder
 from gridwise.plans.linear import K, _classes, _energy, _grams, _half, _packed, _regressors
+from gridwise.sources import text as X
 from gridwise.sources import volumes
 
 SUBJECTS = ("click", "error", "purchase", "signup", "view")
@@ -58,7 +62,73 @@ def _drift(s, d, order):
     return lambda df: G.apply_operators(df, G.denoise_operators(_regressors(s, d).filter("k = 1"), K, order, False), K)
 
 
+def _busy(s, d):
+    """Onsets of each subject: days with more events than its days have on average."""
+    from pyspark.sql import Window
+
+    n = fixture(s, d, "cond_events").groupBy(F.col("cond").alias("subject"), "onset_t").agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col("n") > 0).withColumn("m", F.avg("n").over(Window.partitionBy("subject"))).filter("n > m")
+
+
+def _regressor(s, d):
+    return R.event_regressor(_busy(s, d), K, 30, 2.0)
+
+
+def _resamples(s, d):
+    return M.split_half_resamples(fixture(s, d, "series_daily").select("subject").distinct(), 6)
+
+
+def _event_windows(s, d):
+    """Window averages around each subject's busy days, the subject as block."""
+    lags = _busy(s, d).select("subject", "onset_t", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lag")).withColumn("t", F.col("onset_t") + F.col("lag"))
+    return lags.join(fixture(s, d, "series_daily"), ["subject", "t"]).groupBy("unit", "lag", F.col("subject").alias("block")).agg(F.avg("y").alias("y"))
+
+
+def _group_pairs(s, d):
+    out = None
+    for name, classes in _contrasts().items():
+        one = R.model_lda_group(_across(s, d), len(SUBJECTS), 30, classes, R.block_resamples(len(SUBJECTS))).withColumn("contrast", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("all").agg(F.avg("R").alias("R"), F.avg("P").alias("P"), F.count(F.lit(1)).alias("pairs"))
+
+
+#: Three numbers of each order line as whitespace-separated text.
+MATRIX = "SELECT cast(l_orderkey * 10 + l_linenumber AS bigint) AS line, concat(cast(cast(l_quantity AS int) AS varchar(9)), '  ', cast(l_linenumber AS varchar(2)), ' -', cast(l_suppkey AS varchar(9))) AS value FROM {lineitem}"
+ONSETS = "SELECT subject AS line, string_agg(concat(cond, '=', onset_t, ':', duration), ' ') AS value FROM ({cond_events}) ce GROUP BY subject"
+SIDECAR = """SELECT cast(n_nationkey AS bigint) AS file, concat(chr(123), '"RepetitionTime": ', n_regionkey + 1, '.5, "TaskName": "', n_name, '"', chr(125)) AS value FROM {nation}"""
+
+
+def _written(s, d):
+    path = f"{shared_folder(s)}/results-{uuid.uuid4().hex}"
+    volumes.write_results(fixture(s, d, "metric_grid").select("subject", "pipeline_id", "P"), path, "subject")
+    return s.read.parquet(path)
+
+
+def _written_maps(s, d):
+    path = f"{shared_folder(s)}/maps-{uuid.uuid4().hex}"
+    maps = fixture(s, d, "subject_maps").withColumn("item", F.col("subject").cast("string"))
+    volumes.write_maps(maps.select("item", "unit", "value"), s.range(200).withColumnRenamed("id", "unit"), path, (200, 1, 1), "item", "value")
+    return volumes.decoded(s.read.parquet(path).select(F.col("item").alias("path"), "content")).filter(F.get("y", F.lit(0)) != 0)
+
+
 QUERIES = {
+    "model_erglm": (lambda s, d: rounded(M.model_glm(S.split_half_time(fixture(s, d, "series_daily"), K), _regressor(s, d), K).select("subject", "unit", "R", "z"), "R", "z", digits=4), None),
+    "model_erglm_group": (lambda s, d: rounded(M.model_glm_group(fixture(s, d, "series_daily"), _regressor(s, d), _resamples(s, d)), "R", digits=5), None),
+    "model_ergnb_group": (lambda s, d: rounded(M.model_ergnb(_event_windows(s, d), []), "ratio", digits=5), None),
+    "model_multi_lda_group": (lambda s, d: rounded(_group_pairs(s, d), "R", "P", digits=5), None),
+    "model_gconn_partial": (lambda s, d: rounded(R.model_gconn_partial(_packed(s, d), _grams(s, d), K), "gconn"), None),
+    "censor_interpolate_slice": (
+        lambda s, d: _energy(G.censor_interpolate(S.to_packed(fixture(s, d, "lattice_series"), ["subject", "z", "unit"]), fixture(s, d, "lattice_series").groupBy("subject", "z", "t").agg(F.sum("y").alias("v")).groupBy("subject", "z").agg(F.array(F.max_by("t", F.struct("v", "t"))).alias("times")), ["subject", "z"])),
+        None,
+    ),
+    "matrix_scan": (
+        lambda s, d: X.matrix_scan(in_spark(s, d, MATRIX)).groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("column", F.col("column").cast("bigint")),
+        "SELECT 0 AS column, count(*) AS n, cast(sum(cast(l_quantity AS int)) AS double) AS total FROM {lineitem} UNION ALL SELECT 1, count(*), cast(sum(l_linenumber) AS double) FROM {lineitem} UNION ALL SELECT 2, count(*), cast(-sum(l_suppkey) AS double) FROM {lineitem}",
+    ),
+    "onset_list_scan": (lambda s, d: X.onset_list_scan(in_spark(s, d, ONSETS)), "WITH ce AS ({cond_events}) SELECT subject AS line, cond, cast(onset_t AS double) AS onset, cast(duration AS double) AS duration FROM ce"),
+    "sidecar_events_scan": (lambda s, d: X.sidecar_scan(in_spark(s, d, SIDECAR)), "SELECT cast(n_nationkey AS bigint) AS file, n_regionkey + 1.5 AS tr, n_name AS task FROM {nation}"),
+    "result_sink": (lambda s, d: _written(s, d).select(F.col("subject").cast("bigint").alias("subject"), "pipeline_id", F.round("P", 6).alias("P")), "WITH mg AS ({metric_grid}) SELECT subject, pipeline_id, round(P, 6) AS P FROM mg"),
+    "map_sink_grid": (lambda s, d: _written_maps(s, d).select(F.col("path").alias("item"), "unit", F.round(F.get("y", F.lit(0)), 9).alias("value")), "WITH mp AS ({subject_maps}) SELECT cast(subject AS varchar) AS item, unit, round(value, 9) AS value FROM mp WHERE value <> 0"),
     "independent_columns": (lambda s, d: R.independent_columns(_regressors(s, d).unionByName(_regressors(s, d).filter("k = 1").withColumn("k", F.lit(3).cast("bigint")).withColumn("y", F.transform("y", lambda v: 2 * v))), K), None),
     "design_condition": (lambda s, d: rounded(R.design_condition(_regressors(s, d), K, 2), "condition", digits=4), None),
     "task_motion_corr": (lambda s, d: rounded(M.multiple_correlation(fixture(s, d, "series_daily").groupBy("subject", "t").agg(F.avg("y").alias("a"), F.max("y").alias("b"), F.stddev_samp("y").alias("c")), "a", ["b", "c"], K), "r", digits=5), None),

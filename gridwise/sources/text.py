@@ -109,3 +109,16 @@ def events_scan(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.csv(path, sep="\t", header=True)
     clean = table.select("trial_type", F.col("onset").try_cast("double").alias("onset"), F.col("duration").try_cast("double").alias("duration")).filter("onset IS NOT NULL")
     return clean.groupBy("trial_type").agg(F.array_sort(F.collect_list(F.struct("onset", "duration"))).alias("events"))
+
+
+def onset_list_scan(lines: DataFrame) -> DataFrame:
+    """Lines of `condition=onset:duration` entries (a line a run) to (line, cond, onset, duration)."""
+    entry = F.explode(F.regexp_extract_all("value", F.lit(r"(\S+=[-0-9.]+:[-0-9.]+)"), 1))
+    x = lines.select("line", entry.alias("e"))
+    return x.select("line", F.regexp_extract("e", r"^(.+)=", 1).alias("cond"), F.regexp_extract("e", r"=([-0-9.]+):", 1).cast("double").alias("onset"), F.regexp_extract("e", r":([-0-9.]+)$", 1).cast("double").alias("duration"))
+
+
+def sidecar_scan(texts: DataFrame) -> DataFrame:
+    """Repetition time and task name of JSON sidecars (file, value)."""
+    parsed = F.from_json("value", "RepetitionTime double, TaskName string")
+    return texts.select("file", parsed.alias("j")).select("file", F.col("j.RepetitionTime").alias("tr"), F.col("j.TaskName").alias("task"))
