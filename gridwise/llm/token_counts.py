@@ -27,6 +27,12 @@ def allocate(starts: np.ndarray, ends: np.ndarray, edges: np.ndarray) -> tuple[n
     return best, crossing
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """Where each character of a text, and its end, lies in its UTF-8 bytes."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64))])
+
+
 def attribute(docs: DataFrame, lines: bool = False) -> DataFrame:
     """`docs`: doc_id, text and spans (array of (start, end) in code points, sorted, not overlapping).
 
@@ -46,7 +52,7 @@ def attribute(docs: DataFrame, lines: bool = False) -> DataFrame:
                 ids = encoder.encode(text)
                 ends = np.cumsum(width[ids])
                 # offsets of characters in bytes, which is what token widths are in
-                at = None if text.isascii() else np.cumsum([0, *(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) for c in np.frombuffer(text.encode("utf-32-le"), "<u4"))])
+                at = None if text.isascii() else byte_offsets(text)
                 bounds, before = [], 0
                 if lines:
                     line_ends = np.cumsum([len(x) + 1 for x in text.split("\n")]).tolist()
