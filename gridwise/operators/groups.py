@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,16 +49,80 @@ def ttest_paired(table: DataFrame, value: str, unit: str, group: str, one, two,
     return ttest_1sample(d.filter("_1 IS NOT NULL AND _2 IS NOT NULL").withColumn("_d", F.col("_2") - F.col("_1")), "_d", unit)
 
 
+#: Rows that meet at a time, groups of which a task holds sums (16 bytes for each resample) before it hands them on, and resamples
+#: whose sums travel in one row.
+RESAMPLED_ROWS, RESAMPLED_GROUPS, RESAMPLED_BLOCK = 2048, 4096, 50
+
+
+def poisson_draws(hashes: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each sample (a row, by its hash) is drawn in each resample (a column): Poisson counts of mean 1."""
+    chances = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 19)]))
+    with np.errstate(over="ignore"):
+        z = hashes.view(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(chances, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+
+def resampled_sums(table: DataFrame, value: str, keys: Sequence[str], sample: str, resamples: int, seed: int) -> DataFrame:
+    """(keys, r, _s, _n): sum of the values and number of draws of each group in each resample; null values are left out.
+
+    A task adds up its own rows by a product of their values with their samples' draws, so no row is repeated for a resample; the sums
+    of all tasks meet by group and block of resamples.
+    """
+    rows = table.filter(F.col(value).isNotNull()).select(*keys, F.xxhash64(F.lit(seed), sample).alias("_h"), F.col(value).cast("double").alias("_v"))
+    names, k = [*keys, "r", "_s", "_n"], len(keys)
+    edges = [*range(0, resamples, RESAMPLED_BLOCK), resamples]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[tuple, int] = {}
+        held = np.zeros((2, 0, resamples))
+        kinds: list[pa.DataType] = []
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            groups = list(index)
+            for at in range(0, len(groups), 64):
+                part = groups[at : at + 64]
+                columns = [pa.array([g[i] for g in part], kind) for i, kind in enumerate(kinds)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    ends = pa.array(np.arange(0, len(part) * (b - a) + 1, b - a, dtype=np.int32))
+                    packed = [pa.ListArray.from_arrays(ends, pa.array(x[at : at + len(part), a:b].ravel())) for x in held]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([a] * len(part), pa.int32()), *packed], names=names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(k)]
+            for at in range(0, batch.num_rows, RESAMPLED_ROWS):
+                part = batch.slice(at, RESAMPLED_ROWS)
+                if len(index) + part.num_rows > RESAMPLED_GROUPS:
+                    yield from sums()
+                    index, held = {}, np.zeros((2, 0, resamples))
+                of_row = [index.setdefault(g, len(index)) for g in zip(*(part.column(i).to_pylist() for i in range(k)), strict=True)]
+                if len(index) > held.shape[1]:
+                    held = np.concatenate([held, np.zeros((2, len(index) - held.shape[1], resamples))], axis=1)
+                groups, g = np.unique(of_row, return_inverse=True)
+                hashes, h = np.unique(part.column(k).to_numpy(), return_inverse=True)
+                weights = np.zeros((2, len(groups), len(hashes)))
+                np.add.at(weights[0], (g, h), part.column(k + 1).to_numpy())
+                np.add.at(weights[1], (g, h), 1.0)
+                held[:, groups] += weights @ poisson_draws(hashes, resamples)
+        yield from sums()
+
+    def total(table: pa.Table) -> pa.Table:
+        s, n = (table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0) for c in ("_s", "_n"))
+        first = pa.array([0] * len(s))
+        return pa.table([*(table.column(i).take(first) for i in range(k)), pa.array(table.column("r")[0].as_py() + np.arange(len(s), dtype=np.int32)), pa.array(s), pa.array(n)], names=names)
+
+    schema = lambda kind: T.StructType([*rows.schema.fields[:k], T.StructField("r", T.IntegerType()), T.StructField("_s", kind), T.StructField("_n", kind)])
+    return rows.mapInArrow(run, schema(T.ArrayType(T.DoubleType()))).groupBy(*keys, "r").applyInArrow(total, schema(T.DoubleType()))
+
+
 def bootstrap_1sample(table: DataFrame, value: str, unit: str, sample: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Ratio of mean to deviation of resampled means, and the smaller one-sided tail.
 
     Each sample is drawn a Poisson number of times in each resample (by a hash of both, so that every unit sees the same draws), which
     makes a resample a weighted sum; no sample is repeated as a row.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "r", sample), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times = sum(((u > c).cast("int") for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    draws = table.select(unit, sample, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("_k", times).filter("_k > 0")
-    means = draws.groupBy(unit, "r").agg((F.sum(F.col(value) * F.col("_k")) / F.sum("_k")).alias("m"))
+    means = resampled_sums(table, value, [unit], sample, resamples, seed).select(unit, (F.col("_s") / F.nullif("_n", F.lit(0.0))).alias("m")).filter("m IS NOT NULL")
     low = F.avg((F.col("m") < 0).cast("int"))
     return means.groupBy(unit).agg(_ratio(F.avg("m"), F.stddev_samp("m")).alias("ratio"), F.least(low, 1 - low).alias("p"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwise.operators import gram as G
+from gridwise.operators.groups import resampled_sums
 
 
 def independent_columns(designs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -235,11 +236,9 @@ def block_resamples(blocks: int, resamples: int = 30, seed: int = 42) -> list[li
 
 def bootstrap_2sample(table: DataFrame, value: str, unit: str, sample: str, group: str, one, two, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Ratio of mean to deviation of resampled differences of means (two minus one), and the smaller one-sided tail."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "r", sample), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times = sum(((u > c).cast("int") for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    draws = table.filter(F.col(group).isin(one, two)).select(unit, sample, group, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("_k", times).filter("_k > 0")
-    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col(value) * F.col("_k"))) / F.sum(F.when(F.col(group) == g, F.col("_k")))
-    d = draws.groupBy(unit, "r").agg((mean(two) - mean(one)).alias("m")).filter("m IS NOT NULL")
+    sums = resampled_sums(table.filter(F.col(group).isin(one, two)), value, [unit, group], sample, resamples, seed)
+    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col("_s"))) / F.nullif(F.sum(F.when(F.col(group) == g, F.col("_n"))), F.lit(0.0))
+    d = sums.groupBy(unit, "r").agg((mean(two) - mean(one)).alias("m")).filter("m IS NOT NULL")
     low = F.avg((F.col("m") < 0).cast("int"))
     return d.groupBy(unit).agg((F.avg("m") / F.nullif(F.stddev_samp("m"), F.lit(0.0))).alias("ratio"), F.least(low, 1 - low).alias("p"))
 

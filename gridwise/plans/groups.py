@@ -50,7 +50,7 @@ QUERIES = {
         lambda s, d: rounded(G.ttest_paired(_sm(s, d), "y", "unit", "half", 1, 2, "class").select("unit", "t", "dof"), "t"),
         SM + ", x AS (SELECT unit, class, avg(y) FILTER (half = 2) - avg(y) FILTER (half = 1) AS d FROM sm GROUP BY unit, class) SELECT unit, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t, count(d) - 1 AS dof FROM x WHERE d IS NOT NULL GROUP BY unit",
     ),
-    "bootstrap_1sample": (lambda s, d: rounded(G.bootstrap_1sample(_sm(s, d), "y", "unit", "sample", 100), "ratio", "p"), None),
+    "bootstrap_1sample": (lambda s, d: rounded(G.bootstrap_1sample(_sm(s, d), "y", "unit", "sample"), "ratio", "p"), None),
     "anova_oneway": (
         lambda s, d: rounded(G.anova_oneway(_sm(s, d), "y", "unit", "class").select("unit", "F", "df1", "df2", "omega2"), "F", "omega2"),
         SM + """, c AS (SELECT unit, class, count(*) AS n, avg(y) AS m, var_samp(y) AS v FROM sm GROUP BY unit, class), g AS (SELECT unit, avg(y) AS g FROM sm GROUP BY unit),
