@@ -202,7 +202,7 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[tuple[int, int]]:
 
 #: Bytes of text that one task packs; tokens are never more than bytes, so a task's memory is bounded.
 GROUP_BYTES = 16 << 20
-MATRIX = "sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, positions binary"
+MATRIX = "sequence_id long, ids binary, n_tokens int, cu_seqlens array<int>, positions binary, doc_id array<long>, start array<long>, ids_crc32 array<long>, doc_tokens array<long>"
 
 
 def pack_best_fit(docs: DataFrame, length: int = 2048, end_id: int | None = END_ID, group_bytes: int = GROUP_BYTES, matrix: bool = False, pad_id: int = 0) -> DataFrame:
@@ -214,7 +214,8 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, end_id: int | None = END_
 
     One row for each piece (columns as in `pack_along_curve`, `sequence_id` unique over all groups but not gapless).  With `matrix`,
     one row for each sequence instead: `ids` padded with `pad_id` to `length`, `cu_seqlens` (0, then the end of each
-    segment), and `positions`, which restart at 0 in each segment; ids and positions are little-endian 32-bit.
+    segment), and `positions`, which restart at 0 in each segment; ids and positions are little-endian 32-bit.  The arrays `doc_id`,
+    `start`, `ids_crc32` and `doc_tokens` have one entry for each segment, so that the piece rows can be read off.
 
     Null and empty texts hold the end id alone (without end id: no piece); null and repeated doc_ids are packed
     each for itself; an empty table gives no rows; other columns are not read.
@@ -251,8 +252,9 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, end_id: int | None = END_
                     whole = sum(map(len, parts))
                     ids = np.concatenate([*parts, np.full(length - whole, pad_id, "<u4")]).astype("<u4")
                     positions = np.concatenate([*(np.arange(len(p)) for p in parts), np.arange(length - whole)]).astype("<u4")
-                    out.append((base + b, ids.tobytes(), whole, [0, *np.cumsum([len(p) for p in parts]).tolist()], positions.tobytes()))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["sequence_id", "ids", "n_tokens", "cu_seqlens", "positions"])
+                    segments = [rows[i][0] for i in members], [rows[i][1] for i in members], [zlib.crc32(p.tobytes()) for p in parts], [rows[i][4] for i in members]
+                    out.append((base + b, ids.tobytes(), whole, [0, *np.cumsum([len(p) for p in parts]).tolist()], positions.tobytes(), *segments))
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.binary()] + [pa.list_(pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in MATRIX.split(", ")])
 
     return dealt.select("doc_id", "doc_tokens", "ids").mapInArrow(run, MATRIX if matrix else PIECES)

@@ -36,7 +36,7 @@ def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_best_fit(_documents(spark, sf_dir))
+    return packing.pack_best_fit(_documents(spark, sf_dir), matrix=True)
 
 
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
