@@ -19,11 +19,15 @@ SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_stutters", "n_capitals", "n_shouts", "n_bars", "n_sentence_ends"]
+#: Words of a run in which distinct words are counted: over a whole text their share would fall with its length alone.
+RUN_WORDS = 1000
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_run_distinct_words", "n_stutters", "n_capitals", "n_shouts", "n_bars", "n_sentence_ends"]
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
-    """The counts named in COUNTS; words are runs of characters other than space and \\x09 to \\x0D."""
+    """The counts named in COUNTS; words are runs of characters other than space and \\x09 to \\x0D.  n_run_distinct_words adds up
+    the distinct words of each RUN_WORDS words from the start to the end of the text."""
     if not text:
         return (0,) * len(COUNTS)
     words = _WORD.findall(text)
@@ -44,7 +48,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         sum(map(text.count, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated,
-        len(set(words)),
+        sum(len(set(words[i : i + RUN_WORDS])) for i in range(0, len(words), RUN_WORDS)),
         sum(map(str.__eq__, words, words[1:])),
         capitals,
         text.count("!!"),
@@ -77,7 +81,7 @@ def _bad_if(condition: Column) -> Column:
 def rules() -> dict[str, Column]:
     """Name -> vote: 1 good, -1 bad, 0 abstains.  Most rules know one kind of damage and say nothing where they do
     not see it; `prose` alone speaks for a text.  The thresholds are ratios that prose keeps to in any alphabet."""
-    prose = _share("n_distinct_words").between(0.25, 1) & _share("word_chars").between(3, 11) & (_share("n_sentence_ends") >= 0.02)
+    prose = _share("n_run_distinct_words").between(0.25, 1) & _share("word_chars").between(3, 11) & (_share("n_sentence_ends") >= 0.02)
     return {
         "prose": F.when(prose & (F.col("n_words") >= 50), 1).otherwise(0),
         "short": _bad_if(F.col("n_words") < 20),
@@ -88,7 +92,7 @@ def rules() -> dict[str, Column]:
         "capitals": _bad_if(_share("n_capitals") >= 0.4),
         "shouts": _bad_if(_share("n_shouts") >= 0.2),
         "table_bars": _bad_if(_share("n_bars") >= 0.2),
-        "variety": _bad_if(_share("n_distinct_words") <= 0.15),
+        "variety": _bad_if(_share("n_run_distinct_words") <= 0.15),
         "word_length": _bad_if(~_share("word_chars").between(2, 16)),
         "no_sentences": _bad_if(_share("n_sentence_ends") <= 0.003),
     }
