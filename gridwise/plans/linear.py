@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridwise.fixtures import fixture
 from gridwise.operators import gram as G
 from gridwise.operators import groups, stats
+from gridwise.operators import models as M
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
 
@@ -47,6 +48,12 @@ def _energy(df):
     return df.select("subject", F.explode("y").alias("v")).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy"))
 
 
+def _coordinates(s, d):
+    """Coordinates of each time on all components of all units, as points (subject, k, t, y)."""
+    parts = G.temporal_pca(_grams(s, d), K, 1.1)
+    return parts.select("subject", F.col("component").cast("bigint").alias("k"), "singular", F.posexplode("w").alias("t", "w")).select("subject", "k", F.col("t").cast("bigint").alias("t"), (F.col("singular") * F.col("w")).alias("y"))
+
+
 def _censored(s, d):
     """Each subject's times with the greatest total (a tenth of them)."""
     from pyspark.sql import Window
@@ -76,6 +83,8 @@ QUERIES = {
     ),
     "motion_pcs": (lambda s, d: rounded(G.temporal_pca(_grams(s, d), K, 0.85).select("subject", "component", "singular"), "singular", digits=4), None),
     "min_displacement": (lambda s, d: G.min_displacement(_grams(s, d), K), None),
+    "volume_displacement": (lambda s, d: rounded(M.window_median_displacement(_coordinates(s, d), K), "displacement", digits=4), None),
+    "volume_trajectory": (lambda s, d: rounded(M.trajectory(_coordinates(s, d), ["subject", "k"]).select("subject", "k", "t", "path"), "path", digits=4), None),
     "slice_displacement": (lambda s, d: rounded(G.displacement(G.gram(_slices(s, d), ["subject", "z"]), ["subject", "z"]), "displacement", digits=4), None),
     "gamma_threshold": (lambda s, d: rounded(G.gamma_threshold(fixture(s, d, "metric_grid").select("subject", "pipeline_id", "MOT_corr"), "MOT_corr", ["subject"]), "p", "threshold", digits=5), None),
     "glm_fit": (lambda s, d: rounded(G.glm_fit(_packed(s, d), _regressors(s, d).filter("k = 1"), K, order=0).select("subject", "unit", "beta"), "beta", digits=5), "WITH sd AS ({series_daily}), m AS (SELECT subject, t, avg(y) AS x FROM sd GROUP BY subject, t) SELECT subject, unit, round(regr_slope(y, x), 5) + 0 AS beta FROM sd JOIN m USING (subject, t) GROUP BY subject, unit"),

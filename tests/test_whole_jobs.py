@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from gridwise.fixtures import fixture
 from gridwise.operators import groups
 from gridwise.plans.registry import queries
 
@@ -33,3 +34,20 @@ def test_poisson_draws():
     k = groups.poisson_draws(np.arange(500, dtype=np.int64), 1000)
     assert k.mean() == pytest.approx(1, abs=0.01) and k.var() == pytest.approx(1, abs=0.02) and k.max() > 6
     assert abs(np.corrcoef(k[:, 0], k[:, 1])[0, 1]) < 0.15 and abs(np.corrcoef(k[0], k[1])[0, 1]) < 0.12
+
+
+def test_volume_displacement_and_trajectory_use_all_units(spark):
+    daily = fixture(spark, SF, "series_daily").toPandas()
+    moved = queries()["volume_displacement"](spark, SF).toPandas()
+    paths = queries()["volume_trajectory"](spark, SF).toPandas()
+    for subject, rows in daily.groupby("subject"):
+        x = rows.pivot(index="unit", columns="t", values="y").sort_index(axis=1).to_numpy()
+        assert len(x) > 6
+        _, size, v = np.linalg.svd(x - x.mean(axis=1, keepdims=True), full_matrices=False)
+        q = (v.T * size)[:, size > 1e-6 * size[0]]
+        near = [[u for u in range(max(0, t - 7), min(len(q), t + 8)) if u != t] for t in range(len(q))]
+        got = moved[moved.subject == subject].sort_values("t")["displacement"].to_numpy()
+        assert np.allclose(got, [((q[t] - np.median(q[near[t]], axis=0)) ** 2).sum() for t in range(len(q))], rtol=1e-5, atol=1e-3)
+        path = paths[paths.subject == subject].pivot(index="t", columns="k", values="path").to_numpy()
+        expected = np.stack([q[n].mean(axis=0) for n in near])
+        assert path.shape == expected.shape and np.allclose(np.abs(path), np.abs(expected), atol=1e-3)
