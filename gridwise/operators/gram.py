@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.functions import special
-
-#: Operators that are sent to all tasks at once, at most, in bytes; more are joined to the units.
-BROADCAST_BYTES = 64 << 20
+from gridwise.shared import BROADCAST_BYTES, stored
 
 
 def gram(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -227,22 +225,22 @@ def global_pc_operators(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def glm_fit(packed: DataFrame, designs: DataFrame, keys: Sequence[str], order: int = 1) -> DataFrame:
-    """Coefficient and t (residual variance over T - 1) of each regressor (`k`) of each unit, next to drift."""
+    """Coefficient and t (residual variance over T - 1) of each regressor (`k`) of each unit, next to drift.  Small sets of
+    regressors go to every task; larger ones are joined to the units of their group."""
     names = list(keys)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in (*names, "unit"))
-    rows: dict[tuple, list] = {}
-    size = designs.agg(F.sum(F.size("y") * 8)).first()[0] or 0
+    own_designs = stored(designs.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("k", "y"))).alias("regressors")), "designs")
+    size = own_designs.select(F.explode("regressors.y").alias("y")).agg(F.sum(F.size("y") * 8)).first()[0] or 0
     if size > BROADCAST_BYTES:
-        raise ValueError("these regressors are too large for one broadcast: fit groups of keys one after another")
-    for r in designs.collect():
-        rows.setdefault(tuple(r[k] for k in names), []).append((r["k"], r["y"]))
-    held = packed.sparkSession.sparkContext.broadcast(rows)
+        packed, held = packed.join(own_designs, names, "left"), None
+    else:
+        held = packed.sparkSession.sparkContext.broadcast({tuple(r[k] for k in names): r["regressors"] for r in own_designs.collect()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for key, part in frame.groupby(names, dropna=False):
                 y = np.stack(part["y"].to_numpy())
-                own = sorted(held.value.get(key, []), key=lambda r: r[0])
+                own = held.value.get(key, []) if held else [(r["k"], r["y"]) for r in part["regressors"].iloc[0] if r] if part["regressors"].iloc[0] is not None else []
                 x = np.hstack([legendre(y.shape[1], order), *(np.asarray(v, float)[:, None] for _, v in own)])
                 inverse = np.linalg.pinv(x.T @ x)
                 beta = y @ x @ inverse

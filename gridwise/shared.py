@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A table is sent whole to every task only if it is at most so large; beyond that it is joined.
+BROADCAST_BYTES = 64 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names; a folder of this machine only where that is unset and
