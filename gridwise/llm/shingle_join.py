@@ -1,5 +1,5 @@
 """Exact Jaccard join of documents on word shingles, size-aware: small sets enumerate subsets, large sets scan
-inverted lists, and the boundary between them is where the two cost the same."""
+inverted lists of their rarest shingles, and the boundary between them is where the two cost the same."""
 
 from __future__ import annotations
 
@@ -10,20 +10,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridwise.llm.components import components
-from gridwise.shared import stored
+from gridwise.shared import BROADCAST_BYTES, stored
 
 #: Hashes of words that a process keeps at hand.
 TABLE_ENTRIES = 300_000
 #: Shingles of one shard of the count, about, and of one block that a task sends out.
 SHARD_KEYS, BLOCK_KEYS = 2_000_000, 2_000_000
 #: Members of one block of a long inverted list.
-LIST_BLOCK = 256
-#: Words of 64 bits in the sketch that bounds an overlap before whole sets meet.
-SKETCH_WORDS = 16
+LIST_BLOCK = 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -58,6 +57,10 @@ def shingle_set(text: str | None, words: int, table: dict | None = None) -> np.n
     return np.unique(out)
 
 
+def set_hash(keys: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63)
+
+
 def least_common(n: int, percent: int) -> int:
     """Least overlap of a set of n with a set of at most n at that similarity."""
     return -(-percent * n // 100)
@@ -77,224 +80,281 @@ def enumerations(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
-def choose_boundary(histogram: list[tuple[int, int]], list_length: float, percent: int) -> int:
-    """Largest set size for which enumerating subsets costs less than scanning the lists of its prefix; histogram: (size, number of
-    sets).  Enumeration grows much faster than a prefix does, so the cheaper side changes once."""
+def choose_boundary(scanned: list[tuple[int, float]], percent: int) -> int:
+    """Largest set size for which enumerating subsets costs less than scanning lists; scanned: (size, members of all lists
+    that a set of that size is in, on average).  Enumeration grows much faster, so the cheaper side changes once."""
     best = 0
-    for n, _ in sorted(histogram):
-        if enumerations(n, percent) > prefix_length(n, percent) * max(1.0, list_length):
+    for n, members in sorted(scanned):
+        if enumerations(n, percent) > max(members, prefix_length(n, percent)):
             break
         best = n
     return best
 
 
+def rarity_code(count: np.ndarray) -> np.ndarray:
+    """One byte that rises with the number of sets that have a shingle; 0 for one set."""
+    return np.where(count > 1, np.minimum(1 + 4 * np.log2(np.maximum(count, 2) / 2), 255), 0).astype(np.uint8)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31), kind)
+
+
+def _low_bytes(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _from_low_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
+class _Block:
+    """The sets of one block.  `spread[set, shard]` counts shingles; as each set is sorted by hash and a shard is a range of hashes,
+    that tells the shard of every shingle.  A shingle that several sets of the block have is held and sent once (`first`), its
+    other places refer to it (`again`)."""
+
+    def __init__(self, fps: np.ndarray, spread: np.ndarray, first: np.ndarray, again: np.ndarray):
+        self.fps, self.spread = fps, spread.reshape(len(fps), -1)
+        self.sizes = self.spread.sum(axis=1)
+        shard = np.repeat(np.tile(np.arange(self.spread.shape[1]), len(fps)), self.spread.ravel())
+        self.order = np.argsort(shard, kind="stable")  # by shard, then set, then hash
+        self.held = np.empty(len(shard), np.int64)
+        self.held[first] = np.arange(int(first.sum()))
+        self.held[~first] = again
+        self.edges = np.searchsorted(shard[self.order][first], np.arange(self.spread.shape[1] + 1))
+
+    @staticmethod
+    def pack(block: list[tuple[int, np.ndarray]], shards: int) -> tuple:
+        keys = np.concatenate([k for _, k in block])
+        of = np.repeat(np.arange(len(block)), [len(k) for _, k in block])
+        shard = _shard(keys, shards)
+        spread = np.bincount(of * shards + shard, minlength=len(block) * shards)
+        keys = keys[np.argsort(shard, kind="stable")]
+        _, at, where = np.unique(keys, return_index=True, return_inverse=True)
+        first = np.zeros(len(keys), bool)
+        first[at] = True
+        place = np.cumsum(first) - 1
+        return _pack(np.asarray([f for f, _ in block], "<i8")), _pack(spread.astype("<u4")), _pack(np.packbits(first)), _pack(place[at][where][~first].astype("<u4")), _low_bytes(keys[first])
+
+    @classmethod
+    def unpack(cls, row: dict) -> _Block:
+        spread = _unpack(row["spread"], "<u4").astype(np.int64)
+        return cls(_unpack(row["fps"], "<i8"), spread, np.unpackbits(_unpack(row["first"], np.uint8))[: spread.sum()].astype(bool), _unpack(row["again"], "<u4"))
+
+    def holders(self, dropped: list[int]) -> np.ndarray:
+        """How many sets of this block have each held shingle, other than the dropped ones."""
+        counts = np.repeat(~np.isin(self.fps, np.asarray(dropped, np.int64)), self.sizes)[self.order]
+        return np.bincount(self.held[counts], minlength=self.edges[-1])
+
+    def codes(self, held: np.ndarray) -> np.ndarray:
+        """A code for every shingle of every set, in order of hash."""
+        out = np.empty(len(self.order), np.uint8)
+        out[self.order] = held[self.held]
+        return out
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+SHINGLED = "doc_id long, n long, fp long, block long, fps binary, spread binary, first binary, again binary, keys binary"
+
+
 def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
-    """Two kinds of rows: for each document its doc_id, set size and set hash `fp`; and blocks of shingles by shard, each
-    distinct set of a task once: hashes of the sets, their numbers of shingles here, and the shingles' low 24 bits (a clash can only let a
-    set pass that could have been left out)."""
+    """Two kinds of rows: for each document its doc_id, set size, set hash `fp` and the block that holds the set, if this task
+    had not sent it before; and the blocks (`fps` is not null).  Of a shingle a block holds the low 24 bits: with its shard they
+    stand for it in the count, where a clash can only make it look more common than it is."""
+    names = [f.split()[0] for f in SHINGLED.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table, sent, block, held = _Hashes(), set(), [], 0
-        names = ["doc_id", "n", "fp", "shard", "block", "fps", "counts", "keys"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         number = TaskContext.get().partitionId() << 32
 
         def rows(columns: list) -> pa.RecordBatch:
             n = max(len(c) for c in columns if c is not None)
             return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            if not block:
-                return
-            keys = np.concatenate([k for _, k in block])
-            of = np.repeat(np.arange(len(block)), [len(k) for _, k in block])
-            fps = np.asarray([f for f, _ in block], np.int64)
-            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((of, shard))
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            out: list[list] = [[], [], [], [], []]
-            for s in range(shards):
-                if (mine := order[edges[s] : edges[s + 1]]).size:
-                    sets, counts = np.unique(of[mine], return_counts=True)
-                    for column, value in zip(out, (s, number, fps[sets].tobytes(), counts.astype("<u4").tobytes(), _low_bytes(keys[mine])), strict=True):
-                        column.append(value)
-            yield rows([None, None, None, *out])
-            block.clear()
-            number += 1
-
         for batch in batches:
-            ids, sizes, fps = [], [], []
+            out: list[list] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = shingle_set(text, words, table)
-                fp = xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) if len(keys) else None
-                ids.append(doc_id)
-                sizes.append(len(keys))
-                fps.append(fp)
-                if len(keys) and fp not in sent:
+                fp = set_hash(keys) if len(keys) else None
+                new = fp is not None and fp not in sent
+                for column, value in zip(out, (doc_id, len(keys), fp, number if new else None), strict=True):
+                    column.append(value)
+                if new:
                     sent.add(fp)
                     block.append((fp, keys))
                     held += len(keys)
                     if held > BLOCK_KEYS:
-                        yield from flush()
-                        held = 0
-            if ids:
-                yield rows([ids, sizes, fps, None, None, None, None, None])
-        yield from flush()
+                        yield rows([None, None, None, [number], *([x] for x in _Block.pack(block, shards))])
+                        block, held, number = [], 0, number + 1
+            if out[0]:
+                yield rows([*out, None, None, None, None, None])
+        if block:
+            yield rows([None, None, None, [number], *([x] for x in _Block.pack(block, shards))])
 
-    schema = "doc_id long, n long, fp long, shard int, block long, fps binary, counts binary, keys binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SHINGLED)
 
 
-def _low_bytes(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+def _asked(blocks: DataFrame) -> DataFrame:
+    """block, shard, keys and holders: what each block asks each shard.  `dropped` lists sets that another block counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block.unpack(row)
+                holders, keys = b.holders(row["dropped"] or []).astype("<u4"), row["keys"]
+                parts = [(s, x, y) for s, (x, y) in enumerate(zip(b.edges[:-1].tolist(), b.edges[1:].tolist(), strict=True)) if y > x]
+                columns = [[row["block"]] * len(parts), [s for s, *_ in parts], [keys[3 * x : 3 * y] for _, x, y in parts], [_pack(holders[x:y]) for _, x, y in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "shard", "keys", "holders"])
 
-def _from_low_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
+    return blocks.mapInArrow(run, "block long, shard int, keys binary, holders binary")
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """One shard: the rarity code of every shingle that a block asked for, in its order."""
+    keys = [_from_low_bytes(x) for x in table.column("keys").to_pylist()]
+    holders = np.concatenate([_unpack(x, "<u4") for x in table.column("holders").to_pylist()])
+    edges = np.cumsum([0, *map(len, keys)])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    codes = rarity_code(np.bincount(at, weights=holders, minlength=len(distinct)))[at]
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "codes": pa.array([_pack(codes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+
+
+def _candidates(percent: int):
+    """Of one block (its own row, and the answers of all shards): fp, common and codes of the sets that share so many of their
+    shingles with others that they can have a link; a code a shingle, in order of hash."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        b = _Block.unpack(next(r for r in rows if r["fps"] is not None))
+        held = np.concatenate([_unpack(r["codes"], np.uint8) for r in sorted((r for r in rows if r["fps"] is None), key=lambda r: r["shard"])])
+        codes = b.codes(held)
+        ends = np.cumsum(b.sizes)
+        common = np.add.reduceat(codes > 0, ends - b.sizes, dtype=np.int64)
+        wanted = np.flatnonzero(100 * common >= percent * b.sizes)
+        parts = [codes[ends[i] - b.sizes[i] : ends[i]].tobytes() for i in wanted]
+        return pa.table({"fp": pa.array(b.fps[wanted]), "common": pa.array(common[wanted]), "codes": pa.array(parts, pa.binary())})
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """For the blocks of one shard: how many of each set's shingles another set has too; a row a block, in its order of sets."""
-    fps = [np.frombuffer(x, "<i8") for x in table.column("fps").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-    fp = np.concatenate(fps)
-    of = np.repeat(np.arange(len(fp)), np.concatenate(counts))
-    keys = np.concatenate([_from_low_bytes(x) for x in table.column("keys").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, of = keys[order], of[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    holder = fp[of]
-    several = np.minimum.reduceat(holder, starts) != np.maximum.reduceat(holder, starts)
-    shared = np.repeat(several, np.diff(np.concatenate([starts, [len(keys)]])))
-    n = np.bincount(of[shared], minlength=len(fp))
-    edges = np.cumsum([0, *map(len, fps)])
-    parts = [n[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"block": table.column("block"), "fps": table.column("fps"), "common": pa.array(parts, pa.binary())})
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """The counts of all shards for the sets of one block."""
-    fp = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("fps").to_pylist()])
-    common = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("common").to_pylist()])
-    sets, at = np.unique(fp, return_inverse=True)
-    return pa.table({"fp": pa.array(sets), "common": pa.array(np.bincount(at, weights=common).astype(np.int64))})
-
-
-def sketch(keys: np.ndarray) -> np.ndarray:
-    """A bitmap of a set's hashes: members of A whose bit B lacks are not in B, so it bounds how much two sets share."""
-    bits = np.zeros(SKETCH_WORDS * 64, np.uint8)
-    bits[(keys % np.uint64(SKETCH_WORDS * 64)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view("<i8")
+    return run
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """fp, common, the shingles and the sketch of the wanted sets (fp, doc_id, common), read again from a document that has each."""
+    """fp, common, the shingles and their codes of the wanted sets (fp, doc_id, common, codes), read again from a document that has
+    each.  Their ids are sent to all tasks if they are small enough; else both sides are dealt out by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, fp, common in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out: list[list] = [[], []]
+            for text, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = shingle_set(text, words, table)
-                if len(keys) and xxhash.xxh3_64_intdigest(keys.tobytes()) - (1 << 63) == fp:
-                    for column, value in zip(out, (fp, common, keys.view(np.int64), sketch(keys)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["fp", "common", "keys", "sketch"])
+                if len(keys) and set_hash(keys) == fp:
+                    out[0].append(fp)
+                    out[1].append(keys.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["fp", "keys"])
 
-    own = wanted.withColumnRenamed("doc_id", "_doc_id")
+    own = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp"))
+    own = F.broadcast(own) if 32 * own.count() <= BROADCAST_BYTES else own
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return rows.select("text", "fp", "common").mapInArrow(run, "fp long, common long, keys array<long>, sketch array<long>")
+    read = rows.select("text", "_fp").mapInArrow(run, "fp long, keys array<long>").dropDuplicates(["fp"])
+    return read.join(wanted.select("fp", "common", "codes"), "fp")
 
 
-def _signatures(sets: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """signature, fp, n, common: inverted lists.  Every set enters the lists of its prefix; a set up to the boundary also enters those of its
-    subsets, and meets other small sets only there (`light`)."""
+def _lists(sets: DataFrame, percent: int, boundary: int | None = None) -> DataFrame:
+    """signature, light, fp, n, left, common: inverted lists.  Without `boundary` every set enters the lists of its prefix, the
+    rarest shingles first; `left` is how many of its shingles are not before this one, which is the most that it can share with a set
+    that it meets there first.  Shingles that no other set has take up the prefix but make no list.  With `boundary`
+    the sets up to it enter the lists of their subsets (`light`)."""
+    names = ["signature", "light", "fp", "n", "left", "common"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, light, own = [], [], []
-            for i, keys in enumerate(batch.column(1).to_pylist()):
+            signature, left, own, sizes = [], [], [], []
+            for i, (keys, codes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 n = len(keys)
-                prefix = keys[: prefix_length(n, percent)]
-                sig += prefix
-                light += [False] * len(prefix)
-                own += [i] * len(prefix)
-                if n <= boundary:
-                    subsets = [xxhash.xxh3_64_intdigest(np.asarray(x, "<i8").tobytes(), seed=c) - (1 << 63) for c in subset_sizes(n, percent) for x in combinations(keys, c)]
-                    sig += subsets
-                    light += [True] * len(subsets)
-                    own += [i] * len(subsets)
-            sizes = np.asarray([len(k) for k in batch.column(1).to_pylist()], np.int64)
+                sizes.append(n)
+                if boundary is None:
+                    code = np.frombuffer(codes, np.uint8)
+                    places = np.argsort(code, kind="stable")[: prefix_length(n, percent)]
+                    mine = [(keys[p], n - k) for k, p in enumerate(places.tolist()) if code[p]]
+                else:
+                    mine = [(set_hash(np.asarray([c, *x], "<i8")), n) for c in subset_sizes(n, percent) for x in combinations(keys, c)]
+                signature += [s for s, _ in mine]
+                left += [m for _, m in mine]
+                own += [i] * len(mine)
             at = np.asarray(own, np.int64)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(light, pa.bool_()), batch.column(0).take(take), pa.array(sizes[at] if len(at) else [], pa.int64()), batch.column(2).take(take)], names=["signature", "light", "fp", "n", "common"])
+            n = np.asarray(sizes, np.int64)
+            columns = [signature, np.full(len(at), boundary is not None), batch.column(0).take(pa.array(at)), n[at] if len(at) else [], left, batch.column(3).take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return sets.select("fp", "keys", "common").mapInArrow(run, "signature long, light boolean, fp long, n long, common long")
+    own = sets if boundary is None else sets.filter(F.size("keys") <= boundary)
+    return own.select("fp", "keys", "codes", "common").mapInArrow(run, ", ".join(f"{n} {'boolean' if n == 'light' else 'long'}" for n in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: sketches meet first, and whole sets only where those leave room."""
-    small = sets.select("fp", "sketch", F.size("keys").alias("n"))
-    near = pairs.join(small.toDF("b", "b_sketch", "b_n"), "b").join(small.toDF("a", "a_sketch", "a_n"), "a")
-    pairs = stored(near.filter(_room("a_", "b_", percent)).select("a", "b"), "pairs-near")
+    """The pairs (a, b) that are similar: whole sets meet."""
     left = pairs.join(sets.select(F.col("fp").alias("b"), F.col("keys").alias("b_keys")), "b")
     both = left.join(sets.select(F.col("fp").alias("a"), F.col("keys").alias("a_keys")), "a")
     common = F.size(F.array_intersect("a_keys", "b_keys"))
     return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("a_keys") + F.size("b_keys") - F.col("common"))).select("a", "b")
 
 
-def _room(a: str, b: str, percent: int):
-    """The sketches leave room for that similarity: members whose bit the other set lacks are not shared."""
-    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda s, v: s + v)
-    most = F.least(F.col(f"{a}n") - lacking(f"{a}sketch", f"{b}sketch"), F.col(f"{b}n") - lacking(f"{b}sketch", f"{a}sketch"))
-    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
-
-
 def _fits(a: str, b: str, percent: int):
-    """Sizes, and what each set shares with any other set at all, leave room for that similarity of two sets (columns of a and
-    of b end in n and common)."""
-    most = F.least(f"{a}common", f"{b}common")
+    """What two sets can share at most, if they meet first in this list (columns of a and of b end in n and left), leaves room for that
+    similarity.  A similar pair passes in the first list that it has in common, so none is lost."""
+    most = F.least(f"{a}left", f"{b}left")
     return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
 
 
 def links_of_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """fp and component of the sets (fp, common, keys) that are similar to another, directly or through others; exact.
+    """fp and component of the sets (fp, common, keys, codes) that are similar to another, directly or through others; exact.
 
     First each set is held against one set that shares a list with it: the one least changed, whose shingles others have
     too.  In a group of copies that is mostly the original, so most groups come together in as many checks as they have members.
-    Lists whose members are all in one component by then are done.  In the others every pair from two components that
-    passes the filters on sizes and sketches is checked, long lists in blocks, so none is lost.
+    Lists whose members are all in one component by then are done.  In the others each member outside the component of
+    the least changed one meets all members of other components, in blocks of a long list; what their places in the order
+    of rarity leave room for is checked, so none is lost.
     """
-    histogram = [(r.n, r["count"]) for r in sets.groupBy(F.size("keys").alias("n")).count().collect()]  # one row a size
-    total = sum(c for _, c in histogram)
-    entries = sum(prefix_length(n, percent) * c for n, c in histogram)
-    boundary = choose_boundary(histogram, entries / max(1, total) / 4, percent)
-    lists = _signatures(sets, percent, boundary)
-    shared = lists.groupBy("signature", "light").agg(F.count("*").alias("members"), F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "fp", "n", "common")).alias("hub")).filter("members > 1")
-    lists = stored(lists.join(shared.select("signature", "light", "members", "hub"), ["signature", "light"]), "lists")
+    lists = stored(_lists(sets, percent), "lists-prefix")
+    lengths = lists.groupBy("signature").agg(F.count("*").alias("members")).filter("members > 1")
+    scanned = lists.join(lengths, "signature").groupBy("n").agg(F.sum("members").alias("scanned"))
+    scanned = scanned.join(sets.groupBy(F.size("keys").cast("long").alias("n")).count(), "n")
+    boundary = choose_boundary([(r.n, r.scanned / r["count"]) for r in scanned.collect()], percent)  # a row a set size
+    lists = lists.unionByName(_lists(sets, percent, boundary)) if boundary else lists
+    least_changed = F.max(F.struct((F.col("common") / F.col("n")).alias("share"), "fp", "n", "left")).alias("hub")
+    shared = lists.groupBy("signature", "light").agg(F.count("*").alias("members"), least_changed).filter("members > 1")
+    lists = stored(lists.join(shared, ["signature", "light"]), "lists")
 
     hubs = lists.filter(F.col("fp") != F.col("hub.fp")).filter(_fits("", "hub.", percent))
     near = hubs.groupBy("fp").agg(F.max("hub").alias("hub")).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b"))
     found = stored(_verified(near, sets, percent), "links-hub")
     labels = components(found)
 
-    labelled = stored(lists.join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "lists-labelled")
-    mixed = labelled.groupBy("signature", "light").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = labelled.join(mixed.select("signature", "light"), ["signature", "light"], "left_semi").join(sets.select("fp", "sketch"), "fp")
-    rest = rest.withColumn("blocks", F.ceil(F.col("members") / LIST_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = rest.select("signature", "light", "fp", "n", "common", "sketch", "component", "block", other)
-    spread = spread.select("signature", "light", "fp", "n", "common", "sketch", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    one, two = spread.alias("x"), spread.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "light", "i", "j")]
-    pairs = one.join(two, [*same, F.col("x.fp") < F.col("y.fp"), F.col("x.component") != F.col("y.component"), _fits("x.", "y.", percent), _room("x.", "y.", percent)])
-    pairs = pairs.filter(F.col("x.light") | (F.greatest("x.n", "y.n") > boundary))  # two small sets meet in their subsets
-    pairs = stored(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs-rest")
+    labelled = stored(lists.select("signature", "light", "fp", "n", "left", "members", F.col("hub.fp").alias("hub")).join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "lists-labelled")
+    main = F.max(F.when(F.col("fp") == F.col("hub"), F.col("component"))).alias("main")
+    mixed = labelled.groupBy("signature", "light").agg(F.min("component").alias("low"), F.max("component").alias("high"), main).filter("low <> high")
+    rest = labelled.join(mixed.select("signature", "light", "main"), ["signature", "light"]).withColumn("blocks", F.ceil(F.col("members") / LIST_BLOCK).cast("int"))
+    outside = rest.filter("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    one, two = outside.alias("x"), dealt.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("signature", "light", "block")]
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
+    # two small sets meet in their subsets only
+    apart = F.col("x.light") | (F.greatest("x.n", "y.n") > boundary)
+    pairs = one.join(two, [*same, F.col("x.component") != F.col("y.component"), once, apart, _fits("x.", "y.", percent)])
+    pairs = stored(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "pairs-rest")
     more = stored(_verified(pairs, sets, percent), "links-rest")
     if more.isEmpty():
         return labels
@@ -310,26 +370,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     of null ids only has null).  Repeated doc_ids are rows of their own.  An empty table gives no rows; other columns are
     not read.
 
-    Copies (equal sets) are one set from the start.  A set can only have a link if percent/100 of its shingles occur
-    in other sets; a count of all shingles, spread over shards by hash, finds those sets (a clash of the hash's shard and low bits can only let too many
-    through).  Only they are read again and joined.
+    Copies (equal sets) are one set from the start.  All shingles of the different sets are counted, spread over shards by
+    hash; the blocks that asked get back how common each of their shingles is.  A set can only have a link if percent/100 of its
+    shingles occur in other sets.  Only such sets are read again and joined, rarest shingles first.
     """
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-text_bytes // (6 * SHARD_KEYS)))
     spark = docs.sparkSession
-    shards = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(-(-text_bytes // (6 * SHARD_KEYS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shingled = stored(_shingled(docs, words, shards), "shingles")
-    rows = shingled.filter("shard IS NULL").select("doc_id", "n", "fp")
-    common = shingled.filter("shard IS NOT NULL").groupBy("shard").applyInArrow(_shared_counts, "block long, fps binary, common binary")
-    # a set that several tasks sent has the same count from each
-    common = common.groupBy("block").applyInArrow(_summed, "fp long, common long").groupBy("fp").agg(F.max("common").alias("common"))
-    sized = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    wanted = sized.join(common, "fp").filter(100 * F.col("common") >= percent * F.col("n")).select("fp", "doc_id", "common")
-    sets = stored(_sets(docs, wanted, words).dropDuplicates(["fp"]), "sets")
+    rows = shingled.filter("fps IS NULL").select("doc_id", "n", "fp", "block")
+    sized = rows.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("block").alias("first"), F.count("block").alias("blocks"))
+    repeated = rows.filter("block IS NOT NULL").join(sized.filter("blocks > 1").select("fp", "first"), "fp").filter("block <> first")
+    blocks = shingled.filter("fps IS NOT NULL").drop("doc_id", "n", "fp")
+    asking = blocks.join(repeated.groupBy("block").agg(F.collect_list("fp").alias("dropped")), "block", "left")  # sets of one block
+    answers = _asked(asking).groupBy("shard").applyInArrow(_answers, "block long, shard int, codes binary")
+    met = blocks.drop("keys").unionByName(answers, allowMissingColumns=True)
+    wanted = met.groupBy("block").applyInArrow(_candidates(percent), "fp long, common long, codes binary").dropDuplicates(["fp"])
+    wanted = stored(wanted.join(sized.select("fp", "doc_id"), "fp"), "wanted")
+    sets = stored(_sets(docs, wanted, words), "sets")
     labels = links_of_sets(sets, percent)
 
     named = sized.select("fp", "doc_id").join(labels.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select("fp", "component_id")
-    out = rows.join(by_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
+    return rows.join(by_set, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
