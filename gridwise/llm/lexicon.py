@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import mmap
 import os
 import struct
 import tempfile
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.llm.encoder import shared_encoder, token_table
+from gridwise.llm.encoder import byte_of_symbol, token_table, tokenizer_path
 from gridwise.shared import stored
 
 #: Words in the transducer at most (its compiled form then stays under a few MB, which is what is broadcast).
 MAX_WORDS = 32_768
-#: Longer words are not counted: they hardly repeat.
+#: Longer words are not counted, they hardly repeat; and not merged side by side with others.
 MAX_WORD_CHARS = 48
-#: Answers that a process keeps at hand; a full table starts again.
+#: Words that a task counts before it sends their counts on.
 TABLE_ENTRIES = 500_000
 #: Where byte-level BPE cuts a text before merging.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_SINGLE = [bytes((b,)) for b in range(256)]
 _RUN = regex.compile(r"[\s\x1c-\x1f]{2}")
 
 
@@ -84,7 +85,8 @@ def compile_transducer(entries: dict[str, list[int]]) -> bytes:
 
 
 class Transducer:
-    """A compiled transducer, memory-mapped from a file of this process that is unlinked at once."""
+    """A compiled transducer, memory-mapped from a file of this process that is unlinked at once; it reads many words side by
+    side, a byte of each a step."""
 
     def __init__(self, compiled: bytes):
         with tempfile.TemporaryFile() as f:
@@ -92,61 +94,167 @@ class Transducer:
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, n, *sizes = struct.unpack_from("<9I", self.map)
-        at, views = 36, []
-        for i, size in enumerate(sizes):
-            raw = memoryview(self.map)[at : at + size]
-            views.append(raw.cast("I") if i < 5 else at)
-            at += size
-        self.first, self.target, self.skip, self.starts, self.ids, self.labels, self.finals = views
+        ends = 36 + np.cumsum(sizes)
+        first, self.target, self.skip, self.starts, self.ids, labels, self.finals = (np.frombuffer(self.map, kind, count, end - size) for kind, count, end, size in zip(["<u4"] * 5 + ["u1"] * 2, [x // 4 for x in sizes[:5]] + sizes[5:], ends.tolist(), sizes, strict=True))
+        # transitions in the order of (state, byte): a step is one search
+        self.moves = np.repeat(np.arange(n, dtype=np.int64) << 8, np.diff(first.astype(np.int64))) | labels
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word in the lexicon, -1 for words that are not in it."""
+        if not len(self.moves):
+            return np.where([bool(self.finals[self.root]) and not w for w in words], 0, -1)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        live = np.flatnonzero(lengths > 0)
+        step = 0
+        while len(live):
+            key = state[live] << 8 | text[starts[live] + step]
+            at = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+            known = self.moves[at] == key
+            number[live[~known]] = -1
+            live, at = live[known], at[known]
+            state[live], step = self.target[at], step + 1
+            number[live] += self.skip[at]
+            live = live[lengths[live] > step]
+        return np.where((number >= 0) & (self.finals[state] > 0), number, -1)
 
     def __call__(self, word: str) -> list[int] | None:
         """The ids of a word, or None if it is not in the lexicon."""
-        state, number = self.root, 0
-        find, first, labels, single = self.map.find, self.first, self.labels, _SINGLE
-        for b in word.encode():
-            at = find(single[b], labels + first[state], labels + first[state + 1]) - labels
-            if at < 0:
-                return None
-            number += self.skip[at]
-            state = self.target[at]
-        return list(self.ids[self.starts[number] : self.starts[number + 1]]) if self.map[self.finals + state] else None
-
-
-class LexiconEncoder(dict):
-    """word -> its ids: from the transducer if it has the word, else by merging its bytes exactly, lowest rank first,
-    which the rank tables of `shared_encoder` do."""
+        number = int(self.numbers([word.encode()])[0])
+        return self.ids[self.starts[number] : self.starts[number + 1]].tolist() if number >= 0 else None
+
+
+class Merges:
+    """Exact byte-pair merging: of all neighbours in a word those of the lowest rank merge first, from the left, until none can.
+    Short words merge side by side, a pair of each a round; a long one with a heap over its pairs."""
+
+    def __init__(self, path: str | None = None):
+        with open(path or tokenizer_path(), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        symbols, vocabulary = byte_of_symbol(), model["vocab"]
+        self.byte_ids = np.zeros(256, np.int64)
+        for symbol, b in symbols.items():
+            self.byte_ids[b] = vocabulary[symbol]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.asarray([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.pairs, self.rank = key[order], order
+        self.merged = np.asarray([vocabulary[a + b] for a, b in pairs], np.int64)[order]
+        self.of_pair = {k: (r, m) for r, (k, m) in enumerate(zip(key.tolist(), (vocabulary[a + b] for a, b in pairs), strict=True))}
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        never = len(self.pairs)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(lengths > MAX_WORD_CHARS)
+        parts = [(np.asarray(self.of_long(words[i])), i) for i in long.tolist()]
+        done_ids, done_words = [x for x, _ in parts], [np.full(len(x), i) for x, i in parts]
+        word = np.repeat(np.arange(len(words)), np.where(lengths > MAX_WORD_CHARS, 0, lengths))
+        ids = self.byte_ids[np.frombuffer(b"".join(w for w in words if len(w) <= MAX_WORD_CHARS), np.uint8)]
+        while len(ids):
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, key), never - 1)
+            rank = np.full(len(ids), never)
+            rank[:-1] = np.where((self.pairs[at] == key) & (word[:-1] == word[1:]), self.rank[at], never)
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            best = np.minimum.reduceat(rank, starts)
+            least = np.repeat(best, sizes)
+            whole = least == never
+            done_ids.append(ids[whole])
+            done_words.append(word[whole])
+            chosen = np.flatnonzero((rank == least) & ~whole)
+            chosen = chosen[np.concatenate([[True], word[chosen[1:]] != word[chosen[:-1]]])] if len(chosen) else chosen
+            ids[chosen] = self.merged[at[chosen]]
+            whole[chosen + 1] = True  # the right one of the pair is gone
+            ids, word = ids[~whole], word[~whole]
+        owner = np.concatenate([np.zeros(0, np.int64), *done_words])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([np.zeros(0, np.int64), *done_ids])[order], np.bincount(owner, minlength=len(words))
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that the pattern may cut further."""
+        pieces = [[w] if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else PATTERN.findall(w) for w in words]
+        ids, lengths = self([p.encode() for p in chain.from_iterable(pieces)])
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])])
+
+    def of_long(self, word: bytes) -> list[int]:
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        pair = lambda i: self.of_pair.get(ids[i] << 32 | ids[after[i]]) if after[i] < len(ids) else None
+        heap = [(p[0], i, p[1]) for i in range(len(ids)) if (p := pair(i))]
+        heapify(heap)
+        while heap:
+            _, i, new = heappop(heap)
+            if ids[i] < 0 or (p := pair(i)) is None or p[1] != new:
+                continue  # one of the two has merged with another since
+            gone = after[i]
+            ids[i], ids[gone], after[i] = new, -1, after[gone]
+            if after[i] < len(ids):
+                before[after[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (p := pair(j)):
+                    heappush(heap, (p[0], j, p[1]))
+        return [x for x in ids if x >= 0]
+
+
+class LexiconEncoder:
+    """Ids of texts: each different word of a batch of texts is read by the transducer, and merged exactly if it is not in the
+    lexicon."""
 
     def __init__(self, compiled: bytes):
-        super().__init__()
-        self.lexicon, encoder = Transducer(compiled), shared_encoder()
-        self.known: dict[str, list[int]] = {}
-        self.merge = encoder.ordinary
-        self.added_ids = {a: encoder.library.token_to_id(a) for a in encoder.added}
+        self.lexicon, self.merges = Transducer(compiled), Merges()
+        with open(tokenizer_path(), encoding="utf-8") as f:
+            self.added_ids = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.added = regex.compile("(" + "|".join(map(regex.escape, self.added_ids)) + ")")
 
-    def __missing__(self, word: str) -> list[int]:
-        found = self.lexicon(word)
-        if found is not None:
-            self[word] = self.known[word] = found  # as many as the lexicon has words, at most
-            return found
-        found = self.merge(word)
-        if len(word) <= MAX_WORD_CHARS:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-                self.update(self.known)
-            self[word] = found
-        return found
-
-    def encode(self, text: str | None) -> list[int]:
+    def _words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        ids: list[int] = []
-        for i, part in enumerate(self.added.split(text) if any(a in text for a in self.added_ids) else (text,)):
-            if i % 2:
-                ids.append(self.added_ids[part])
-            else:
-                ids.extend(chain.from_iterable(map(self.__getitem__, words_of(part))))
-        return ids
+        if not any(a in text for a in self.added_ids):
+            return words_of(text)
+        parts = self.added.split(text)
+        return list(chain.from_iterable([_Added(part)] if i % 2 else words_of(part) for i, part in enumerate(parts)))
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        own = [self._words(t) for t in texts]
+        number: defaultdict = defaultdict(count().__next__)
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(own)), np.int64, sum(map(len, own)))
+        words = list(number)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        place = self.lexicon.numbers([b"\xff" if type(w) is _Added else w.encode() for w in words])  # no text holds byte FF
+        starts = self.lexicon.starts[np.maximum(place, 0)].astype(np.int64)
+        lengths = np.where(place >= 0, self.lexicon.starts[np.minimum(place + 1, len(self.lexicon.starts) - 1)] - starts, 0)
+        unseen = np.flatnonzero(place < 0)
+        added = {i: self.added_ids[str(words[i])] for i in unseen.tolist() if type(words[i]) is _Added}
+        ids, merged = self.merges.of_words(["" if i in added else words[i] for i in unseen.tolist()])
+        lengths[unseen] = merged
+        starts[unseen] = len(self.lexicon.ids) + np.cumsum(merged) - merged
+        ids = np.concatenate([self.lexicon.ids, ids, np.asarray(list(added.values()), np.int64)])
+        starts[list(added)], lengths[list(added)] = len(ids) - len(added) + np.arange(len(added)), 1
+        take = lengths[flat]
+        ends = np.cumsum(take)
+        out = ids[np.repeat(starts[flat] - (ends - take), take) + np.arange(ends[-1])]
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, own)])]
+        return out, np.diff(edges)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
+
+class _Added(str):
+    """The string of an added token; differs from the same characters as an ordinary word."""
+
+    def __eq__(self, other: object) -> bool:
+        return type(other) is _Added and str.__eq__(self, other)
+
+    def __hash__(self) -> int:
+        return hash((_Added, str.__hash__(self)))
 
 
 def words_of(text: str) -> list[str]:
@@ -188,8 +296,9 @@ def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
 
 
 def build_lexicon(docs: DataFrame, max_words: int = MAX_WORDS) -> bytes:
-    merge = shared_encoder().ordinary
-    return compile_transducer({w: merge(w) for w in frequent_words(docs, max_words)})
+    words = frequent_words(docs, max_words)
+    ids, lengths = Merges().of_words(words)
+    return compile_transducer({w: x.tolist() for w, x in zip(words, np.split(ids, np.cumsum(lengths)[:-1]), strict=False)})
 
 
 def encode_decode(docs: DataFrame, lexicon: bytes) -> DataFrame:
@@ -202,24 +311,39 @@ def encode_decode(docs: DataFrame, lexicon: bytes) -> DataFrame:
     compiled = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = shared_lexicon(compiled.value), token_table()
+        encoder, decoder = shared_lexicon(compiled.value), Decoder()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encoder.encode(t) for t in part.column(1).to_pylist()]
-                texts = [decode(x, table) for x in ids]
-                flat = np.fromiter(chain.from_iterable(ids), "<i4", sum(map(len, ids)))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, lengths = encoder.encode_all(part.column(1).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths.tolist()]), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoder(ids, lengths), pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+class Decoder:
+    """Texts of many id sequences at once: the bytes of all ids are taken from one table."""
+
+    def __init__(self):
+        table = token_table()
+        self.lengths = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
+    def __call__(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        take = self.lengths[ids]
+        ends = np.cumsum(take)
+        raw = self.bytes[np.repeat(self.starts[ids] - (ends - take), take) + np.arange(int(take.sum()))].tobytes()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [raw[a:b].decode("utf-8", errors="replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def decode(ids: list[int], table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=1)
 def shared_lexicon(compiled: bytes) -> LexiconEncoder:
-    """One for each worker process, so that its table of answers lives on between tasks."""
+    """One for each worker process, so that tasks share what it maps and builds."""
     return LexiconEncoder(compiled)
