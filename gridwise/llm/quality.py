@@ -22,7 +22,7 @@ _WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Words of a run in which distinct words are counted: over a whole text their share would fall with its length alone.
 RUN_WORDS = 1000
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_run_distinct_words", "n_stutters", "n_capitals", "n_shouts", "n_bars", "n_sentence_ends"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_run_distinct_words", "n_stutters", "n_capitals", "n_shouts", "n_bars", "n_sentence_ends", "n_plain_words"]
 
 
 def text_counts(text: str | None) -> tuple[int, ...]:
@@ -54,6 +54,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         text.count("!!"),
         words.count("|"),
         sum(w[-1] in ".!?" for w in words),
+        sum(map(str.isalpha, words)),
     )
 
 
@@ -78,70 +79,79 @@ def _bad_if(condition: Column) -> Column:
     return F.when(condition, -1).otherwise(0)
 
 
+def _vote(good: Column, bad: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
+
+
 def rules() -> dict[str, Column]:
-    """Name -> vote: 1 good, -1 bad, 0 abstains.  Most rules know one kind of damage and say nothing where they do
-    not see it; `prose` alone speaks for a text.  The thresholds are ratios that prose keeps to in any alphabet."""
-    prose = _share("n_run_distinct_words").between(0.25, 1) & _share("word_chars").between(3, 11) & (_share("n_sentence_ends") >= 0.02)
+    """Name -> vote: 1 good, -1 bad, 0 abstains.  Rules overlap on purpose: a kind of damage shows in several of them, and none
+    decides alone.  Most vote either way and abstain in between; `length`, `distinct_words`, `word_length` and `sentences` are
+    rough, and are often wrong about a text that nothing else objects to.  Thresholds are ratios, or hold for runs of a fixed length."""
+    symbols, chars, windows, lines = _share("n_symbols"), _share("word_chars"), _share("n_repeat_words"), _share("n_dup_lines")
+    distinct, ends, plain = _share("n_run_distinct_words"), _share("n_sentence_ends"), _share("n_plain_words")
+    prose = distinct.between(0.25, 1) & chars.between(3, 11) & (ends >= 0.02)
     return {
         "prose": F.when(prose & (F.col("n_words") >= 50), 1).otherwise(0),
-        "short": _bad_if(F.col("n_words") < 20),
-        "symbols": _bad_if(_share("n_symbols") >= 0.25),
-        "repeated_windows": _bad_if(_share("n_repeat_words") >= 0.4),
-        "repeated_lines": _bad_if(_share("n_dup_lines") >= 0.1),
-        "stutter": _bad_if(_share("n_stutters") >= 0.2),
-        "capitals": _bad_if(_share("n_capitals") >= 0.4),
-        "shouts": _bad_if(_share("n_shouts") >= 0.2),
-        "table_bars": _bad_if(_share("n_bars") >= 0.2),
-        "variety": _bad_if(_share("n_run_distinct_words") <= 0.15),
-        "word_length": _bad_if(~_share("word_chars").between(2, 16)),
-        "no_sentences": _bad_if(_share("n_sentence_ends") <= 0.003),
+        "length": _vote(F.col("n_words") >= 80, F.col("n_words") < 30),
+        "symbols": _vote(symbols <= 0.02, symbols >= 0.1),
+        "symbol_chars": _vote(_share("n_symbols", "word_chars") <= 0.002, _share("n_symbols", "word_chars") >= 0.04),
+        "plain_words": _vote(plain >= 0.7, plain <= 0.55),
+        "repeated_windows": _vote(windows <= 0.02, windows >= 0.2),
+        "repeated_lines": _vote(lines == 0, lines >= 0.02),
+        "stutter": _vote(_share("n_stutters") <= 0.02, _share("n_stutters") >= 0.1),
+        "capitals": _vote(_share("n_capitals") <= 0.02, _share("n_capitals") >= 0.2),
+        "shouts": _vote(F.col("n_shouts") == 0, _share("n_shouts") >= 0.02),
+        "table_bars": _vote(F.col("n_bars") == 0, _share("n_bars") >= 0.05),
+        "variety": _bad_if(distinct <= 0.15),
+        "distinct_words": _vote(distinct >= 0.65, distinct <= 0.5),
+        "word_length": _vote(chars.between(4, 7), ~chars.between(3.5, 7.5)),
+        "sentences": _vote(ends.between(0.04, 0.3), ends <= 0.03),
     }
 
 
 class RuleModel:
     """A hidden class (good or bad) behind the votes, fitted by expectation-maximisation.
 
-    How often a rule casts each vote on good and on bad documents is estimated; that ratio is what a vote weighs, and
-    with the class sizes it is the rule's accuracy.  An abstention weighs nothing: kinds of damage exclude each other,
-    so that a rule sees none says little about the others.  At the start all rules are alike and good documents
-    hardly ever trip one.  What votes alone cannot tell is given: the share of good documents, pseudo-documents of
-    the start, and that a bad document gets a good vote half as often at most; so the classes keep their meaning.
+    Estimated are the share of good documents and how often each rule votes bad, abstains and votes good on documents of
+    either class; a vote, or an abstention, weighs the logarithm of the ratio of its two chances, so a rule that is often
+    wrong weighs little.  No vote is a veto: the posterior adds them up.  All rules start alike, and pseudo-documents
+    of that start (a fiftieth of all, 20 at least) keep the classes' meaning on small tables.
     """
 
-    #: At the start, the chance of a bad vote and of a good vote, on bad and on good documents.
-    START = np.array([[0.3, 0.5], [0.01, 0.8]])
+    #: At the start, chances of a bad vote, an abstention and a good vote, on bad and on good documents; share of good ones.
+    START, SHARE = np.array([[0.3, 0.1, 0.6], [0.01, 0.09, 0.9]]), 0.8
 
-    def __init__(self, prior: float, chances: np.ndarray):
-        self.prior, self.chances = prior, chances  # chances[class, rule, 0 for a bad vote or 1 for a good one]
+    def __init__(self, share: float, chances: np.ndarray):
+        self.share, self.chances = share, chances  # chances[class, rule, vote + 1]
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, strength: float = 20.0, steps: int = 50) -> RuleModel:
+    def fit(cls, patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> RuleModel:
         """patterns: distinct vectors of votes; counts: how many documents have each."""
-        model = cls(prior, np.repeat(cls.START[:, None, :], patterns.shape[1], axis=1))
-        votes = np.stack([patterns == -1, patterns == 1], axis=2) if len(counts) else None
-        for _ in range(steps if len(counts) else 0):
+        model = cls(cls.SHARE, np.repeat(cls.START[:, None, :], patterns.shape[1], axis=1))
+        if not len(counts):
+            return model
+        votes = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+        pseudo = max(20.0, 0.02 * counts.sum())
+        for _ in range(steps):
             good = model.posterior(patterns)
             chances = np.empty_like(model.chances)
             for c, weight in ((0, counts * (1 - good)), (1, counts * good)):
-                chances[c] = (np.tensordot(weight, votes, 1) + strength * cls.START[c]) / (weight.sum() + strength)
-            chances[1, :, 0] = np.minimum(chances[1, :, 0], chances[0, :, 0])
-            chances[0, :, 1] = np.minimum(chances[0, :, 1], chances[1, :, 1] / 2)
-            model = cls(prior, chances)
+                chances[c] = (np.tensordot(weight, votes, 1) + pseudo * cls.START[c]) / (weight.sum() + pseudo)
+            model = cls((counts @ good + pseudo * cls.SHARE) / (counts.sum() + pseudo), chances)
         return model
 
     def weights(self) -> np.ndarray:
-        """Log odds of good that a bad and a good vote of each rule carry."""
+        """Log odds of good that a bad vote, an abstention and a good vote of each rule carry."""
         return np.log(self.chances[1] / self.chances[0])
 
     def accuracy(self) -> np.ndarray:
         """Chance that a bad and that a good vote of each rule is right."""
-        bad, good = (1 - self.prior) * self.chances[0], self.prior * self.chances[1]
-        return np.stack([bad[:, 0] / (bad + good)[:, 0], good[:, 1] / (bad + good)[:, 1]], axis=1)
+        bad, good = (1 - self.share) * self.chances[0], self.share * self.chances[1]
+        return np.stack([bad[:, 0] / (bad + good)[:, 0], good[:, 2] / (bad + good)[:, 2]], axis=1)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        w = self.weights()
-        odds = math.log(self.prior / (1 - self.prior)) + (patterns == -1) @ w[:, 0] + (patterns == 1) @ w[:, 1]
-        return 1 / (1 + np.exp(-odds))
+        odds = math.log(self.share / (1 - self.share)) + sum((patterns == v) @ self.weights()[:, v + 1] for v in (-1, 0, 1))
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def fit_rules(votes: DataFrame) -> RuleModel:
@@ -161,10 +171,9 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     votes = _stored_votes(docs)
     model = fit_rules(votes)
-    w = model.weights()
-    odds = F.lit(math.log(model.prior / (1 - model.prior)))
-    for r, weight in zip(rules(), w.tolist(), strict=True):
-        odds = odds + F.when(F.col(f"vote_{r}") == -1, weight[0]).when(F.col(f"vote_{r}") == 1, weight[1]).otherwise(0.0)
+    odds = F.lit(math.log(model.share / (1 - model.share)))
+    for r, weight in zip(rules(), model.weights().tolist(), strict=True):
+        odds = odds + F.when(F.col(f"vote_{r}") == -1, weight[0]).when(F.col(f"vote_{r}") == 1, weight[2]).otherwise(weight[1])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = votes.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

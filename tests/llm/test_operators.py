@@ -234,6 +234,39 @@ def test_rules_learn_without_labels():
     assert model.accuracy().shape == (6, 2)
 
 
+def test_no_vote_is_a_veto(spark):
+    """A text that one rough rule objects to is kept, one that no rule objects to and none speaks for is not."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(3, 8))) for _ in range(4000)]
+
+    def text(n, end=12, symbols=0.0, plain=1.0):
+        own = [r.choice(words) for _ in range(n)]
+        own = [w + ("." if i % end == end - 1 else "") + ("#" if r.random() < symbols else "") + ("1" if r.random() > plain else "") for i, w in enumerate(own)]
+        return " ".join(own)
+
+    texts = [text(r.randrange(100, 300)) for _ in range(400)]
+    texts += [text(r.randrange(60, 300), symbols=r.uniform(0.5, 1)) for _ in range(80)]
+    weak = [text(200, end=100) for _ in range(5)]  # few sentence ends, otherwise clean
+    grey = [" ".join(x for w in text(64, end=29, symbols=0.05, plain=0.62).split() for x in ((w, w) if r.random() < 0.05 else (w,))) + " X! Y! AB! CD!! x" for _ in range(5)]  # a little of everything
+    docs = spark.createDataFrame(list(enumerate(texts + weak + grey)), "doc_id long, text string")
+    got = {x.doc_id: x.asDict() for x in quality.quality(docs).collect()}
+    bad = lambda x: [k for k, v in x.items() if k.startswith("vote_") and v == -1]
+    assert all(bad(got[i]) and got[i]["kept"] for i in range(480, 485))
+    assert any(not bad(got[i]) and not got[i]["kept"] and not got[i]["base_failed"] for i in range(485, 490))
+    assert sum(got[i]["kept"] for i in range(400)) > 390 and sum(got[i]["kept"] for i in range(400, 480)) < 5
+    # the verdict is the posterior of a plain sum over all rules
+    names = [k for k in got[0] if k.startswith("vote_")]
+    votes = np.array([[x[k] for k in names] for x in got.values()])
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.RuleModel.fit(patterns, counts.astype(float))
+    for x, v in zip(got.values(), votes, strict=True):
+        good, ill = math.log(model.share), math.log(1 - model.share)
+        for k, vote in enumerate(v):
+            good, ill = good + math.log(model.chances[1, k, vote + 1]), ill + math.log(model.chances[0, k, vote + 1])
+        assert math.isclose(x["posterior"], 1 / (1 + math.exp(ill - good)), rel_tol=1e-6, abs_tol=1e-12)
+        assert x["kept"] == (not x["base_failed"] and x["posterior"] >= 0.5)
+
+
 def test_toxicity_learns_its_words(spark):
     r = random.Random(3)
     bad = ["idiot", "stupid", "réeuxpa", "réeuxon", "réeuxle"]
