@@ -1,10 +1,11 @@
-"""Toxicity by a weighted pattern grammar: words become classes, classes become scored clauses.
-
-A word transducer (a character trie whose entries may end in an open stem) turns each word of a clause into a class with
-a weight: insult, threat, target, negation, reported speech, or nothing.  A clause machine composed after it reads
-those classes from left to right and scores what it matched: an insult counts more beside a target, less after a
-negation or inside reported speech; a threat counts only with a target.  The insult entries come from a small fixed
-list and, with their weights, from the labels; a logistic model turns a document's clause scores into a probability.
+"""Toxicity by a weighted pattern grammar: transducers over words and over clauses, composed.
+
+A word transducer (a character trie whose entries may end in an open stem) turns each word of a clause into a symbol:
+insult or threat (with a weight), target, negation, reported speech, or any other word.  Three small transducers read those symbols:
+one marks what a negation reaches, one marks what stands in reported speech, one pairs insults and threats with a
+target before or after them.  Composed, they are one grammar whose best path through a clause says which patterns it matches and
+what they weigh.  Insult entries come from a small fixed list and, with their weights, from the labels; a logistic model over the
+matched patterns of a document's clauses, none of which may lower the score, turns them into a probability.
 """
 
 from __future__ import annotations
@@ -27,16 +28,17 @@ TARGETS = "you your yours they them he she him her this that these those du dich
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say told called claims claimed wrote quoted sagte sagt behauptet schrieb dit disait affirme écrit dijo dice afirma escribió".split()
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = "I", "H", "T", "N", "R"
+INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "I", "H", "T", "N", "R", "."
 #: Weight of a listed insult or threat; learned entries have their own.
 LISTED = 2.0
 #: A negation reaches so many words ahead.
 REACH = 3
-#: How much of an insult counts after a negation, in reported speech, and beside a target.
-NEGATED, REPORTED, TARGETED = 0.25, 0.5, 1.15
+#: Patterns that the grammar tells apart, and what each is worth when paths through a clause are compared; how much each adds to a
+#: document's score is learned.
+PATTERNS = {"bare": 1.0, "directed": 1.5, "threat": 1.5, "reported": 0.5, "negated": 0.25}
 #: Labelled rows that a fit looks at, at most; learned entries at most; letters of a stem.
 MAX_LABELLED, MAX_ENTRIES, STEM = 20_000, 4096, (3, 8)
-FEATURES = ["total", "highest", "rate", "matched", "distinct"]
+FEATURES = ["total", *PATTERNS, "highest", "clauses", "rate"]
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+")
 _CLAUSE_END = frozenset(".!?;:\n")
@@ -80,33 +82,100 @@ class WordTransducer(dict):
         return found
 
 
-def clause_score(symbols: list[tuple[int, str, str, float]]) -> tuple[float, int]:
-    """Score of one clause and how many matches it has, from its (position, word, class, weight) in order."""
-    negated_to, reported, targeted = -1, False, any(s[2] == TARGET for s in symbols)
-    score, matches = 0.0, 0
-    for at, _, kind, weight in symbols:
-        if kind == NEGATION:
-            negated_to = at + REACH
-        elif kind == REPORT:
-            reported = True
-        elif kind == INSULT or kind == THREAT and targeted:
-            score += weight * (NEGATED if at <= negated_to else 1) * (REPORTED if reported else 1) * (TARGETED if targeted else 1)
-            matches += 1
-    return score, matches
-
-
-def document_features(text: str | None, words: WordTransducer) -> tuple[float, ...]:
-    """The FEATURES of a whole text: sum, maximum and rate of its clause scores, matches, and different words matched."""
+class Machine:
+    """A finite-state transducer: moves[state, symbol] lists (next state, output); paths begin in any start and end in a final."""
+
+    def __init__(self, starts: set, finals: set, moves: dict[tuple, list[tuple]]):
+        self.starts, self.finals, self.moves = starts, finals, moves
+
+    def then(self, other: Machine) -> Machine:
+        """The composition: what this machine puts out, the other one reads."""
+        starts = {(a, b) for a in self.starts for b in other.starts}
+        moves: dict[tuple, list[tuple]] = {}
+        open_states, seen = list(starts), set(starts)
+        symbols = {x for _, x in self.moves}
+        while open_states:
+            a, b = state = open_states.pop()
+            for symbol in symbols:
+                to = [((x, y), out) for x, middle in self.moves.get((a, symbol), ()) for y, out in other.moves.get((b, middle), ())]
+                if to:
+                    moves[state, symbol] = to
+                new = {x for x, _ in to} - seen
+                seen |= new
+                open_states += new
+        return Machine(starts, {(a, b) for a, b in seen if a in self.finals and b in other.finals}, moves)
+
+
+def negation_machine() -> Machine:
+    """Marks insults and threats up to REACH words after a negation."""
+    moves = {}
+    for left in range(REACH + 1):
+        after = max(0, left - 1)
+        for symbol in (TARGET, REPORT, OTHER):
+            moves[left, symbol] = [(after, symbol)]
+        moves[left, NEGATION] = [(REACH, NEGATION)]
+        for harm in (INSULT, THREAT):
+            moves[left, harm] = [(after, harm + "-" if left else harm)]
+    return Machine({0}, set(range(REACH + 1)), moves)
+
+
+def report_machine() -> Machine:
+    """Marks insults and threats after a word of reported speech."""
+    harms = [h + m for h in (INSULT, THREAT) for m in ("", "-")]
+    moves = {(state, x): [(state, x)] for state in (0, 1) for x in (TARGET, NEGATION, OTHER)}
+    moves |= {(state, REPORT): [(1, REPORT)] for state in (0, 1)}
+    moves |= {(0, h): [(0, h)] for h in harms} | {(1, h): [(1, h + "r")] for h in harms}
+    return Machine({0}, {0, 1}, moves)
+
+
+def target_machine() -> Machine:
+    """Puts out the pattern of each insult and threat, by whether the clause has a target: a path that starts in `promised` counts on one
+    that is yet to come, and ends only if it came.  A threat without a target is none."""
+    harms = [h + m + r for h in (INSULT, THREAT) for m in ("", "-") for r in ("", "r")]
+    moves = {(state, x): [(state, None)] for state in ("none", "seen", "promised") for x in (NEGATION, REPORT, OTHER)}
+    moves |= {("none", TARGET): [("seen", None)], ("seen", TARGET): [("seen", None)], ("promised", TARGET): [("seen", None)]}
+    for h in harms:
+        marked = "negated" if "-" in h else "reported" if "r" in h else None
+        moves["none", h] = [("none", None if h[0] == THREAT else marked or "bare")]
+        for state in ("seen", "promised"):
+            moves[state, h] = [(state, marked or ("threat" if h[0] == THREAT else "directed"))]
+    return Machine({"none", "promised"}, {"none", "seen"}, moves)
+
+
+GRAMMAR = negation_machine().then(report_machine()).then(target_machine())
+
+
+def clause_patterns(symbols: list[tuple[int, str, float]], grammar: Machine = GRAMMAR) -> tuple[float, dict[str, float]]:
+    """Score of the best path through a clause and the weight that each pattern has on it; symbols: (position, symbol, weight) of
+    the words that are not OTHER, in order."""
+    paths: dict = {s: (0.0, ()) for s in grammar.starts}
+    before = -1
+    for at, symbol, weight in symbols:
+        for x in [OTHER] * min(at - before - 1, REACH) + [symbol]:  # further words change no state
+            step: dict = {}
+            for state, (score, matched) in paths.items():
+                for to, pattern in grammar.moves.get((state, x), ()):
+                    new = (score + weight * PATTERNS[pattern], (*matched, (pattern, weight))) if pattern else (score, matched)
+                    if to not in step or new[0] > step[to][0]:
+                        step[to] = new
+            paths = step
+        before = at
+    score, matched = max((paths[s] for s in paths if s in grammar.finals), key=lambda p: p[0])
+    by: dict[str, float] = {}
+    for pattern, weight in matched:
+        by[pattern] = by.get(pattern, 0.0) + weight
+    return score, by
+
+
+def document_features(text: str | None, words: WordTransducer, grammar: Machine = GRAMMAR) -> tuple[float, ...]:
+    """The FEATURES of a whole text: its clause scores together, the weight of each pattern, the highest clause score, clauses that match, and their rate."""
     if not text:
         return (0.0,) * len(FEATURES)
     tokens = _TOKEN.findall(text.lower())
     classes = list(map(words.__getitem__, tokens))
-    harmful = {i for i, c in enumerate(classes) if c and c[0] in (INSULT, THREAT)}
-    if not harmful:
-        return (0.0,) * len(FEATURES)
-    total, highest, matches = 0.0, 0.0, 0
-    done = -1
-    for i in sorted(harmful):  # only clauses with something to score are read in full
+    harmful = [i for i, c in enumerate(classes) if c and c[0] in (INSULT, THREAT)]
+    by, total, highest, clauses, done = dict.fromkeys(PATTERNS, 0.0), 0.0, 0.0, 0, -1
+    for i in harmful:  # only clauses with something to score are read in full
         if i <= done:
             continue
         a = b = i
@@ -115,10 +184,11 @@ def document_features(text: str | None, words: WordTransducer) -> tuple[float, .
         while b < len(tokens) and tokens[b][0] not in _CLAUSE_END:
             b += 1
         done = b
-        score, n = clause_score([(k - a, tokens[k], *classes[k]) for k in range(a, b) if classes[k]])
-        total, highest, matches = total + score, max(highest, score, key=abs), matches + n
-    distinct = len({tokens[i] for i in harmful})
-    return (math.copysign(math.log1p(abs(total)), total), highest, 50 * total / (len(tokens) + 50), math.log1p(matches), math.log1p(distinct))
+        score, matched = clause_patterns([(k - a, *classes[k]) for k in range(a, b) if classes[k]], grammar)
+        for pattern, weight in matched.items():
+            by[pattern] += weight
+        total, highest, clauses = total + score, max(highest, score), clauses + (score > 0)
+    return (math.log1p(total), *(math.log1p(x) for x in by.values()), highest, math.log1p(clauses), 50 * total / (len(tokens) + 50))
 
 
 def featured(docs: DataFrame, learned: list[tuple[str, float]]) -> DataFrame:
@@ -175,7 +245,17 @@ def learned_entries(labelled: DataFrame) -> list[tuple[str, float]]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Newton's method for a ridge-penalised logistic model; the last weight is the constant."""
+    """Newton's method for a ridge-penalised logistic model; the last weight is the constant.  No other weight is below 0: a
+    feature that would be is left out and the rest fitted again."""
+    w = _newton(x, y, penalty, steps)
+    if (low := np.flatnonzero(w[:-1] < 0)).size:
+        worst = low[np.argmin(w[low])]
+        rest = logistic(np.delete(x, worst, axis=1), y, penalty, steps)
+        return np.insert(rest, worst, 0.0)
+    return w
+
+
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-6])
     for _ in range(steps):
@@ -226,8 +306,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """text, toxic and fold of labelled documents that may be learned from: crc32 of doc_id as text, modulo 5, is not
     0 (it is their fold).  At most `max_labelled`, those with the smallest hashes of their id; so the ids that are
-    broadcast to find their texts are bounded too."""
+    broadcast to find their texts are bounded too.  A document with clashing labels is toxic."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    own = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]).filter(fold != 0)
+    own = labels.select("doc_id", "toxic").filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold != 0)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic", fold.alias("fold"))

@@ -297,6 +297,36 @@ def test_clauses_weigh_what_stands_around():
     assert total("réeuxpa") > 0 == total("réeux") == total("ré")
 
 
+def test_grammar_equals_a_plain_reading():
+    r = random.Random(6)
+    for _ in range(2000):
+        symbols = [r.choice(".....IIHTTNR") for _ in range(r.randrange(1, 14))]
+        weights = [r.choice([0.5, 1.0, 2.0]) if s in "IH" else 0.0 for s in symbols]
+        expected: dict = defaultdict(float)
+        for i, s in enumerate(symbols):
+            if s not in "IH":
+                continue
+            target = "T" in symbols
+            if "N" in symbols[max(0, i - toxicity.REACH) : i]:
+                kind = "negated"
+            elif "R" in symbols[:i]:
+                kind = "reported"
+            else:
+                kind = ("threat" if s == "H" else "directed") if target else "bare"
+            if s == "I" or target:
+                expected[kind] += weights[i]
+        score, got = toxicity.clause_patterns([(i, s, w) for i, (s, w) in enumerate(zip(symbols, weights, strict=True)) if s != "."])
+        assert got == dict(expected)
+        assert math.isclose(score, sum(toxicity.PATTERNS[k] * w for k, w in expected.items()), abs_tol=1e-12)
+
+
+def test_labels_that_clash(spark):
+    docs = spark.createDataFrame([(i, "a text") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, k) for i in range(50) for k in (0, 1)] + [(None, 1, 1), (3, 1, 7), (4, 1, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50)) and all(x.toxic == 1 for x in rows)
+
+
 def test_language_model(spark, rows, docs):
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     got = ngram_trie.score(docs, training).collect()
