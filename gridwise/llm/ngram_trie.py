@@ -1,14 +1,14 @@
 """Language-model scores from n-gram tries in Elias-Fano form, built and queried by shard.
 
-The corpus is cut into blocks of whole documents.  A block sends its distinct words to word shards and its distinct
-bigrams to context shards.  A context shard merges the counts of all blocks into a trie of two levels (contexts;
-their successors), smooths it by absolute discounting, quantises the probabilities, writes the levels
-compactly, maps them back into memory and answers every block from there.  The blocks, which kept their tokens, then sum up
-their documents.  So each task holds one block or one shard, the answers are as large as the questions, and everything gathered grows with the
-corpus.
-
-P(w | v) = max(c(v, w) - d, 0) / c(v) + d n(v) / c(v) * P(w), with n(v) different successors of v and
-P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a context never seen gives P(w).  Only training documents are counted.
+The corpus is cut into blocks of whole documents.  A block sends its distinct words to word shards and its distinct word
+triples, as trees under their middle word, to the shard of that word.  A shard merges the counts of all blocks into a trie, smooths
+it by absolute discounting, quantises the probabilities, writes the levels compactly, maps them back into memory and answers every
+block by searching them there.  The blocks, which kept their tokens, then sum up their documents.  So each task holds one block
+or one shard, the answers are as large as the questions, and everything gathered grows with the corpus.
+
+P(w | u v) = max(c(u, v, w) - d3, 0) / c(u, v) + d3 n(u, v) / c(u, v) * P(w | v), with n different followers of a context;
+P(w | v) likewise over P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).  A context never seen leaves the shorter one's chance.  Only
+training documents are counted.
 """
 
 from __future__ import annotations
@@ -31,9 +31,13 @@ from gridwise.shared import stored
 BLOCK_TOKENS, SHARD_ENTRIES, ADD = 1_000_000, 1_500_000, 0.1
 #: Steps of a quantised probability per factor of ten; code 0 means none, code 1 means one.
 STEPS = 4000
-#: Hash of the token that ends each text, and of the context before its first word.
-END, START = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: A context with more than this share of a shard's tokens is dealt out over shards by successor.
+#: Hash of the token that ends each text, of the context before its first word, and of what is before that.
+END, START, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Distinguishes the second name of a heavy word.
+HEAVY_ROOT = 0xE7037ED1A0B428DB
+#: Hash bits of a word before another, under that other: two words that agree in them count as one context there.
+PREDECESSOR_BITS = 24
+#: A word with more than this share of a shard's tokens is dealt out over shards.
 HEAVY = 0.25
 
 
@@ -45,6 +49,11 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31), kind)
 
 
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
+#: Where the k-th one of a byte is, from its lowest bit on.
+_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits as unary gaps in a bit vector; about two bits and the logarithm of the
     mean gap for each value."""
@@ -53,6 +62,9 @@ class EliasFano:
         self.n, self.low_bits, high_bytes = struct.unpack_from("<QQQ", raw)
         self.high = np.frombuffer(raw, np.uint8, high_bytes, 24)
         self.low = np.frombuffer(raw, np.uint8, (self.n * self.low_bits + 7) // 8 + 8, 24 + high_bytes)
+        self.words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))  # eight bytes from each byte on
+        counts = _ONES[self.high]
+        self.ones, self.zeros = np.cumsum(counts, dtype=np.int64), np.cumsum(8 - counts, dtype=np.int64)
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -82,14 +94,51 @@ class EliasFano:
             return np.zeros(len(at), np.uint64)
         bit = at.astype(np.int64) * self.low_bits
         byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        out = word >> shift
+        out = self.words[byte] >> shift
         if self.low_bits > 57:
-            out |= self.low[np.minimum(byte + 8, len(self.low) - 1)].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))) * (shift > 0)
+            further = np.where(shift > 0, self.low[np.minimum(byte + 8, len(self.low) - 1)], 0).astype(np.uint64)
+            out |= further << (np.uint64(64) - np.maximum(shift, np.uint64(1)))
         return out & np.uint64((1 << self.low_bits) - 1)
 
+    def _select(self, bits: np.ndarray, inverted: int) -> np.ndarray:
+        """Position of the k-th one (or zero, if inverted is 255) for each k of `bits`, from 0: the byte by a directory of counts, the bit
+        by a table; behind the last one, the end."""
+        directory = self.zeros if inverted else self.ones
+        byte = np.searchsorted(directory, bits, side="right")
+        inside = np.minimum(byte, len(self.high) - 1)
+        nth = bits - np.where(byte, directory[np.maximum(byte, 1) - 1], 0)
+        found = inside * 8 + _SELECT[self.high[inside] ^ np.uint8(inverted), np.minimum(nth, 7)]
+        return np.where(byte < len(self.high), found, 8 * len(self.high))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        high = self._select(places, 0) - places
+        return ((high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(places)).astype(np.int64)
+
+    def find(self, values: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value, -1 where it is not held (or not wanted): its high bits lead to a run of values, in which its
+        low bits are searched for."""
+        out = np.full(len(values), -1, np.int64)
+        ask = np.arange(len(values)) if wanted is None else np.flatnonzero(wanted)
+        if not self.n or not len(ask):
+            return out
+        v = values[ask].astype(np.uint64)
+        high, low = (v >> np.uint64(self.low_bits)).astype(np.int64), v & np.uint64((1 << self.low_bits) - 1)
+        left = np.where(high > 0, np.minimum(self._select(np.maximum(high - 1, 0), 255) - np.maximum(high - 1, 0), self.n), 0)
+        end = np.minimum(self._select(high, 255) - high, self.n)
+        right = end.copy()
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
+            middle = (left[open_] + right[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            left[open_[less]] = middle[less] + 1
+            right[open_[~less]] = middle[~less]
+            open_ = open_[left[open_] < right[open_]]
+        inside = left < end
+        hit = inside & (self._low(np.minimum(left, self.n - 1)) == low)
+        out[ask[hit]] = left[hit]
+        return out
+
     def values(self) -> np.ndarray:
         """All values, decoded at once."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -108,50 +157,71 @@ def probability(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** (-(code.astype(float) - 1) / STEPS), 0.0)
 
 
-class BigramTrie:
-    """Two levels: sorted context hashes with a monotone pointer to their successors and a quantised back-off weight;
-    successors (32 hash bits each, made monotone by adding the context's place) with quantised probabilities.  A context
-    also keeps its count here, by which the parts of a heavy context are put together."""
+class Trie:
+    """Three compact levels under each word: the words that follow it, the words before it, and for each word before it those that
+    follow the two.  The last are named by their place among all followers of the word (context-relative), so they are small
+    numbers.  Every level is one Elias-Fano sequence, in which a node's number is preceded by its parent's place; probabilities and
+    back-off weights lie beside them in 16 bits."""
+
+    LEVELS = ("roots", "pointers", "followers", "before", "triples")
 
     def __init__(self, raw: memoryview | bytes):
-        sizes = struct.unpack_from("<6Q", raw)
-        at, views = 48, []
+        sizes = struct.unpack_from("<9Q", raw)
+        at, views = 72, []
         for s in sizes:
             views.append(memoryview(raw)[at : at + s])
             at += s
-        self.contexts, self.pointers, self.successors = (EliasFano(v) for v in views[:3])
-        self.back_off, self.chance, self.count = np.frombuffer(views[3], "<u2"), np.frombuffer(views[4], "<u2"), np.frombuffer(views[5], "<u8")
-
-    @staticmethod
-    def encode(contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, back_off: np.ndarray, chance: np.ndarray, count: np.ndarray) -> bytes:
-        place = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers))
-        parts = [EliasFano.encode(contexts), EliasFano.encode(pointers), EliasFano.encode((place << np.uint64(32)) | successors), back_off.tobytes(), chance.tobytes(), count.astype("<u8").tobytes()]
-        return struct.pack("<6Q", *map(len, parts)) + b"".join(parts)
+        self.roots, self.pointers, self.followers, self.before, self.triples = (EliasFano(v) for v in views[:5])
+        self.chance2, self.back2, self.chance3, self.back3 = (np.frombuffer(v, "<u2") for v in views[5:])
 
     @classmethod
-    def mapped(cls, raw: bytes) -> BigramTrie:
+    def mapped(cls, raw: bytes) -> Trie:
         """The trie in a memory-mapped file of this process that is unlinked at once."""
         with tempfile.TemporaryFile() as f:
             f.write(raw)
             f.flush()
             return cls(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
 
-    def decoded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.contexts.values(), self.pointers.values().astype(np.int64), self.successors.values()
+    def query(self, q: _Nested) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes for each triple asked for: chance and back-off weight by one word of context, and by two.  A context
+        that was never seen has the weight one, a word never seen after it the chance none."""
+        root = self.roots.find(q.roots)
+        follower = self.followers.find(_child(root[q.of_follower], q.followers, 32), root[q.of_follower] >= 0)
+        before = self.before.find(_child(root[q.of_before], q.before, PREDECESSOR_BITS), root[q.of_before] >= 0)
+        own, mine = follower[q.follower], before[q.of_triple]
+        both = (own >= 0) & (mine >= 0)
+        first = self.pointers.at(np.maximum(root, 0))[q.of_before][q.of_triple] if len(root) and self.roots.n else np.zeros(len(own), np.int64)
+        triple = self.triples.find(_child(mine, (own - first).astype(np.uint64), 32), both)
+        some = lambda x, at, none: np.where(at >= 0, x[np.maximum(at, 0)], none).astype("<u2") if len(x) else np.full(len(at), none, "<u2")
+        return some(self.chance2, own, 0), some(self.back2, root[q.of_before][q.of_triple], 1), some(self.chance3, triple, 0), some(self.back3, mine, 1)
+
+
+def _child(parent: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
+    return (np.maximum(parent, 0).astype(np.uint64) << np.uint64(bits)) | own.astype(np.uint64)
 
-    def query(self, levels: tuple, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the back-off weights of the contexts and of the chances of their successors, `lengths` to a context, and the contexts' counts.
-        A successor is searched for among those of its context only: its place and hash form the next value."""
-        all_contexts, pointers, values = levels
-        at = np.minimum(np.searchsorted(all_contexts, contexts), max(0, len(all_contexts) - 1))
-        known = (all_contexts[at] == contexts) if len(all_contexts) else np.zeros(len(contexts), bool)
-        back = np.where(known, self.back_off[at] if len(all_contexts) else 0, 0).astype("<u2")
-        count = np.where(known, self.count[at] if len(all_contexts) else 0, 0).astype("<u8")
-        place, ok = np.repeat(at.astype(np.uint64), lengths), np.repeat(known, lengths)
-        target = (place << np.uint64(32)) | successors
-        i = np.minimum(np.searchsorted(values, target), max(0, len(values) - 1))
-        hit = ok & (values[i] == target) if len(values) else np.zeros(len(target), bool)
-        return back, np.where(hit, self.chance[i] if len(values) else 0, 0).astype("<u2"), count
+
+class _Nested:
+    """Triples as a tree: roots; for each root its followers and the words before it; for each of those the followers (by place) and
+    counts.  `of_...` name the parent of each entry."""
+
+    def __init__(self, roots, n_followers, followers, n_before, before, n_triples, follower, counts):
+        self.roots, self.followers, self.before, self.counts = roots, followers, before, counts
+        places = np.arange(len(roots))
+        self.of_follower, self.of_before = np.repeat(places, n_followers), np.repeat(places, n_before)
+        self.of_triple = np.repeat(np.arange(len(before)), n_triples)
+        starts = np.cumsum(n_followers) - n_followers
+        self.follower = starts[self.of_before[self.of_triple]] + follower
+
+    @classmethod
+    def unpack(cls, row: dict) -> _Nested:
+        kinds = {"roots": "<u8", "n_followers": "<u4", "followers": "<u4", "n_before": "<u4", "before": None, "n_triples": "<u4", "follower": "<u4", "counts": "<u4"}
+        return cls(*(_from_bytes(row[k], PREDECESSOR_BITS // 8) if kind is None else _unpack(row[k], kind).astype(np.uint64 if k in ("roots", "followers") else np.int64) for k, kind in kinds.items()))
+
+
+def _from_bytes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -204,169 +274,229 @@ def blocks_of(docs: DataFrame, training) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
 
-def _bigrams(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its context and itself, as places among `words` with START (one past the end) as context of first tokens."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = len(words)
-    return before, tokens.astype(np.int64)
-
-
 def _spread(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 class _Requests:
-    """What one block asks, in an order that asking and summing up both derive from the block: distinct bigrams by shard, context and
-    successor; heavy contexts ask every shard, all others one."""
+    """What one block asks, in an order that asking and summing up both derive from the block: its distinct triples (before, word,
+    follower), each at the shard of its word.  The triples of a heavy word are asked twice: by pairs, dealt out by follower,
+    for the chances after that word alone; and under a second name (HEAVY_ROOT), dealt out by the word before, for those after both."""
 
     def __init__(self, row: dict, shards: int, heavy: np.ndarray):
         self.lengths, self.training = _unpack(row["lengths"], "<i8"), _unpack(row["training"], np.uint8).astype(bool)
         self.words, tokens = _unpack(row["words"], "<u8"), _unpack(row["tokens"], "<u4")
-        self.before, self.tokens = _bigrams(self.words, tokens, self.lengths)
-        self.token_training = np.repeat(self.training, self.lengths)
         n = len(self.words)
-        hashes = np.append(self.words, np.uint64(START))
-        pair = self.before * n + self.tokens
-        pairs, self.of_token = np.unique(pair, return_inverse=True)
-        counts = np.bincount(self.of_token[self.token_training], minlength=len(pairs))
-        context, successor = pairs // n, pairs % n
-        is_heavy = np.isin(hashes, heavy)
-        shard = np.where(is_heavy[context], _spread(hashes[successor] << np.uint64(32) ^ hashes[successor], shards), _spread(hashes, shards)[context])
-        order = np.lexsort((successor, context, shard))
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
-        self.shard, self.context, self.counts = shard[order], context[order], counts[order]
-        self.successor_hash = (hashes[successor[order]] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        # contexts of each shard; a heavy context is in each
-        own = np.unique(self.shard * (n + 1) + self.context)
-        self.heavy_here = np.unique(self.before[is_heavy[self.before]])
-        more = (np.arange(shards)[:, None] * (n + 1) + self.heavy_here[None, :]).ravel()
-        self.asked = np.union1d(own, more)
-        self.asked_shard, self.asked_context = self.asked // (n + 1), self.asked % (n + 1)
-        self.asked_hash = hashes[self.asked_context]
-        self.asked_lengths = np.diff(np.append(np.searchsorted(self.shard * (n + 1) + self.context, self.asked), len(self.shard)))
-        self.word_counts = np.bincount(self.tokens[self.token_training], minlength=n)
-
-    def by_shard(self, shards: int) -> Iterator[tuple]:
-        a, b = np.searchsorted(self.asked_shard, np.arange(shards + 1)), np.searchsorted(self.shard, np.arange(shards + 1))
-        for s in range(shards):
-            if a[s + 1] > a[s]:
-                yield s, self.asked_hash[a[s] : a[s + 1]], self.asked_lengths[a[s] : a[s + 1]], self.successor_hash[b[s] : b[s + 1]], self.counts[b[s] : b[s + 1]]
+        hashes = np.concatenate([self.words, np.asarray([START, NONE], np.uint64)])
+        m = n + 2
+        first = np.cumsum(self.lengths) - self.lengths
+        self.tokens = tokens.astype(np.int64)
+        self.before = np.concatenate([[n], self.tokens[:-1]])
+        self.before[first] = n
+        further = np.concatenate([[n + 1], self.before[:-1]])
+        further[first] = n + 1
+        token_training = np.repeat(self.training, self.lengths)
+        self.is_heavy = np.isin(hashes, heavy)
+        hot = self.is_heavy[self.before]
+        both = ((self.before + m * hot) * m + further) * m + self.tokens
+        pair = (self.before[hot] * m + n + 1) * m + self.tokens[hot]
+        keys, at = np.unique(np.concatenate([both, pair]), return_inverse=True)
+        counts = np.bincount(at[np.concatenate([token_training, token_training[hot]])], minlength=len(keys))
+        root, rest = np.divmod(keys, m * m)
+        pred, succ = np.divmod(rest, m)
+        split, word = root >= m, root % m
+        where = np.where(split, _mix(_mix(hashes[pred]) + hashes[word]), np.where(self.is_heavy[word], _mix(hashes[succ]), hashes[word]))
+        self.shard = _spread(where, shards)
+        order = np.argsort(self.shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.by_two = place[at[: len(both)]]  # the triple that answers for a token by two words of context
+        self.by_one = self.by_two.copy()
+        self.by_one[hot] = place[at[len(both) :]]
+        self.word_counts = np.bincount(self.tokens[token_training], minlength=n)
+        self.hashes, self.order, self.m = hashes, order, m
+        self.root, self.pred, self.succ, self.counts, self.shard = root[order], pred[order], succ[order], counts[order], self.shard[order]
+
+    def by_shard(self, shards: int) -> Iterator[dict]:
+        """The nested triples of each shard that is asked."""
+        if not len(self.root):
+            return
+        new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
+        new_pred = new_root | np.concatenate([[True], self.pred[1:] != self.pred[:-1]])
+        group = np.cumsum(new_root) - 1
+        pairs, at = np.unique(group * self.m + self.succ, return_inverse=True)
+        first = np.searchsorted(pairs, np.arange(group[-1] + 2) * self.m)
+        follower = at - first[group]
+        roots, preds = np.flatnonzero(new_root), np.flatnonzero(new_pred)
+        root_hash = self.hashes[self.root[roots] % self.m] ^ np.where(self.root[roots] >= self.m, np.uint64(HEAVY_ROOT), np.uint64(0))
+        n_before, n_triples = np.bincount(group[preds]), np.diff(np.append(preds, len(self.root)))
+        edges = np.searchsorted(self.shard, np.arange(shards + 1))
+        r, p = np.searchsorted(roots, edges), np.searchsorted(preds, edges)
+        followers = (self.hashes[pairs % self.m] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        before = self.hashes[self.pred[preds]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : PREDECESSOR_BITS // 8]
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            own = slice(edges[s], edges[s + 1])
+            yield {
+                "shard": s, "roots": _pack(root_hash[r[s] : r[s + 1]].astype("<u8")), "n_followers": _pack(np.diff(first[r[s] : r[s + 1] + 1]).astype("<u4")),
+                "followers": _pack(followers[first[r[s]] : first[r[s + 1]]]), "n_before": _pack(n_before[r[s] : r[s + 1]].astype("<u4")), "before": before[p[s] : p[s + 1]].tobytes(),
+                "n_triples": _pack(n_triples[p[s] : p[s + 1]].astype("<u4")), "follower": _pack(follower[own].astype("<u4")), "counts": _pack(self.counts[own].astype("<u4")),
+            }
+
+
+#: What a block asks a shard: kind 0 for the counts of words (`roots`), kind 1 for chances of triples.
+ASKED = "kind int, shard int, block long, roots binary, n_followers binary, followers binary, n_before binary, before binary, n_triples binary, follower binary, counts binary"
 
 
 def _ask(blocks: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
-    """Questions of all blocks: (kind, shard, block, and packed arrays); kind 0 asks for words, kind 1 for bigrams."""
-    names = ["kind", "shard", "block", "hashes", "lengths", "successors", "counts"]
-    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 4
+    names = [f.split()[0] for f in ASKED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 r = _Requests(row, shards, heavy)
-                out = []
+                out = [x | {"kind": 1, "block": row["block"]} for x in r.by_shard(shards)]
                 edges = np.searchsorted(_spread(r.words, shards), np.arange(shards + 1))
-                for s in range(shards):
-                    if edges[s + 1] > edges[s]:
-                        part = slice(edges[s], edges[s + 1])
-                        out.append((0, s, row["block"], _pack(r.words[part]), b"", b"", _pack(r.word_counts[part].astype("<u4"))))
-                for s, hashes, lengths, successors, counts in r.by_shard(shards):
-                    out.append((1, s, row["block"], _pack(hashes.astype("<u8")), _pack(lengths.astype("<u4")), _pack(successors), _pack(counts.astype("<u4"))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
-
-    return blocks.mapInArrow(run, "kind int, shard int, block long, hashes binary, lengths binary, successors binary, counts binary")
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """One shard's answers to every block that asked; a row each, and the shard's sums on its first row."""
-    kind = table.column("kind")[0].as_py()
-    blocks = table.column("block").to_pylist()
-    hashes = [_unpack(x, "<u8") for x in table.column("hashes").to_pylist()]
-    counts = [_unpack(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-    if kind == 0:
-        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(words)).astype(np.int64)
-        edges = np.cumsum([0, *map(len, hashes)])
-        first = [_pack(total[at[a:b]].astype("<u4")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        second, third = [None] * len(blocks), [None] * len(blocks)
-        sums = (int((total > 0).sum()), int(total.sum()))
-    else:
-        lengths = [_unpack(x, "<u4").astype(np.int64) for x in table.column("lengths").to_pylist()]
-        successors = [_unpack(x, "<u4") for x in table.column("successors").to_pylist()]
-        trie = BigramTrie.mapped(build_trie(hashes, lengths, successors, counts))
-        levels = trie.decoded()
-        first, second, third = [], [], []
-        for h, n, s in zip(hashes, lengths, successors, strict=True):
-            back, chance, count = trie.query(levels, h, n, s.astype(np.uint64))
-            first.append(_pack(back))
-            second.append(_pack(chance))
-            third.append(_pack(count))
-        sums = (0, 0)
-    n = len(blocks)
-    return pa.table({
-        "kind": pa.array([kind] * n, pa.int32()), "shard": table.column("shard"), "block": pa.array(blocks, pa.int64()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()), "third": pa.array(third, pa.binary()),
-        "words": pa.array([sums[0]] + [0] * (n - 1), pa.int64()), "tokens": pa.array([sums[1]] + [0] * (n - 1), pa.int64()),
-    })
-
-
-def build_trie(hashes: list, lengths: list, successors: list, counts: list) -> bytes:
-    """Merges the blocks' bigram counts of a shard into a smoothed, quantised trie.  Only counted (training) bigrams
-    enter.  The discount is n1 / (n1 + 2 n2) of the shard's own counts of counts."""
-    c = np.concatenate(counts)
-    seen = c > 0
-    context = np.repeat(np.concatenate(hashes), np.concatenate(lengths))[seen]
-    successor, c = np.concatenate(successors)[seen].astype(np.uint64), c[seen]
-    contexts, place = np.unique(context, return_inverse=True)
-    key, inverse = np.unique((place.astype(np.uint64) << np.uint64(32)) | successor, return_inverse=True)
-    total = np.bincount(inverse, weights=c, minlength=len(key))
-    place = (key >> np.uint64(32)).astype(np.int64)
-    of_context = np.bincount(place, weights=total, minlength=len(contexts))
-    different = np.bincount(place, minlength=len(contexts))
-    n1, n2 = int((total == 1).sum()), int((total == 2).sum())
-    d = min(0.98, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-    pointers = np.concatenate([[0], np.cumsum(different)])
-    return BigramTrie.encode(contexts, pointers, key & np.uint64(0xFFFFFFFF), quantised(d * different / of_context), quantised((total - d) / of_context[place]), of_context)
-
-
-def _heavy_contexts(blocks: DataFrame, shards: int) -> np.ndarray:
-    """Words that hold more than HEAVY of a shard's share of all tokens, summed over the blocks where they hold half of that;
-    at most 2 * shards / HEAVY words a block and in the end, whatever the corpus.  START counts one for each document."""
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    part = slice(edges[s], edges[s + 1])
+                    out.append({"kind": 0, "shard": s, "block": row["block"], "roots": _pack(r.words[part]), "counts": _pack(r.word_counts[part].astype("<u4"))})
+                yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    return blocks.mapInArrow(run, ASKED)
+
+
+ANSWERED = "kind int, shard int, block long, first binary, second binary, words long, tokens long, hot array<long>, mass array<double>"
+
+
+def _answer(heavy: dict[int, int], discount: float | None = None):
+    """One shard's answers to every block that asked; a row each, and on its first row the shard's sums and what it frees of each heavy
+    word's mass.  heavy: hash -> how often training documents go on after that word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, n = table.column("kind")[0].as_py(), table.num_rows
+        words, tokens, hot, mass, first, second = 0, 0, [], [], [], []
+        if kind == 0:
+            hashes = [_unpack(x, "<u8") for x in table.column("roots").to_pylist()]
+            counts = [_unpack(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
+            known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
+            edges = np.cumsum([0, *map(len, hashes)])
+            first, second = [_pack(total[at[a:b]].astype("<u4")) for a, b in zip(edges[:-1], edges[1:], strict=True)], [None] * n
+            words, tokens = int((total > 0).sum()), int(total.sum())
+        else:
+            # one block's tree at a time: they come apart again when their triples have met
+            asked = [{c: table.column(c)[i].as_py() for c in table.column_names} for i in range(n)]
+            raw, hot, mass = build_trie((_Nested.unpack(x) for x in asked), heavy, discount)
+            trie = Trie.mapped(raw)
+            for x in asked:
+                chance2, back2, chance3, back3 = trie.query(_Nested.unpack(x))
+                first.append(_pack(np.concatenate([chance2, back2])))
+                second.append(_pack(np.concatenate([chance3, back3])))
+        rest = [0] * (n - 1)
+        return pa.table({
+            "kind": table.column("kind"), "shard": table.column("shard"), "block": table.column("block"), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()),
+            "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64()),
+            "hot": pa.array([hot, *[None] * (n - 1)], pa.list_(pa.int64())), "mass": pa.array([mass, *[None] * (n - 1)], pa.list_(pa.float64())),
+        })
+
+    return run
+
+
+def _discount(counts: np.ndarray) -> float:
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
+def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float | None = None) -> tuple[bytes, list[int], list[float]]:
+    """Merges the blocks' counts of a shard into a smoothed, quantised trie, and returns with it what the shard frees of heavy words.
+    Only counted (training) triples enter.  The discount of a level is n1 / (n1 + 2 n2) of the shard's own counts of counts, if
+    none is given.  A
+    heavy word is divided by its whole count, of which this shard sees a part."""
+    parts = []
+    for t in trees:
+        seen = t.counts > 0
+        root = t.of_before[t.of_triple[seen]]
+        parts.append((t.roots[root], t.before[t.of_triple[seen]], t.followers[t.follower[seen]], t.counts[seen]))
+    root, before, follower, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    roots, root = np.unique(root, return_inverse=True)
+    befores, before = np.unique(_child(root, before, PREDECESSOR_BITS), return_inverse=True)
+    followers, follower = np.unique(_child(root, follower, 32), return_inverse=True)
+    pointers = np.searchsorted(followers, np.arange(len(roots) + 1, dtype=np.uint64) << np.uint64(32))
+    triples, at = np.unique(_child(before, (follower - pointers[root]).astype(np.uint64), 32), return_inverse=True)
+    summed = lambda x, n: np.bincount(x, weights=c, minlength=n)
+    c1, c2, c3, of_before = summed(root, len(roots)), summed(follower, len(followers)), summed(at, len(triples)), summed(before, len(befores))
+    d2, d3 = (discount or _discount(x) for x in (c2, c3))
+    up2, up3 = (followers >> np.uint64(32)).astype(np.int64), (triples >> np.uint64(32)).astype(np.int64)
+    freed2, freed3 = d2 * np.diff(pointers), d3 * np.bincount(up3, minlength=len(befores))
+    hot = np.flatnonzero(np.isin(roots, np.asarray(list(heavy), np.uint64)))
+    names = roots[hot].tolist()
+    c1[hot] = [heavy[x] for x in names]
+    levels = (roots, pointers, followers, befores, triples)
+    codes = (quantised((c2 - d2) / c1[up2]), quantised(freed2 / c1), quantised((c3 - d3) / of_before[up3]), quantised(freed3 / of_before))
+    encoded = [*map(EliasFano.encode, levels), *(x.tobytes() for x in codes)]
+    return struct.pack("<9Q", *map(len, encoded)) + b"".join(encoded), roots[hot].view(np.int64).tolist(), (freed2[hot] / c1[hot]).tolist()
+
+
+def _heavy_words(blocks: DataFrame, shards: int) -> dict[int, int]:
+    """Words (hashes) that hold more than HEAVY of a shard's share of all tokens, and how often training documents go on after them.
+    Found in the blocks where they hold half of that; so at most 2 * shards / HEAVY words a block and in the end.  START counts
+    one for each document."""
     least = HEAVY / shards
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 words, tokens = _unpack(row["words"], "<u8"), _unpack(row["tokens"], "<u4")
                 counts = np.append(np.bincount(tokens, minlength=len(words)), len(_unpack(row["lengths"], "<i8")))
-                often = np.flatnonzero(counts >= max(2, least / 2 * len(tokens)))
-                values = np.append(words, np.uint64(START))[often].astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(values, 0)), pa.array(np.append(counts[often], 0)), pa.array(np.append(np.zeros(len(often), np.int64), len(tokens)))], names=["word", "n", "tokens"])
+                top = np.flatnonzero(counts >= max(2, least / 2 * len(tokens)))
+                values = np.append(words, np.uint64(START))[top].astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(values, 0)), pa.array(np.append(counts[top], 0)), pa.array(np.append(np.zeros(len(top), np.int64), len(tokens)))], names=["word", "n", "tokens"])
 
-    sums = blocks.select("words", "tokens", "lengths").mapInArrow(run, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    sums = blocks.select("words", "tokens", "lengths").mapInArrow(often, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     sums = stored(sums, "heavy")
     tokens = sums.agg(F.sum("tokens")).first()[0] or 0
-    rows = sums.filter(F.col("n") >= max(2, least * tokens)).select("word").collect()
-    return np.asarray(sorted(r[0] for r in rows), np.int64).view(np.uint64)
+    found = np.asarray(sorted(r[0] for r in sums.filter(F.col("n") >= max(2, least * tokens)).select("word").collect()), np.int64)
 
-
-def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, heavy: np.ndarray) -> pa.Table:
-    """Scores of a block's documents from its answers."""
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, tokens, lengths = _unpack(row["words"], "<u8").astype(np.uint64), _unpack(row["tokens"], "<u4"), _unpack(row["lengths"], "<i8")
+                training = np.repeat(_unpack(row["training"], np.uint8).astype(bool), lengths)
+                training[np.cumsum(lengths) - 1] = False  # nothing follows the end
+                counts = np.bincount(tokens[training], minlength=len(words))
+                hashes = np.append(words, np.uint64(START)).view(np.int64)
+                counts = np.append(counts, np.count_nonzero(_unpack(row["training"], np.uint8)))
+                mine = np.flatnonzero(np.isin(hashes, found))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[mine]), pa.array(counts[mine].astype(np.int64))], names=["word", "n"])
+
+    if not len(found):
+        return {}
+    rows = blocks.select("words", "tokens", "lengths", "training").mapInArrow(contexts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {int(np.int64(r.word).view(np.uint64)): r.n for r in rows}
+
+
+def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, mass: dict[int, float]) -> pa.Table:
+    """Scores of a block's documents from its answers; mass: what each heavy word leaves to words that never follow it."""
+    heavy = np.asarray(sorted(mass), np.uint64)
     r = _Requests(row, shards, heavy)
     answers = sorted(row["answers"], key=lambda a: (a["kind"], a["shard"]))
     c = np.concatenate([_unpack(a["first"], "<u4") for a in answers if a["kind"] == 0]).astype(float)
-    back = np.concatenate([_unpack(a["first"], "<u2") for a in answers if a["kind"] == 1])
-    chance = np.concatenate([_unpack(a["second"], "<u2") for a in answers if a["kind"] == 1])
-    unigram = (c + ADD) / (tokens_seen + ADD * (words_seen + 1))
-    counts = np.concatenate([_unpack(a["third"], "<u8") for a in answers if a["kind"] == 1]).astype(float)
-    n = len(r.words)
-    # a light context has one part, a heavy one a part in each shard: parts count by their share of the context
-    whole = np.bincount(r.asked_context, weights=counts, minlength=n + 1)
-    share = counts / np.maximum(whole[r.asked_context], 1)
-    weight = np.bincount(r.asked_context, weights=probability(back) * share, minlength=n + 1)
-    part = np.searchsorted(r.asked, r.shard * (n + 1) + r.context)
-    direct = (probability(chance) * share[part])[r.place[r.of_token]]
-    p = unigram[r.tokens]
-    smoothed = np.where(whole[r.before] > 0, direct + weight[r.before] * p, p)
+    two, three = ([_unpack(a[k], "<u2").reshape(2, -1) for a in answers if a["kind"] == 1] for k in ("first", "second"))
+    chance2, back2 = np.concatenate(two, axis=1)
+    chance3, back3 = np.concatenate(three, axis=1)
+    back2 = probability(back2)[r.by_one]
+    hot = r.is_heavy[r.before]
+    back2[hot] = np.asarray([mass[x] for x in heavy.tolist()])[np.searchsorted(heavy, r.hashes[r.before[hot]])] if len(heavy) else 1.0
+    p = (c + ADD)[r.tokens] / (tokens_seen + ADD * (words_seen + 1))
+    shorter = probability(chance2)[r.by_one] + back2 * p
+    smoothed = probability(chance3)[r.by_two] + probability(back3)[r.by_two] * shorter
     starts = np.cumsum(r.lengths) - r.lengths
     total = lambda x: np.add.reduceat(x, starts)
     ids = [i if k else None for i, k in zip(_unpack(row["doc_ids"], "<i8").tolist(), _unpack(row["known_ids"], np.uint8).tolist(), strict=True)]
@@ -376,28 +506,31 @@ def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, heavy: np
     })
 
 
-def score(docs: DataFrame, training) -> DataFrame:
+def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`; `training` is a boolean column over
     doc_id that says which rows are counted.
 
     Null and empty texts consist of the end token.  Null and repeated doc_ids are rows of their own, and repeated texts
-    count as often as they occur.  An empty table gives no rows; other columns are not read.
+    count as often as they occur.  An empty table gives no rows; other columns are not read.  Words are told apart by hash: 64
+    bits as such, 32 as followers of a word, PREDECESSOR_BITS as words before it.
     """
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (6 * SHARD_ENTRIES)))
     blocks = stored(blocks_of(docs, training), "lm-blocks")
-    heavy = _heavy_contexts(blocks, shards)
-    answer = "kind int, shard int, block long, first binary, second binary, third binary, words long, tokens long"
-    answers = stored(_ask(blocks, shards, heavy).groupBy("kind", "shard").applyInArrow(_answer, answer), "lm-answers")
+    heavy = _heavy_words(blocks, shards)
+    asked = _ask(blocks, shards, np.asarray(sorted(heavy), np.uint64))
+    answers = stored(asked.groupBy("kind", "shard").applyInArrow(_answer(heavy, discount), ANSWERED), "lm-answers")
     seen = answers.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     words_seen, tokens_seen = seen["words"] or 0, seen["tokens"] or 0
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "first", "second", "third")).alias("answers"))
+    freed = answers.filter("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "mass")).alias("x")).groupBy("x.hot").agg(F.sum("x.mass").alias("mass"))
+    mass = dict.fromkeys(heavy, 1.0) | {int(np.int64(r.hot).view(np.uint64)): r.mass for r in freed.collect()}  # a row a heavy word
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "first", "second")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield from _summed(row, words_seen, tokens_seen, shards, heavy).to_batches()
+                yield from _summed(row, words_seen, tokens_seen, shards, mass).to_batches()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.join(by_block.hint("shuffle_hash"), "block").mapInArrow(run, schema)

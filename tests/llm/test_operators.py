@@ -327,7 +327,7 @@ def test_labels_that_clash(spark):
     assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50)) and all(x.toxic == 1 for x in rows)
 
 
-def test_language_model(spark, rows, docs):
+def test_language_model(spark, rows, docs, monkeypatch):
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     got = ngram_trie.score(docs, training).collect()
     assert len(got) == len(rows)
@@ -337,22 +337,86 @@ def test_language_model(spark, rows, docs):
     n, v = sum(c.values()), len(c)
     expected = Counter((i, not in_training(i), len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), 6)) for i, own in tokens)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
-    assert all(r.score < 0 for r in got)
+    # one discount for all, so that a plain model can follow; its probabilities are not quantised
+    trained = [[b"<", *own] for i, own in tokens if in_training(i)]
+    pairs, triples = Counter(), Counter()
+    for own in trained:
+        pairs.update(zip(own, own[1:]))
+        triples.update(zip([b"-", *own], own, own[1:]))
+
+    def plain(own):
+        total, line = 0.0, [b"-", b"<", *own]
+        for u, v, w in zip(line, line[1:], line[2:]):
+            p = (c[w] + 0.1) / (n + 0.1 * (v_all + 1))
+            for table, context, key in ((pairs, (v,), (v, w)), (triples, (u, v), (u, v, w))):
+                same = followers[context]
+                if same:
+                    p = max(table[key] - 0.7, 0) / sum(same.values()) + 0.7 * len(same) / sum(same.values()) * p
+            total += math.log10(p)
+        return total
+
+    v_all, followers = v, defaultdict(Counter)
+    for (a, b), k in pairs.items():
+        followers[a,][b] = k
+    for (a, b, w), k in triples.items():
+        followers[a, b][w] = k
+    for heavy in (0.25, 1e-3):  # none or nearly all words dealt out over the shards
+        monkeypatch.setattr(ngram_trie, "HEAVY", heavy)
+        got = ngram_trie.score(docs, training, discount=0.7).collect()
+        expected = sorted(((("" if i is None else str(i)), len(own), plain(own)) for i, own in tokens), key=str)
+        mine = sorted(((("" if r.doc_id is None else str(r.doc_id)), r.n_tokens, r.score) for r in got), key=str)
+        for (i, k, a), (j, m, b) in zip(sorted(expected), sorted(mine), strict=True):
+            assert (i, k) == (j, m) and math.isclose(a, b, abs_tol=1e-3 * k, rel_tol=1e-3)
 
 
 def test_chances_of_a_context_sum_to_one():
     r = np.random.default_rng(1)
-    context = np.sort(r.integers(1, 40, 3000).astype(np.uint64) << np.uint64(40))
-    contexts, lengths = np.unique(context, return_counts=True)
-    successors = np.concatenate([np.sort(r.choice(4000, n, replace=False)) for n in lengths]).astype("<u4")
-    counts = r.integers(1, 6, len(successors))
-    trie = ngram_trie.BigramTrie.mapped(ngram_trie.build_trie([contexts], [lengths], [successors], [counts]))
-    back, chance, total = trie.query(trie.decoded(), contexts, lengths, successors.astype(np.uint64))
-    sums = np.add.reduceat(ngram_trie.probability(chance), np.cumsum(lengths) - lengths) + ngram_trie.probability(back)
-    assert np.abs(sums - 1).max() < 2e-3
-    assert total.sum() == counts.sum()
-    _, missed, _ = trie.query(trie.decoded(), contexts, np.ones(len(contexts), int), np.full(len(contexts), 5000, np.uint64))
-    assert (missed == 0).all()
+    n = 3000
+    line = np.column_stack([r.integers(0, 30, n), r.integers(0, 12, n), r.integers(0, 500, n)])
+    rows, counts = np.unique(line[np.lexsort(line.T[::-1])], axis=0, return_counts=True)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 0], rows[:, 1]))]  # by the middle word, the word before, the follower
+    key, counts = np.unique(rows[:, [1, 0, 2]], axis=0, return_counts=True)
+    counts = r.integers(1, 6, len(key))
+    roots, n_before, before, n_triples, followers, n_followers, follower = [], [], [], [], [], [], []
+    for root in np.unique(key[:, 0]):
+        own = key[key[:, 0] == root]
+        mine = np.unique(own[:, 2])
+        roots.append(root)
+        n_followers.append(len(mine))
+        followers += mine.tolist()
+        b, k = np.unique(own[:, 1], return_counts=True)
+        n_before.append(len(b))
+        before += b.tolist()
+        n_triples += k.tolist()
+        follower += np.searchsorted(mine, own[:, 2]).tolist()
+    u, i = (lambda x: np.asarray(x, np.uint64)), (lambda x: np.asarray(x, np.int64))
+    tree = ngram_trie._Nested(u(roots), i(n_followers), u(followers), i(n_before), u(before), i(n_triples), i(follower), counts)
+    raw, hot, mass = ngram_trie.build_trie(iter([tree]), {})
+    trie = ngram_trie.Trie.mapped(raw)
+    chance2, back2, chance3, back3 = map(ngram_trie.probability, trie.query(tree))
+    for c in range(len(before)):
+        at = np.flatnonzero(tree.of_triple == c)
+        assert abs(chance3[at].sum() + back3[at[0]] - 1) < 2e-3
+    for k in range(len(roots)):
+        at = np.flatnonzero(tree.of_before[tree.of_triple] == k)
+        own = {f: p for f, p in zip(tree.follower[at].tolist(), chance2[at].tolist(), strict=True)}
+        assert abs(sum(own.values()) + back2[at[0]] - 1) < 2e-3
+    missing = ngram_trie._Nested(u([*roots, 99]), i([1] * (len(roots) + 1)), u([7777] * (len(roots) + 1)), i([1] * (len(roots) + 1)), u([5] * (len(roots) + 1)), i([1] * (len(roots) + 1)), i([0] * (len(roots) + 1)), counts[: len(roots) + 1])
+    a, b, c, d = trie.query(missing)
+    assert (a == 0).all() and (c == 0).all() and b[-1] == d[-1] == 1
+    assert hot == [] and mass == []
+
+
+@pytest.mark.parametrize(("bits", "n"), [(3, 3000), (20, 3000), (40, 3000), (63, 3000), (63, 3), (63, 9), (62, 40)])
+def test_elias_fano_finds_what_it_holds(bits, n):
+    r = np.random.default_rng(bits)
+    v = np.unique(r.integers(0, 1 << bits, n, dtype=np.uint64))
+    e = ngram_trie.EliasFano(ngram_trie.EliasFano.encode(v))
+    asked = np.unique(np.concatenate([v, v + np.uint64(1), r.integers(0, 1 << bits, 2000, dtype=np.uint64)]))
+    where = {x: i for i, x in enumerate(v.tolist())}
+    assert e.find(asked).tolist() == [where.get(x, -1) for x in asked.tolist()]
+    assert e.at(np.arange(len(v))).tolist() == v.astype(np.int64).tolist()
+    assert e.find(asked, np.zeros(len(asked), bool)).max() == -1
 
 
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 2**63], list(range(0, 10**6, 7)), [2**64 - 1]])
