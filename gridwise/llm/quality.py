@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.llm.rows import own_columns, with_features
 from gridwise.shared import stored
 
 #: Counted as symbols.
@@ -71,8 +72,8 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _share(n: str, of: str = "n_words") -> Column:
-    return F.col(n) / F.greatest(F.col(of), F.lit(1))
+def _share(n: Column, of: Column) -> Column:
+    return n / F.greatest(of, F.lit(1))
 
 
 def _bad_if(condition: Column) -> Column:
@@ -83,25 +84,28 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
+def rules(at: str = "") -> dict[str, Column]:
     """Name -> vote: 1 good, -1 bad, 0 abstains.  Rules overlap on purpose: a kind of damage shows in several of them, and none
     decides alone.  Most vote either way and abstain in between; `length`, `distinct_words`, `word_length` and `sentences` are
-    rough, and are often wrong about a text that nothing else objects to.  Thresholds are ratios, or hold for runs of a fixed length."""
-    symbols, chars, windows, lines = _share("n_symbols"), _share("word_chars"), _share("n_repeat_words"), _share("n_dup_lines")
-    distinct, ends, plain = _share("n_run_distinct_words"), _share("n_sentence_ends"), _share("n_plain_words")
+    rough, and are often wrong about a text that nothing else objects to.  Thresholds are ratios, or hold for runs of a fixed length.  `at` comes
+    before the names of the counts."""
+    n = {c: F.col(at + c) for c in COUNTS}
+    share = lambda c: _share(n[c], n["n_words"])
+    symbols, chars, windows, lines = share("n_symbols"), share("word_chars"), share("n_repeat_words"), share("n_dup_lines")
+    distinct, ends, plain, of_chars = share("n_run_distinct_words"), share("n_sentence_ends"), share("n_plain_words"), _share(n["n_symbols"], n["word_chars"])
     prose = distinct.between(0.25, 1) & chars.between(3, 11) & (ends >= 0.02)
     return {
-        "prose": F.when(prose & (F.col("n_words") >= 50), 1).otherwise(0),
-        "length": _vote(F.col("n_words") >= 80, F.col("n_words") < 30),
+        "prose": F.when(prose & (n["n_words"] >= 50), 1).otherwise(0),
+        "length": _vote(n["n_words"] >= 80, n["n_words"] < 30),
         "symbols": _vote(symbols <= 0.02, symbols >= 0.1),
-        "symbol_chars": _vote(_share("n_symbols", "word_chars") <= 0.002, _share("n_symbols", "word_chars") >= 0.04),
+        "symbol_chars": _vote(of_chars <= 0.002, of_chars >= 0.04),
         "plain_words": _vote(plain >= 0.7, plain <= 0.55),
         "repeated_windows": _vote(windows <= 0.02, windows >= 0.2),
         "repeated_lines": _vote(lines == 0, lines >= 0.02),
-        "stutter": _vote(_share("n_stutters") <= 0.02, _share("n_stutters") >= 0.1),
-        "capitals": _vote(_share("n_capitals") <= 0.02, _share("n_capitals") >= 0.2),
-        "shouts": _vote(F.col("n_shouts") == 0, _share("n_shouts") >= 0.02),
-        "table_bars": _vote(F.col("n_bars") == 0, _share("n_bars") >= 0.05),
+        "stutter": _vote(share("n_stutters") <= 0.02, share("n_stutters") >= 0.1),
+        "capitals": _vote(share("n_capitals") <= 0.02, share("n_capitals") >= 0.2),
+        "shouts": _vote(n["n_shouts"] == 0, share("n_shouts") >= 0.02),
+        "table_bars": _vote(n["n_bars"] == 0, share("n_bars") >= 0.05),
         "variety": _bad_if(distinct <= 0.15),
         "distinct_words": _vote(distinct >= 0.65, distinct <= 0.5),
         "word_length": _vote(chars.between(4, 7), ~chars.between(3.5, 7.5)),
@@ -170,14 +174,29 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     are judged each for itself; an empty table gives no rows; other columns are not read.
     """
     votes = _stored_votes(docs)
-    model = fit_rules(votes)
-    odds = F.lit(math.log(model.share / (1 - model.share)))
-    for r, weight in zip(rules(), model.weights().tolist(), strict=True):
-        odds = odds + F.when(F.col(f"vote_{r}") == -1, weight[0]).when(F.col(f"vote_{r}") == 1, weight[2]).otherwise(weight[1])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = votes.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    posterior = _posterior(fit_rules(votes), {r: F.col(f"vote_{r}") for r in rules()})
+    out = votes.withColumn("base_failed", _failed()).withColumn("posterior", posterior)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs` that `quality` keeps, with their columns, whatever those are called.  The model is fitted first; then each row
+    is judged by its own text, so null and repeated doc_ids make no difference."""
+    model = fit_rules(_stored_votes(docs))
+    counts, name = with_features(docs, dict.fromkeys(COUNTS, "long"), lambda: text_counts)
+    return counts.filter(~_failed(f"{name}.") & (_posterior(model, rules(f"{name}.")) >= threshold)).select(*own_columns(docs))
+
+
+def _failed(at: str = "") -> Column:
+    return (F.col(f"{at}n_words") < 50) | (100 * F.col(f"{at}n_repeat_words") > 50 * F.col(f"{at}n_words"))
+
+
+def _posterior(model: RuleModel, votes: dict[str, Column]) -> Column:
+    odds = F.lit(math.log(model.share / (1 - model.share)))
+    for vote, weight in zip(votes.values(), model.weights().tolist(), strict=True):
+        odds = odds + F.when(vote == -1, weight[0]).when(vote == 1, weight[2]).otherwise(weight[1])
+    return 1 / (1 + F.exp(-odds))
+
+
 def _stored_votes(docs: DataFrame) -> DataFrame:
     return stored(counted(docs).withColumns({f"vote_{r}": vote.cast("int") for r, vote in rules().items()}), "quality-votes")

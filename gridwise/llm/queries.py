@@ -73,5 +73,30 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Words are cut at space and \x09 to \x0D and hold no space, so joined shingles stay apart.
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS shingle
+  FROM words
+), sizes AS (
+  SELECT words.doc_id, count(shingle) AS n FROM words LEFT JOIN shingles ON shingles.doc_id = words.doc_id GROUP BY words.doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+)
+SELECT sizes.doc_id, sizes.n AS n_shingles, least(sizes.doc_id, coalesce(min(reached.b), sizes.doc_id)) AS component_id
+FROM sizes LEFT JOIN reached ON reached.a = sizes.doc_id GROUP BY sizes.doc_id, sizes.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_shingle_join": OP10_SQL}

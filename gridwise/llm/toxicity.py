@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.llm.rows import own_columns, with_features
 from gridwise.shared import stored
 
 # Word lists of the grammar, in the four languages of the corpus.
@@ -295,14 +296,29 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Null and empty texts match nothing and get the score of that.  Every row is scored by itself, so copies get
     equal scores; an empty table gives no rows; extra columns pass through.
     """
-    w = model.weights.tolist()
-    z = F.lit(w[-1])
-    for name, weight in zip(FEATURES, w, strict=False):
-        z = z + F.col(name) * weight
-    out = featured(docs, model.entries).withColumn("score", 1 / (1 + F.exp(-z)))
+    out = featured(docs, model.entries).withColumn("score", _probability(model))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of `docs` with a score under a half, with their columns, whatever those are called.  Each row is judged by its own text."""
+    entries = model.entries
+
+    def reader():
+        words = WordTransducer(entries)
+        return lambda text: document_features(text, words)
+
+    rated, name = with_features(docs, dict.fromkeys(FEATURES, "double"), reader)
+    return rated.filter(_probability(model, f"{name}.") < 0.5).select(*own_columns(docs))
+
+
+def _probability(model: ToxicityModel, at: str = "") -> Column:
+    *weights, z = model.weights.tolist()
+    for name, weight in zip(FEATURES, weights, strict=True):
+        z = F.col(at + name) * weight + z
+    return 1 / (1 + F.exp(-z))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """text, toxic and fold of labelled documents that may be learned from: crc32 of doc_id as text, modulo 5, is not
     0 (it is their fold).  At most `max_labelled`, those with the smallest hashes of their id; so the ids that are
