@@ -37,16 +37,20 @@ END, START, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 HEAVY_ROOT = 0xE7037ED1A0B428DB
 #: Hash bits of a word before another, under that other: two words that agree in them count as one context there.
 PREDECESSOR_BITS = 24
-#: A word with more than this share of a shard's tokens is dealt out over shards.
-HEAVY = 0.25
+#: A word with more than so many times a shard's share of all tokens is dealt out over shards.
+HEAVY = 1.0
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed, byte plane by byte plane: the high bytes of most numbers here are alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31), kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
@@ -240,8 +244,8 @@ BLOCK = "block long, doc_ids binary, known_ids binary, lengths binary, training
 
 
 def blocks_of(docs: DataFrame, training) -> DataFrame:
-    """Blocks of whole documents: their ids, numbers of tokens and training flags; the distinct words (sorted hashes) and the
-    tokens as places among those.  `training`: a boolean column over doc_id."""
+    """Blocks of whole documents: their ids, numbers of tokens and training flags; the distinct words (hashes, the most frequent first)
+    and the tokens as places among those.  `training`: a boolean column over doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -251,7 +255,11 @@ def blocks_of(docs: DataFrame, training) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             lengths = np.asarray([len(h) for h in hashes], np.int64)
-            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            words, tokens, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words, tokens = words[order], place[tokens]
             known = np.asarray([i is not None for i in ids], np.uint8)
             row = [number, _pack(np.asarray([i or 0 for i in ids], "<i8")), _pack(known), _pack(lengths.astype("<i8")), _pack(np.asarray(flags, np.uint8)), _pack(words.astype("<u8")), _pack(tokens.astype("<u4"))]
             names = [f.split()[0] for f in BLOCK.split(", ")]
@@ -319,15 +327,13 @@ class _Requests:
         self.by_two = place[at[: len(both)]]  # the triple that answers for a token by two words of context
         self.by_one = self.by_two.copy()
         self.by_one[hot] = place[at[len(both) :]]
-        self.word_counts = np.bincount(self.tokens[token_training], minlength=n)
-        self.hashes, self.order, self.m = hashes, order, m
+        self.hashes, self.m = hashes, m
         self.root, self.pred, self.succ, self.counts, self.shard = root[order], pred[order], succ[order], counts[order], self.shard[order]
+        self.new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
 
     def by_shard(self, shards: int) -> Iterator[dict]:
         """The nested triples of each shard that is asked."""
-        if not len(self.root):
-            return
-        new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
+        new_root = self.new_root
         new_pred = new_root | np.concatenate([[True], self.pred[1:] != self.pred[:-1]])
         group = np.cumsum(new_root) - 1
         pairs, at = np.unique(group * self.m + self.succ, return_inverse=True)
@@ -349,30 +355,26 @@ class _Requests:
             }
 
 
-#: What a block asks a shard: kind 0 for the counts of words (`roots`), kind 1 for chances of triples.
-ASKED = "kind int, shard int, block long, roots binary, n_followers binary, followers binary, n_before binary, before binary, n_triples binary, follower binary, counts binary"
+#: What a block asks a shard.
+ASKED = "shard int, block long, roots binary, n_followers binary, followers binary, n_before binary, before binary, n_triples binary, follower binary, counts binary"
 
 
 def _ask(blocks: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
     names = [f.split()[0] for f in ASKED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 8
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 r = _Requests(row, shards, heavy)
-                out = [x | {"kind": 1, "block": row["block"]} for x in r.by_shard(shards)]
-                edges = np.searchsorted(_spread(r.words, shards), np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(edges)).tolist():
-                    part = slice(edges[s], edges[s + 1])
-                    out.append({"kind": 0, "shard": s, "block": row["block"], "roots": _pack(r.words[part]), "counts": _pack(r.word_counts[part].astype("<u4"))})
+                out = [x | {"block": row["block"]} for x in r.by_shard(shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     return blocks.mapInArrow(run, ASKED)
 
 
-ANSWERED = "kind int, shard int, block long, first binary, second binary, words long, tokens long, hot array<long>, mass array<double>"
+ANSWERED = "shard int, block long, counts binary, first binary, second binary, words long, tokens long, hot array<long>, mass array<double>"
 
 
 def _answer(heavy: dict[int, int], discount: float | None = None):
@@ -380,28 +382,24 @@ def _answer(heavy: dict[int, int], discount: float | None = None):
     word's mass.  heavy: hash -> how often training documents go on after that word."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, n = table.column("kind")[0].as_py(), table.num_rows
-        words, tokens, hot, mass, first, second = 0, 0, [], [], [], []
-        if kind == 0:
-            hashes = [_unpack(x, "<u8") for x in table.column("roots").to_pylist()]
-            counts = [_unpack(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-            known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(known)).astype(np.int64)
-            edges = np.cumsum([0, *map(len, hashes)])
-            first, second = [_pack(total[at[a:b]].astype("<u4")) for a, b in zip(edges[:-1], edges[1:], strict=True)], [None] * n
-            words, tokens = int((total > 0).sum()), int(total.sum())
-        else:
-            # one block's tree at a time: they come apart again when their triples have met
-            asked = [{c: table.column(c)[i].as_py() for c in table.column_names} for i in range(n)]
-            raw, hot, mass = build_trie((_Nested.unpack(x) for x in asked), heavy, discount)
-            trie = Trie.mapped(raw)
-            for x in asked:
-                chance2, back2, chance3, back3 = trie.query(_Nested.unpack(x))
-                first.append(_pack(np.concatenate([chance2, back2])))
-                second.append(_pack(np.concatenate([chance3, back3])))
+        n, counts, first, second = table.num_rows, [], [], []
+        # one block's tree at a time: they come apart again when their triples have met
+        asked = [{c: table.column(c)[i].as_py() for c in table.column_names} for i in range(n)]
+        raw, hot, mass, roots, seen = build_trie((_Nested.unpack(x) for x in asked), heavy, discount)
+        trie = Trie.mapped(raw)
+        for x in asked:
+            q = _Nested.unpack(x)
+            chance2, back2, chance3, back3 = trie.query(q)
+            at = trie.roots.find(q.roots)
+            counts.append(_pack(np.where(at >= 0, seen[np.maximum(at, 0)], 0).astype("<u8") if len(seen) else np.zeros(len(at), "<u8")))
+            first.append(_pack(np.concatenate([chance2, back2])))
+            second.append(_pack(np.concatenate([chance3, back3])))
+        # a word goes on as often as it occurs, so roots count words, and the start counts the ends; heavy words are counted already
+        light = ~np.isin(roots, np.asarray([*heavy, *(x ^ HEAVY_ROOT for x in heavy)], np.uint64))
+        words, tokens = int(light.sum()), int(seen[light].sum())
         rest = [0] * (n - 1)
         return pa.table({
-            "kind": table.column("kind"), "shard": table.column("shard"), "block": table.column("block"), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()),
+            "shard": table.column("shard"), "block": table.column("block"), "counts": pa.array(counts, pa.binary()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()),
             "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64()),
             "hot": pa.array([hot, *[None] * (n - 1)], pa.list_(pa.int64())), "mass": pa.array([mass, *[None] * (n - 1)], pa.list_(pa.float64())),
         })
@@ -414,8 +412,9 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float | None = None) -> tuple[bytes, list[int], list[float]]:
-    """Merges the blocks' counts of a shard into a smoothed, quantised trie, and returns with it what the shard frees of heavy words.
+def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float | None = None) -> tuple[bytes, list[int], list[float], np.ndarray, np.ndarray]:
+    """Merges the blocks' counts of a shard into a smoothed, quantised trie, and returns with it what the shard frees of heavy words, and the
+    roots and their counts here.
     Only counted (training) triples enter.  The discount of a level is n1 / (n1 + 2 n2) of the shard's own counts of counts, if
     none is given.  A
     heavy word is divided by its whole count, of which this shard sees a part."""
@@ -436,16 +435,16 @@ def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float
     up2, up3 = (followers >> np.uint64(32)).astype(np.int64), (triples >> np.uint64(32)).astype(np.int64)
     freed2, freed3 = d2 * np.diff(pointers), d3 * np.bincount(up3, minlength=len(befores))
     hot = np.flatnonzero(np.isin(roots, np.asarray(list(heavy), np.uint64)))
-    names = roots[hot].tolist()
-    c1[hot] = [heavy[x] for x in names]
+    seen = c1.astype(np.int64)
+    c1[hot] = [heavy[x] for x in roots[hot].tolist()]
     levels = (roots, pointers, followers, befores, triples)
     codes = (quantised((c2 - d2) / c1[up2]), quantised(freed2 / c1), quantised((c3 - d3) / of_before[up3]), quantised(freed3 / of_before))
     encoded = [*map(EliasFano.encode, levels), *(x.tobytes() for x in codes)]
-    return struct.pack("<9Q", *map(len, encoded)) + b"".join(encoded), roots[hot].view(np.int64).tolist(), (freed2[hot] / c1[hot]).tolist()
+    return struct.pack("<9Q", *map(len, encoded)) + b"".join(encoded), roots[hot].view(np.int64).tolist(), (freed2[hot] / c1[hot]).tolist(), roots, seen
 
 
 def _heavy_words(blocks: DataFrame, shards: int) -> dict[int, int]:
-    """Words (hashes) that hold more than HEAVY of a shard's share of all tokens, and how often training documents go on after them.
+    """Words (hashes) that hold more than HEAVY times a shard's share of all tokens, and how often training documents go on after them.
     Found in the blocks where they hold half of that; so at most 2 * shards / HEAVY words a block and in the end.  START counts
     one for each document."""
     least = HEAVY / shards
@@ -482,13 +481,20 @@ def _heavy_words(blocks: DataFrame, shards: int) -> dict[int, int]:
     return {int(np.int64(r.word).view(np.uint64)): r.n for r in rows}
 
 
-def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, mass: dict[int, float]) -> pa.Table:
-    """Scores of a block's documents from its answers; mass: what each heavy word leaves to words that never follow it."""
+def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, totals: dict[int, int], mass: dict[int, float]) -> pa.Table:
+    """Scores of a block's documents from its answers; of each heavy word, totals: how often it occurs, mass: what it leaves to words
+    that never follow it."""
     heavy = np.asarray(sorted(mass), np.uint64)
     r = _Requests(row, shards, heavy)
-    answers = sorted(row["answers"], key=lambda a: (a["kind"], a["shard"]))
-    c = np.concatenate([_unpack(a["first"], "<u4") for a in answers if a["kind"] == 0]).astype(float)
-    two, three = ([_unpack(a[k], "<u2").reshape(2, -1) for a in answers if a["kind"] == 1] for k in ("first", "second"))
+    answers = sorted(row["answers"], key=lambda a: a["shard"])
+    n = len(r.words)
+    whole = np.zeros(r.m)  # the last two are the start, which counts ends, and nothing
+    own = r.root[r.new_root]
+    first_name = own < r.m
+    whole[own[first_name]] = np.concatenate([_unpack(a["counts"], "<u8") for a in answers])[first_name]
+    whole[r.is_heavy] = [totals[x] for x in r.hashes[r.is_heavy].tolist()]
+    c = np.where(r.words == np.uint64(END), whole[n], whole[:n])
+    two, three = ([_unpack(a[k], "<u2").reshape(2, -1) for a in answers] for k in ("first", "second"))
     chance2, back2 = np.concatenate(two, axis=1)
     chance3, back3 = np.concatenate(three, axis=1)
     back2 = probability(back2)[r.by_one]
@@ -519,18 +525,19 @@ def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame
     blocks = stored(blocks_of(docs, training), "lm-blocks")
     heavy = _heavy_words(blocks, shards)
     asked = _ask(blocks, shards, np.asarray(sorted(heavy), np.uint64))
-    answers = stored(asked.groupBy("kind", "shard").applyInArrow(_answer(heavy, discount), ANSWERED), "lm-answers")
+    answers = stored(asked.groupBy("shard").applyInArrow(_answer(heavy, discount), ANSWERED), "lm-answers")
     seen = answers.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
-    words_seen, tokens_seen = seen["words"] or 0, seen["tokens"] or 0
+    words_seen = (seen["words"] or 0) + sum(n > 0 for n in heavy.values())
+    tokens_seen = (seen["tokens"] or 0) + sum(heavy.values())
     freed = answers.filter("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "mass")).alias("x")).groupBy("x.hot").agg(F.sum("x.mass").alias("mass"))
     mass = dict.fromkeys(heavy, 1.0) | {int(np.int64(r.hot).view(np.uint64)): r.mass for r in freed.collect()}  # a row a heavy word
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "first", "second")).alias("answers"))
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "first", "second")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield from _summed(row, words_seen, tokens_seen, shards, mass).to_batches()
+                yield from _summed(row, words_seen, tokens_seen, shards, heavy, mass).to_batches()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.join(by_block.hint("shuffle_hash"), "block").mapInArrow(run, schema)

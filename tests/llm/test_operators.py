@@ -391,7 +391,7 @@ def test_chances_of_a_context_sum_to_one():
         follower += np.searchsorted(mine, own[:, 2]).tolist()
     u, i = (lambda x: np.asarray(x, np.uint64)), (lambda x: np.asarray(x, np.int64))
     tree = ngram_trie._Nested(u(roots), i(n_followers), u(followers), i(n_before), u(before), i(n_triples), i(follower), counts)
-    raw, hot, mass = ngram_trie.build_trie(iter([tree]), {})
+    raw, hot, mass, *_ = ngram_trie.build_trie(iter([tree]), {})
     trie = ngram_trie.Trie.mapped(raw)
     chance2, back2, chance3, back3 = map(ngram_trie.probability, trie.query(tree))
     for c in range(len(before)):
