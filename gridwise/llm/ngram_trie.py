@@ -16,6 +16,7 @@ from __future__ import annotations
 import mmap
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwise.shared import stored
+from gridwise.shared import shared_folder, stored
 
 #: Tokens of a block, about; entries of one shard, about; added to each count of a word.
 BLOCK_TOKENS, SHARD_ENTRIES, ADD = 1_000_000, 1_500_000, 0.1
@@ -512,6 +513,16 @@ def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, totals: d
     })
 
 
+def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """The rows of `df`, written once to the shared folder in buckets of `key`: what is joined to them later by that key moves to
+    them, and they stay where they are."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`; `training` is a boolean column over
     doc_id that says which rows are counted.
@@ -522,7 +533,7 @@ def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame
     """
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // (6 * SHARD_ENTRIES)))
-    blocks = stored(blocks_of(docs, training), "lm-blocks")
+    blocks = _bucketed(blocks_of(docs, training), "block", "lm_blocks")
     heavy = _heavy_words(blocks, shards)
     asked = _ask(blocks, shards, np.asarray(sorted(heavy), np.uint64))
     answers = stored(asked.groupBy("shard").applyInArrow(_answer(heavy, discount), ANSWERED), "lm-answers")
