@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: A table is sent whole to every task only if it is at most so large; beyond that it is joined.
 BROADCAST_BYTES = 64 << 20
+#: Removes the shuffle files of an execution when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of `df`, written once to the shared folder: later reads need no executor that made them."""
+    """The rows of `df`, written once to the shared folder: later reads need no executor that made them.  The shuffle files of the
+    write go with its end, since nothing reads them again, so steps do not add up on the disks."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
