@@ -188,8 +188,14 @@ class Trie:
             return cls(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
 
     def query(self, q: _Nested) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes for each triple asked for: chance and back-off weight by one word of context, and by two.  A context
-        that was never seen has the weight one, a word never seen after it the chance none."""
+        """The codes of `nodes` for each triple asked for."""
+        chance2, back2, chance3, back3 = self.nodes(q)
+        return chance2[q.follower], back2[q.of_before[q.of_triple]], chance3, back3[q.of_triple]
+
+    def nodes(self, q: _Nested) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the nodes asked for: chance of each follower and back-off weight of each root, by one word of context; chance of
+        each triple and weight of each word before, by two.  A context that was never seen has the weight one, a word never seen
+        after it the chance none."""
         root = self.roots.find(q.roots)
         follower = self.followers.find(_child(root[q.of_follower], q.followers, 32), root[q.of_follower] >= 0)
         before = self.before.find(_child(root[q.of_before], q.before, PREDECESSOR_BITS), root[q.of_before] >= 0)
@@ -198,7 +204,7 @@ class Trie:
         first = self.pointers.at(np.maximum(root, 0))[q.of_before][q.of_triple] if len(root) and self.roots.n else np.zeros(len(own), np.int64)
         triple = self.triples.find(_child(mine, (own - first).astype(np.uint64), 32), both)
         some = lambda x, at, none: np.where(at >= 0, x[np.maximum(at, 0)], none).astype("<u2") if len(x) else np.full(len(at), none, "<u2")
-        return some(self.chance2, own, 0), some(self.back2, root[q.of_before][q.of_triple], 1), some(self.chance3, triple, 0), some(self.back3, mine, 1)
+        return some(self.chance2, follower, 0), some(self.back2, root, 1), some(self.chance3, triple, 0), some(self.back3, before, 1)
 
 
 def _child(parent: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
@@ -331,16 +337,17 @@ class _Requests:
         self.hashes, self.m = hashes, m
         self.root, self.pred, self.succ, self.counts, self.shard = root[order], pred[order], succ[order], counts[order], self.shard[order]
         self.new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
+        self.new_pred = self.new_root | np.concatenate([[True], self.pred[1:] != self.pred[:-1]])
+        # of each triple, the places of its root, of its word before and of its follower among those of all shards
+        self.of_root, self.of_pred = np.cumsum(self.new_root) - 1, np.cumsum(self.new_pred) - 1
+        self.pairs, self.of_pair = np.unique(self.of_root * m + self.succ, return_inverse=True)
 
     def by_shard(self, shards: int) -> Iterator[dict]:
         """The nested triples of each shard that is asked."""
-        new_root = self.new_root
-        new_pred = new_root | np.concatenate([[True], self.pred[1:] != self.pred[:-1]])
-        group = np.cumsum(new_root) - 1
-        pairs, at = np.unique(group * self.m + self.succ, return_inverse=True)
+        group, pairs = self.of_root, self.pairs
         first = np.searchsorted(pairs, np.arange(group[-1] + 2) * self.m)
-        follower = at - first[group]
-        roots, preds = np.flatnonzero(new_root), np.flatnonzero(new_pred)
+        follower = self.of_pair - first[group]
+        roots, preds = np.flatnonzero(self.new_root), np.flatnonzero(self.new_pred)
         root_hash = self.hashes[self.root[roots] % self.m] ^ np.where(self.root[roots] >= self.m, np.uint64(HEAVY_ROOT), np.uint64(0))
         n_before, n_triples = np.bincount(group[preds]), np.diff(np.append(preds, len(self.root)))
         edges = np.searchsorted(self.shard, np.arange(shards + 1))
@@ -375,7 +382,8 @@ def _ask(blocks: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, ASKED)
 
 
-ANSWERED = "shard int, block long, counts binary, first binary, second binary, words long, tokens long, hot array<long>, mass array<double>"
+CODES = ("chance2", "back2", "chance3", "back3")
+ANSWERED = "shard int, block long, counts binary, chance2 binary, back2 binary, chance3 binary, back3 binary, words long, tokens long, hot array<long>, mass array<double>"
 
 
 def _answer(heavy: dict[int, int], discount: float | None = None):
@@ -383,24 +391,22 @@ def _answer(heavy: dict[int, int], discount: float | None = None):
     word's mass.  heavy: hash -> how often training documents go on after that word."""
 
     def run(table: pa.Table) -> pa.Table:
-        n, counts, first, second = table.num_rows, [], [], []
+        n, counts, codes = table.num_rows, [], []
         # one block's tree at a time: they come apart again when their triples have met
         asked = [{c: table.column(c)[i].as_py() for c in table.column_names} for i in range(n)]
         raw, hot, mass, roots, seen = build_trie((_Nested.unpack(x) for x in asked), heavy, discount)
         trie = Trie.mapped(raw)
         for x in asked:
             q = _Nested.unpack(x)
-            chance2, back2, chance3, back3 = trie.query(q)
+            codes.append([_pack(x) for x in trie.nodes(q)])
             at = trie.roots.find(q.roots)
             counts.append(_pack(np.where(at >= 0, seen[np.maximum(at, 0)], 0).astype("<u8") if len(seen) else np.zeros(len(at), "<u8")))
-            first.append(_pack(np.concatenate([chance2, back2])))
-            second.append(_pack(np.concatenate([chance3, back3])))
         # a word goes on as often as it occurs, so roots count words, and the start counts the ends; heavy words are counted already
         light = ~np.isin(roots, np.asarray([*heavy, *(x ^ HEAVY_ROOT for x in heavy)], np.uint64))
         words, tokens = int(light.sum()), int(seen[light].sum())
         rest = [0] * (n - 1)
         return pa.table({
-            "shard": table.column("shard"), "block": table.column("block"), "counts": pa.array(counts, pa.binary()), "first": pa.array(first, pa.binary()), "second": pa.array(second, pa.binary()),
+            "shard": table.column("shard"), "block": table.column("block"), "counts": pa.array(counts, pa.binary()), **{c: pa.array([x[i] for x in codes], pa.binary()) for i, c in enumerate(CODES)},
             "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64()),
             "hot": pa.array([hot, *[None] * (n - 1)], pa.list_(pa.int64())), "mass": pa.array([mass, *[None] * (n - 1)], pa.list_(pa.float64())),
         })
@@ -495,15 +501,13 @@ def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, totals: d
     whole[own[first_name]] = np.concatenate([_unpack(a["counts"], "<u8") for a in answers])[first_name]
     whole[r.is_heavy] = [totals[x] for x in r.hashes[r.is_heavy].tolist()]
     c = np.where(r.words == np.uint64(END), whole[n], whole[:n])
-    two, three = ([_unpack(a[k], "<u2").reshape(2, -1) for a in answers] for k in ("first", "second"))
-    chance2, back2 = np.concatenate(two, axis=1)
-    chance3, back3 = np.concatenate(three, axis=1)
-    back2 = probability(back2)[r.by_one]
+    chance2, back2, chance3, back3 = (probability(np.concatenate([_unpack(a[k], "<u2") for a in answers])) for k in CODES)
+    back2 = back2[r.of_root[r.by_one]]
     hot = r.is_heavy[r.before]
     back2[hot] = np.asarray([mass[x] for x in heavy.tolist()])[np.searchsorted(heavy, r.hashes[r.before[hot]])] if len(heavy) else 1.0
     p = (c + ADD)[r.tokens] / (tokens_seen + ADD * (words_seen + 1))
-    shorter = probability(chance2)[r.by_one] + back2 * p
-    smoothed = probability(chance3)[r.by_two] + probability(back3)[r.by_two] * shorter
+    shorter = chance2[r.of_pair[r.by_one]] + back2 * p
+    smoothed = chance3[r.by_two] + back3[r.of_pred[r.by_two]] * shorter
     starts = np.cumsum(r.lengths) - r.lengths
     total = lambda x: np.add.reduceat(x, starts)
     ids = [i if k else None for i, k in zip(_unpack(row["doc_ids"], "<i8").tolist(), _unpack(row["known_ids"], np.uint8).tolist(), strict=True)]
@@ -542,7 +546,7 @@ def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame
     tokens_seen = (seen["tokens"] or 0) + sum(heavy.values())
     freed = answers.filter("hot IS NOT NULL").select(F.explode(F.arrays_zip("hot", "mass")).alias("x")).groupBy("x.hot").agg(F.sum("x.mass").alias("mass"))
     mass = dict.fromkeys(heavy, 1.0) | {int(np.int64(r.hot).view(np.uint64)): r.mass for r in freed.collect()}  # a row a heavy word
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "counts", "first", "second")).alias("answers"))
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "counts", *CODES)).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
