@@ -339,13 +339,14 @@ class _Requests:
         self.new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
         self.new_pred = self.new_root | np.concatenate([[True], self.pred[1:] != self.pred[:-1]])
         # of each triple, the places of its root, of its word before and of its follower among those of all shards
-        self.of_root, self.of_pred = np.cumsum(self.new_root) - 1, np.cumsum(self.new_pred) - 1
-        self.pairs, self.of_pair = np.unique(self.of_root * m + self.succ, return_inverse=True)
+        group, place = np.cumsum(self.new_root) - 1, np.int32  # a block holds far fewer than 2**31 triples
+        self.pairs, of_pair = np.unique(group * m + self.succ, return_inverse=True)
+        self.of_root, self.of_pred, self.of_pair = group.astype(place), (np.cumsum(self.new_pred) - 1).astype(place), of_pair.astype(place)
 
     def by_shard(self, shards: int) -> Iterator[dict]:
         """The nested triples of each shard that is asked."""
         group, pairs = self.of_root, self.pairs
-        first = np.searchsorted(pairs, np.arange(group[-1] + 2) * self.m)
+        first = np.searchsorted(pairs, np.arange(int(group[-1]) + 2) * self.m)
         follower = self.of_pair - first[group]
         roots, preds = np.flatnonzero(self.new_root), np.flatnonzero(self.new_pred)
         root_hash = self.hashes[self.root[roots] % self.m] ^ np.where(self.root[roots] >= self.m, np.uint64(HEAVY_ROOT), np.uint64(0))
