@@ -74,7 +74,9 @@ def signed_rank(df: DataFrame, difference: str, keys: Sequence[str]) -> DataFram
 
 
 def friedman(df: DataFrame, value: str, treatment: str, block: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Friedman test over blocks: n_blocks, n_treatments, q, p and the critical difference of mean ranks."""
+    """Friedman test over blocks: n_blocks, n_treatments, q, p and the critical difference of mean ranks.
+
+    One block has no critical difference (null), one treatment neither that nor p."""
     ranked = tied_rank(df, value, [*keys, block], "_rank")
     means = ranked.groupBy(*keys, treatment).agg(F.avg("_rank").alias("_mean"), F.count(F.lit(1)).alias("_blocks"))
     sums = means.groupBy(*keys).agg(F.max("_blocks").alias("n_blocks"), F.count(F.lit(1)).alias("n_treatments"), F.sum(F.pow(F.col("_mean"), 2)).alias("_squares"), F.sum("_mean").alias("_sum"))
@@ -82,18 +84,20 @@ def friedman(df: DataFrame, value: str, treatment: str, block: str, keys: Sequen
     middle = (s + 1) / 2
     q = 12 * n / (s * (s + 1)) * (F.col("_squares") - 2 * middle * F.col("_sum") + s * middle * middle)
 
-    @F.pandas_udf("struct<p: double, critical: double>")
-    def tails(q: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, c in zip(q, s, n, strict=True):
-            p = 1 - special.chi2_cdf(a, b - 1)
-            t = special.t_ppf(1 - alpha / 2, (c - 1) * (b - 1))
-            spread = c * b * (b + 1) * (b - 1) / 12
-            rows.append((p, t / c * (max(0.0, 2 * c * spread / ((c - 1) * (b - 1)) * (1 - a / (c * (b - 1))))) ** 0.5))
-        return pd.DataFrame(rows, columns=["p", "critical"])
-
-    out = sums.withColumn("q", q).withColumn("_tails", tails("q", "n_treatments", "n_blocks"))
-    return out.select(*keys, "n_blocks", "n_treatments", "q", "_tails.p", "_tails.critical")
+    # what the ranks vary within blocks, less what the treatments explain (q is that in units of s (s + 1) / 12), by degree of freedom
+    freedom = F.nullif((n - 1) * (s - 1), F.lit(0))
+    residual = F.greatest(F.lit(0.0), s * (s + 1) / 12 * (n * (s - 1) - q)) / freedom
+
+    @F.pandas_udf("double")
+    def p_value(q: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([1 - special.chi2_cdf(a, b - 1) if b > 1 else None for a, b in zip(q, s, strict=True)], dtype=float)
+
+    @F.pandas_udf("double")
+    def t_limit(freedom: pd.Series) -> pd.Series:
+        return pd.Series([special.t_ppf(1 - alpha / 2, x) if x > 0 else None for x in freedom], dtype=float)
+
+    least = t_limit(freedom) * F.sqrt(2 * residual / n)  # a difference of two means over n blocks
+    return sums.select(*keys, "n_blocks", "n_treatments", q.alias("q"), p_value(q, s).alias("p"), least.alias("critical"))
 
 
 def jaccard_pairs(df: DataFrame, item: str, unit: str, flag: str) -> DataFrame:

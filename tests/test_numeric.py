@@ -9,6 +9,7 @@ import pytest
 
 from gridwise.functions import special as P
 from gridwise.operators import gram as G
+from gridwise.operators import stats
 
 
 @pytest.fixture
@@ -91,3 +92,16 @@ def test_lda_finds_a_planted_difference():
     assert best[1] > 0.5 and best[3] > 0.95
     noise = r.standard_normal((300, 40))
     assert min(G.split_half_lda(noise.T @ noise, noise.sum(axis=0), 300, classes, half), key=lambda v: v[4])[3] < 0.8
+
+
+def test_friedman_critical_difference_is_from_the_residual_ranks(spark):
+    r = np.random.default_rng(3)
+    ranks = np.argsort(np.argsort(r.normal(size=(7, 4)) + np.arange(4) * 0.5, axis=1), axis=1) + 1.0
+    rows = [(1, b, t, float(ranks[b, t])) for b in range(7) for t in range(4)] + [(2, 0, t, float(t)) for t in range(3)] + [(3, b, 0, 1.0) for b in range(2)]
+    got = {x.k: x for x in stats.friedman(spark.createDataFrame(rows, "k int, b int, t int, v double"), "v", "t", "b", ["k"]).collect()}
+    residual = ranks - ranks.mean(axis=0) - ranks.mean(axis=1, keepdims=True) + ranks.mean()
+    square = (residual**2).sum() / (6 * 3)
+    assert np.isclose(got[1].critical, P.t_ppf(0.975, 18) * np.sqrt(2 * square / 7))
+    assert got[1].p == pytest.approx(1 - P.chi2_cdf(got[1].q, 3))
+    assert got[2].critical is None and got[2].p is not None
+    assert got[3].critical is None and got[3].p is None
