@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, sharding, shingle_join, token_counts, toxicity
+from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, repeats, sharding, shingle_join, token_counts, toxicity, whitening
 from gridwise.shared import stored
 
 
@@ -69,6 +69,14 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(_documents(spark, sf_dir), words=4, percent=85)
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -98,5 +106,25 @@ FROM sizes LEFT JOIN reached ON reached.a = sizes.doc_id GROUP BY sizes.doc_id,
 """
 
 
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+') IF x <> ''] AS w FROM documents
+), windows AS (
+  SELECT doc_id, i AS start, array_to_string(w[i:i + 19], ' ') AS run FROM words, unnest(range(1, len(w) - 18)) AS t(i)
+), later AS (
+  SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, start) > 1
+), removed AS (
+  SELECT doc_id, list(DISTINCT start + k) AS gone FROM later, unnest(range(0, 20)) AS t(k) GROUP BY doc_id
+), left_words AS (
+  SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)
+), kept AS (
+  SELECT l.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM left_words l
+  LEFT JOIN (SELECT doc_id, unnest(gone) AS i, true AS hit FROM removed) g USING (doc_id, i) WHERE hit IS NULL GROUP BY l.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_shingle_join": OP10_SQL}
+    return {"op10_shingle_join": OP10_SQL, "op12_seed_extend_dedup": OP12_SQL}
