@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwise.llm import lexicon, ngram_trie, order_minhash, packing, quality, repeats, sharding, shingle_join, token_counts, toxicity, whitening
+from gridwise.llm import collocations, lexicon, ngram_trie, order_minhash, packing, quality, repeats, sharding, shingle_join, token_counts, toxicity, whitening
 from gridwise.shared import stored
 
 
@@ -77,6 +77,10 @@ def op12_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -126,5 +130,41 @@ FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, [x FOR x IN string_split_regex(piece, '[ \x09]+') IF x <> ''] AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM words
+), f AS (
+  SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k >= 2 AND n >= 10
+), parts AS (
+  SELECT lang, phrase, k, a, 1 AS j, w[1] AS first, array_to_string(w[2:k], ' ') AS rest FROM candidates
+  UNION ALL SELECT lang, phrase, k, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE k = 3
+), cuts AS (
+  SELECT p.lang, p.phrase, p.k, p.a, p.j, x.n AS l, y.n AS r, (1000000::HUGEINT * p.a * p.a) // (x.n::HUGEINT * y.n) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.first JOIN f y ON y.lang = p.lang AND y.phrase = p.rest
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3) GROUP BY lang, phrase
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase
+  WHERE b.k = 3 OR longest IS NULL OR 100 * longest < 50 * b.a
+)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_shingle_join": OP10_SQL, "op12_seed_extend_dedup": OP12_SQL}
+    return {"op13_phrase_automata": OP13_SQL, "op10_shingle_join": OP10_SQL, "op12_seed_extend_dedup": OP12_SQL}
