@@ -22,7 +22,7 @@ from gridwise.shared import BROADCAST_BYTES, stored, with_running_total
 #: Least count of a candidate, most candidates of a language, and share (percent) of a candidate's count that drops it.
 LEAST, TOP, ABSORBED = 10, 2000, 50
 #: Words of one block that a task counts, about; bytes of text of one prefix range; n-grams of a range that are added up at once.
-BLOCK_WORDS, RANGE_BYTES, MERGE_GRAMS = 2_000_000, 6 << 20, 1_000_000
+BLOCK_WORDS, RANGE_BYTES, MERGE_GRAMS = 1_000_000, 6 << 20, 1_000_000
 _BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 COUNTED = "range int, counts binary"
 #: Rows of the merged table: an n-gram of a language (c is 0 below three words, b below two), what it counts, its one word.
