@@ -8,6 +8,7 @@ parts of a candidate are read by composing the sorted parts asked of a range wit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,14 @@ class _Numbers(dict):
         return n
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the machine, where the C library can; a worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) or 1
 
@@ -247,8 +256,11 @@ def _count_blocks(ranges: int):
                 if words >= BLOCK_WORDS:
                     yield rows()
                     numbers, texts, words = _Numbers({b".": 0}), {}, 0
+                    _give_back()
         if texts:
             yield rows()
+        numbers = texts = None
+        _give_back()
 
     return run
 
@@ -285,6 +297,7 @@ def _merge(least: int, ranges: int):
                 if r != number and held:
                     yield from finished(number, held)
                     held, grams = [], 0
+                    _give_back()
                 number = r
                 held.append(CountTransducer.from_bytes(raw.as_py()))
                 grams += len(held[-1].c) + len(held[-1].b)
@@ -293,6 +306,8 @@ def _merge(least: int, ranges: int):
                     grams = 0
         if held:
             yield from finished(number, held)
+        held = None
+        _give_back()
 
     return run
 
