@@ -303,23 +303,42 @@ def lowpass_operators(groups: DataFrame, keys: Sequence[str], t: int, tr: float)
     return groups.select(*keys).distinct().withColumn("m", F.array(*map(F.lit, m)))
 
 
-def fractional_amplitude(packed: DataFrame, tr: float, low: float = 0.015, high: float = 0.08, floor: float = 1e-4) -> DataFrame:
-    """falff: amplitude between `low` and `high` Hz over all above `floor`; 0 where there is none."""
+def sliding_falff(packed: DataFrame, tr: float, low: float = 0.015, high: float = 0.08, floor: float = 0.0001, step: int = 10) -> DataFrame:
+    """first, last and mean (`falff`) over windows of half the series (and one time more), `step` apart, of the share of amplitude between
+    `low` and `high` Hz in all above `floor`; 2^-52 where there is none.  Windows have as many frequencies as the next power of two of half the
+    series; `tr` is in seconds, rounded as whole ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("y")
-            y = np.stack([np.asarray(v, float) for v in batch.column(at).to_pylist()]) if batch.num_rows else np.zeros((0, 2))
-            f = np.fft.rfftfreq(y.shape[1], tr)
-            a = np.abs(np.fft.rfft(y - y.mean(axis=1, keepdims=True), axis=1)) if len(y) else np.zeros((0, len(f)))
-            total = a[:, f > floor].sum(axis=1)
-            share = np.divide(a[:, (f > low) & (f < high)].sum(axis=1), total, out=np.zeros(len(y)), where=total > 1e-12)
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(share)], names=[*(n for i, n in enumerate(batch.schema.names) if i != at), "falff"])
-
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "y"), "falff double"])
+            lists = batch.column(at)
+            shares = np.zeros((batch.num_rows, 3))
+            sizes = np.asarray(lists.value_lengths())
+            for t in np.unique(sizes):
+                rows = np.flatnonzero(sizes == t)
+                y = np.stack([np.asarray(v, float) for v in lists.take(pa.array(rows)).to_pylist()])
+                half = t // 2
+                size = 1 << max(0, int(half) - 1).bit_length()
+                f = np.linspace(0, 1, size // 2 + 1) * 0.5 / max(1, int(tr + 0.5))
+                frames = np.lib.stride_tricks.sliding_window_view(y, half + 1, axis=1)[:, : half : step]
+                power = np.abs(np.fft.rfft(frames, size, axis=2))[:, :, : len(f)]
+                total = power[:, :, f > floor].sum(axis=2)
+                share = np.divide(power[:, :, (f > low) & (f < high)].sum(axis=2), total, out=np.full(total.shape, 2.0**-52), where=total > 0)
+                shares[rows] = np.stack([share[:, 0], share[:, -1], share.mean(axis=1)], axis=1)
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *(pa.array(shares[:, i]) for i in range(3))], names=[*(batch.schema.names[i] for i in rest), "first", "last", "falff"])
+
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "y"), "first double, last double, falff double"])
     return packed.mapInArrow(run, out)
 
 
+def model_falff(packed: DataFrame, keys: Sequence[str], tr: float) -> DataFrame:
+    """keys, unit, falff (mean over windows), R (correlation of the first and last windows' maps) and their reproducible map z."""
+    from gridwise.operators.stats import rspm
+
+    return rspm(sliding_falff(packed, tr), "first", "last", keys, keep_mean=True).select(*keys, "unit", "falff", "R", "z")
+
+
 def censor_interpolate(packed: DataFrame, censored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replaces censored times (`censored`: keys, times) by shape-preserving cubic interpolation over the kept ones; beyond the first and
     last kept time the nearest kept value is repeated."""

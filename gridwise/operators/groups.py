@@ -148,6 +148,30 @@ def anova_repeated(table: DataFrame, value: str, unit: str, subject: str, time:
     return sums.select(unit, _ratio(F.col("sst") / d1, F.col("sse") / d2).alias("F"), d1.alias("df1"), d2.alias("df2")).withColumn("p", f_tail("F", "df1", "df2"))
 
 
+def anova_repeated_groups(table: DataFrame, value: str, unit: str, group: str, subject: str, time: str) -> DataFrame:
+    """F of time, group and group by time, with their degrees of freedom: subjects are nested in groups and are the error of group, residuals that
+    of the others.  One value for each unit, subject and time; groups may differ in size.  One group has no f_g and f_gt (null)."""
+    cells = {"_y": (), "_g": (group,), "_t": (time,), "_c": (group, time), "_s": (group, subject)}
+    x = table
+    for name, by in cells.items():
+        x = x.join(table.groupBy(unit, *by).agg(F.avg(value).alias(name)), [unit, *by])
+    square = lambda e: F.sum(F.pow(e, 2))
+    c = F.col
+    sums = x.groupBy(unit).agg(
+        square(c("_g") - c("_y")).alias("g"), square(c("_s") - c("_g")).alias("s"), square(c("_t") - c("_y")).alias("t"), square(c("_c") - c("_g") - c("_t") + c("_y")).alias("gt"),
+        square(c(value) - c("_c") - c("_s") + c("_g")).alias("r"), F.countDistinct(group).alias("ng"), F.countDistinct(group, subject).alias("ns"), F.countDistinct(time).alias("nt"),
+    )
+    several, dg, dt, ds = c("ng") > 1, c("ng") - 1, c("nt") - 1, c("ns") - c("ng")
+    rest = F.nullif(c("r") / F.nullif(ds * dt, F.lit(0)), F.lit(0.0))
+    f_g, f_gt = F.when(several, _ratio(c("g") / dg, c("s") / F.nullif(ds, F.lit(0)))), F.when(several, c("gt") / (dg * dt) / rest)
+    return sums.select(unit, (c("t") / dt / rest).alias("f_t"), f_g.alias("f_g"), f_gt.alias("f_gt"), dt.alias("df_t"), dg.alias("df_g"), ds.alias("df_s"), (ds * dt).alias("df_r"))
+
+
+def with_tails(anova: DataFrame) -> DataFrame:
+    """Adds p_t, p_g and p_gt to `anova_repeated_groups`."""
+    return anova.withColumns({"p_t": f_tail("f_t", "df_t", "df_r"), "p_g": f_tail("f_g", "df_g", "df_s"), "p_gt": f_tail("f_gt", F.col("df_g") * F.col("df_t"), "df_r")})
+
+
 def anova_twoway(table: DataFrame, value: str, unit: str, a: str, b: str) -> DataFrame:
     """F of both factors and their interaction from cell and margin means (balanced or nearly so), with p."""
     w = lambda *k: F.avg(value).over(Window.partitionBy(unit, *k))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwise.operators.stats import rspm
+from gridwise.operators.stats import correlation, rspm
 
 
 def _moments(samples: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def multiple_correlation(table: DataFrame, y: str, xs: Sequence[str], keys: Sequ
     """Canonical correlation of one column with up to three others (square root of R squared), from correlations alone."""
     names = [y, *xs]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
-    c = table.groupBy(*keys).agg(*(F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"_{a}_{b}") for a, b in pairs))
+    c = table.groupBy(*keys).agg(*(F.coalesce(correlation(a, b), F.lit(0.0)).alias(f"_{a}_{b}") for a, b in pairs))
     r = lambda a, b: F.lit(1.0) if a == b else (F.col(f"_{a}_{b}") if (a, b) in pairs else F.col(f"_{b}_{a}"))
 
     def det(rows, columns):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridwise.operators import gram as G
 from gridwise.operators.groups import resampled_sums
+from gridwise.shared import stored
 
 
 def independent_columns(designs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,44 +189,68 @@ def split_half_pca(grams: DataFrame, keys: Sequence[str], k: int, resamples: int
     return G.per_group(grams, keys, "component int, R double, positive double, variance double", use)
 
 
-def component_spike_filter(packed: DataFrame, grams: DataFrame, keys: Sequence[str], share: float = 0.95) -> DataFrame:
-    """Takes out components whose greatest distance from the median of the times around lies in the upper 5% of a gamma distribution over the
-    components; unit means stay."""
-    from gridwise.functions import special
-
-    def use(g, _s, _n):
-        values, vectors = G.eigen(G.centred(g))
-        q = G.components_for(values, share) if len(values) else 0
-        if q < 3:
-            return [(np.eye(len(g)).ravel(),)]
-        spikes = []
-        for i in range(q):
-            v = vectors[:, i]
-            spikes.append(max(abs(v[t] - np.median(np.delete(v[max(0, t - 7) : t + 8], min(t, 7)))) for t in range(len(v))))
-        x = np.asarray(spikes) / max(spikes)
-        limit = special.gamma_ppf(0.95, *special.gamma_fit(float(x.mean()), float(np.log(np.maximum(x, 1e-12)).mean())))
-        odd = vectors[:, :q][:, x > limit]
-        return [((np.eye(len(g)) - odd @ odd.T).ravel(),)]
-
-    return G.apply_operators(packed, G.per_group(grams, keys, "m array<double>", use), keys)
-
-
-def apply_optimum(packed: DataFrame, optimum: DataFrame, operators: dict[int, Callable[[DataFrame], DataFrame]], keys: Sequence[str]) -> DataFrame:
-    """Denoises each group with the pipeline that was chosen for it (`optimum`: keys, pipeline_id)."""
-    out = None
-    for pipeline, denoise in operators.items():
-        chosen = packed.join(optimum.filter(F.col("pipeline_id") == pipeline).select(*keys), list(keys), "left_semi")
-        one = denoise(chosen).withColumn("pipeline_id", F.lit(pipeline).cast("bigint"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def pipeline_operators(needed: DataFrame, regressors: DataFrame, keys: Sequence[str], tr: float) -> DataFrame:
+    """The operator `m` of each group and pipeline in `needed` (keys, pipeline_id, times, drift, remove, keep, lowpass).
+
+    A pipeline fits drift (polynomials up to the order `drift`) and the group's regressors (keys, kind, k, w) of the kinds in `remove` and `keep`
+    together, takes all but those kept out, and low-passes what is left if `lowpass` is 1.
+    """
+    names = [*keys, "pipeline_id"]
+    kinds = F.array_contains(F.concat("remove", "keep"), F.col("kind"))
+    own = needed.join(regressors, list(keys)).filter(kinds).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("kind", "k", "w"))).alias("_w"))
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema.fields if f.name in names)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filters: dict[int, np.ndarray] = {}
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                t, taken, kept = row["times"], [G.legendre(row["times"], row["drift"])], []
+                for x in row["_w"] if row["_w"] is not None else []:
+                    (kept if x["kind"] in set(row["keep"]) else taken).append(np.asarray(x["w"], float)[:, None])
+                noise = np.hstack(taken)
+                fitted = np.linalg.pinv(np.hstack([noise, *kept])).T[:, : noise.shape[1]]
+                m = np.eye(t) - fitted @ noise.T
+                if row["lowpass"] == 1:
+                    if t not in filters:
+                        n, cut = G.lowpass_order(tr)
+                        filters[t] = G.zero_phase_operator(t, *G.butterworth(n, cut))
+                    m = m @ filters[t]
+                rows.append((*(row[k] for k in names), m.ravel()))
+            yield pd.DataFrame(rows, columns=[*names, "m"])
+
+    return needed.join(own, names, "left").mapInPandas(run, f"{spec}, m array<double>")
+
+
+def apply_optimum(packed: DataFrame, choices: DataFrame, pipelines: DataFrame, regressors: DataFrame, keys: Sequence[str], tr: float, scheme: str = "ALL", weights: DataFrame | None = None, keep_mean: bool = False) -> DataFrame:
+    """keys, scheme, pipeline_id, unit, y: each group's units under the pipelines chosen for it.
+
+    `choices` (keys, scheme, pipeline_id) are taken for one scheme, or with ALL for CON, FIX and IND; `pipelines` (pipeline_id, drift, remove, keep,
+    lowpass) says what each does.  A pipeline that several schemes chose for a group is run once.  Afterwards a unit is multiplied by its weight
+    (keys, unit, weight; none: 1) and, if wanted, gets its own mean back.
+    """
+    names = [*keys, "pipeline_id"]
+    wanted = choices.filter(F.col("scheme").isin("CON", "FIX", "IND") if scheme.upper() == "ALL" else F.col("scheme") == scheme.upper()).select(*keys, "scheme", "pipeline_id").distinct()
+    times = packed.groupBy(*keys).agg(F.first(F.size("y")).alias("times"))
+    needed = stored(wanted.select(*names).distinct().join(pipelines, "pipeline_id").join(times, list(keys)), "optimum-needed")
+    operators = stored(pipeline_operators(needed, regressors, keys, tr), "optimum-operators")
+    mean = F.aggregate("y", F.lit(0.0), lambda s, v: s + v) / F.size("y")
+    units = packed.select(*keys, "unit", "y", mean.alias("_mean")).join(needed.select(*names), list(keys))
+    clean = G.apply_operators(units, operators, names)
+    if weights is not None:
+        clean = clean.join(weights.select(*keys, "unit", "weight"), [*keys, "unit"])
+    weight, back = F.col("weight") if weights is not None else F.lit(1.0), F.col("_mean") if keep_mean else F.lit(0.0)
+    return clean.join(wanted, names).select(*keys, "scheme", "pipeline_id", "unit", F.transform("y", lambda v: v * weight + back).alias("y"))
 
 
 def block_resamples(blocks: int, resamples: int = 30, seed: int = 42) -> list[list[int]]:
-    """Halves (1 or 2) of 4 or more blocks: every even split that puts the first block in the first half, up to six blocks; beyond, seeded ones."""
+    """Halves (1 or 2) of 4 or more blocks, the first the larger: up to six blocks every split, of an even number of blocks those that put the
+    first block in the first half (the others are the same halves); beyond six, seeded ones."""
     from itertools import combinations
 
     if blocks <= 6:
-        return [[1 if b == 0 or b in rest else 2 for b in range(blocks)] for rest in combinations(range(1, blocks), -(-blocks // 2) - 1)]
+        firsts = [c for c in combinations(range(blocks), -(-blocks // 2)) if blocks % 2 or c[0] == 0]
+        return [[1 if b in c else 2 for b in range(blocks)] for c in firsts]
     random = np.random.default_rng(seed)
     out = []
     for _ in range(resamples):
@@ -234,6 +259,19 @@ def block_resamples(blocks: int, resamples: int = 30, seed: int = 42) -> list[li
     return out
 
 
+def block_resample_table(counts: DataFrame, blocks: str) -> DataFrame:
+    """`counts` with resample (from 0), block (from 1) and half of `block_resamples` for the number of blocks (4 or more) of each row."""
+    columns = counts.columns
+
+    def run(frames):
+        for frame in frames:
+            rows = [(*r, i, b + 1, h) for r in frame.itertuples(index=False, name=None) for i, split in enumerate(block_resamples(int(r[columns.index(blocks)]))) for b, h in enumerate(split)]
+            yield pd.DataFrame(rows, columns=[*columns, "resample", "block", "half"]).drop(columns=blocks)
+
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name != blocks)
+    return counts.mapInPandas(run, f"{spec}, resample long, block long, half long")
+
+
 def bootstrap_2sample(table: DataFrame, value: str, unit: str, sample: str, group: str, one, two, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Ratio of mean to deviation of resampled differences of means (two minus one), and the smaller one-sided tail."""
     sums = resampled_sums(table.filter(F.col(group).isin(one, two)), value, [unit, group], sample, resamples, seed)

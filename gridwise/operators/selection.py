@@ -107,16 +107,24 @@ def select_con(pipelines: DataFrame, ideal: dict[str, float]) -> DataFrame:
     return target.withColumn("agree", agree).agg(F.min_by("pipeline_id", F.struct(-F.col("agree"), "pipeline_id")).alias("con"), F.max("agree").alias("agree"))
 
 
-def optimum_summary(metrics: DataFrame, value: str = "dPR", steps: tuple[str, ...] = ("motcor", "gspc", "censor")) -> DataFrame:
-    """Metrics of the fixed (best median rank) and individual choices of each subject."""
-    ranks = fixed_rank(metrics, value)
-    fix = ranks.agg(F.min_by("pipeline_id", F.struct(-F.col("median_rank"), "pipeline_id")).alias("pipeline_id"))
-    fixed = metrics.select("subject").distinct().crossJoin(F.broadcast(fix)).withColumn("scheme", F.lit("FIX"))  # one row
-    individual = select_ind(metrics, value).select("subject", F.col("ind").alias("pipeline_id"), F.lit("IND").alias("scheme"))
-    return fixed.unionByName(individual).join(metrics, ["subject", "pipeline_id"]).select("scheme", "subject", "pipeline_id", *steps, "P", "R", value, "MOT_corr")
+def optimum_choices(metrics: DataFrame, steps: list[str], ideal: dict[str, float], value: str = "dPR") -> DataFrame:
+    """subject, con, fix, min, max, ind: the conservative pipeline, the best, least and most processed ones of the optimal set, and each
+    subject's own best.  With one subject the middle three are its own; they are also where no optimal set exists."""
+    grid = metrics.groupBy("pipeline_id").agg(*(F.first(c).alias(c) for c in steps))
+    group = select_fix(metrics, steps, value).crossJoin(F.broadcast(select_con(grid, ideal))).select("con", "fix", "min", "max")  # one row
+    own = select_ind(metrics, value)
+    return single_subject_override(own.crossJoin(F.broadcast(group))).select("subject", "con", *(F.coalesce(c, "ind").alias(c) for c in ("fix", "min", "max")), "ind")
+
+
+def optimum_summary(metrics: DataFrame, ideal: dict[str, float], value: str = "dPR", steps: tuple[str, ...] = ("motcor", "gspc", "censor"), values: tuple[str, ...] = ("P", "R", "dPR", "MOT_corr")) -> DataFrame:
+    """Steps and metrics of every subject under its choice by each scheme: CON, FIX, MIN, MAX and IND."""
+    choices = optimum_choices(metrics, list(steps), ideal, value)
+    schemes = F.explode(F.array(*(F.struct(F.lit(n.upper()).alias("scheme"), F.col(n).alias("pipeline_id")) for n in ("con", "fix", "min", "max", "ind"))))
+    chosen = choices.select("subject", schemes.alias("_c")).select("subject", "_c.*")
+    return chosen.join(metrics, ["subject", "pipeline_id"]).select("scheme", "subject", "pipeline_id", *steps, *values)
 
 
 def single_subject_override(choices: DataFrame) -> DataFrame:
     """With one subject, the fixed, least and most processed choices are its individual one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return choices.withColumn("_n", n).withColumns({c: F.when(F.col("_n") == 1, F.col("ind")).otherwise(F.col(c)) for c in ("fix", "min", "max")}).drop("_n")
+    n = choices.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return choices.crossJoin(F.broadcast(n)).withColumns({c: F.when(F.col("_n") == 1, F.col("ind")).otherwise(F.col(c)) for c in ("fix", "min", "max")}).drop("_n")

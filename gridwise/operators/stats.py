@@ -32,13 +32,20 @@ def midpoint_percentile(df: DataFrame, value: str, percent: Column, keys: Sequen
     return near.filter("_w > 0").groupBy(*keys).agg((F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias(out))
 
 
-def rspm(df: DataFrame, one: str, two: str, keys: Sequence[str]) -> DataFrame:
+def correlation(one: str | Column, two: str | Column) -> Column:
+    """Correlation of two columns in an aggregate; null where one is constant (`corr` raises there)."""
+    return F.covar_pop(one, two) / F.nullif(F.sqrt(F.var_pop(one) * F.var_pop(two)), F.lit(0.0))
+
+
+def rspm(df: DataFrame, one: str, two: str, keys: Sequence[str], keep_mean: bool = False) -> DataFrame:
     """Reproducibility of two maps: R (their correlation) and, for each row, z: the sum of the z-scored maps over the spread of
-    their difference, which is sqrt(1 - R) times sqrt(2)/sqrt(2)."""
-    w = Window.partitionBy(*keys)
-    score = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w)
-    out = df.withColumn("_z1", score(one)).withColumn("_z2", score(two)).withColumn("R", F.corr(one, two).over(w))
-    return out.withColumn("z", (F.col("_z1") + F.col("_z2")) / F.sqrt(F.lit(2.0)) / F.sqrt(1 - F.col("R"))).drop("_z1", "_z2")
+    their difference, which is sqrt(1 - R) times sqrt(2)/sqrt(2); with `keep_mean` the maps over their deviations stand for z-scores.  One aggregate
+    row a group is joined to the rows."""
+    parts = df.groupBy(*keys).agg(*(f(c).alias(f"_{n}{i}") for i, c in enumerate((one, two)) for n, f in (("m", F.avg), ("s", F.stddev_samp))), correlation(one, two).alias("R"))
+    out = df.join(parts, list(keys)) if keys else df.crossJoin(F.broadcast(parts))  # one row
+    score = lambda c, i: (F.col(c) - (F.lit(0.0) if keep_mean else F.col(f"_m{i}"))) / F.nullif(F.col(f"_s{i}"), F.lit(0.0))
+    spread = F.sqrt(F.lit(2.0)) * F.sqrt(1 - F.col("R"))
+    return out.withColumn("z", (score(one, 0) + score(two, 1)) / F.nullif(spread, F.lit(0.0))).drop("_m0", "_m1", "_s0", "_s1")
 
 
 def distance_to_perfect(p: Column, r: Column) -> Column:

@@ -105,7 +105,6 @@ QUERIES = {
     "global_pc_regressor": (lambda s, d: _energy(G.apply_operators(_packed(s, d), G.global_pc_operators(_grams(s, d), K), K)), None),
     "lowpass": (lambda s, d: _energy(G.apply_operators(_packed(s, d), G.lowpass_operators(_packed(s, d), K, 30, 2.0), K)), None),
     "censor_interpolate_volume": (lambda s, d: _energy(G.censor_interpolate(_packed(s, d), _censored(s, d), K)), None),
-    "model_falff": (lambda s, d: rounded(G.fractional_amplitude(_packed(s, d), 2.0), "falff"), None),
     "nonneuronal_weight": (lambda s, d: rounded(G.nonneuronal_weight(S.to_packed(fixture(s, d, "lattice_series"), ["subject", "unit"]), K, 2.0), "w", digits=5), None),
     "model_lda": (lambda s, d: rounded(G.model_lda(_grams(s, d), K, _classes, _half), "R", "P", "Acc", "dPR", digits=5), None),
     "model_dpls": (lambda s, d: rounded(G.model_dpls(_grams(s, d), K, _classes, _half), "R", "P", "Acc", "dPR", digits=5), None),

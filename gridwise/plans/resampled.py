@@ -53,9 +53,29 @@ def _volumes(s, d):
     return packed.groupBy("subject").applyInPandas(run, "path string, content binary")
 
 
+#: pipeline_id, order of drift, regressors to take out and to fit but keep, low-pass.
+PIPELINES = [(1, 1, [], [], 0), (2, 2, ["flat"], [], 0), (3, 1, ["flat"], ["task"], 0), (4, 3, ["flat"], ["task"], 1)]
+
+
 def _optimum(s, d):
-    """Subjects by name, each with the pipeline (1 or 2) that leaves less."""
-    return _packed(s, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).select("subject", (1 + F.length("subject") % 2).cast("bigint").alias("pipeline_id"))
+    """Subjects by name: two pipelines for all, one by name."""
+    own = fixture(s, d, "series_daily").select("subject").distinct().withColumn("ind", 1 + F.length("subject") % 4)
+    chosen = {"CON": F.lit(2), "FIX": F.lit(3), "MIN": F.lit(1), "MAX": F.lit(4), "IND": F.col("ind")}
+    schemes = F.array(*(F.struct(F.lit(n).alias("scheme"), c.cast("long").alias("pipeline_id")) for n, c in chosen.items()))
+    return own.select("subject", F.explode(schemes).alias("c")).select("subject", "c.*")
+
+
+def _kinds(s, d):
+    """The mean of all units as `flat`, the response to busy days as `task`."""
+    flat = _regressors(s, d).filter("k = 1").select("subject", F.lit("flat").alias("kind"), "k", F.col("y").alias("w"))
+    task = S.to_packed(_regressor(s, d), K, y="x").select("subject", F.lit("task").alias("kind"), F.lit(1).cast("long").alias("k"), F.col("x").alias("w"))
+    return flat.unionByName(task)
+
+
+def _applied(s, d, scheme):
+    pipelines = s.createDataFrame(PIPELINES, "pipeline_id long, drift int, remove array<string>, keep array<string>, lowpass int")
+    weights = fixture(s, d, "binary_maps").select("subject", "unit", ((1 + F.col("b")) / 2).alias("weight"))
+    return R.apply_optimum(_packed(s, d), _optimum(s, d), pipelines, _kinds(s, d), K, 2.0, scheme, weights, keep_mean=True)
 
 
 def _drift(s, d, order):
@@ -139,8 +159,7 @@ QUERIES = {
     "component_match": (lambda s, d: rounded(R.component_match(_grams(s, d), K, 4, _half), "r", digits=5), None),
     "gaussian_gen_error": (lambda s, d: rounded(R.gaussian_gen_error(_grams(s, d), K, 3, _half), "error", digits=3), None),
     "split_half_pca": (lambda s, d: rounded(R.split_half_pca(_maps_gram(s, d), ["all"], 3), "R", "positive", "variance", digits=5), None),
-    "component_spike_filter": (lambda s, d: _energy(R.component_spike_filter(_packed(s, d), _grams(s, d), K)), None),
-    "apply_optimum": (lambda s, d: _energy(R.apply_optimum(_packed(s, d), _optimum(s, d), {1: _drift(s, d, 1), 2: _drift(s, d, 3)}, K)), None),
+    "apply_optimum": (lambda s, d: _applied(s, d, "ALL").select("subject", "scheme", "pipeline_id", F.explode("y").alias("v")).groupBy("subject", "scheme", "pipeline_id").agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy")), None),
     "single_pipeline_output": (lambda s, d: _energy(_drift(s, d, 1)(_packed(s, d))), None),
     "single_subject_override": (lambda s, d: C.single_subject_override(C.select_ind(fixture(s, d, "metric_grid")).withColumns({c: F.lit(v).cast("bigint") for c, v in (("fix", 1), ("min", 2), ("max", 3))})), "WITH mg AS ({metric_grid}) SELECT subject, pipeline_id AS ind, 1 AS fix, 2 AS min, 3 AS max FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY dPR - CASE WHEN XCond >= 1000 THEN 1e6 ELSE 0e0 END DESC, pipeline_id) AS k FROM mg) q WHERE k = 1"),
     "bootstrap_2sample": (lambda s, d: rounded(R.bootstrap_2sample(fixture(s, d, "sample_matrix"), "y", "unit", "sample", "class", 0, 1), "ratio", "p"), None),

@@ -39,6 +39,21 @@ _MOTION_LIMIT = f""",
       l0 AS (SELECT avg(a) + 2.3 * stddev_samp(a) AS v FROM h0),
       mg2 AS (SELECT mg.*, l0.v AS lim0 FROM mg, l0)"""
 
+#: The optimal set holds what differs from the best median rank by less than a difference of two means; the 97.5 % point of t by its expansion in
+#: the degrees of freedom (55 at least here, where it is right to six places).
+_OPTIMA = f"""{_WITH}, {_KEPT}, {_RANKED}, {_MED}, n AS (SELECT count(DISTINCT subject) AS n, count(DISTINCT pipeline_id) AS s FROM kept),
+      q AS (SELECT n, s, 12 * n / (s * (s + 1)) * (SELECT sum(power(m - (s + 1) / 2, 2)) FROM (SELECT avg(r) AS m FROM ranked GROUP BY pipeline_id) a) AS q FROM n),
+      e AS (SELECT n, (n - 1) * (s - 1) AS df, greatest(0, s * (s + 1) / 12 * (n * (s - 1) - q)) / ((n - 1) * (s - 1)) AS residual FROM q),
+      z AS (SELECT *, 1.959963984540054e0 AS z FROM e),
+      c AS (SELECT (z + (power(z, 3) + z) / (4 * df) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * power(df, 2)) + (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / (384 * power(df, 3))) * sqrt(2 * residual / n) AS least FROM z),
+      o AS (SELECT med.pipeline_id, median_rank, (SELECT max(motcor + gspc + censor) FROM mg WHERE mg.pipeline_id = med.pipeline_id) AS done FROM med, c WHERE median_rank >= (SELECT max(median_rank) FROM med) - least),
+      g AS (SELECT DISTINCT pipeline_id, CASE WHEN motcor = 1 THEN 1 ELSE 0 END + CASE WHEN censor = 1 THEN 1 ELSE 0 END + CASE WHEN gspc = 0 THEN 1 ELSE 0 END AS agree FROM mg),
+      one AS (SELECT 'CON' AS scheme, (SELECT pipeline_id FROM g ORDER BY agree DESC, pipeline_id LIMIT 1) AS pipeline_id UNION ALL SELECT 'FIX', (SELECT pipeline_id FROM o ORDER BY median_rank DESC, pipeline_id LIMIT 1)
+        UNION ALL SELECT 'MIN', (SELECT pipeline_id FROM o ORDER BY done, pipeline_id LIMIT 1) UNION ALL SELECT 'MAX', (SELECT pipeline_id FROM o ORDER BY done DESC, pipeline_id LIMIT 1)),
+      p AS (SELECT scheme, subject, one.pipeline_id FROM (SELECT DISTINCT subject FROM mg) s, one
+        UNION ALL SELECT 'IND', subject, pipeline_id FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY {_PEN} DESC, pipeline_id) AS k FROM mg) q WHERE k = 1)
+      SELECT scheme, subject, pipeline_id, motcor, gspc, censor, round(P, 6) AS P, round(R, 6) AS R, round(dPR, 6) AS dPR, round(MOT_corr, 6) AS MOT_corr FROM p JOIN mg USING (subject, pipeline_id)"""
+
 QUERIES = {
     "metric_collapse": (
         lambda s, d: rounded(S.metric_collapse(_grid(s, d)), "P", "R", "dPR", "MOT_corr", "GS", "XCond"),
@@ -73,13 +88,7 @@ QUERIES = {
     "select_ind_motion": (lambda s, d: S.select_ind_motion(_grid(s, d)), _controlled_sql("motcor", "MOT_corr")),
     "select_ind_global": (lambda s, d: S.select_ind_global(_grid(s, d)), _controlled_sql("gspc", _FOLD)),
     "select_ind_both": (lambda s, d: S.select_ind_both(_grid(s, d)), _controlled_sql("gspc", _FOLD, _PEN + " - CASE WHEN MOT_corr > lim0 THEN 1e6 ELSE 0e0 END", "mg2", _MOTION_LIMIT)),
-    "optimum_summary": (
-        lambda s, d: rounded(S.optimum_summary(_grid(s, d)), "P", "R", "dPR", "MOT_corr"),
-        f"""{_WITH}, {_KEPT}, {_RANKED}, {_MED}, fix AS (SELECT pipeline_id FROM med ORDER BY median_rank DESC, pipeline_id LIMIT 1),
-        c AS (SELECT 'FIX' AS scheme, subject, fix.pipeline_id FROM (SELECT DISTINCT subject FROM mg) s, fix
-              UNION ALL SELECT 'IND', subject, pipeline_id FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY {_PEN} DESC, pipeline_id) AS k FROM mg) q WHERE k = 1)
-        SELECT scheme, subject, pipeline_id, motcor, gspc, censor, round(P, 6) AS P, round(R, 6) AS R, round(dPR, 6) AS dPR, round(MOT_corr, 6) AS MOT_corr FROM c JOIN mg USING (subject, pipeline_id)""",
-    ),
+    "optimum_summary": (lambda s, d: rounded(S.optimum_summary(_grid(s, d), IDEAL), "P", "R", "dPR", "MOT_corr"), _OPTIMA),
     "dpr_select": (
         lambda s, d: _grid(s, d).withColumn("_d", T.distance_to_perfect(F.col("P"), F.col("R"))).groupBy("subject").agg(F.min_by("pipeline_id", F.struct(F.round(-F.col("_d"), 9), "pipeline_id")).alias("best")),
         _WITH + " SELECT subject, pipeline_id AS best FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(sqrt(power(1 - R, 2) + power(1 - P, 2)), 9), pipeline_id) AS k FROM mg) q WHERE k = 1",

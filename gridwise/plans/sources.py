@@ -73,9 +73,9 @@ QUERIES = {
         lambda s, d: rounded(M.multiple_correlation(_gradients(s, d), "v", ["fx", "fy_", "fz"], ["subject"]).join(_gradients(s, d).groupBy("subject").agg(F.avg((F.col("v") > 10).cast("int")).alias("fraction")), "subject"), "r", "fraction", digits=5),
         None,
     ),
-    "canoncorr": (
-        lambda s, d: rounded(M.multiple_correlation(fixture(s, d, "metric_grid"), "P", ["R", "MOT_corr", "GS_fract"], ["pipeline_id"]), "r", digits=5),
-        None,
+    "canoncorr_single": (
+        lambda s, d: rounded(M.multiple_correlation(fixture(s, d, "metric_grid"), "P", ["R", "MOT_corr"], ["pipeline_id"]), "r", digits=5),
+        "WITH mg AS ({metric_grid}), c AS (SELECT pipeline_id, corr(P, R) AS a, corr(P, MOT_corr) AS b, corr(R, MOT_corr) AS c FROM mg GROUP BY pipeline_id) SELECT pipeline_id, round(sqrt((a * a + b * b - 2 * a * b * c) / (1 - c * c)), 5) AS r FROM c",
     ),
     "model_ergnb": (
         lambda s, d: rounded(M.model_ergnb(_windows(s, d), []), "ratio", digits=5),
