@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwise.operators.series import to_packed
 from gridwise.operators.stats import correlation, rspm
 
 
@@ -74,15 +77,42 @@ def model_gconn(series: DataFrame, keys: Sequence[str], correlation: bool = Fals
 
 
 def model_hurst(series: DataFrame, keys: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """Detrended fluctuation analysis: cumulative sum, straight-line residuals in segments of each size, slope of log fluctuation on log size."""
-    ordered = Window.partitionBy(*keys).orderBy("t")
-    trend = Window.partitionBy(*keys)
-    base = series.withColumn("_r", F.col("y") - F.regr_slope("y", "t").over(trend) * F.col("t") - F.regr_intercept("y", "t").over(trend))
-    path = base.withColumn("_c", F.sum("_r").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(ordered) - 1).withColumn("_len", F.count(F.lit(1)).over(trend))
-    cut = path.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("segment", F.floor(F.col("_k") / F.col("size"))).filter((F.col("segment") + 1) * F.col("size") <= F.col("_len"))
-    fits = cut.groupBy(*keys, "size", "segment").agg((F.regr_syy("_c", "_k") - F.pow(F.regr_sxy("_c", "_k"), 2) / F.regr_sxx("_c", "_k")).alias("rss"), F.count(F.lit(1)).alias("n"))
-    fluctuation = fits.groupBy(*keys, "size").agg(F.sqrt(F.sum(F.greatest("rss", F.lit(0.0))) / F.sum("n")).alias("f")).filter("f > 0")
-    return fluctuation.groupBy(*keys).agg(F.regr_slope(F.log("f"), F.log("size")).alias("hurst"))
+    """Detrended fluctuation analysis: cumulative sum of the detrended series, straight-line residuals in whole segments of each size, slope of log
+    fluctuation on log size.  Sizes without fluctuation do not count; with fewer than two left there is no slope.  One exchange packs each
+    series; all sizes are worked out on batches of packed rows."""
+    packed = to_packed(series, keys)
+
+    def straight(y: np.ndarray) -> np.ndarray:
+        """Residuals of straight lines along the last axis."""
+        x = np.arange(y.shape[-1]) - (y.shape[-1] - 1) / 2
+        y = y - y.mean(axis=-1, keepdims=True)
+        return y - (y @ x / (x @ x))[..., None] * x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("y")
+            lists, slopes = batch.column(at), np.full(batch.num_rows, np.nan)
+            lengths = np.asarray(lists.value_lengths())
+            for t in np.unique(lengths[lengths > 1]).tolist():
+                rows = np.flatnonzero(lengths == t)
+                y = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, t)
+                path, points = np.cumsum(straight(y), axis=1), []
+                for size in (n for n in sizes if n <= t):
+                    rest = straight(path[:, : t // size * size].reshape(len(rows), -1, size))
+                    points.append((np.log(size), np.sqrt((rest**2).mean(axis=(1, 2)))))
+                f = np.stack([v for _, v in points], axis=1) if points else np.zeros((len(rows), 0))
+                x = np.broadcast_to(np.asarray([k for k, _ in points]), f.shape)
+                use = f > 1e-12 * np.maximum(np.abs(y).max(axis=1, initial=0), 1e-300)[:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    v, n = np.where(use, np.log(np.where(use, f, 1)), 0), use.sum(axis=1)
+                    mx, mv = (x * use).sum(axis=1) / n, v.sum(axis=1) / n
+                    dx = (x - mx[:, None]) * use
+                    slopes[rows] = np.where(n > 1, (dx * (v - mv[:, None])).sum(axis=1) / (dx**2).sum(axis=1), np.nan)
+            rest = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(slopes, from_pandas=True)], names=[*(batch.schema.names[i] for i in rest), "hurst"])
+
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name != "y"), "hurst double"])
+    return packed.mapInArrow(run, out)
 
 
 def cv_timecourse(series: DataFrame, maps: DataFrame, keys: Sequence[str], weight: str = "w") -> DataFrame:

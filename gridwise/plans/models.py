@@ -40,14 +40,18 @@ def _seed(s, d):
 
 
 def _points(s, d):
-    """Series of the six units with the most activity, as motion-like dimensions."""
-    top = fixture(s, d, "series_daily").groupBy("unit").agg(F.round(F.sum("y"), 4).alias("v")).orderBy(F.desc("v"), "unit").limit(6)
-    from pyspark.sql import Window
+    """Series of all units as dimensions."""
+    return fixture(s, d, "series_daily").select("subject", F.col("unit").alias("k"), "t", "y")
+
 
-    return fixture(s, d, "series_daily").join(F.broadcast(top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("v"), "unit")).cast("bigint"))), "unit").select("subject", "k", "t", "y")
+def _displacement(s, d):
+    points = _points(s, d)
+    dimensions = points.groupBy("subject").agg(F.countDistinct("k").alias("n"))
+    moved = M.window_median_displacement(points, ["subject"]).join(dimensions, "subject")
+    return rounded(moved.select("subject", "t", (F.col("displacement") / F.col("n")).alias("displacement")), "displacement", digits=3)
 
 
-PTS = "WITH sd AS ({series_daily}), top AS (SELECT unit, row_number() OVER (ORDER BY v DESC, unit) AS k FROM (SELECT unit, round(sum(y), 4) AS v FROM sd GROUP BY unit ORDER BY v DESC, unit LIMIT 6) q), pt AS (SELECT subject, k, t, y FROM sd JOIN top USING (unit))"
+PTS = "WITH pt AS (SELECT subject, unit AS k, t, y FROM ({series_daily}) sd)"
 FLAGS = "WITH sd AS ({series_daily}), o AS (SELECT subject, t, round(percent_rank() OVER (PARTITION BY subject ORDER BY v DESC), 9) AS p_motion, round(percent_rank() OVER (PARTITION BY subject ORDER BY w DESC), 9) AS p_volume FROM (SELECT subject, t, round(sum(y), 4) AS v, round(max(y), 4) AS w FROM sd GROUP BY subject, t) q), f AS (SELECT subject, t, CASE WHEN p_motion <= 0.05 THEN 1 ELSE 0 END AS mot, CASE WHEN p_volume <= 0.05 THEN 1 ELSE 0 END AS vol FROM o), g AS (SELECT subject, t, mot, vol, vol * greatest(mot, coalesce(lag(mot) OVER (PARTITION BY subject ORDER BY t), 0)) AS volmot FROM f)"
 
 
@@ -102,8 +106,8 @@ QUERIES = {
         SELECT subject, pct, round(s, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY s DESC, pct) AS k FROM s) q WHERE k = 1""",
     ),
     "window_median_displacement": (
-        lambda s, d: rounded(M.window_median_displacement(_points(s, d), ["subject"]).withColumn("displacement", F.col("displacement") / 6), "displacement", digits=7),
-        PTS + ", m AS (SELECT a.subject, a.k, a.t, a.y, median(b.y) AS m FROM pt a JOIN pt b ON a.subject = b.subject AND a.k = b.k AND abs(a.t - b.t) <= 7 AND a.t <> b.t GROUP BY 1, 2, 3, 4) SELECT subject, t, round(sum(power(y - m, 2)) / 6, 7) AS displacement FROM m GROUP BY subject, t",
+        _displacement,
+        PTS + ", m AS (SELECT a.subject, a.k, a.t, a.y, median(b.y) AS m FROM pt a JOIN pt b ON a.subject = b.subject AND a.k = b.k AND abs(a.t - b.t) <= 7 AND a.t <> b.t GROUP BY 1, 2, 3, 4) SELECT subject, t, round(sum(power(y - m, 2)) / count(*), 3) AS displacement FROM m GROUP BY subject, t",
     ),
     "trajectory": (
         lambda s, d: rounded(M.trajectory(_points(s, d), ["subject", "k"]).select("subject", "k", "t", "path"), "path"),

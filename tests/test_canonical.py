@@ -338,7 +338,9 @@ def test_spike_and_edge_components_go_and_smooth_ones_stay(spark):
         near = [max(0, t - 7) for t in range(times)]
         assert x.spike == pytest.approx(max((x.w[t] - np.median([x.w[u] for u in range(near[t], min(times, t + 8)) if u != t])) ** 2 for t in range(times)))
     clean = np.asarray([x.y for x in C.component_spike_filter(packed, spikes, K).orderBy("unit").collect()])
-    assert np.allclose(clean.mean(axis=1), data.mean(axis=1)) and np.abs(clean - (mean[:, None] + sum(smooth))).std() < 0.2 * np.abs(sum(smooth)).std()
+    w = np.stack([x.w for x in found if x.temporal or x.spatial], axis=1)
+    assert np.allclose(clean, data - (data - data.mean(axis=1, keepdims=True)) @ w @ w.T, atol=1e-8) and np.allclose(clean.mean(axis=1), data.mean(axis=1))
+    assert np.linalg.norm(clean @ course(15)) < 0.1 * np.linalg.norm(data @ course(15)) and np.linalg.norm(clean @ course(2)) > 0.8 * np.linalg.norm(data @ course(2))
     few = spikes.filter("component < 3")
     assert np.allclose([x.y for x in C.component_spike_filter(packed, few.withColumn("temporal", few.component * 0).withColumn("spatial", few.component * 0), K).orderBy("unit").collect()], data)
 
