@@ -8,7 +8,6 @@ parts of a candidate are read by composing the sorted parts asked of a range wit
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwise.llm.rows import give_back
 from gridwise.shared import BROADCAST_BYTES, stored, with_running_total
 
 #: Least count of a candidate, most candidates of a language, and share (percent) of a candidate's count that drops it.
@@ -38,14 +38,6 @@ class _Numbers(dict):
         return n
 
 
-def _give_back() -> None:
-    """Hands freed memory back to the machine, where the C library can; a worker is kept for later tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) or 1
 
@@ -256,11 +248,11 @@ def _count_blocks(ranges: int):
                 if words >= BLOCK_WORDS:
                     yield rows()
                     numbers, texts, words = _Numbers({b".": 0}), {}, 0
-                    _give_back()
+                    give_back()
         if texts:
             yield rows()
         numbers = texts = None
-        _give_back()
+        give_back()
 
     return run
 
@@ -297,7 +289,7 @@ def _merge(least: int, ranges: int):
                 if r != number and held:
                     yield from finished(number, held)
                     held, grams = [], 0
-                    _give_back()
+                    give_back()
                 number = r
                 held.append(CountTransducer.from_bytes(raw.as_py()))
                 grams += len(held[-1].c) + len(held[-1].b)
@@ -307,7 +299,7 @@ def _merge(least: int, ranges: int):
         if held:
             yield from finished(number, held)
         held = None
-        _give_back()
+        give_back()
 
     return run
 

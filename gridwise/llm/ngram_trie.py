@@ -38,6 +38,9 @@ END, START, NONE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 HEAVY_ROOT = 0xE7037ED1A0B428DB
 #: Hash bits of a word before another, under that other: two words that agree in them count as one context there.
 PREDECESSOR_BITS = 24
+#: What is taken off every count above the first level, for the levels after it.  A fixed number: a shard's own counts would make scores depend on
+#: the number of shards.
+DISCOUNT = 0.75
 #: A word with more than so many times a shard's share of all tokens is dealt out over shards.
 HEAVY = 1.0
 
@@ -319,21 +322,21 @@ class _Requests:
         token_training = np.repeat(self.training, self.lengths)
         self.is_heavy = np.isin(hashes, heavy)
         hot = self.is_heavy[self.before]
-        both = ((self.before + m * hot) * m + further) * m + self.tokens
-        pair = (self.before[hot] * m + n + 1) * m + self.tokens[hot]
-        keys, at = np.unique(np.concatenate([both, pair]), return_inverse=True)
+        # two numbers in one, then with the third: a text may have any number of different words
+        contexts, context = np.unique(np.concatenate([(self.before + m * hot) * m + further, self.before[hot] * m + n + 1]), return_inverse=True)
+        keys, at = np.unique(context * m + np.concatenate([self.tokens, self.tokens[hot]]), return_inverse=True)
         counts = np.bincount(at[np.concatenate([token_training, token_training[hot]])], minlength=len(keys))
-        root, rest = np.divmod(keys, m * m)
-        pred, succ = np.divmod(rest, m)
+        context, succ = np.divmod(keys, m)
+        root, pred = np.divmod(contexts[context], m)
         split, word = root >= m, root % m
         where = np.where(split, _mix(_mix(hashes[pred]) + hashes[word]), np.where(self.is_heavy[word], _mix(hashes[succ]), hashes[word]))
         self.shard = _spread(where, shards)
         order = np.argsort(self.shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.by_two = place[at[: len(both)]]  # the triple that answers for a token by two words of context
+        self.by_two = place[at[: len(self.tokens)]]  # the triple that answers for a token by two words of context
         self.by_one = self.by_two.copy()
-        self.by_one[hot] = place[at[len(both) :]]
+        self.by_one[hot] = place[at[len(self.tokens) :]]
         self.hashes, self.m = hashes, m
         self.root, self.pred, self.succ, self.counts, self.shard = root[order], pred[order], succ[order], counts[order], self.shard[order]
         self.new_root = np.concatenate([[True], (self.root[1:] != self.root[:-1]) | (self.shard[1:] != self.shard[:-1])])
@@ -387,7 +390,7 @@ CODES = ("chance2", "back2", "chance3", "back3")
 ANSWERED = "shard int, block long, counts binary, chance2 binary, back2 binary, chance3 binary, back3 binary, words long, tokens long, hot array<long>, mass array<double>"
 
 
-def _answer(heavy: dict[int, int], discount: float | None = None):
+def _answer(heavy: dict[int, int], discount: float = DISCOUNT):
     """One shard's answers to every block that asked; a row each, and on its first row the shard's sums and what it frees of each heavy
     word's mass.  heavy: hash -> how often training documents go on after that word."""
 
@@ -415,17 +418,10 @@ def _answer(heavy: dict[int, int], discount: float | None = None):
     return run
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-
-def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float | None = None) -> tuple[bytes, list[int], list[float], np.ndarray, np.ndarray]:
+def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float = DISCOUNT) -> tuple[bytes, list[int], list[float], np.ndarray, np.ndarray]:
     """Merges the blocks' counts of a shard into a smoothed, quantised trie, and returns with it what the shard frees of heavy words, and the
     roots and their counts here.
-    Only counted (training) triples enter.  The discount of a level is n1 / (n1 + 2 n2) of the shard's own counts of counts, if
-    none is given.  A
-    heavy word is divided by its whole count, of which this shard sees a part."""
+    Only counted (training) triples enter.  A heavy word is divided by its whole count, of which this shard sees a part."""
     parts = []
     for t in trees:
         seen = t.counts > 0
@@ -439,7 +435,7 @@ def build_trie(trees: Iterator[_Nested], heavy: dict[int, int], discount: float
     triples, at = np.unique(_child(before, (follower - pointers[root]).astype(np.uint64), 32), return_inverse=True)
     summed = lambda x, n: np.bincount(x, weights=c, minlength=n)
     c1, c2, c3, of_before = summed(root, len(roots)), summed(follower, len(followers)), summed(at, len(triples)), summed(before, len(befores))
-    d2, d3 = (discount or _discount(x) for x in (c2, c3))
+    d2 = d3 = discount
     up2, up3 = (followers >> np.uint64(32)).astype(np.int64), (triples >> np.uint64(32)).astype(np.int64)
     freed2, freed3 = d2 * np.diff(pointers), d3 * np.bincount(up3, minlength=len(befores))
     hot = np.flatnonzero(np.isin(roots, np.asarray(list(heavy), np.uint64)))
@@ -505,7 +501,7 @@ def _summed(row: dict, words_seen: int, tokens_seen: int, shards: int, totals: d
     chance2, back2, chance3, back3 = (probability(np.concatenate([_unpack(a[k], "<u2") for a in answers])) for k in CODES)
     back2 = back2[r.of_root[r.by_one]]
     hot = r.is_heavy[r.before]
-    back2[hot] = np.asarray([mass[x] for x in heavy.tolist()])[np.searchsorted(heavy, r.hashes[r.before[hot]])] if len(heavy) else 1.0
+    back2[hot] = probability(quantised(np.asarray([mass[x] for x in heavy.tolist()])))[np.searchsorted(heavy, r.hashes[r.before[hot]])] if len(heavy) else 1.0
     p = (c + ADD)[r.tokens] / (tokens_seen + ADD * (words_seen + 1))
     shorter = chance2[r.of_pair[r.by_one]] + back2 * p
     smoothed = chance3[r.by_two] + back3[r.of_pred[r.by_two]] * shorter
@@ -525,10 +521,12 @@ def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name = f"{label}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog; the files stay
+    return table
 
 
-def score(docs: DataFrame, training, discount: float | None = None) -> DataFrame:
+def score(docs: DataFrame, training, discount: float = DISCOUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of `docs`; `training` is a boolean column over
     doc_id that says which rows are counted.
 

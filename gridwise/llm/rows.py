@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,14 @@ from pyspark.sql import types as T
 from gridwise.shared import BROADCAST_BYTES, stored
 
 
+def give_back() -> None:
+    """Hands freed memory back to the machine, where the C library can; a worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column is called so."""
     taken = {c.lower() for c in docs.columns}
