@@ -9,6 +9,7 @@ from gridwise.operators import groups as G
 from gridwise.operators import selection as S
 from gridwise.operators import stats as T
 from gridwise.operators.stats import rounded
+from gridwise.plans.selection import CHOSEN, IDEAL
 
 SM, MAPS, MG, LC = "WITH sm AS ({sample_matrix})", "WITH mp AS ({subject_maps})", "WITH mg AS ({metric_grid})", "WITH lc AS ({label_control})"
 
@@ -36,6 +37,16 @@ def _second(mg):
 
 _PAIRS = LC + ", pr AS (SELECT unit, cast(floor(t / 2) AS bigint) AS pair, max(CASE WHEN t % 2 = 0 THEN y END) AS c, max(CASE WHEN t % 2 = 1 THEN y END) AS l FROM lc GROUP BY 1, 2)"
 
+_ARTIFACTS = "round(avg(MOT_corr), 6) AS mot, round(avg(abs(GS_fract - 0.5) + 0.5), 6) AS gs, count(*) AS n"
+
+
+def _artifacts(s, d):
+    """Motion and global-signal artifacts under each scheme's choices, and over all pipelines."""
+    chosen = S.optimum_summary(_mg(s, d), IDEAL, values=("MOT_corr", "GS_fract")).select("scheme", "MOT_corr", "GS_fract")
+    both = chosen.unionByName(_mg(s, d).select(F.lit("ALL").alias("scheme"), "MOT_corr", "GS_fract"))
+    return both.groupBy("scheme").agg(F.avg("MOT_corr").alias("mot"), F.avg(F.abs(F.col("GS_fract") - 0.5) + 0.5).alias("gs"), F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "ttest_1sample": (
         lambda s, d: rounded(G.ttest_1sample(_sm(s, d), "y", "unit").select("unit", "t", "dof"), "t"),
@@ -94,8 +105,8 @@ QUERIES = {
         SELECT 'motcor' AS step, round(avg(e), 5) AS influence, count(*) AS pairs FROM w WHERE m UNION ALL SELECT 'gspc', round(avg(e), 5), count(*) FROM w WHERE g UNION ALL SELECT 'censor', round(avg(e), 5), count(*) FROM w WHERE c""",
     ),
     "artifact_summary": (
-        lambda s, d: rounded(S.optimum_summary(_mg(s, d)).groupBy("scheme").agg(F.avg("MOT_corr").alias("mot"), F.count(F.lit(1)).alias("n")).unionByName(_mg(s, d).agg(F.lit("ALL").alias("scheme"), F.avg("MOT_corr").alias("mot"), F.count(F.lit(1)).alias("n"))), "mot"),
-        None,
+        lambda s, d: rounded(_artifacts(s, d), "mot", "gs"),
+        CHOSEN + f" SELECT scheme, {_ARTIFACTS} FROM p JOIN mg USING (subject, pipeline_id) GROUP BY scheme UNION ALL SELECT 'ALL', {_ARTIFACTS} FROM mg",
     ),
     "compare_consistency": (lambda s, d: G.compare_consistency(_mg(s, d), _second(_mg(s, d)), ["subject", "pipeline_id"]), MG + " SELECT subject, pipeline_id, 'first' AS only_in FROM mg WHERE subject = 3"),
     "compare_all": (

@@ -41,7 +41,7 @@ _MOTION_LIMIT = f""",
 
 #: The optimal set holds what differs from the best median rank by less than a difference of two means; the 97.5 % point of t by its expansion in
 #: the degrees of freedom (55 at least here, where it is right to six places).
-_OPTIMA = f"""{_WITH}, {_KEPT}, {_RANKED}, {_MED}, n AS (SELECT count(DISTINCT subject) AS n, count(DISTINCT pipeline_id) AS s FROM kept),
+CHOSEN = f"""{_WITH}, {_KEPT}, {_RANKED}, {_MED}, n AS (SELECT count(DISTINCT subject) AS n, count(DISTINCT pipeline_id) AS s FROM kept),
       q AS (SELECT n, s, 12 * n / (s * (s + 1)) * (SELECT sum(power(m - (s + 1) / 2, 2)) FROM (SELECT avg(r) AS m FROM ranked GROUP BY pipeline_id) a) AS q FROM n),
       e AS (SELECT n, (n - 1) * (s - 1) AS df, greatest(0, s * (s + 1) / 12 * (n * (s - 1) - q)) / ((n - 1) * (s - 1)) AS residual FROM q),
       z AS (SELECT *, 1.959963984540054e0 AS z FROM e),
@@ -51,8 +51,8 @@ _OPTIMA = f"""{_WITH}, {_KEPT}, {_RANKED}, {_MED}, n AS (SELECT count(DISTINCT s
       one AS (SELECT 'CON' AS scheme, (SELECT pipeline_id FROM g ORDER BY agree DESC, pipeline_id LIMIT 1) AS pipeline_id UNION ALL SELECT 'FIX', (SELECT pipeline_id FROM o ORDER BY median_rank DESC, pipeline_id LIMIT 1)
         UNION ALL SELECT 'MIN', (SELECT pipeline_id FROM o ORDER BY done, pipeline_id LIMIT 1) UNION ALL SELECT 'MAX', (SELECT pipeline_id FROM o ORDER BY done DESC, pipeline_id LIMIT 1)),
       p AS (SELECT scheme, subject, one.pipeline_id FROM (SELECT DISTINCT subject FROM mg) s, one
-        UNION ALL SELECT 'IND', subject, pipeline_id FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY {_PEN} DESC, pipeline_id) AS k FROM mg) q WHERE k = 1)
-      SELECT scheme, subject, pipeline_id, motcor, gspc, censor, round(P, 6) AS P, round(R, 6) AS R, round(dPR, 6) AS dPR, round(MOT_corr, 6) AS MOT_corr FROM p JOIN mg USING (subject, pipeline_id)"""
+        UNION ALL SELECT 'IND', subject, pipeline_id FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY {_PEN} DESC, pipeline_id) AS k FROM mg) q WHERE k = 1)"""
+_OPTIMA = f"""{CHOSEN} SELECT scheme, subject, pipeline_id, motcor, gspc, censor, round(P, 6) AS P, round(R, 6) AS R, round(dPR, 6) AS dPR, round(MOT_corr, 6) AS MOT_corr FROM p JOIN mg USING (subject, pipeline_id)"""
 
 QUERIES = {
     "metric_collapse": (
