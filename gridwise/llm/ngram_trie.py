@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwise.llm.rows import give_back
 from gridwise.shared import shared_folder, stored
 
 #: Tokens of a block, about; entries of one shard, about; added to each count of a word.
@@ -286,8 +287,11 @@ def blocks_of(docs: DataFrame, training) -> DataFrame:
                 if held >= BLOCK_TOKENS:
                     yield flush()
                     ids, flags, hashes, held, number = [], [], [], 0, number + 1
+                    give_back()
         if ids:
             yield flush()
+        table = hashes = None
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), F.col("text").cast("string")).mapInArrow(run, BLOCK)
 
@@ -382,6 +386,8 @@ def _ask(blocks: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
                 r = _Requests(row, shards, heavy)
                 out = [x | {"block": row["block"]} for x in r.by_shard(shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], k) for c, k in zip(names, kinds, strict=True)], names=names)
+                row = r = out = None
+                give_back()
 
     return blocks.mapInArrow(run, ASKED)
 
@@ -409,11 +415,14 @@ def _answer(heavy: dict[int, int], discount: float = DISCOUNT):
         light = ~np.isin(roots, np.asarray([*heavy, *(x ^ HEAVY_ROOT for x in heavy)], np.uint64))
         words, tokens = int(light.sum()), int(seen[light].sum())
         rest = [0] * (n - 1)
-        return pa.table({
+        answer = pa.table({
             "shard": table.column("shard"), "block": table.column("block"), "counts": pa.array(counts, pa.binary()), **{c: pa.array([x[i] for x in codes], pa.binary()) for i, c in enumerate(CODES)},
             "words": pa.array([words, *rest], pa.int64()), "tokens": pa.array([tokens, *rest], pa.int64()),
             "hot": pa.array([hot, *[None] * (n - 1)], pa.list_(pa.int64())), "mass": pa.array([mass, *[None] * (n - 1)], pa.list_(pa.float64())),
         })
+        asked = trie = raw = q = counts = codes = roots = seen = None
+        give_back()
+        return answer
 
     return run
 
@@ -552,6 +561,8 @@ def score(docs: DataFrame, training, discount: float = DISCOUNT) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 yield from _summed(row, words_seen, tokens_seen, shards, heavy, mass).to_batches()
+                row = None
+                give_back()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.join(by_block.hint("shuffle_hash"), "block").mapInArrow(run, schema)
