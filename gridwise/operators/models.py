@@ -175,17 +175,21 @@ def spike_counts(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
     return flags.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("mot", "vol", "volmot")), F.count(F.lit(1)).alias("n"))
 
 
-def prior_threshold_search(table: DataFrame, value: str, prior: str, keys: Sequence[str], start: int = 50) -> DataFrame:
-    """The percentile (by rank) above which units overlap a prior mask best: Jaccard at each whole percentile, smoothed over five, first of
-    the best."""
+def prior_threshold_search(table: DataFrame, value: str, prior: str, keys: Sequence[str], start: int = 50, least: float = 90.0) -> DataFrame:
+    """The percentile (by rank) above which units overlap a prior mask best: Jaccard from `start` to 99.4 in steps of a fifth, smoothed over five
+    steps, first of the best.  `used` is at least `least`."""
     w = Window.partitionBy(*keys)
-    ranked = table.withColumn("_pct", F.floor(100.0 * (F.row_number().over(w.orderBy(value, "unit")) - 1) / F.count(F.lit(1)).over(w)))
+    ranked = table.withColumn("_pct", F.floor(500.0 * (F.row_number().over(w.orderBy(value, "unit")) - 1) / F.count(F.lit(1)).over(w)))
     hist = ranked.groupBy(*keys, "_pct").agg(F.count(F.lit(1)).alias("n"), F.sum(prior).alias("m"))
-    grid = hist.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(start), F.lit(99))).alias("pct"))
-    joined = grid.join(hist, list(keys)).groupBy(*keys, "pct").agg(F.sum(F.when(F.col("_pct") >= F.col("pct"), F.col("n")).otherwise(0)).alias("above"), F.sum(F.when(F.col("_pct") >= F.col("pct"), F.col("m")).otherwise(0)).alias("both"), F.sum("m").alias("mask"))
-    overlap = joined.withColumn("o", F.col("both") / F.nullif(F.col("above") + F.col("mask") - F.col("both"), F.lit(0)))
-    smooth = overlap.withColumn("s", F.round(F.sum("o").over(w.orderBy("pct").rowsBetween(-2, 2)) / 5, 9))
-    return smooth.groupBy(*keys).agg(F.min_by("pct", F.struct(-F.col("s"), "pct")).cast("bigint").alias("pct"), F.max("s").alias("overlap"))
+    # units at or above each fifth of a percent: sums from the top over the steps of a group, of which there are 500 at most
+    steps = hist.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))).alias("_pct"))
+    down = w.orderBy(F.desc("_pct")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = steps.join(hist, [*keys, "_pct"], "left").fillna(0, ["n", "m"])
+    whole = whole.withColumn("above", F.sum("n").over(down)).withColumn("both", F.sum("m").over(down)).withColumn("mask", F.sum("m").over(w))
+    overlap = whole.filter((F.col("_pct") >= 5 * start) & (F.col("_pct") <= 497)).withColumn("o", F.col("both") / F.nullif(F.col("above") + F.col("mask") - F.col("both"), F.lit(0)))
+    smooth = overlap.withColumn("s", F.round(F.sum("o").over(w.orderBy("_pct").rowsBetween(-2, 2)) / 5, 9))
+    best = smooth.groupBy(*keys).agg((F.min_by("_pct", F.struct(-F.col("s"), "_pct")) / 5).alias("pct"), F.max("s").alias("overlap"))
+    return best.withColumn("used", F.greatest("pct", F.lit(least)))
 
 
 def resume_filter(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -99,11 +99,11 @@ QUERIES = {
     ),
     "tissue_weight": (lambda s, d: rounded(M.tissue_weight(fixture(s, d, "lattice_series"), ["subject"]), "w", digits=5), None),
     "prior_threshold_search": (
-        lambda s, d: rounded(M.prior_threshold_search(fixture(s, d, "series_daily").groupBy("subject", "unit").agg(F.round(F.max("y"), 4).alias("v")).join(fixture(s, d, "binary_maps"), ["subject", "unit"]), "v", "b", ["subject"]), "overlap"),
-        """WITH v AS (SELECT subject, unit, round(max(y), 4) AS v FROM ({series_daily}) q GROUP BY 1, 2), r AS (SELECT v.subject, b, floor(100.0 * (row_number() OVER (PARTITION BY v.subject ORDER BY v, v.unit) - 1) / count(*) OVER (PARTITION BY v.subject)) AS pct FROM v JOIN ({binary_maps}) bm ON bm.subject = v.subject AND bm.unit = v.unit),
-        j AS (SELECT subject, p.pct, sum(CASE WHEN r.pct >= p.pct THEN 1 ELSE 0 END) AS above, sum(CASE WHEN r.pct >= p.pct THEN b ELSE 0 END) AS hits, sum(b) AS mask FROM r, (SELECT unnest(range(50, 100)) AS pct) p GROUP BY 1, 2),
+        lambda s, d: rounded(M.prior_threshold_search(fixture(s, d, "series_daily").groupBy("subject", "unit").agg(F.round(F.max("y"), 4).alias("v")).join(fixture(s, d, "binary_maps"), ["subject", "unit"]), "v", "b", ["subject"]).withColumns({c: F.round(c, 1) for c in ("pct", "used")}), "overlap"),
+        """WITH v AS (SELECT subject, unit, round(max(y), 4) AS v FROM ({series_daily}) q GROUP BY 1, 2), r AS (SELECT v.subject, b, floor(500.0 * (row_number() OVER (PARTITION BY v.subject ORDER BY v, v.unit) - 1) / count(*) OVER (PARTITION BY v.subject)) AS pct FROM v JOIN ({binary_maps}) bm ON bm.subject = v.subject AND bm.unit = v.unit),
+        j AS (SELECT subject, p.pct, sum(CASE WHEN r.pct >= p.pct THEN 1 ELSE 0 END) AS above, sum(CASE WHEN r.pct >= p.pct THEN b ELSE 0 END) AS hits, sum(b) AS mask FROM r, (SELECT unnest(range(250, 498)) AS pct) p GROUP BY 1, 2),
         s AS (SELECT subject, pct, round(sum(hits / nullif(above + mask - hits, 0)) OVER (PARTITION BY subject ORDER BY pct ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 9) AS s FROM j)
-        SELECT subject, pct, round(s, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY s DESC, pct) AS k FROM s) q WHERE k = 1""",
+        SELECT subject, round(pct / 5e0, 1) AS pct, round(s, 6) AS overlap, round(greatest(pct / 5e0, 90), 1) AS used FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY s DESC, pct) AS k FROM s) q WHERE k = 1""",
     ),
     "window_median_displacement": (
         _displacement,
