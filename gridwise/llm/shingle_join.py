@@ -115,37 +115,43 @@ def _from_low_bytes(raw: bytes) -> np.ndarray:
 
 
 class _Block:
-    """The sets of one block.  `spread[set, shard]` counts shingles; as each set is sorted by hash and a shard is a range of hashes,
-    that tells the shard of every shingle.  A shingle that several sets of the block have is held and sent once (`first`), its
-    other places refer to it (`again`)."""
-
-    def __init__(self, fps: np.ndarray, spread: np.ndarray, first: np.ndarray, again: np.ndarray):
-        self.fps, self.spread = fps, spread.reshape(len(fps), -1)
-        self.sizes = self.spread.sum(axis=1)
-        shard = np.repeat(np.tile(np.arange(self.spread.shape[1]), len(fps)), self.spread.ravel())
+    """The sets of one block.  Each set is sorted by hash and a shard is a range of hashes, so a set is a row of runs: a shard and how many
+    of its shingles lie there; shards without any take no room.  A shingle that several sets of the block have is held and sent
+    once (`first`), its other places refer to it (`again`)."""
+
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray, shard: np.ndarray, first: np.ndarray, again: np.ndarray):
+        self.fps, self.sizes = fps, sizes
         self.order = np.argsort(shard, kind="stable")  # by shard, then set, then hash
         self.held = np.empty(len(shard), np.int64)
         self.held[first] = np.arange(int(first.sum()))
         self.held[~first] = again
-        self.edges = np.searchsorted(shard[self.order][first], np.arange(self.spread.shape[1] + 1))
+        self.shards, starts = np.unique(shard[self.order][first], return_index=True)
+        self.edges = np.append(starts, int(first.sum()))
 
     @staticmethod
     def pack(block: list[tuple[int, np.ndarray]], shards: int) -> tuple:
         keys = np.concatenate([k for _, k in block])
-        of = np.repeat(np.arange(len(block)), [len(k) for _, k in block])
+        sizes = np.asarray([len(k) for _, k in block])
         shard = _shard(keys, shards)
-        spread = np.bincount(of * shards + shard, minlength=len(block) * shards)
+        ends = np.zeros(len(keys), bool)
+        ends[np.cumsum(sizes) - 1] = True
+        ends[:-1] |= shard[1:] != shard[:-1]
+        runs = np.flatnonzero(ends)
+        steps = np.diff(shard[runs], prepend=0).astype("<i4")
         keys = keys[np.argsort(shard, kind="stable")]
         _, at, where = np.unique(keys, return_index=True, return_inverse=True)
         first = np.zeros(len(keys), bool)
         first[at] = True
         place = np.cumsum(first) - 1
-        return _pack(np.asarray([f for f, _ in block], "<i8")), _pack(spread.astype("<u4")), _pack(np.packbits(first)), _pack(place[at][where][~first].astype("<u4")), _low_bytes(keys[first])
+        again = place[at][where][~first].astype("<u4")
+        lengths = np.diff(runs, prepend=-1).astype("<u4")
+        return _pack(np.asarray([f for f, _ in block], "<i8")), _pack(sizes.astype("<u4")), _pack(steps), _pack(lengths), _pack(np.packbits(first)), _pack(again), _low_bytes(keys[first])
 
     @classmethod
     def unpack(cls, row: dict) -> _Block:
-        spread = _unpack(row["spread"], "<u4").astype(np.int64)
-        return cls(_unpack(row["fps"], "<i8"), spread, np.unpackbits(_unpack(row["first"], np.uint8))[: spread.sum()].astype(bool), _unpack(row["again"], "<u4"))
+        shard = np.repeat(np.cumsum(_unpack(row["steps"], "<i4"), dtype=np.int64), _unpack(row["lengths"], "<u4"))
+        first = np.unpackbits(_unpack(row["first"], np.uint8))[: len(shard)].astype(bool)
+        return cls(_unpack(row["fps"], "<i8"), _unpack(row["sizes"], "<u4").astype(np.int64), shard, first, _unpack(row["again"], "<u4"))
 
     def holders(self, dropped: list[int]) -> np.ndarray:
         """How many sets of this block have each held shingle, other than the dropped ones."""
@@ -163,7 +169,7 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-SHINGLED = "doc_id long, n long, fp long, block long, fps binary, spread binary, first binary, again binary, keys binary"
+SHINGLED = "doc_id long, n long, fp long, block long, fps binary, sizes binary, steps binary, lengths binary, first binary, again binary, keys binary"
 
 
 def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
@@ -171,7 +177,7 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
     had not sent it before; and the blocks (`fps` is not null).  Of a shingle a block holds the low 24 bits: with its shard they
     stand for it in the count, where a clash can only make it look more common than it is."""
     names = [f.split()[0] for f in SHINGLED.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 5
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 7
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,7 +205,7 @@ def _shingled(docs: DataFrame, words: int, shards: int) -> DataFrame:
                         yield rows([None, None, None, [number], *([x] for x in _Block.pack(block, shards))])
                         block, held, number = [], 0, number + 1
             if out[0]:
-                yield rows([*out, None, None, None, None, None])
+                yield rows([*out, *[None] * 7])
         if block:
             yield rows([None, None, None, [number], *([x] for x in _Block.pack(block, shards))])
 
@@ -214,7 +220,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 b = _Block.unpack(row)
                 holders, keys = b.holders(row["dropped"] or []).astype("<u4"), row["keys"]
-                parts = [(s, x, y) for s, (x, y) in enumerate(zip(b.edges[:-1].tolist(), b.edges[1:].tolist(), strict=True)) if y > x]
+                parts = list(zip(b.shards.tolist(), b.edges[:-1].tolist(), b.edges[1:].tolist(), strict=True))
                 columns = [[row["block"]] * len(parts), [s for s, *_ in parts], [keys[3 * x : 3 * y] for _, x, y in parts], [_pack(holders[x:y]) for _, x, y in parts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "shard", "keys", "holders"])
 

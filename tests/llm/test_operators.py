@@ -465,6 +465,27 @@ def test_near_duplicates_of_odd_rows(docs, rows):
     assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(shingles(t, 4))) for i, t, *_ in rows)
 
 
+def test_blocks_of_short_texts_take_no_room_for_empty_shards():
+    r = np.random.default_rng(4)
+    shards, pool = 50_000, r.integers(0, 1 << 63, 40_000, np.uint64)
+    block = [(i, np.unique(r.choice(pool, 8))) for i in range(20_000)]
+    names = ["fps", "sizes", "steps", "lengths", "first", "again", "keys"]
+    packed = dict(zip(names, shingle_join._Block.pack(block, shards), strict=True))
+    assert sum(map(len, packed.values())) < 16 * sum(len(k) for _, k in block)
+    b = shingle_join._Block.unpack(packed)
+    assert (b.fps == np.arange(len(block))).all() and (b.sizes == [len(k) for _, k in block]).all()
+    low = shingle_join._from_low_bytes(packed["keys"])
+    every = np.concatenate([k for _, k in block])
+    held = np.empty(len(every), np.int64)
+    held[b.order] = b.held
+    assert (low[held] == (every & np.uint64(0xFFFFFF)).astype(np.int64)).all()
+    sent = np.repeat(b.shards, np.diff(b.edges))
+    assert (sent[held] == shingle_join._shard(every, shards)).all()
+    assert b.edges[-1] == len(np.unique(every))
+    count = Counter(every.tolist())
+    assert b.holders([])[held].tolist() == [count[k] for k in every.tolist()]
+
+
 def test_fingerprints(docs, rows):
     prints = order_minhash.with_next(order_minhash.fingerprints(docs)).collect()
     assert len(prints) == len(rows)
