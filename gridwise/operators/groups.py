@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwise.functions import special
+from gridwise.operators.stats import fdr
 
 
 @F.pandas_udf(T.DoubleType())
@@ -28,25 +29,34 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
-def ttest_1sample(table: DataFrame, value: str, unit: str) -> DataFrame:
+def _keys(unit: str | Sequence[str]) -> list[str]:
+    return [unit] if isinstance(unit, str) else list(unit)
+
+
+def ttest_1sample(table: DataFrame, value: str, unit: str | Sequence[str]) -> DataFrame:
     """t, degrees of freedom and two-tailed p of each unit's mean against 0."""
-    m = table.groupBy(unit).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
-    return m.select(unit, _ratio(F.col("m"), F.col("s") / F.sqrt("n")).alias("t"), (F.col("n") - 1).alias("dof")).withColumn("p", t_two_tailed("t", "dof"))
+    m = table.groupBy(*_keys(unit)).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
+    return m.select(*_keys(unit), _ratio(F.col("m"), F.col("s") / F.sqrt("n")).alias("t"), (F.col("n") - 1).alias("dof")).withColumn("p", t_two_tailed("t", "dof"))
 
 
-def ttest_2sample(table: DataFrame, value: str, unit: str, group: str, one, two) -> DataFrame:
+def ttest_2sample(table: DataFrame, value: str, unit: str | Sequence[str], group: str, one, two) -> DataFrame:
     """Pooled t of group `two` minus group `one`."""
     at = lambda g: F.when(F.col(group) == g, F.col(value))
-    m = table.groupBy(unit).agg(*(f(at(g)).alias(f"{n}{i}") for i, g in ((1, one), (2, two)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
+    m = table.groupBy(*_keys(unit)).agg(*(f(at(g)).alias(f"{n}{i}") for i, g in ((1, one), (2, two)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))))
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
     t = _ratio(F.col("m2") - F.col("m1"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))))
-    return m.select(unit, t.alias("t"), (F.col("n1") + F.col("n2") - 2).alias("dof")).withColumn("p", t_two_tailed("t", "dof"))
+    return m.select(*_keys(unit), t.alias("t"), (F.col("n1") + F.col("n2") - 2).alias("dof")).withColumn("p", t_two_tailed("t", "dof"))
+
 
+def paired_differences(table: DataFrame, value: str, unit: str | Sequence[str], group: str, one, two, pair: str) -> DataFrame:
+    """unit, pair and `_d`: group `two` minus group `one`, for pairs that have both."""
+    d = table.groupBy(*_keys(unit), pair).agg(F.avg(F.when(F.col(group) == one, F.col(value))).alias("_1"), F.avg(F.when(F.col(group) == two, F.col(value))).alias("_2"))
+    return d.filter("_1 IS NOT NULL AND _2 IS NOT NULL").withColumn("_d", F.col("_2") - F.col("_1"))
 
-def ttest_paired(table: DataFrame, value: str, unit: str, group: str, one, two, pair: str) -> DataFrame:
+
+def ttest_paired(table: DataFrame, value: str, unit: str | Sequence[str], group: str, one, two, pair: str) -> DataFrame:
     """t of the differences two minus one over pairs that have both."""
-    d = table.groupBy(unit, pair).agg(F.avg(F.when(F.col(group) == one, F.col(value))).alias("_1"), F.avg(F.when(F.col(group) == two, F.col(value))).alias("_2"))
-    return ttest_1sample(d.filter("_1 IS NOT NULL AND _2 IS NOT NULL").withColumn("_d", F.col("_2") - F.col("_1")), "_d", unit)
+    return ttest_1sample(paired_differences(table, value, unit, group, one, two, pair), "_d", unit)
 
 
 #: Rows that meet at a time, groups of which a task holds sums (16 bytes for each resample) before it hands them on, and resamples
@@ -116,15 +126,61 @@ def resampled_sums(table: DataFrame, value: str, keys: Sequence[str], sample: st
     return rows.mapInArrow(run, schema(T.ArrayType(T.DoubleType()))).groupBy(*keys, "r").applyInArrow(total, schema(T.DoubleType()))
 
 
-def bootstrap_1sample(table: DataFrame, value: str, unit: str, sample: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def _resampled_ratio(means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ratio of the mean of the resampled values `m` to their deviation, and the smaller one-sided tail."""
+    low = F.avg((F.col("m") < 0).cast("int"))
+    return means.filter("m IS NOT NULL").groupBy(*keys).agg(_ratio(F.avg("m"), F.stddev_samp("m")).alias("ratio"), F.least(low, 1 - low).alias("p"))
+
+
+def bootstrap_1sample(table: DataFrame, value: str, unit: str | Sequence[str], sample: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Ratio of mean to deviation of resampled means, and the smaller one-sided tail.
 
     Each sample is drawn a Poisson number of times in each resample (by a hash of both, so that every unit sees the same draws), which
     makes a resample a weighted sum; no sample is repeated as a row.
     """
-    means = resampled_sums(table, value, [unit], sample, resamples, seed).select(unit, (F.col("_s") / F.nullif("_n", F.lit(0.0))).alias("m")).filter("m IS NOT NULL")
-    low = F.avg((F.col("m") < 0).cast("int"))
-    return means.groupBy(unit).agg(_ratio(F.avg("m"), F.stddev_samp("m")).alias("ratio"), F.least(low, 1 - low).alias("p"))
+    keys = _keys(unit)
+    means = resampled_sums(table, value, keys, sample, resamples, seed).select(*keys, (F.col("_s") / F.nullif("_n", F.lit(0.0))).alias("m"))
+    return _resampled_ratio(means, keys)
+
+
+def bootstrap_2sample(table: DataFrame, value: str, unit: str | Sequence[str], sample: str, group: str, one, two, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """The same of resampled means of group `two` minus those of group `one`; the groups are drawn apart, also where they share samples."""
+    keys = _keys(unit)
+    own = table.filter((F.col(group) == one) | (F.col(group) == two)).withColumn("_sample", F.xxhash64(group, sample))
+    sums = resampled_sums(own, value, [*keys, group], "_sample", resamples, seed)
+    mean = lambda g: F.max(F.when(F.col(group) == g, F.col("_s") / F.nullif("_n", F.lit(0.0))))
+    return _resampled_ratio(sums.groupBy(*keys, "r").agg((mean(two) - mean(one)).alias("m")), keys)
+
+
+def bootstrap_paired(table: DataFrame, value: str, unit: str | Sequence[str], group: str, one, two, pair: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """The same of resampled mean differences two minus one over pairs that have both."""
+    return bootstrap_1sample(paired_differences(table, value, unit, group, one, two, pair), "_d", unit, pair, resamples, seed)
+
+
+#: Tests of `posthoc` by name.
+POSTHOC = tuple(f"{test},{kind}" for test in ("ttest", "boots") for kind in ("1sample", "2sample", "paired"))
+
+
+def posthoc(table: DataFrame, test: str, value: str, component: str, unit: str, sample: str, group: str | None = None, one=None, two=None, q: float = 0.05) -> DataFrame:
+    """component, unit, raw, p, critical, passed, thresholded: the test that is named (one of POSTHOC) of each unit of each component,
+    with its map as it is (`raw`: t or bootstrap ratio) and with 0 where false discovery control of the component does not let it pass.
+
+    Paired tests take `sample` as the pair.  A unit without variance or with too few samples has null raw, p and thresholded, and never
+    passes.  Raises ValueError for another name, or a test of two groups without them.
+    """
+    if test not in POSTHOC:
+        raise ValueError(f"{test!r} is none of {', '.join(POSTHOC)}")
+    family, kind = test.split(",")
+    if kind != "1sample" and None in (group, one, two):
+        raise ValueError(f"{test} needs a group column and two groups")
+    at = [component, unit]
+    if family == "ttest":
+        out = ttest_1sample(table, value, at) if kind == "1sample" else ttest_2sample(table, value, at, group, one, two) if kind == "2sample" else ttest_paired(table, value, at, group, one, two, sample)
+        out = out.select(*at, F.col("t").alias("raw"), "p")
+    else:
+        out = bootstrap_1sample(table, value, at, sample) if kind == "1sample" else bootstrap_2sample(table, value, at, sample, group, one, two) if kind == "2sample" else bootstrap_paired(table, value, at, group, one, two, sample)
+        out = out.select(*at, F.col("ratio").alias("raw"), F.when(F.col("ratio").isNotNull(), F.col("p")).alias("p"))
+    return fdr(out, "p", [component], q).withColumn("thresholded", F.when(F.col("passed") == 1, F.col("raw")).when(F.col("raw").isNotNull(), 0.0))
 
 
 def anova_oneway(table: DataFrame, value: str, unit: str, group: str) -> DataFrame:
