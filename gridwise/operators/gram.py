@@ -398,11 +398,18 @@ def _posterior(train: np.ndarray, classes: np.ndarray, test: np.ndarray, truth:
     return float(np.nan_to_num(own, nan=0.5).mean()), float((own > 0.5).mean())
 
 
+def tried_components(asked: int, times: Sequence[int], rank: int) -> int:
+    """How many components discriminants of two halves try at most: one less than the times of the shorter half and than half of the
+    components asked for (rounded, halves up), as far as there are so many; at least one."""
+    return max(1, min(rank, min(*times, (asked + 1) // 2) - 1))
+
+
 def split_half_lda(g: np.ndarray, sums: np.ndarray, n: int, classes: np.ndarray, half: np.ndarray, share: float = 0.5) -> list[tuple]:
     """(k, R, P, accuracy, D) for each number of components k: two-class discriminants of both halves, entirely in time space."""
     values, vectors = eigen(g)
     used = (classes != 0).sum()
-    k0 = min(len(values), max(1, min(int(used * share), int(0.95 * used))))
+    asked = max(1, min(int(used * share), int(0.95 * used)))
+    k0 = min(len(values), asked)
     z = np.sqrt(values[:k0])[:, None] * vectors[:, :k0].T  # scores of each time on the components of all data
     back = vectors[:, :k0] / np.sqrt(values[:k0])
     fits = []
@@ -411,7 +418,7 @@ def split_half_lda(g: np.ndarray, sums: np.ndarray, n: int, classes: np.ndarray,
         u, _, _ = np.linalg.svd(own - own.mean(axis=1, keepdims=True), full_matrices=False)
         fits.append((own, classes[(half == h) & (classes != 0)], u))
     rows = []
-    for k in range(1, max(2, min(k0, min(f[2].shape[1] for f in fits), min(f[0].shape[1] for f in fits) - 2)) + 1):
+    for k in range(1, tried_components(asked, [f[0].shape[1] for f in fits], min(k0, *(f[2].shape[1] for f in fits))) + 1):
         maps, ps, accs = [], [], []
         for own, c, u in fits:
             s = u[:, :k].T @ own

@@ -105,3 +105,13 @@ def test_friedman_critical_difference_is_from_the_residual_ranks(spark):
     assert got[1].p == pytest.approx(1 - P.chi2_cdf(got[1].q, 3))
     assert got[2].critical is None and got[2].p is not None
     assert got[3].critical is None and got[3].p is None
+
+
+def test_discriminants_try_half_of_the_components_asked_for(x):
+    assert [G.tried_components(a, [40, 38], 99) for a in (1, 3, 4, 5, 8, 9, 100)] == [1, 1, 1, 2, 3, 4, 37]
+    assert G.tried_components(100, [50, 6], 99) == 5 and G.tried_components(100, [50, 60], 7) == 7
+    t = x.shape[1]
+    classes, half = np.where(np.arange(t) // 2 % 2 == 0, -1, 1), np.where(np.arange(t) < t // 2, 1, 2)
+    rows = G.split_half_lda(x.T @ x, x.sum(axis=0), len(x), classes, half)
+    asked = int(t * 0.5)
+    assert [r[0] for r in rows] == list(range(1, (asked + 1) // 2))
