@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwise.operators import gram as G
-from gridwise.operators.groups import resampled_sums
 from gridwise.shared import stored
 
 
@@ -272,15 +271,6 @@ def block_resample_table(counts: DataFrame, blocks: str) -> DataFrame:
     return counts.mapInPandas(run, f"{spec}, resample long, block long, half long")
 
 
-def bootstrap_2sample(table: DataFrame, value: str, unit: str, sample: str, group: str, one, two, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Ratio of mean to deviation of resampled differences of means (two minus one), and the smaller one-sided tail."""
-    sums = resampled_sums(table.filter(F.col(group).isin(one, two)), value, [unit, group], sample, resamples, seed)
-    mean = lambda g: F.sum(F.when(F.col(group) == g, F.col("_s"))) / F.nullif(F.sum(F.when(F.col(group) == g, F.col("_n"))), F.lit(0.0))
-    d = sums.groupBy(unit, "r").agg((mean(two) - mean(one)).alias("m")).filter("m IS NOT NULL")
-    low = F.avg((F.col("m") < 0).cast("int"))
-    return d.groupBy(unit).agg((F.avg("m") / F.nullif(F.stddev_samp("m"), F.lit(0.0))).alias("ratio"), F.least(low, 1 - low).alias("p"))
-
-
 def distatis(features: DataFrame, item: str, subject: str, values: Sequence[str]) -> DataFrame:
     """Weight of each subject in the compromise of their item-by-item similarities: the first eigenvector of the RV coefficients between
     centred cross-product matrices."""

@@ -162,7 +162,7 @@ QUERIES = {
     "apply_optimum": (lambda s, d: _applied(s, d, "ALL").select("subject", "scheme", "pipeline_id", F.explode("y").alias("v")).groupBy("subject", "scheme", "pipeline_id").agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy")), None),
     "single_pipeline_output": (lambda s, d: _energy(_drift(s, d, 1)(_packed(s, d))), None),
     "single_subject_override": (lambda s, d: C.single_subject_override(C.select_ind(fixture(s, d, "metric_grid")).withColumns({c: F.lit(v).cast("bigint") for c, v in (("fix", 1), ("min", 2), ("max", 3))})), "WITH mg AS ({metric_grid}) SELECT subject, pipeline_id AS ind, 1 AS fix, 2 AS min, 3 AS max FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY dPR - CASE WHEN XCond >= 1000 THEN 1e6 ELSE 0e0 END DESC, pipeline_id) AS k FROM mg) q WHERE k = 1"),
-    "bootstrap_2sample": (lambda s, d: rounded(R.bootstrap_2sample(fixture(s, d, "sample_matrix"), "y", "unit", "sample", "class", 0, 1), "ratio", "p"), None),
+    "bootstrap_2sample": (lambda s, d: rounded(groups.bootstrap_2sample(fixture(s, d, "sample_matrix"), "y", "unit", "sample", "class", 0, 1), "ratio", "p"), None),
     "bootstrap_paired": (
         lambda s, d: rounded(groups.bootstrap_1sample(fixture(s, d, "sample_matrix").groupBy("unit", "class").agg((F.avg(F.when(F.col("half") == 2, F.col("y"))) - F.avg(F.when(F.col("half") == 1, F.col("y")))).alias("d")).filter("d IS NOT NULL"), "d", "unit", "class"), "ratio", "p"),
         None,
