@@ -175,9 +175,11 @@ def independent_columns(design: np.ndarray, tolerance: float = 1e-8) -> list[int
 
 def apply_operators(packed: DataFrame, operators: DataFrame, keys: Sequence[str]) -> DataFrame:
     """y @ M for each unit, with M (`m`, T*T row by row) of its group.  Small sets of operators go to every task; larger ones are joined."""
-    names, size = list(keys), operators.agg(F.sum(F.size("m") * 8)).first()[0] or 0
+    names = list(keys)
+    operators = stored(operators.select(*names, "m"), "operators")  # read for its size, then for its rows
+    size = operators.agg(F.sum(F.size("m") * 8)).first()[0] or 0
     if size > BROADCAST_BYTES:
-        packed = packed.join(operators.select(*names, "m"), names)
+        packed = packed.join(operators, names)
         held = None
     else:
         rows = {tuple(r[k] for k in names): np.asarray(r["m"], float) for r in operators.collect()}
@@ -214,16 +216,6 @@ def denoise_operators(designs: DataFrame, keys: Sequence[str], order: int, halve
     return designs.groupBy(*names).applyInPandas(run, f"{spec}, m array<double>")
 
 
-def global_pc_operators(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The operator that takes the first component's time course out."""
-
-    def use(g, _s, _n):
-        values, vectors = eigen(centred(g))
-        return [(remove_columns(vectors[:, :1]).ravel() if len(values) else np.eye(len(g)).ravel(),)]
-
-    return per_group(grams, keys, "m array<double>", use)
-
-
 def glm_fit(packed: DataFrame, designs: DataFrame, keys: Sequence[str], order: int = 1) -> DataFrame:
     """Coefficient and t (residual variance over T - 1) of each regressor (`k`) of each unit, next to drift.  Small sets of
     regressors go to every task; larger ones are joined to the units of their group."""

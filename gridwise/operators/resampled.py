@@ -232,7 +232,7 @@ def apply_optimum(packed: DataFrame, choices: DataFrame, pipelines: DataFrame, r
     wanted = choices.filter(F.col("scheme").isin("CON", "FIX", "IND") if scheme.upper() == "ALL" else F.col("scheme") == scheme.upper()).select(*keys, "scheme", "pipeline_id").distinct()
     times = packed.groupBy(*keys).agg(F.first(F.size("y")).alias("times"))
     needed = stored(wanted.select(*names).distinct().join(pipelines, "pipeline_id").join(times, list(keys)), "optimum-needed")
-    operators = stored(pipeline_operators(needed, regressors, keys, tr), "optimum-operators")
+    operators = pipeline_operators(needed, regressors, keys, tr)
     mean = F.aggregate("y", F.lit(0.0), lambda s, v: s + v) / F.size("y")
     units = packed.select(*keys, "unit", "y", mean.alias("_mean")).join(needed.select(*names), list(keys))
     clean = G.apply_operators(units, operators, names)

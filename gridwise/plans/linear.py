@@ -81,14 +81,12 @@ QUERIES = {
         lambda s, d: G.back_project(_packed(s, d), G.temporal_pca(_grams(s, d), K, 1.1), K).groupBy("subject").agg(F.round(F.sum(F.col("value") * F.col("value")), 2).alias("energy")),
         "WITH c AS (SELECT subject, y - avg(y) OVER (PARTITION BY subject, unit) AS y FROM ({series_daily}) sd) SELECT subject, round(sum(y * y), 2) AS energy FROM c GROUP BY subject",
     ),
-    "motion_pcs": (lambda s, d: rounded(G.temporal_pca(_grams(s, d), K, 0.85).select("subject", "component", "singular"), "singular", digits=4), None),
     "min_displacement": (lambda s, d: G.min_displacement(_grams(s, d), K), None),
     "volume_displacement": (lambda s, d: rounded(M.window_median_displacement(_coordinates(s, d), K), "displacement", digits=4), None),
     "volume_trajectory": (lambda s, d: rounded(M.trajectory(_coordinates(s, d), ["subject", "k"]).select("subject", "k", "t", "path"), "path", digits=4), None),
     "slice_displacement": (lambda s, d: rounded(G.displacement(G.gram(_slices(s, d), ["subject", "z"]), ["subject", "z"]), "displacement", digits=4), None),
     "gamma_threshold": (lambda s, d: rounded(G.gamma_threshold(fixture(s, d, "metric_grid").select("subject", "pipeline_id", "MOT_corr"), "MOT_corr", ["subject"]), "p", "threshold", digits=5), None),
     "glm_fit": (lambda s, d: rounded(G.glm_fit(_packed(s, d), _regressors(s, d).filter("k = 1"), K, order=0).select("subject", "unit", "beta"), "beta", digits=5), "WITH sd AS ({series_daily}), m AS (SELECT subject, t, avg(y) AS x FROM sd GROUP BY subject, t) SELECT subject, unit, round(regr_slope(y, x), 5) + 0 AS beta FROM sd JOIN m USING (subject, t) GROUP BY subject, unit"),
-    "multirun_glm": (lambda s, d: rounded(G.glm_fit(_packed(s, d), _regressors(s, d), K, order=1), "beta", "t", digits=4), None),
     "ols_regress": (
         lambda s, d: _energy(G.apply_operators(_packed(s, d), G.denoise_operators(_regressors(s, d).filter("k = 1"), K, 0, False), K)),
         "WITH sd AS ({series_daily}), m AS (SELECT subject, t, avg(y) AS x FROM sd GROUP BY subject, t), r AS (SELECT subject, unit, regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x) AS e, count(*) AS n FROM sd JOIN m USING (subject, t) GROUP BY subject, unit) SELECT subject, sum(n)::bigint AS n, round(sum(e), 3) AS energy FROM r GROUP BY subject",
@@ -102,7 +100,6 @@ QUERIES = {
         "WITH sd AS (SELECT *, t < 15 AS h FROM ({series_daily}) q), m AS (SELECT subject, t, avg(y) AS x FROM sd GROUP BY subject, t), r AS (SELECT subject, unit, h, regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x) AS e, count(*) AS n FROM sd JOIN m USING (subject, t) GROUP BY subject, unit, h) SELECT subject, sum(n)::bigint AS n, round(sum(e), 3) AS energy FROM r GROUP BY subject",
     ),
     "glm_denoise_runs": (lambda s, d: _energy(G.apply_operators(_packed(s, d), G.denoise_operators(_regressors(s, d), K, 2, False), K)), None),
-    "global_pc_regressor": (lambda s, d: _energy(G.apply_operators(_packed(s, d), G.global_pc_operators(_grams(s, d), K), K)), None),
     "lowpass": (lambda s, d: _energy(G.apply_operators(_packed(s, d), G.lowpass_operators(_packed(s, d), K, 30, 2.0), K)), None),
     "censor_interpolate_volume": (lambda s, d: _energy(G.censor_interpolate(_packed(s, d), _censored(s, d), K)), None),
     "nonneuronal_weight": (lambda s, d: rounded(G.nonneuronal_weight(S.to_packed(fixture(s, d, "lattice_series"), ["subject", "unit"]), K, 2.0), "w", digits=5), None),

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gridwise.fixtures import in_duckdb
-from gridwise.plans import canonical, design, groups, linear, models, resampled, selection, series, sources
+from gridwise.plans import canonical, denoised, design, groups, linear, models, resampled, selection, series, sources
 
-MODULES = [selection, series, design, groups, models, linear, sources, resampled, canonical]
+MODULES = [selection, series, design, groups, models, linear, sources, resampled, canonical, denoised]
 
 
 def registered() -> dict:

@@ -151,7 +151,6 @@ QUERIES = {
     "map_sink_grid": (lambda s, d: _written_maps(s, d).select(F.col("path").alias("item"), "unit", F.round(F.get("y", F.lit(0)), 9).alias("value")), "WITH mp AS ({subject_maps}) SELECT cast(subject AS varchar) AS item, unit, round(value, 9) AS value FROM mp WHERE value <> 0"),
     "independent_columns": (lambda s, d: R.independent_columns(_regressors(s, d).unionByName(_regressors(s, d).filter("k = 1").withColumn("k", F.lit(3).cast("bigint")).withColumn("y", F.transform("y", lambda v: 2 * v))), K), None),
     "design_condition": (lambda s, d: rounded(R.design_condition(_regressors(s, d), K, 2), "condition", digits=4), None),
-    "task_motion_corr": (lambda s, d: rounded(M.multiple_correlation(fixture(s, d, "series_daily").groupBy("subject", "t").agg(F.avg("y").alias("a"), F.max("y").alias("b"), F.stddev_samp("y").alias("c")), "a", ["b", "c"], K), "r", digits=5), None),
     "multi_contrast": (lambda s, d: rounded(R.multi_contrast(_grams(s, d), K, _contrasts(), _half), "R", "P", "Acc", "dPR", digits=5), None),
     "model_multi_lda": (lambda s, d: rounded(R.model_multi_lda(_grams(s, d), K, _contrasts(), _half), "R", "P", "dPR_avg", digits=5), None),
     "model_svm": (lambda s, d: rounded(R.model_svm(_grams(s, d), K, _classes, _half), "R", "Acc", "dPR", digits=4), None),
