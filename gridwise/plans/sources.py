@@ -22,6 +22,16 @@ TASKS = """SELECT subject AS file, concat('UNIT=[TR] TR_MSEC=[2000] TYPE=[event]
 OPTIONS = "SELECT cast(n_nationkey AS bigint) AS file, concat('MOTCOR=[0,1]\\nSMOOTH=[', n_nationkey % 7, ',6]\\nDETREND=[', CASE WHEN n_regionkey = 0 THEN 'A' ELSE cast(n_regionkey AS varchar(2)) END, ']\\n') AS value FROM {nation}"
 PATHS = "SELECT concat('/d/sub-', lpad(cast(o_custkey % 50 AS varchar(4)), 2, '0'), '/ses-', o_orderkey % 2, '/func/sub-', o_custkey % 50, '_task-t_run-', o_orderkey % 3, CASE o_orderstatus WHEN 'F' THEN '_bold.nii.gz' WHEN 'O' THEN '_events.tsv' ELSE '_bold.json' END) AS path FROM {orders}"
 
+#: Violations of the manifest: a run's output missing, and structural images that only some lines have.
+FAULTS = """, fa AS (SELECT line, 'in_out_differ' AS rule FROM mf WHERE len(string_split("in", ',')) <> len(string_split("out", ',')) UNION ALL SELECT line, 'partial_struct' FROM mf WHERE struct IS NULL AND EXISTS (SELECT 1 FROM mf q WHERE q.struct IS NOT NULL))"""
+#: Files that are there: first runs of all suppliers, second runs of those with a balance, images of nations with a customer, one of two task files.
+LISTING = "SELECT concat('/d/s', s_suppkey, '_r1.nii') AS path FROM {supplier} UNION ALL SELECT concat('/d/s', s_suppkey, '_r2.nii') FROM {supplier} WHERE s_acctbal > 0 UNION ALL SELECT DISTINCT concat('/s/', c_nationkey, '.nii') FROM {customer} WHERE c_acctbal > 9000 UNION ALL SELECT '/t/a.txt' FROM {region} WHERE r_regionkey = 0"
+LISTED_TASKS = "SELECT '/t/a.txt' AS file, 'UNIT=[TR] TR_MSEC=[2000] TYPE=[block] NAME=[rest] ONSETS=[1] DURATION=[2] NAME=[move] ONSETS=[3] DURATION=[2]' AS value FROM {region} WHERE r_regionkey = 0"
+#: Task files of users, one fault each by the kinds of events they have.
+ODD_TASKS = """SELECT cast(user_id AS bigint) AS file, concat('UNIT=[TR]', CASE WHEN max(value) > 480 THEN ' TR_MSEC=[fast]' ELSE ' TR_MSEC=[2000]' END, CASE WHEN min(value) < 1 THEN '' ELSE ' TYPE=[event]' END, CASE WHEN avg(value) > 50 THEN ' NAME=[a+b]' ELSE ' NAME=[a]' END, ' ONSETS=[1]',
+  CASE WHEN count(*) > 15 THEN ' DURATION=[1,2]' ELSE ' DURATION=[1]' END, CASE WHEN min(event_type) = 'click' THEN ' NAME=[c]' ELSE '' END) AS value FROM {events} GROUP BY user_id"""
+ODD_OPTIONS = "SELECT cast(n_nationkey AS bigint) AS file, concat('MOTCOR=[0,', n_nationkey % 12, ']\\nSMOOTH=[', n_nationkey % 7, '.5, 6]\\nDETREND=[', CASE n_regionkey WHEN 0 THEN 'A' WHEN 1 THEN '-1, 2' ELSE '12' END, ']\\n', CASE n_regionkey WHEN 2 THEN 'BLUR=[1]' ELSE 'task=[1]' END) AS value FROM {nation}"
+
 
 def _manifest(s, d):
     return X.manifest_scan(in_spark(s, d, LINES))
@@ -51,7 +61,12 @@ QUERIES = {
         lambda s, d: X.manifest_merge_runs(_manifest(s, d).filter("struct IS NOT NULL")),
         MF + """ SELECT struct, min(line) AS line, string_agg("in", ',' ORDER BY line) AS "in", string_agg("out", ',' ORDER BY line) AS "out", string_agg(task, ',' ORDER BY line) AS task, arg_min(drop_first, line) AS drop_first, arg_min(drop_last, line) AS drop_last FROM mf WHERE struct IS NOT NULL GROUP BY struct""",
     ),
-    "manifest_validate": (lambda s, d: X.manifest_validate(_manifest(s, d)), MF + """ SELECT line, 'in_out_differ' AS rule FROM mf WHERE len(string_split("in", ',')) <> len(string_split("out", ','))"""),
+    "manifest_validate": (lambda s, d: X.manifest_validate(_manifest(s, d)), MF + FAULTS + " SELECT * FROM fa"),
+    "manifest_validate_files": (
+        lambda s, d: X.manifest_validate(_manifest(s, d), in_spark(s, d, LISTING), X.task_scan(in_spark(s, d, LISTED_TASKS)), ["rest", "move"]),
+        MF + FAULTS + f""", l AS ({LISTING}), f AS (SELECT line, 'no_file_in' AS rule, unnest(string_split("in", ',')) AS path FROM mf UNION ALL SELECT line, 'no_file_task', unnest(string_split(task, ',')) FROM mf UNION ALL SELECT line, 'no_file_struct', struct FROM mf WHERE struct IS NOT NULL)
+        SELECT * FROM fa UNION ALL SELECT DISTINCT line, rule FROM f WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT line, 'unknown_condition' FROM mf""",
+    ),
     "manifest_unique_struct": (lambda s, d: X.manifest_unique_struct(_manifest(s, d)), MF + " SELECT struct, min(line) AS line FROM mf WHERE struct IS NOT NULL GROUP BY struct"),
     "task_scan": (
         lambda s, d: X.task_scan(in_spark(s, d, TASKS)).select("file", "tr_ms", F.explode("cond").alias("c")).select("file", "tr_ms", F.col("c.name").alias("name"), F.size("c.onset").cast("bigint").alias("n"), F.aggregate("c.onset", F.lit(0.0), lambda a, b: a + b).alias("onsets"), F.aggregate("c.duration", F.lit(0.0), lambda a, b: a + b).alias("durations")),
@@ -61,6 +76,14 @@ QUERIES = {
         lambda s, d: X.pipeline_scan(in_spark(s, d, OPTIONS)).filter("step IN ('motcor', 'smooth', 'detrend', 'lowpass')"),
         "WITH n AS (SELECT cast(n_nationkey AS bigint) AS file, n_nationkey, n_regionkey FROM {nation}) SELECT file, 'motcor' AS step, v AS value FROM n, (VALUES (0e0), (1e0)) q(v) UNION ALL SELECT file, 'smooth', n_nationkey % 7 FROM n UNION ALL SELECT file, 'smooth', 6 FROM n UNION ALL SELECT file, 'detrend', CASE WHEN n_regionkey = 0 THEN -1 ELSE n_regionkey END FROM n UNION ALL SELECT file, 'lowpass', 0 FROM n",
     ),
+    "task_validate": (
+        lambda s, d: X.task_validate(in_spark(s, d, ODD_TASKS)),
+        f"WITH t AS ({ODD_TASKS}) SELECT file, 'missing_type' AS rule FROM t WHERE NOT contains(value, 'TYPE=') UNION ALL SELECT file, 'tr_not_numeric' FROM t WHERE contains(value, '[fast]') UNION ALL SELECT file, 'sign_in_name' FROM t WHERE contains(value, 'a+b') UNION ALL SELECT file, 'lengths_differ' FROM t WHERE contains(value, 'DURATION=[1,2]') UNION ALL SELECT file, 'groups_differ' FROM t WHERE contains(value, 'NAME=[c]')",
+    ),
+    "pipeline_validate": (
+        lambda s, d: X.pipeline_validate(in_spark(s, d, ODD_OPTIONS)),
+        "WITH n AS (SELECT cast(n_nationkey AS bigint) AS file, n_nationkey, n_regionkey FROM {nation}) SELECT file, 'motcor' AS step, 'not_a_value' AS rule FROM n WHERE n_nationkey % 12 >= 10 UNION ALL SELECT file, 'detrend', 'automatic_not_alone' FROM n WHERE n_regionkey = 1 UNION ALL SELECT file, 'blur', 'unknown_step' FROM n WHERE n_regionkey = 2",
+    ),
     "layout_discover": (
         lambda s, d: X.layout_discover(in_spark(s, d, PATHS)).select("subject", "session", "task", "run", "bold", "events"),
         f"WITH p AS (SELECT path, regexp_extract(path, 'sub-([A-Za-z0-9]+)', 1) AS subject, regexp_extract(path, 'ses-([0-9]+)', 1) AS session, regexp_extract(path, 'run-([0-9]+)', 1) AS run FROM ({PATHS}) q) SELECT subject, session, 't' AS task, run, min(path) FILTER (path LIKE '%bold.nii%') AS bold, min(path) FILTER (path LIKE '%events.tsv') AS events FROM p GROUP BY subject, session, run HAVING bold IS NOT NULL",

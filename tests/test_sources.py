@@ -56,3 +56,37 @@ def test_task_groups_must_agree(spark):
     rows = [("a", "UNIT=[sec] TR_MSEC=[2000] NAME=[x] ONSETS=[1,2] DURATION=[3,4]"), ("b", "NAME=[x] ONSETS=[1]")]
     got = {r.file: r for r in text.task_scan(spark.createDataFrame(rows, "file string, value string")).collect()}
     assert got["a"].cond[0].onset == [1.0, 2.0] and got["a"].unit == "sec" and got["b"].cond is None
+
+
+def test_task_rules(spark):
+    good = "UNIT=[sec] TR_MSEC=[2000] TYPE=[Block] SEED=[/s.nii] SPM=[corr] CONN_METRIC=[r] NAME=[x] ONSETS=[1, 2] DURATION=[3,4]"
+    texts = {"good": good, "sign": good.replace("[x]", "[x-y]"), "lengths": good.replace("[3,4]", "[3]"), "groups": good + " NAME=[z]", "tr": good.replace("2000", "?"), "onset": good.replace("1, 2", "1, b"), "bare": "", "null": None}
+    table = spark.createDataFrame(list(texts.items()), "file string, value string")
+    scan = {r.file: r for r in text.task_scan(table).collect()}
+    assert (scan["good"].type, scan["good"].seed, scan["good"].spm, scan["good"].conn_metric) == ("block", "/s.nii", "corr", "r")
+    assert scan["good"].cond[0].onset == [1.0, 2.0] and all(scan[k].cond is None for k in ("sign", "lengths", "groups"))
+    assert scan["tr"].tr_ms is None and scan["onset"].cond[0].onset == [1.0, None] and scan["bare"].cond == []
+    found = {(r.file, r.rule) for r in text.task_validate(table).collect()}
+    missing = {(f, f"missing_{k}") for f in ("bare", "null") for k in ("unit", "type", "tr_msec")}
+    assert found == missing | {("sign", "sign_in_name"), ("lengths", "lengths_differ"), ("groups", "groups_differ"), ("tr", "tr_not_numeric"), ("onset", "time_not_numeric")}
+
+
+def test_option_rules(spark):
+    texts = {"good": "MOTCOR=[0,1]\nSMOOTH=[0, 6.5]\nDETREND=[A]", "unknown": "BLUR=[1]", "beside": "detrend=[a,2]", "digits": "CENSOR=[10]\nSMOOTH=[x]\nTASK=[]", "null": None}
+    found = {(r.file, r.step, r.rule) for r in text.pipeline_validate(spark.createDataFrame(list(texts.items()), "file string, value string")).collect()}
+    assert found == {("unknown", "blur", "unknown_step"), ("beside", "detrend", "automatic_not_alone"), ("digits", "censor", "not_a_value"), ("digits", "smooth", "not_a_value"), ("digits", "task", "not_a_value")}
+
+
+def test_manifest_rules(spark):
+    lines = ["IN=/a OUT=/o DROP=[1,0] TASK=/t PHYSIO=/p", "IN=/b OUT=/o DROP=[x,0] TASK=/u STRUCT=/s", "OUT=/q,/r DROP=[1]", "IN=/a,/a,/a,/a OUT=/w CUSTOMREG=/m", "TASK=/t"]
+    manifest = text.manifest_scan(spark.createDataFrame(list(enumerate(lines)), "line long, value string"))
+    found = sorted((r.line, r.rule) for r in text.manifest_validate(manifest).collect())
+    assert found == sorted([
+        (0, "partial_struct"), (1, "repeated_out"), (1, "drop_not_numeric"), (1, "partial_physio"), (2, "missing_in"), (2, "drop_not_numeric"), (2, "partial_task"), (2, "partial_struct"), (2, "partial_physio"),
+        (3, "in_out_differ"), (3, "many_runs"), (3, "missing_drop"), (3, "partial_task"), (3, "partial_struct"), (3, "partial_physio"), (4, "missing_in"), (4, "missing_out"), (4, "missing_drop"), (4, "partial_struct"), (4, "partial_physio"),
+    ])
+    files = spark.createDataFrame([("/a",), ("/t",), ("/t",), ("/p.puls.1D",)], "path string")
+    tasks = text.task_scan(spark.createDataFrame([("/t", "NAME=[x] ONSETS=[1] DURATION=[1]"), ("/u", "NAME=[y] ONSETS=[1] DURATION=[1]")], "file string, value string"))
+    more = sorted((r.line, r.rule) for r in text.manifest_validate(manifest, files, tasks, ["x"]).collect())
+    assert sorted(set(more) - set(found)) == [(0, "no_file_physio"), (1, "no_file_in"), (1, "no_file_struct"), (1, "no_file_task"), (1, "unknown_condition"), (3, "no_file_customreg")]
+    assert text.manifest_validate(manifest.limit(0)).count() == 0
