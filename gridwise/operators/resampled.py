@@ -271,27 +271,6 @@ def block_resample_table(counts: DataFrame, blocks: str) -> DataFrame:
     return counts.mapInPandas(run, f"{spec}, resample long, block long, half long")
 
 
-def distatis(features: DataFrame, item: str, subject: str, values: Sequence[str]) -> DataFrame:
-    """Weight of each subject in the compromise of their item-by-item similarities: the first eigenvector of the RV coefficients between
-    centred cross-product matrices."""
-    w = Window.partitionBy(subject)
-    z = features.select(subject, item, *(((F.col(v) - F.avg(v).over(w)) / F.nullif(F.stddev_samp(v).over(w), F.lit(0.0))).alias(v) for v in values)).fillna(0.0, list(values))
-    a, b = z.toDF(subject, "_i", *(f"a_{v}" for v in values)), z.toDF(subject, "_j", *(f"b_{v}" for v in values))
-    cross = a.join(b, subject).select(subject, "_i", "_j", sum((F.col(f"a_{v}") * F.col(f"b_{v}") for v in values), F.lit(0.0)).alias("_c"))
-    rows = cross.groupBy("_i", "_j").agg(F.collect_list(F.struct(subject, "_c")).alias("v"))
-    pairs = rows.select(F.explode("v").alias("p"), "v").select(F.col(f"p.{subject}").alias("a"), F.col("p._c").alias("x"), F.explode("v").alias("q")).groupBy("a", F.col(f"q.{subject}").alias("b")).agg(F.sum(F.col("x") * F.col("q._c")).alias("s"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        s = frame.pivot(index="a", columns="b", values="s").sort_index().sort_index(axis=1)
-        m = s.to_numpy()
-        rv = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
-        values, vectors = np.linalg.eigh((rv + rv.T) / 2)
-        first = np.abs(vectors[:, -1])
-        return pd.DataFrame({"subject": [str(i) for i in s.index], "weight": first / first.sum(), "explained": values[-1] / values.sum()})
-
-    return pairs.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "subject string, weight double, explained double")  # subjects squared
-
-
 def model_param_check(params: DataFrame, rules: dict[str, tuple[bool, str | None]]) -> DataFrame:
     """`params`: subject and a map of texts.  (subject, param, value, violation): defaults filled in, required ones that are missing marked."""
     table = F.array(*(F.struct(F.lit(n).alias("param"), F.lit(r).alias("required"), F.lit(d).cast("string").alias("default")) for n, (r, d) in rules.items()))

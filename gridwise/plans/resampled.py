@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridwise.fixtures import fixture, in_spark
+from gridwise.operators import compromise as P
 from gridwise.operators import gram as G
 from gridwise.operators import groups
 from gridwise.operators import models as M
@@ -40,6 +41,10 @@ def _maps_gram(s, d):
     return G.gram(full, ["all"])
 
 
+def _compromise(s, d):
+    return P.distatis(P.feature_similarity(fixture(s, d, "metric_grid"), "pipeline_id", "subject", ["P", "R", "MOT_corr"]))
+
+
 def _volumes(s, d):
     """Each subject's grid as the bytes of a volume file, and its path."""
     packed = S.to_packed(fixture(s, d, "lattice_series"), ["subject", "unit"])
@@ -166,7 +171,8 @@ QUERIES = {
         lambda s, d: rounded(groups.bootstrap_1sample(fixture(s, d, "sample_matrix").groupBy("unit", "class").agg((F.avg(F.when(F.col("half") == 2, F.col("y"))) - F.avg(F.when(F.col("half") == 1, F.col("y")))).alias("d")).filter("d IS NOT NULL"), "d", "unit", "class"), "ratio", "p"),
         None,
     ),
-    "distatis": (lambda s, d: rounded(R.distatis(fixture(s, d, "metric_grid"), "pipeline_id", "subject", ["P", "R", "MOT_corr"]), "weight", "explained", digits=5), None),
+    "distatis": (lambda s, d: rounded(_compromise(s, d)[0], "weight", "explained", digits=5), None),
+    "distatis_scores": (lambda s, d: rounded(_compromise(s, d)[1], "f1", "f2", "share1", "share2", "x", "y", "major", "minor", digits=4).drop("angle"), None),
     "model_param_check": (
         lambda s, d: R.model_param_check(fixture(s, d, "cond_events").groupBy("subject").agg(F.max("duration").alias("m"), F.min("cond").alias("c")).select("subject", F.create_map(F.lit("wind"), F.nullif(F.col("m"), F.lit(1)).cast("string"), F.lit("seed"), F.nullif(F.col("c"), F.lit("click"))).alias("params")), {"wind": (False, "10"), "seed": (True, None), "drf": (False, "0.5")}),
         "WITH ce AS ({cond_events}), p AS (SELECT subject, max(duration) AS m, min(cond) AS c FROM ce GROUP BY subject) SELECT subject, 'wind' AS param, CASE WHEN m = 1 THEN '10' ELSE cast(m AS varchar) END AS value, 0 AS violation FROM p UNION ALL SELECT subject, 'seed', CASE WHEN c = 'click' THEN NULL ELSE c END, CASE WHEN c = 'click' THEN 1 ELSE 0 END FROM p UNION ALL SELECT subject, 'drf', '0.5', 0 FROM p",
