@@ -163,31 +163,6 @@ def gaussian_gen_error(grams: DataFrame, keys: Sequence[str], k: int, half: Call
     return G.per_group(grams, keys, "error double", use)
 
 
-def split_half_pca(grams: DataFrame, keys: Sequence[str], k: int, resamples: int = 50, seed: int = 42) -> DataFrame:
-    """Components over subjects (the time axis of the Gram matrix holds subjects): for each, the median reproducibility over random halves
-    matched to the components of all, the share of positive ones, and the median share of variance."""
-
-    def use(g, s, n):
-        values, vectors = G.eigen(g)
-        q = min(k, len(values))
-        random, found = np.random.default_rng(seed), []
-        for _ in range(resamples):
-            order = random.permutation(len(g))
-            maps = []
-            for part in (order[: len(g) // 2], order[len(g) // 2 :]):
-                v, u = G.eigen(g[np.ix_(part, part)])
-                full = np.zeros((len(g), len(v)))
-                full[part] = u
-                r = np.array([[G._map_correlation(g, s, n, vectors[:, i], full[:, j]) for j in range(len(v))] for i in range(q)])
-                pick = np.abs(r).argmax(axis=1)
-                maps.append((full[:, pick] * np.sign(r[np.arange(q), pick]), v[pick] / v.sum()))
-            found.append([(G._map_correlation(g, s, n, maps[0][0][:, i], maps[1][0][:, i]), (maps[0][1][i] + maps[1][1][i]) / 2) for i in range(q)])
-        f = np.asarray(found)
-        return [(i + 1, float(np.median(f[:, i, 0])), float((f[:, i, 0] > 0).mean()), float(np.median(f[:, i, 1]))) for i in range(q)]
-
-    return G.per_group(grams, keys, "component int, R double, positive double, variance double", use)
-
-
 def pipeline_operators(needed: DataFrame, regressors: DataFrame, keys: Sequence[str], tr: float) -> DataFrame:
     """The operator `m` of each group and pipeline in `needed` (keys, pipeline_id, times, drift, remove, keep, lowpass).
 

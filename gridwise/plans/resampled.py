@@ -11,6 +11,7 @@ from gridwise.fixtures import fixture, in_spark
 from gridwise.operators import compromise as P
 from gridwise.operators import gram as G
 from gridwise.operators import groups
+from gridwise.operators import halves as H
 from gridwise.operators import models as M
 from gridwise.operators import resampled as R
 from gridwise.operators import selection as C
@@ -34,11 +35,11 @@ def _across(s, d):
     return G.gram(R.concatenated(fixture(s, d, "series_daily"), SUBJECTS), ["all"])
 
 
-def _maps_gram(s, d):
+def _shared_units(s, d):
+    """Maps of the units that every subject has, a value a subject."""
     m = fixture(s, d, "subject_maps").groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("subject", "value"))), lambda p: p["value"]).alias("y"), F.count(F.lit(1)).alias("n"))
     top = m.agg(F.max("n").alias("top"))  # units that every subject has
-    full = m.crossJoin(F.broadcast(top)).filter("n = top").withColumn("all", F.lit(1))
-    return G.gram(full, ["all"])
+    return m.crossJoin(F.broadcast(top)).filter("n = top").select(F.lit(1).alias("all"), "unit", "y")
 
 
 def _compromise(s, d):
@@ -162,7 +163,9 @@ QUERIES = {
     "model_lda_group": (lambda s, d: rounded(R.model_lda_group(_across(s, d), len(SUBJECTS), 30, _classes, R.block_resamples(len(SUBJECTS))), "R", "P", "Acc", "dPR", digits=5), None),
     "component_match": (lambda s, d: rounded(R.component_match(_grams(s, d), K, 4, _half), "r", digits=5), None),
     "gaussian_gen_error": (lambda s, d: rounded(R.gaussian_gen_error(_grams(s, d), K, 3, _half), "error", digits=3), None),
-    "split_half_pca": (lambda s, d: rounded(R.split_half_pca(_maps_gram(s, d), ["all"], 3), "R", "positive", "variance", digits=5), None),
+    "split_half_pca": (lambda s, d: rounded(H.split_half_pca(_shared_units(s, d), ["all"], 3)[0].drop("all"), "R", "positive", "variance", digits=5), None),
+    "split_half_pca_map": (lambda s, d: rounded(H.split_half_pca(_shared_units(s, d), ["all"], 3, level=0.05)[1].drop("all"), "z", digits=4), None),
+    "split_half_pca_subjects": (lambda s, d: rounded(H.split_half_pca(_shared_units(s, d), ["all"], 3)[2].drop("all"), "weight", digits=5), None),
     "apply_optimum": (lambda s, d: _applied(s, d, "ALL").select("subject", "scheme", "pipeline_id", F.explode("y").alias("v")).groupBy("subject", "scheme", "pipeline_id").agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy")), None),
     "single_pipeline_output": (lambda s, d: _energy(_drift(s, d, 1)(_packed(s, d))), None),
     "single_subject_override": (lambda s, d: C.single_subject_override(C.select_ind(fixture(s, d, "metric_grid")).withColumns({c: F.lit(v).cast("bigint") for c, v in (("fix", 1), ("min", 2), ("max", 3))})), "WITH mg AS ({metric_grid}) SELECT subject, pipeline_id AS ind, 1 AS fix, 2 AS min, 3 AS max FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY dPR - CASE WHEN XCond >= 1000 THEN 1e6 ELSE 0e0 END DESC, pipeline_id) AS k FROM mg) q WHERE k = 1"),
