@@ -124,6 +124,13 @@ def optimum_summary(metrics: DataFrame, ideal: dict[str, float], value: str = "d
     return chosen.join(metrics, ["subject", "pipeline_id"]).select("scheme", "subject", "pipeline_id", *steps, *values)
 
 
+def single_pipeline_output(metrics: DataFrame) -> DataFrame:
+    """The rows of `metrics` where all of them name one pipeline, which then needs no selection; no rows where there are several.  Null pipelines
+    count as none."""
+    ends = metrics.agg(F.min("pipeline_id").alias("_low"), F.max("pipeline_id").alias("_high"))  # one row
+    return metrics.crossJoin(F.broadcast(ends)).filter("_low = _high AND pipeline_id = _low").drop("_low", "_high")
+
+
 def single_subject_override(choices: DataFrame) -> DataFrame:
     """With one subject, the fixed, least and most processed choices are its individual one."""
     n = choices.agg(F.count(F.lit(1)).alias("_n"))  # one row

@@ -42,6 +42,11 @@ def _shared_units(s, d):
     return m.crossJoin(F.broadcast(top)).filter("n = top").select(F.lit(1).alias("all"), "unit", "y")
 
 
+def _one_pipeline(s, d):
+    """Metrics of each subject over the whole grid, as those of one pipeline."""
+    return fixture(s, d, "metric_grid").groupBy("subject").agg(F.lit(1).cast("bigint").alias("pipeline_id"), *(F.avg(c).alias(c) for c in ("P", "R", "MOT_corr")))
+
+
 def _compromise(s, d):
     return P.distatis(P.feature_similarity(fixture(s, d, "metric_grid"), "pipeline_id", "subject", ["P", "R", "MOT_corr"]))
 
@@ -167,7 +172,12 @@ QUERIES = {
     "split_half_pca_map": (lambda s, d: rounded(H.split_half_pca(_shared_units(s, d), ["all"], 3, level=0.05)[1].drop("all"), "z", digits=4), None),
     "split_half_pca_subjects": (lambda s, d: rounded(H.split_half_pca(_shared_units(s, d), ["all"], 3)[2].drop("all"), "weight", digits=5), None),
     "apply_optimum": (lambda s, d: _applied(s, d, "ALL").select("subject", "scheme", "pipeline_id", F.explode("y").alias("v")).groupBy("subject", "scheme", "pipeline_id").agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy")), None),
-    "single_pipeline_output": (lambda s, d: _energy(_drift(s, d, 1)(_packed(s, d))), None),
+    "single_pipeline_output": (
+        # the grid of one step alone, which one pipeline tests, beside the whole grid, which is left to selection
+        lambda s, d: C.single_pipeline_output(_one_pipeline(s, d)).unionByName(C.single_pipeline_output(fixture(s, d, "metric_grid").select("subject", "pipeline_id", "P", "R", "MOT_corr"))).select("subject", "pipeline_id", *(F.round(c, 6).alias(c) for c in ("P", "R", "MOT_corr"))),
+        "WITH mg AS ({metric_grid}) SELECT subject, cast(1 AS bigint) AS pipeline_id, round(avg(P), 6) AS P, round(avg(R), 6) AS R, round(avg(MOT_corr), 6) AS MOT_corr FROM mg GROUP BY subject",
+    ),
+    "single_pipeline_data": (lambda s, d: _energy(_drift(s, d, 1)(_packed(s, d))), None),
     "single_subject_override": (lambda s, d: C.single_subject_override(C.select_ind(fixture(s, d, "metric_grid")).withColumns({c: F.lit(v).cast("bigint") for c, v in (("fix", 1), ("min", 2), ("max", 3))})), "WITH mg AS ({metric_grid}) SELECT subject, pipeline_id AS ind, 1 AS fix, 2 AS min, 3 AS max FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY dPR - CASE WHEN XCond >= 1000 THEN 1e6 ELSE 0e0 END DESC, pipeline_id) AS k FROM mg) q WHERE k = 1"),
     "bootstrap_2sample": (lambda s, d: rounded(groups.bootstrap_2sample(fixture(s, d, "sample_matrix"), "y", "unit", "sample", "class", 0, 1), "ratio", "p"), None),
     "bootstrap_paired": (

@@ -115,3 +115,12 @@ def test_discriminants_try_half_of_the_components_asked_for(x):
     rows = G.split_half_lda(x.T @ x, x.sum(axis=0), len(x), classes, half)
     asked = int(t * 0.5)
     assert [r[0] for r in rows] == list(range(1, (asked + 1) // 2))
+
+
+def test_single_pipeline_output(spark):
+    from gridwise.operators.selection import single_pipeline_output
+
+    one = spark.createDataFrame([(1, 4, 0.5), (2, 4, None)], "subject long, pipeline_id long, P double")
+    two = spark.createDataFrame([(1, 4, 0.5), (2, 5, 0.1), (3, None, 0.2)], "subject long, pipeline_id long, P double")
+    assert sorted(r.subject for r in single_pipeline_output(one).collect()) == [1, 2]
+    assert single_pipeline_output(two).count() == 0 and single_pipeline_output(one.limit(0)).count() == 0
