@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridwise.functions import special
-from gridwise.operators.stats import fdr
+from gridwise.operators.stats import correlation, fdr
 
 
 @F.pandas_udf(T.DoubleType())
@@ -251,7 +251,7 @@ def group_map_stats(maps: DataFrame, value: str, unit: str) -> DataFrame:
 def map_similarity(maps: DataFrame, item: str, unit: str, value: str) -> DataFrame:
     """Correlation of every pair of maps over the units both have."""
     a, b = maps.select(F.col(item).alias("a"), unit, F.col(value).alias("_x")), maps.select(F.col(item).alias("b"), unit, F.col(value).alias("_y"))
-    return a.join(b, unit).filter("a < b").groupBy("a", "b").agg(F.corr("_x", "_y").alias("r"))
+    return a.join(b, unit).filter("a < b").groupBy("a", "b").agg(correlation("_x", "_y").alias("r"))
 
 
 def metric_distance(metrics: DataFrame, item: str, values: Sequence[str]) -> DataFrame:
