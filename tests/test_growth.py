@@ -25,3 +25,10 @@ def test_correlation_leaves_out_rows_that_lack_a_value(spark):
 
     table = spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, 9.0), (50.0, None)], "a double, b double")
     assert table.agg(correlation("a", "b").alias("r")).first().r == pytest.approx(np.corrcoef([1, 2, 3], [2, 1, 5])[0, 1])
+
+
+def test_series_without_fluctuation_have_no_hurst_row(spark):
+    r = np.random.default_rng(5)
+    rows = [("s", u, t, float(r.normal()) if u == 0 else 0.0) for u in range(2) for t in range(40)] + [("s", 2, 0, 1.0)]
+    got = M.model_hurst(spark.createDataFrame(rows, "subject string, unit long, t long, y double"), ["subject", "unit"], [5, 8, 13]).collect()
+    assert [x.unit for x in got] == [0] and np.isfinite(got[0].hurst)
