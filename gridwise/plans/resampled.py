@@ -51,9 +51,13 @@ def _compromise(s, d):
     return P.distatis(P.feature_similarity(fixture(s, d, "metric_grid"), "pipeline_id", "subject", ["P", "R", "MOT_corr"]))
 
 
+#: Cells of a volume file: an axis holds 32,767 at most, and a file is one value of a row.
+SLAB = 4096
+
+
 def _volumes(s, d):
-    """Each subject's grid as the bytes of a volume file, and its path."""
-    packed = S.to_packed(fixture(s, d, "lattice_series"), ["subject", "unit"])
+    """Each subject's grid as the bytes of volume files, one for each slab of its cells, and their path."""
+    packed = S.to_packed(fixture(s, d, "lattice_series"), ["subject", "unit"]).withColumn("slab", F.floor(F.col("unit") / SLAB))
 
     def run(frame):
         import pandas as pd
@@ -61,7 +65,7 @@ def _volumes(s, d):
         y = np.stack(frame.sort_values("unit")["y"].to_numpy())
         return pd.DataFrame({"path": [f"/d/{frame['subject'].iloc[0]}.nii"], "content": [volumes.encode_volume(y, (len(y), 1, 1))]})
 
-    return packed.groupBy("subject").applyInPandas(run, "path string, content binary")
+    return packed.groupBy("subject", "slab").applyInPandas(run, "path string, content binary")
 
 
 #: pipeline_id, order of drift, regressors to take out and to fit but keep, low-pass.
@@ -194,5 +198,5 @@ QUERIES = {
         lambda s, d: volumes.decoded(_volumes(s, d)).select("path", F.aggregate("y", F.lit(0.0), lambda a, b: a + b).alias("v")).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total")),
         "WITH ls AS ({lattice_series}) SELECT '/d/' || subject || '.nii' AS path, count(DISTINCT unit) AS n, round(sum(y), 3) AS total FROM ls GROUP BY subject",
     ),
-    "volume_frames": (lambda s, d: volumes.frames(_volumes(s, d)), "WITH ls AS ({lattice_series}) SELECT '/d/' || subject || '.nii' AS path, count(DISTINCT t) AS frames FROM ls GROUP BY subject"),
+    "volume_frames": (lambda s, d: volumes.frames(_volumes(s, d)).groupBy("path").agg(F.max("frames").alias("frames")), "WITH ls AS ({lattice_series}) SELECT '/d/' || subject || '.nii' AS path, count(DISTINCT t) AS frames FROM ls GROUP BY subject"),
 }

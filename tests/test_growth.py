@@ -32,3 +32,11 @@ def test_series_without_fluctuation_have_no_hurst_row(spark):
     rows = [("s", u, t, float(r.normal()) if u == 0 else 0.0) for u in range(2) for t in range(40)] + [("s", 2, 0, 1.0)]
     got = M.model_hurst(spark.createDataFrame(rows, "subject string, unit long, t long, y double"), ["subject", "unit"], [5, 8, 13]).collect()
     assert [x.unit for x in got] == [0] and np.isfinite(got[0].hurst)
+
+
+def test_volumes_of_more_cells_than_an_axis_holds(spark, monkeypatch):
+    rows = [("A", u, t, float(u + t)) for u in range(40_000) for t in range(2)]
+    monkeypatch.setattr(resampled, "fixture", lambda *_: spark.createDataFrame(rows, "subject string, unit long, t long, y double"))
+    scan = resampled.QUERIES["volume_scan"][0](spark, SF).collect()
+    assert [(x.n, x.total) for x in scan] == [(40_000, float(sum(2 * u + 1 for u in range(40_000))))]
+    assert [tuple(x) for x in resampled.QUERIES["volume_frames"][0](spark, SF).collect()] == [("/d/A.nii", 2)]
