@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,21 +88,47 @@ def design_event(events: DataFrame, keys: Sequence[str], scans: int) -> DataFram
     return events.select(*keys, at.cast("bigint").alias("scan")).distinct()
 
 
+def hrf_response(on: DataFrame, keys: Sequence[str], samples: int, dt: float) -> DataFrame:
+    """keys and `response`, an array of (sample, v): each sample that is on spreads over the lags of the response; samples that none reaches
+    are absent.  One row a design, all worked out on batches of packed rows."""
+    names, lags = list(keys), int(RESPONSE_SECONDS / dt + 1e-9)
+    t = np.arange(lags + 1) * dt
+    weight = np.exp(-t) * (RISE * t**RISE_POWER - FALL * t**FALL_POWER)
+    packed = on.groupBy(*names).agg(F.collect_list("sample").alias("_on"))
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in on.schema.fields if f.name in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("_on"))
+            at, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            row, at = row[at < samples], at[at < samples]
+            first = int(at.min(initial=0))
+            n = samples - first
+            hit = np.zeros((batch.num_rows, n))
+            np.add.at(hit, (row, at - first), 1)
+            lag = np.arange(n)[None] - np.arange(n)[:, None]
+            inside = (lag >= 0) & (lag <= lags)
+            v, there = hit @ np.where(inside, weight[np.clip(lag, 0, lags)], 0), hit @ inside.astype(float) > 0
+            _, sample = np.nonzero(there)
+            ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+            pairs = pa.StructArray.from_arrays([pa.array(sample + first, pa.int64()), pa.array(v[there])], names=["sample", "v"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=[*names, "response"])
+
+    return packed.mapInArrow(run, f"{spec}, response array<struct<sample: bigint, v: double>>")
+
+
 def hrf_convolve(on: DataFrame, keys: Sequence[str], samples: int, dt: float) -> DataFrame:
-    """Response of a design: each sample that is on spreads over the lags of the response, by an explode and one sum."""
-    lags = F.sequence(F.lit(0), F.lit(int(RESPONSE_SECONDS / dt + 1e-9)))
-    t = F.col("lag") * dt
-    weight = F.exp(-t) * (RISE * F.pow(t, RISE_POWER) - FALL * F.pow(t, FALL_POWER))
-    spread = on.select(*keys, "sample", F.explode(lags).alias("lag")).select(*keys, (F.col("sample") + F.col("lag")).alias("sample"), weight.alias("v"))
-    return spread.filter(F.col("sample") < samples).groupBy(*keys, "sample").agg(F.sum("v").alias("v"))
+    """Response of a design (keys, sample, v), a row a sample."""
+    return hrf_response(on, keys, samples, dt).select(*keys, F.inline("response"))
 
 
 def design_finish(response: DataFrame, keys: Sequence[str], samples: int, per_scan: int) -> DataFrame:
-    """Demeaned over all samples (absent ones are 0) and taken at one sample of each scan, from round(per_scan/2)."""
+    """Demeaned over all samples (absent ones are 0) and taken at one sample of each scan, from round(per_scan/2).  `response`: keys, response
+    of `hrf_response`."""
     first = int(per_scan / 2 + 0.5) - 1
-    mean = F.sum("v").over(Window.partitionBy(*keys)) / samples
-    out = response.withColumn("v", F.col("v") - mean).filter((F.col("sample") >= first) & ((F.col("sample") - first) % per_scan == 0))
-    return out.select(*keys, ((F.col("sample") - first) / per_scan).cast("bigint").alias("scan"), "v")
+    mean = F.aggregate("response", F.lit(0.0), lambda s, p: s + p["v"]) / samples
+    out = response.withColumn("_mean", mean).select(*keys, "_mean", F.inline("response")).filter((F.col("sample") >= first) & ((F.col("sample") - first) % per_scan == 0))
+    return out.select(*keys, ((F.col("sample") - first) / per_scan).cast("bigint").alias("scan"), (F.col("v") - F.col("_mean")).alias("v"))
 
 
 def block_scans(events: DataFrame, keys: Sequence[str], tr_ms: float, scans: int) -> DataFrame:

@@ -40,7 +40,7 @@ def _response(s, d):
     events = _blocks(s, d).filter(F.col("cond").isin(CONDITIONS)).withColumn("duration", F.lit(1))
     on = D.design_block(D.onset_normalise(events, TR * 1000, 0), ["subject", "cond"], TR * 1000, 30)
     per_scan = int(TR * 10)
-    return D.design_finish(D.hrf_convolve(on, ["subject", "cond"], 30 * per_scan, 0.1), ["subject", "cond"], 30 * per_scan, per_scan).withColumnRenamed("scan", "t")
+    return D.design_finish(D.hrf_response(on, ["subject", "cond"], 30 * per_scan, 0.1), ["subject", "cond"], 30 * per_scan, per_scan).withColumnRenamed("scan", "t")
 
 
 def _columns(df, number):

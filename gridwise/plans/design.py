@@ -77,7 +77,7 @@ QUERIES = {
     "design_event": (lambda s, d: D.design_event(_ce(s, d), SC, 28), CE + " SELECT DISTINCT subject, cond, greatest(1, least(28, onset_t)) AS scan FROM ce"),
     "hrf_convolve": (lambda s, d: rounded(_hrf(s, d), "v"), HRF + " SELECT subject, cond, sample, round(v, 6) AS v FROM h"),
     "design_finish": (
-        lambda s, d: rounded(D.design_finish(_hrf(s, d), SC, 90, 3), "v"),
+        lambda s, d: rounded(D.design_finish(D.hrf_response(D.design_block(_ms(s, d), SC, 300.0, 30), SC, 90, 0.1), SC, 90, 3), "v"),
         HRF + ", f AS (SELECT subject, cond, sample, v - sum(v) OVER (PARTITION BY subject, cond) / 90 AS v FROM h) SELECT subject, cond, cast((sample - 1) / 3 AS bigint) AS scan, round(v, 6) + 0 AS v FROM f WHERE sample >= 1 AND (sample - 1) % 3 = 0",
     ),
     "block_scans": (lambda s, d: _scans(s, d), SCANS + " SELECT * FROM sc"),

@@ -18,7 +18,7 @@ from gridwise.operators import selection as C
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
 from gridwise.shared import shared_folder
-from gridwise.plans.linear import K, _classes, _energy, _grams, _half, _packed, _regressors
+from gridwise.plans.linear import K, _classes, _energy, _grams, _half, _packed, _regressors, _slices
 from gridwise.sources import text as X
 from gridwise.sources import volumes
 
@@ -113,6 +113,11 @@ def _resamples(s, d):
     return M.split_half_resamples(fixture(s, d, "series_daily").select("subject").distinct(), 6)
 
 
+def _busiest(s, d):
+    """The time of each slice with the greatest sum."""
+    return fixture(s, d, "lattice_series").groupBy("subject", "z", "t").agg(F.sum("y").alias("v")).groupBy("subject", "z").agg(F.array(F.max_by("t", F.struct("v", "t"))).alias("times"))
+
+
 def _event_windows(s, d):
     """Window averages around each subject's busy days, the subject as block."""
     lags = _busy(s, d).select("subject", "onset_t", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lag")).withColumn("t", F.col("onset_t") + F.col("lag"))
@@ -153,7 +158,7 @@ QUERIES = {
     "model_multi_lda_group": (lambda s, d: rounded(_group_pairs(s, d), "R", "P", digits=5), None),
     "model_gconn_partial": (lambda s, d: rounded(R.model_gconn_partial(_packed(s, d), _grams(s, d), K), "gconn"), None),
     "censor_interpolate_slice": (
-        lambda s, d: _energy(G.censor_interpolate(S.to_packed(fixture(s, d, "lattice_series"), ["subject", "z", "unit"]), fixture(s, d, "lattice_series").groupBy("subject", "z", "t").agg(F.sum("y").alias("v")).groupBy("subject", "z").agg(F.array(F.max_by("t", F.struct("v", "t"))).alias("times")), ["subject", "z"])),
+        lambda s, d: _energy(G.censor_interpolate(_slices(s, d), _busiest(s, d), ["subject", "z"])),
         None,
     ),
     "matrix_scan": (

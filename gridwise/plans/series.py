@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwise.fixtures import fixture
+from gridwise.fixtures import fixture, lattice_means
 from gridwise.operators import lattice as L
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
@@ -19,7 +19,7 @@ def _sd(s, d):
 
 def _map(s, d):
     """Mean over time of each cell."""
-    return fixture(s, d, "lattice_series").groupBy("subject", "unit", "x", "y_", "z").agg(F.round(F.avg("y"), 4).alias("v"))
+    return lattice_means(s, d).withColumn("v", F.round("v", 4))
 
 
 MAP = "WITH m AS (SELECT subject, unit, x, y_, z, round(avg(y), 4) AS v FROM ({lattice_series}) ls GROUP BY subject, unit, x, y_, z) "
