@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from gridwise.functions import special
 from gridwise.operators import gram as G
-from gridwise.operators.models import multiple_correlation
 from gridwise.operators.resampled import block_resamples
 from gridwise.operators.stats import correlation, fdr
 from gridwise.shared import stored
@@ -407,6 +406,55 @@ def model_ercva_multi(packed: DataFrame, variates: DataFrame, keys: Sequence[str
     return summary, z.join(chosen, each).select(*names, "unit", "component", "z")
 
 
+def map_edges(packed: DataFrame, parts: DataFrame, gradients: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, component, edge: multiple correlation over units of the squared map of each component (`parts`: keys, component, w) with the squared
+    gradients.  All maps of a unit are made together and enter the sums of their task; a row a group, component and task meets."""
+    names, axes = list(keys), ["fx", "fy_", "fz"]
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in names)
+    moments = f"{spec}, component int, n long, m array<double>, c array<double>"
+
+    def together(frame: pd.DataFrame) -> pd.DataFrame:
+        w = np.stack(frame.sort_values("component")["w"].to_numpy(), axis=1)
+        return pd.DataFrame([(*frame.iloc[0][names].tolist(), w.ravel())], columns=[*names, "m"])
+
+    def merged(a: list | None, b: list) -> list:
+        """Count, means and centred products (component by 4 by 4) of two sets of rows together."""
+        if a is None:
+            return b
+        n, d = a[0] + b[0], b[1] - a[1]
+        return [n, a[1] + d * (b[0] / n), a[2] + b[2] + d[:, :, None] * d[:, None, :] * (a[0] * b[0] / n)]
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for frame in frames:
+            for key, rows in frame.groupby(names, dropna=False):
+                v, g = np.stack(rows["y"].to_numpy()) ** 2, rows[axes].to_numpy(float)
+                mv, mg = v.mean(axis=0), g.mean(axis=0)
+                v, g = v - mv, g - mg
+                c = np.empty((v.shape[1], 4, 4))
+                c[:, 0, 0], c[:, 1:, 1:] = (v * v).sum(axis=0), g.T @ g
+                c[:, 0, 1:] = c[:, 1:, 0] = v.T @ g
+                held[key] = merged(held.get(key), [len(v), np.hstack([mv[:, None], np.tile(mg, (len(mv), 1))]), c])
+        yield pd.DataFrame([(*key, i + 1, n, m[i], c[i].ravel()) for key, (n, m, c) in held.items() for i in range(len(m))], columns=[*names, "component", "n", "m", "c"])
+
+    def edge(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for n, m, c in zip(frame["n"], frame["m"], frame["c"], strict=True):
+            whole = merged(whole, [n, np.asarray(m, float)[None], np.asarray(c, float).reshape(1, 4, 4)])
+        c = whole[2][0]
+        scale = np.sqrt(np.diag(c))
+        r = np.divide(c, np.outer(scale, scale), out=np.zeros((4, 4)), where=np.outer(scale, scale) > 0)
+        np.fill_diagonal(r, 1.0)
+        inner = np.linalg.det(r[1:, 1:])
+        share = 1 - np.linalg.det(r) / inner if inner > 1e-12 else 0.0
+        return pd.DataFrame([(*frame.iloc[0][[*names, "component"]].tolist(), float(np.sqrt(min(1.0, max(0.0, share)))))], columns=[*names, "component", "edge"])
+
+    operators = parts.groupBy(*names).applyInPandas(together, f"{spec}, m array<double>")
+    units = packed.select(*names, "unit", "y").join(gradients.select(*names, "unit", *(F.pow(a, 2).alias(a) for a in axes)), [*names, "unit"])
+    sums = G.apply_operators(units, operators, names).mapInPandas(partial, moments)
+    return sums.groupBy(*names, "component").applyInPandas(edge, f"{spec}, component int, edge double")
+
+
 def component_spikes(packed: DataFrame, grams: DataFrame, gradients: DataFrame, keys: Sequence[str], share: float = 0.95) -> DataFrame:
     """keys, component, w, spike, edge, temporal, spatial of the components of each group.
 
@@ -425,8 +473,7 @@ def component_spikes(packed: DataFrame, grams: DataFrame, gradients: DataFrame,
         return rows
 
     parts = stored(G.per_group(grams, names, "component int, w array<double>, spike double", use), "spike-components")
-    maps = G.back_project(packed, parts, names).join(gradients.select(*names, "unit", *(F.pow(a, 2).alias(a) for a in ("fx", "fy_", "fz"))), [*names, "unit"])
-    edges = multiple_correlation(maps.withColumn("_v", F.col("value") * F.col("value")), "_v", ["fx", "fy_", "fz"], [*names, "component"]).withColumnRenamed("r", "edge")
+    edges = map_edges(packed, parts, gradients, names)
     both = parts.join(edges, [*names, "component"], "left").fillna({"edge": 0.0})
     for value, flag in (("spike", "temporal"), ("edge", "spatial")):
         both = G.gamma_threshold(both, value, names).withColumn(flag, ((F.col(value) > F.col("threshold"))).cast("int")).drop("p", "threshold")

@@ -112,3 +112,24 @@ def test_interpolation_of_many_rows_at_once():
     y = np.random.default_rng(6).normal(size=(50, 30)).cumsum(axis=1)
     gone = {0, 7, 8, 20, 29}
     assert np.allclose(G._cubic(y, gone), [G._cubic(v, gone) for v in y])
+
+
+def test_edges_of_all_maps_from_sums_of_tasks(spark):
+    from gridwise.operators import canonical as C
+    from gridwise.operators import gram as G
+
+    r = np.random.default_rng(8)
+    y, w, g = r.normal(size=(60, 9)), r.normal(size=(9, 3)), r.normal(size=(60, 3)) + 5
+    packed = spark.createDataFrame([("s", u, y[u].tolist()) for u in range(60)], "subject string, unit long, y array<double>").repartition(7)
+    parts = spark.createDataFrame([("s", i + 1, w[:, i].tolist()) for i in range(3)], "subject string, component int, w array<double>")
+    slopes = spark.createDataFrame([("s", u, *map(float, g[u])) for u in range(60)], "subject string, unit long, fx double, fy_ double, fz double")
+    edges = C.map_edges(packed, parts, slopes, ["subject"])
+    x = np.hstack([np.ones((60, 1)), g**2])
+    for row in edges.collect():
+        v = (y @ w[:, row.component - 1]) ** 2
+        rest = v - x @ np.linalg.lstsq(x, v, rcond=None)[0]
+        assert row.edge == pytest.approx(np.sqrt(1 - (rest**2).sum() / ((v - v.mean()) ** 2).sum()))
+    assert edges.count() == 3
+    flat = spark.createDataFrame([("s", u, 1.0, 1.0, 1.0) for u in range(60)], "subject string, unit long, fx double, fy_ double, fz double")
+    assert [row.edge for row in C.map_edges(packed, parts, flat, ["subject"]).collect()] == [0.0] * 3
+    assert G.displacement(G.gram(packed, ["subject"]), ["subject"]).count() == 9
