@@ -8,6 +8,7 @@ from gridwise.fixtures import fixture, lattice_means
 from gridwise.operators import lattice as L
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
+from gridwise.shared import stored
 
 U = ["subject", "unit"]
 SD, LS = "WITH sd AS ({series_daily}) ", "WITH ls AS ({lattice_series}) "
@@ -22,6 +23,10 @@ def _map(s, d):
     return lattice_means(s, d).withColumn("v", F.round("v", 4))
 
 
+def _stored_map(s, d):
+    return stored(_map(s, d), "map")  # read more than once
+
+
 MAP = "WITH m AS (SELECT subject, unit, x, y_, z, round(avg(y), 4) AS v FROM ({lattice_series}) ls GROUP BY subject, unit, x, y_, z) "
 SEED = MAP + ", seed AS (SELECT subject, x, y_, z FROM m WHERE v > 12)"
 
@@ -35,6 +40,10 @@ def _weights(s, d):
     return _sd(s, d).select("unit").distinct().withColumn("w", 1.0 / (1 + F.col("unit") % 5))
 
 
+def _scattered(m):
+    return S.mask_scatter(m.select("subject", "unit"), m.filter("v > 5").select("subject", "unit", "v"), U, "v")
+
+
 QUERIES = {
     "drop_scans": (lambda s, d: S.drop_scans(_sd(s, d), 2, 3, ["subject"]), SD + "SELECT subject, unit, t - 2 AS t, y FROM (SELECT *, max(t) OVER (PARTITION BY subject) + 1 AS n FROM sd) q WHERE t >= 2 AND t <= n - 3 - 1"),
     "mask_gather": (
@@ -42,7 +51,7 @@ QUERIES = {
         "WITH sd AS ({series_daily}), bm AS ({binary_maps}) SELECT * FROM sd WHERE EXISTS (SELECT 1 FROM bm WHERE b = 1 AND bm.subject = sd.subject AND bm.unit = sd.unit)",
     ),
     "mask_scatter": (
-        lambda s, d: S.mask_scatter(_map(s, d).select("subject", "unit"), _map(s, d).filter("v > 5").select("subject", "unit", "v"), U, "v"),
+        lambda s, d: _scattered(_stored_map(s, d)),
         MAP + "SELECT subject, unit, CASE WHEN v > 5 THEN v ELSE 0 END AS v FROM m",
     ),
     "center_units": (lambda s, d: rounded(S.center_units(_sd(s, d), U), "y"), SD + "SELECT subject, unit, t, round(y - avg(y) OVER (PARTITION BY subject, unit), 6) + 0 AS y FROM sd"),
@@ -99,10 +108,10 @@ QUERIES = {
     ),
     "lattice_crop": (lambda s, d: L.lattice_crop(_map(s, d).drop("unit"), {"x": 1, "y_": 2}, {"x": 6, "y_": 5}), MAP + "SELECT subject, x - 1 AS x, y_ - 2 AS y_, z, v FROM m WHERE x BETWEEN 1 AND 6 AND y_ BETWEEN 2 AND 5"),
     "lattice_pad": (
-        lambda s, d: L.lattice_pad(_map(s, d).drop("unit"), "v", ["subject"], "x", 1, 2),
+        lambda s, d: L.lattice_pad(_stored_map(s, d).drop("unit"), "v", ["subject"], "x", 1, 2),
         MAP + "SELECT subject, x + 1 AS x, y_, z, v FROM m UNION ALL SELECT DISTINCT subject, p, y_, z, 0 FROM m, (VALUES (0), (9), (10)) q(p)",
     ),
-    "lattice_flip": (lambda s, d: L.lattice_flip(_map(s, d).drop("unit"), ["subject"]), MAP + "SELECT subject, 7 - x AS x, y_, z, v FROM m"),
+    "lattice_flip": (lambda s, d: L.lattice_flip(_stored_map(s, d).drop("unit"), ["subject"]), MAP + "SELECT subject, 7 - x AS x, y_, z, v FROM m"),
     "symmetric_template": (
         lambda s, d: rounded(L.symmetric_template(_map(s, d), "v", "subject"), "v"),
         MAP + ", a AS (SELECT x, y_, z, avg(v) AS v FROM m GROUP BY x, y_, z) SELECT a.x, a.y_, a.z, round((a.v + b.v) / 2, 6) AS v FROM a JOIN a b ON b.x = 7 - a.x AND b.y_ = a.y_ AND b.z = a.z",
