@@ -308,6 +308,20 @@ def perfusion_pairs(frames: DataFrame) -> DataFrame:
     return p.select("unit", "pair", (F.col("_c") - F.col("_l")).alias("perfusion"), ((F.col("_c") + F.col("_l")) / 2).alias("bold"))
 
 
+def perfusion_pairs_packed(packed: DataFrame) -> DataFrame:
+    """`perfusion_pairs` of packed frames (unit, times, y): the packed rows with `pairs`, (pair, c, l) in order, made in place."""
+    time = lambda i: F.get("times", i)
+    next_to = lambda i: (time(i) % 2 == 0) & (time(i + 1) % 2 == 1) & (time(i + 1) == time(i) + 1)
+    places = F.when(F.size("times") > 1, F.filter(F.sequence(F.lit(0), F.size("times") - 2), next_to)).otherwise(F.array().cast("array<int>"))
+    return packed.withColumn("pairs", F.transform(places, lambda i: F.struct(F.floor(time(i) / 2).alias("pair"), F.get("y", i).alias("c"), F.get("y", i + 1).alias("l"))))
+
+
+def perfusion_rows(pairs: DataFrame) -> DataFrame:
+    """unit, pair, perfusion and bold of packed pairs."""
+    p = pairs.select("unit", F.explode("pairs").alias("_p"))
+    return p.select("unit", "_p.pair", (F.col("_p.c") - F.col("_p.l")).alias("perfusion"), ((F.col("_p.c") + F.col("_p.l")) / 2).alias("bold"))
+
+
 def perfusion_surround(frames: DataFrame) -> DataFrame:
     """Each label frame against the mean of the control frames beside it (one at the ends)."""
     w = Window.partitionBy("unit").orderBy("t")
@@ -340,7 +354,16 @@ def perfusion_order_check(frames: DataFrame) -> DataFrame:
 
 def perfusion_cbf(perfusion: DataFrame, m0: DataFrame, slice_time: float = 0.05, ti1: float = 0.7, ti2: float = 1.8, t1: float = 1.66, efficiency: float = 0.95, blood: float = 0.9, decay: float = 1.0) -> DataFrame:
     """Mean flow of each unit (`m0`: unit, z, m0)."""
-    p = perfusion.groupBy("unit").agg(F.avg("perfusion").alias("_d")).join(m0, "unit")
+    return _flow(perfusion.groupBy("unit").agg(F.avg("perfusion").alias("_d")).join(m0, "unit"), slice_time, ti1, ti2, t1, efficiency, blood, decay)
+
+
+def perfusion_cbf_packed(pairs: DataFrame, slice_time: float = 0.05, ti1: float = 0.7, ti2: float = 1.8, t1: float = 1.66, efficiency: float = 0.95, blood: float = 0.9, decay: float = 1.0) -> DataFrame:
+    """`perfusion_cbf` of packed pairs (unit, z, m0, pairs), a row a unit at a time; units without a pair have no row."""
+    mean = F.aggregate("pairs", F.lit(0.0), lambda s, p: s + (p["c"] - p["l"])) / F.size("pairs")
+    return _flow(pairs.filter("unit IS NOT NULL AND size(pairs) > 0").withColumn("_d", mean), slice_time, ti1, ti2, t1, efficiency, blood, decay)
+
+
+def _flow(p: DataFrame, slice_time: float, ti1: float, ti2: float, t1: float, efficiency: float, blood: float, decay: float) -> DataFrame:
     flow = 6e6 * blood * F.col("_d") / (2 * F.col("m0") * F.exp(-(ti2 + F.col("z") * slice_time) / t1) * ti1 * efficiency * decay)
     return p.select("unit", flow.alias("cbf"))
 
