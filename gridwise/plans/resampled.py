@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridwise.fixtures import fixture, in_spark
+from gridwise.fixtures import CELLS, dense, fixture, in_spark, lines
 from gridwise.operators import compromise as P
 from gridwise.operators import gram as G
 from gridwise.operators import groups
@@ -18,10 +18,11 @@ from gridwise.operators import selection as C
 from gridwise.operators import series as S
 from gridwise.operators.stats import rounded
 from gridwise.shared import shared_folder
-from gridwise.plans.linear import K, _classes, _energy, _grams, _half, _packed, _regressors, _slices
+from gridwise.plans.linear import K, _classes, _energy, _grams, _half, _packed, _regressors
 from gridwise.sources import text as X
 from gridwise.sources import volumes
 
+SLICE = CELLS[2].removesuffix(" AS z")
 SUBJECTS = ("click", "error", "purchase", "signup", "view")
 
 
@@ -113,9 +114,10 @@ def _resamples(s, d):
     return M.split_half_resamples(fixture(s, d, "series_daily").select("subject").distinct(), 6)
 
 
-def _busiest(s, d):
-    """The time of each slice with the greatest sum."""
-    return fixture(s, d, "lattice_series").groupBy("subject", "z", "t").agg(F.sum("y").alias("v")).groupBy("subject", "z").agg(F.array(F.max_by("t", F.struct("v", "t"))).alias("times"))
+def _whole_slices(s, d):
+    """Series of whole slices: the given rows are dealt out by slice, so that its units meet without an exchange of what is dense."""
+    series, times = lines(s, d, "lattice_series", deal=SLICE)
+    return dense(series, times, ["_deal"]).withColumnRenamed("_deal", "z")
 
 
 def _event_windows(s, d):
@@ -158,7 +160,7 @@ QUERIES = {
     "model_multi_lda_group": (lambda s, d: rounded(_group_pairs(s, d), "R", "P", digits=5), None),
     "model_gconn_partial": (lambda s, d: rounded(R.model_gconn_partial(_packed(s, d), _grams(s, d), K), "gconn"), None),
     "censor_interpolate_slice": (
-        lambda s, d: _energy(G.censor_interpolate(_slices(s, d), _busiest(s, d), ["subject", "z"])),
+        lambda s, d: _energy(G.censor_busiest(_whole_slices(s, d), ["subject", "z"])),
         None,
     ),
     "matrix_scan": (
