@@ -6,20 +6,23 @@ over time, and units are seen again only to be projected on them.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridwise.functions import special
 from gridwise.operators import gram as G
 from gridwise.operators.resampled import block_resamples
-from gridwise.operators.stats import correlation, fdr
-from gridwise.shared import stored
+from gridwise.operators.stats import fdr
+from gridwise.shared import BROADCAST_BYTES, stored
 
 
 def canonical(sxx: np.ndarray, syy: np.ndarray, sxy: np.ndarray, n: int, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
@@ -157,18 +160,284 @@ def regress_out(packed: DataFrame, regressors: DataFrame, keys: Sequence[str], k
     return G.apply_operators(packed, stored(held.mapInPandas(run, f"{spec}, m array<double>"), "regress-out"), names)
 
 
+#: Bins of the shares of variance, even in their square root, that place the medians.
+SHARE_BINS = 1024
+#: Values that a task holds before equal ones are put together.
+HELD_VALUES = 4_000_000
+
+
+def _by_group(units: DataFrame, table: DataFrame, names: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple]]]:
+    """Units (keys, unit, runs, weight) beside the rows of their group in `table`; and a function that gives for each group of a batch its key, the
+    places of its units and those rows.  Small tables go to every task; larger ones are joined."""
+    rows = stored(table.groupBy(*names).agg(F.collect_list(F.struct(*columns)).alias("_rows")), "group-rows")
+    sized = F.aggregate("_rows", F.lit(0), lambda s, r: s + 64 + (F.size(r["w"]) * 8 if "w" in columns else 0))
+    many = (rows.agg(F.sum(sized)).first()[0] or 0) > BROADCAST_BYTES
+    held = None if many else units.sparkSession.sparkContext.broadcast({tuple(r[k] for k in names): r["_rows"] for r in rows.collect()})
+    units = units.join(rows, list(names)) if many else units
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple]:
+        at: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in names), strict=True) if names else [()] * len(batch)):
+            at.setdefault(key, []).append(i)
+        for key, places in at.items():
+            own = batch.column("_rows")[places[0]].as_py() if held is None else held.value.get(key)
+            if own:
+                yield key, np.asarray(places), own
+
+    return units, groups
+
+
+class _Runs:
+    """The runs of a batch of units, without an object a unit."""
+
+    def __init__(self, batch: pa.RecordBatch, run: str):
+        runs = batch.column("runs")
+        self.unit = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+        flat = runs.flatten()
+        series = flat.field("y")
+        self.name, self.ends, self.first = np.asarray(flat.field(run).to_pylist(), object), series.offsets.to_numpy(), series.offsets.to_numpy()[0]
+        self.y = series.flatten().to_numpy(zero_copy_only=False)
+
+    def shares(self, places: np.ndarray, courses: dict) -> Iterator[tuple]:
+        """For each run in `courses` (run: times by courses): the run, its units among `places`, and their shares of variance on each course."""
+        mine = np.isin(self.unit, places)
+        for name, m in courses.items():
+            at = np.flatnonzero(mine & (self.name == name))
+            if len(at):
+                y = self.y[(self.ends[at] - self.first)[:, None] + np.arange(len(m))]
+                energy = (y * y).sum(axis=1) - y.sum(axis=1) ** 2 / len(m)
+                yield name, self.unit[at], (y @ m) ** 2 / np.maximum(energy, 2.0**-52)[:, None]
+
+
+def _matrices(rows: list, run: str) -> tuple[dict, dict]:
+    """Of course rows: times by courses of each run, and the rows of these courses, both in order of place."""
+    own: dict = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        own.setdefault(r[run], []).append(r)
+    return {name: np.stack([np.asarray(r["w"], float) for r in x], axis=1) for name, x in own.items()}, own
+
+
+def _schema(spec: str) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(spec).fields])
+
+
+def _table(schema: pa.Schema, keys: list[tuple], values: dict) -> pa.RecordBatch:
+    """A batch whose first columns are the keys of each row; `values` names the others."""
+    named = [n for n in schema.names if n not in values]
+    return pa.RecordBatch.from_pydict({n: [k[i] for k in keys] for i, n in enumerate(named)} | values, schema=schema)
+
+
+def _bins(shares: np.ndarray) -> np.ndarray:
+    return np.minimum(np.sqrt(shares) * SHARE_BINS, SHARE_BINS - 1).astype(np.int64)
+
+
+def _median_shares(units: DataFrame, courses: DataFrame, names: Sequence[str], run: str, margin: float) -> DataFrame:
+    """keys, run, place, outside, inside: exact medians of the shares of units of low and of high weight on each course.
+
+    One pass counts shares by bins, which tells the bins that hold the middle values and how many lie before them; another brings the values
+    of these bins together, equal ones as one with their count.
+    """
+    each = [*names, run]
+    beside, groups = _by_group(units, courses, names, [run, "place", "w"])
+    keyed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in each for f in courses.schema.fields if f.name == c)
+    one, two = f"{keyed}, place int, side int, counts array<bigint>", f"{keyed}, place int, side int, value array<double>, n array<bigint>"
+
+    of_one, of_two = _schema(one), _schema(two)
+
+    def sides(weight: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(invalid="ignore"):
+            return [weight < 0.5 - margin / 2, weight > 0.5 + margin / 2]
+
+    def weights(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("weight").cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        known: dict[tuple, dict] = {}
+
+        def rows() -> pa.RecordBatch:
+            flat = [((*key,), p, s, c[s, p]) for key, c in held.items() for s in (0, 1) for p in range(c.shape[1])]
+            return _table(of_one, [x[0] for x in flat], {"place": [x[1] for x in flat], "side": [x[2] for x in flat], "counts": [x[3] for x in flat]})
+
+        for batch in batches:
+            runs, weight = _Runs(batch, run), weights(batch)
+            for key, places, own in groups(batch):
+                matrices = known.get(key) or _matrices(own, run)[0]
+                known = {**known, key: matrices} if len(known) < 64 else {key: matrices}
+                for name, at, v in runs.shares(places, matrices):
+                    bins, p = _bins(v), v.shape[1]
+                    total = held.setdefault((*key, name), np.zeros((2, p, SHARE_BINS), np.int64))
+                    for s, side in enumerate(sides(weight[at])):
+                        total[s] += np.bincount((bins[side] + np.arange(p) * SHARE_BINS).ravel(), minlength=p * SHARE_BINS).reshape(p, SHARE_BINS)
+            if sum(c.nbytes for c in held.values()) > BROADCAST_BYTES:  # many groups
+                yield rows()
+                held.clear()
+        yield rows()
+
+    def place_middle(key: tuple, table: pa.Table) -> pa.Table:
+        counts = np.sum([np.asarray(c, np.int64) for c in table.column("counts").to_pylist()], axis=0)
+        ends, n = counts.cumsum(), int(counts.sum())
+        low, high = (int(np.searchsorted(ends, k, side="right")) if n else 0 for k in ((n - 1) // 2, n // 2))
+        picked = table.slice(0, 1).select([*each, "place", "side"])
+        for c, v in (("low", low), ("high", high), ("n", n), ("before", int(ends[low] - counts[low]))):
+            picked = picked.append_column(c, pa.array([v], pa.int64()))
+        return picked
+
+    bounds = stored(beside.mapInArrow(count, one).groupBy(*each, "place", "side").applyInArrow(place_middle, f"{keyed}, place int, side int, low long, high long, n long, before long"), "physio-bounds")
+    with_bounds = courses.select(*each, "place", "w").join(bounds.groupBy(*each, "place").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("low", "high")))).alias("_b")), [*each, "place"], "left")
+    with_bounds = with_bounds.select(*each, "place", "w", *(F.coalesce(F.try_element_at("_b", F.lit(s))[c], F.lit(-1)).alias(f"{c}{s}") for s in (0, 1) for c in ("low", "high")))
+    beside_two, groups_two = _by_group(units, with_bounds, names, [run, "place", "w", "low0", "high0", "low1", "high1"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        known: dict[tuple, tuple] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            flat = [(key, *np.unique(np.concatenate(v), return_counts=True)) for key, v in held.items()]
+            return _table(of_two, [x[0][:-2] for x in flat], {"place": [x[0][-2] for x in flat], "side": [x[0][-1] for x in flat], "value": [x[1] for x in flat], "n": [x[2] for x in flat]})
+
+        for batch in batches:
+            runs, weight = _Runs(batch, run), weights(batch)
+            for key, places, own in groups_two(batch):
+                if key not in known:
+                    matrices, listed = _matrices(own, run)
+                    limits = {name: np.asarray([[r[f"{c}{s}"] for c in ("low", "high") for s in (0, 1)] for r in x]).T.reshape(2, 2, -1) for name, x in listed.items()}
+                    known = {**known, key: (matrices, limits)} if len(known) < 64 else {key: (matrices, limits)}
+                matrices, limits = known[key]
+                for name, at, v in runs.shares(places, matrices):
+                    bins = _bins(v)
+                    for s, side in enumerate(sides(weight[at])):
+                        low, high = limits[name][:, s]
+                        values, mine = v[side], bins[side]
+                        r, p = np.nonzero((mine == low) | (mine == high))
+                        order = np.argsort(p, kind="stable")
+                        r, p = r[order], p[order]
+                        size += len(p)
+                        starts = np.flatnonzero(np.diff(p, prepend=-1))
+                        for a, b in zip(starts, [*starts[1:], len(p)], strict=True):
+                            held.setdefault((*key, name, int(p[a]), s), []).append(values[r[a:b], p[a]])
+            if size > HELD_VALUES:
+                yield rows()
+                held.clear()
+                size = 0
+        yield rows()
+
+    def middle(key: tuple, table: pa.Table) -> pa.Table:
+        before, n = table.column("before")[0].as_py(), table.column("_total")[0].as_py()
+        value, count = (np.concatenate([np.asarray(x) for x in table.column(c).to_pylist()]) for c in ("value", "n"))
+        order = np.argsort(value)
+        ends = count[order].cumsum()
+        low, high = (float(value[order][np.searchsorted(ends, k - before, side="right")]) for k in ((n - 1) // 2, n // 2))
+        return table.slice(0, 1).select([*each, "place", "side"]).append_column("median", pa.array([0.5 * low + 0.5 * high]))
+
+    near = beside_two.mapInArrow(pick, two).join(bounds.select(*each, "place", "side", "before", F.col("n").alias("_total")), [*each, "place", "side"])
+    found = near.groupBy(*each, "place", "side").applyInArrow(middle, f"{keyed}, place int, side int, median double")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("median")))
+    return found.groupBy(*each, "place").agg(side(0).alias("outside"), side(1).alias("inside"))
+
+
+def _summed_shares(runs: _Runs, places: np.ndarray, matrices: dict, listed: dict, ks: list) -> dict:
+    """For each run its units and the sums of shares over the courses of each k."""
+    return {name: (at, v @ np.asarray([[float(r["k"] == k) for k in ks] for r in listed[name]])) for name, at, v in runs.shares(places, matrices)}
+
+
+def _agreement(units: DataFrame, courses: DataFrame, names: Sequence[str], run: str) -> DataFrame:
+    """keys, k, _i, _j, _r, _sa, _sb: for each pair of runs the correlation over units of the summed shares of the courses of a k, and the deviations of both."""
+    beside, groups = _by_group(units, courses, names, [run, "k", "place", "w"])
+    of = {f.name: f.dataType.simpleString() for f in courses.schema.fields}
+    sums = ["n", "ma", "mb", "aa", "bb", "ab"]
+    by = [*names, "k", "_i", "_j"]
+    spec = ", ".join([*(f"`{c}` {of[c]}" for c in names), "k int", *(f"`{c}` {of[run]}" for c in ("_i", "_j")), *(f"{c} double" for c in sums)])
+
+    schema = _schema(spec)
+
+    def moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ma, mb = a.mean(axis=0), b.mean(axis=0)
+        return np.stack([np.full(a.shape[1], float(len(a))), ma, mb, ((a - ma) ** 2).sum(axis=0), ((b - mb) ** 2).sum(axis=0), ((a - ma) * (b - mb)).sum(axis=0)])
+
+    def merged(x: np.ndarray | None, y: np.ndarray) -> np.ndarray:
+        if x is None:
+            return y
+        n, da, db = x[0] + y[0], y[1] - x[1], y[2] - x[2]
+        f = x[0] * y[0] / n
+        return np.stack([n, x[1] + da * y[0] / n, x[2] + db * y[0] / n, x[3] + y[3] + da * da * f, x[4] + y[4] + db * db * f, x[5] + y[5] + da * db * f])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for batch in batches:
+            runs = _Runs(batch, run)
+            for key, places, own in groups(batch):
+                ks = sorted({r["k"] for r in own})
+                maps = _summed_shares(runs, places, *_matrices(own, run), ks)
+                for i, j in itertools.combinations(sorted(maps), 2):
+                    _, a, b = np.intersect1d(maps[i][0], maps[j][0], return_indices=True)
+                    if len(a):
+                        before = held.get((*key, i, j))
+                        held[(*key, i, j)] = (ks, merged(before and before[1], moments(maps[i][1][a], maps[j][1][b])))
+        flat = [(key, k, *m[:, c]) for key, (ks, m) in held.items() for c, k in enumerate(ks)]
+        values = {"k": [x[1] for x in flat], "_i": [x[0][-2] for x in flat], "_j": [x[0][-1] for x in flat]}
+        yield _table(schema, [x[0] for x in flat], values | {c: [x[2 + i] for x in flat] for i, c in enumerate(sums)})
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows, total = np.stack([table.column(c).to_numpy() for c in sums], axis=1), None
+        for row in rows:
+            total = merged(total, row[:, None])
+        n, _, _, aa, bb, ab = total[:, 0]
+        r = ab / math.sqrt(aa) / math.sqrt(bb) if aa > 0 and bb > 0 else None
+        deviation = [math.sqrt(x / (n - 1)) if n > 1 else None for x in (aa, bb)]
+        out = table.slice(0, 1).select(by)
+        for c, v in zip(("_r", "_sa", "_sb"), (r, *deviation), strict=True):
+            out = out.append_column(c, pa.array([v], pa.float64()))
+        return out
+
+    keyed = ", ".join(spec.split(", ")[: len(by)])
+    return beside.mapInArrow(partial, spec).groupBy(*by).applyInArrow(whole, f"{keyed}, _r double, _sa double, _sb double")
+
+
+def _reproducible_map(units: DataFrame, courses: DataFrame, agreement: DataFrame, names: Sequence[str], run: str) -> DataFrame:
+    """keys, unit, z: mean over pairs of runs of the reproducible map of the courses; a pair that does not vary, or agrees in full, has none."""
+    pairs = agreement.groupBy(*names).agg(F.collect_list(F.struct("_i", "_j", "_r", "_sa", "_sb")).alias("pairs"))
+    beside, groups = _by_group(units, courses.join(pairs, list(names)), names, [run, "k", "place", "w", "pairs"])
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in [*names, "unit"] for f in units.schema.fields if f.name == c) + ", z double"
+
+    def run_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = _Runs(batch, run)
+            for _, places, own in groups(batch):
+                maps = _summed_shares(runs, places, *_matrices(own, run), [own[0]["k"]])
+                total, n, met = np.zeros(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), bool)
+                for p in own[0]["pairs"]:
+                    if p["_i"] not in maps or p["_j"] not in maps:
+                        continue
+                    at, a, b = np.intersect1d(maps[p["_i"]][0], maps[p["_j"]][0], return_indices=True)
+                    met[at] = True
+                    if p["_r"] is not None and p["_r"] < 1 and p["_sa"] and p["_sb"]:
+                        total[at] += (maps[p["_i"]][1][a, 0] / p["_sa"] + maps[p["_j"]][1][b, 0] / p["_sb"]) / math.sqrt(2) / math.sqrt(1 - p["_r"])
+                        n[at] += 1
+                at = np.flatnonzero(met)
+                z = pa.array(total[at] / np.maximum(n[at], 1), mask=n[at] == 0)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in [*names, "unit"]), z], names=[*names, "unit", "z"])
+
+    return beside.mapInArrow(run_map, spec)
+
+
 def physio_components(packed: DataFrame, tissue: DataFrame, keys: Sequence[str], run: str = "run", limit: int = 50, cutoff: float = 0.05, margin: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Physiological components of the runs (keys, run, unit, y) of each group; `tissue` (keys, unit, weight) is low where a unit is not
     neuronal.  Gives (summary, regressors, map).
 
-    For every number k of principal components each run's autocorrelated courses are found, all in one pass over its Gram matrix, and every
-    unit's share of variance on each of them in one projection.  A course is kept if the median share of units under 0.5 - margin / 2 is not
+    For every number k of principal components each run's autocorrelated courses are found, all in one pass over its Gram matrix.  A unit's share
+    of variance on each of them is worked out anew wherever it is asked for, from the unit's stored series: there are some hundred to a run, and
+    only counts, sums and the values about a median leave a task.  A course is kept if the median share of units under 0.5 - margin / 2 is not
     less than that of units over 0.5 + margin / 2.  The k wins whose maps of summed shares agree best over the pairs of runs; a k without kept
     courses in some run does not take part.  summary: keys, k, R, components (mean over runs); regressors: keys, run, component, w; map:
     keys, unit, z (mean over pairs of runs of the reproducible map).  A group of one run, or where no k takes part, gives no rows.
     """
     names, each = list(keys), [*keys, run]
-    grams = stored(G.gram(packed, each), "physio-grams")
+    series = packed.groupBy(*names, "unit").agg(F.sort_array(F.collect_list(F.struct(F.col(run), "y"))).alias("runs"))
+    units = stored(series.join(tissue.select(*names, "unit", "weight"), [*names, "unit"], "left"), "physio-units")  # all runs of a unit
+    each_run = units.select(*names, "unit", F.explode("runs").alias("_r")).select(*names, F.col("_r")[run].alias(run), "unit", F.col("_r.y").alias("y"))
+    grams = stored(G.gram(each_run, each), "physio-grams")
     shortest = grams.groupBy(*names).agg(F.min(F.size("sums")).alias("_t"))
     sized = grams.join(shortest, names)
     found = None
@@ -179,36 +448,19 @@ def physio_components(packed: DataFrame, tissue: DataFrame, keys: Sequence[str],
         found = G.per_group(grams, each, "k int, component int, w array<double>", lambda g, _s, _n: lagged_courses(g, 3, cutoff))
     place = F.row_number().over(Window.partitionBy(*each).orderBy("k", "component")) - 1  # some hundreds a run
     courses = stored(found.withColumn("place", place), "physio-courses")
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in each)
-
-    def together(frame: pd.DataFrame) -> pd.DataFrame:
-        w = np.stack(frame.sort_values("place")["w"].to_numpy(), axis=1)
-        return pd.DataFrame([(*frame.iloc[0][each].tolist(), w.ravel())], columns=[*each, "m"])
-
-    operators = stored(courses.groupBy(*each).applyInPandas(together, f"{spec}, m array<double>"), "physio-operators")
-    total, square = F.aggregate("y", F.lit(0.0), lambda s, v: s + v), F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v)
-    projected = G.apply_operators(packed.select(*each, "unit", "y", (square - total * total / F.size("y")).alias("energy")), operators, each)
-    shares = projected.select(*each, "unit", "energy", F.posexplode("y").alias("place", "beta"))
-    shares = shares.select(*each, "unit", "place", (F.col("beta") * F.col("beta") / F.greatest("energy", F.lit(2.0**-52))).alias("v"))
-    shares = stored(shares.join(courses.drop("w"), [*each, "place"]), "physio-shares")
 
     own = [*each, "k", "component"]
-    low, high = F.col("weight") < 0.5 - margin / 2, F.col("weight") > 0.5 + margin / 2
-    medians = shares.join(tissue.select(*names, "unit", "weight"), [*names, "unit"]).groupBy(*own).agg(F.median(F.when(low, F.col("v"))).alias("outside"), F.median(F.when(high, F.col("v"))).alias("inside"))
-    kept = stored(medians.filter((F.col("outside") >= F.col("inside")) & (F.col("outside") > 0)).select(*own), "physio-kept")
-    runs = packed.select(*each).distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("_runs"))
+    medians = _median_shares(units, courses, names, run, margin)
+    kept = stored(courses.drop("w").join(medians, [*each, "place"]).filter((F.col("outside") >= F.col("inside")) & (F.col("outside") > 0)).select(*own, "place"), "physio-kept")
+    runs = grams.groupBy(*names).agg(F.count(F.lit(1)).alias("_runs"))
     whole = kept.groupBy(*names, "k").agg(F.countDistinct(run).alias("_have"), F.count(F.lit(1)).alias("_kept")).join(runs, names).filter("_have = _runs AND _runs > 1")
-    maps = stored(shares.join(kept, own).join(whole.select(*names, "k"), [*names, "k"]).groupBy(*each, "k", "unit").agg(F.sum("v").alias("v")), "physio-maps")
-    one, two = maps.withColumnsRenamed({run: "_i", "v": "_a"}), maps.withColumnsRenamed({run: "_j", "v": "_b"})
-    pairs = one.join(two, [*names, "k", "unit"]).filter(F.col("_i") < F.col("_j"))
-    agreement = pairs.groupBy(*names, "k", "_i", "_j").agg(correlation("_a", "_b").alias("_r"), F.stddev_samp("_a").alias("_sa"), F.stddev_samp("_b").alias("_sb"))
-    agreement = stored(agreement, "physio-agreement")
+    taking = kept.join(whole.select(*names, "k"), [*names, "k"]).select(*own, "place")
+    agreement = stored(_agreement(units, courses.join(taking, [*own, "place"]), names, run), "physio-agreement")
     best = agreement.groupBy(*names, "k").agg(F.avg("_r").alias("R")).groupBy(*names).agg(F.max_by(F.struct("k", "R"), F.struct("R", -F.col("k"))).alias("_best")).select(*names, "_best.*")
     summary = stored(best.join(whole.select(*names, "k", (F.col("_kept") / F.col("_runs")).alias("components")), [*names, "k"]), "physio-summary")
-    regressors = courses.join(kept, own).join(summary.select(*names, "k"), [*names, "k"]).select(*each, "component", "w")
-    z = (F.col("_a") / F.col("_sa") + F.col("_b") / F.col("_sb")) / math.sqrt(2) / F.sqrt(1 - F.col("_r"))
-    chosen = agreement.join(summary.select(*names, "k"), [*names, "k"])
-    spm = pairs.join(chosen, [*names, "k", "_i", "_j"]).groupBy(*names, "unit").agg(F.avg(z).alias("z"))
+    chosen = courses.join(kept, [*own, "place"]).join(summary.select(*names, "k"), [*names, "k"])
+    regressors = chosen.select(*each, "component", "w")
+    spm = _reproducible_map(units, chosen, agreement.join(summary.select(*names, "k"), [*names, "k"]), names, run)
     return summary, regressors, spm
 
 

@@ -97,3 +97,26 @@ def test_layers_and_mirrors_keep_a_group_spread_over_tasks(spark):
 def test_maps_that_are_read_twice_are_made_once(spark):
     for made in (series.QUERIES["mask_scatter"][0](spark, SF), sources.QUERIES["artifact_priors"][0](spark, SF)):
         assert "lineitem" not in plan(made)
+
+
+def test_shares_of_units_are_not_stored_a_row_a_course(spark, monkeypatch):
+    from gridwise.operators import canonical as C
+
+    r = np.random.default_rng(3)
+    runs = [r.normal(size=(9, 12)), r.normal(size=(9, 12))]
+    weight = [0.1, 0.2, 0.3, 0.4, 0.9, 0.9, 0.8, 0.5, None]
+    for y in runs:
+        y[1] = y[0]  # equal shares
+    packed = spark.createDataFrame([("s", k, u, y[u].tolist()) for k, y in enumerate(runs) for u in range(9)], "subject string, run long, unit long, y array<double>")
+    tissue = spark.createDataFrame([("s", u, w) for u, w in enumerate(weight)], "subject string, unit long, weight double")
+    w = np.linalg.qr(np.hstack([np.ones((12, 1)), r.normal(size=(12, 4))]))[0][:, 1:]
+    courses = spark.createDataFrame([("s", k, p, w[:, p].tolist()) for k in range(2) for p in range(4)], "subject string, run long, place int, w array<double>")
+    units = packed.groupBy("subject", "unit").agg(F.sort_array(F.collect_list(F.struct("run", "y"))).alias("runs")).join(tissue, ["subject", "unit"], "left")
+    for row in C._median_shares(units, courses, ["subject"], "run", 0.0).collect():
+        x = runs[row.run] - runs[row.run].mean(axis=1, keepdims=True)
+        v = (x @ w[:, row.place]) ** 2 / (x**2).sum(axis=1)
+        assert (row.outside, row.inside) == (pytest.approx(np.median(v[:4])), pytest.approx(np.median(v[4:7])))
+    seen, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, label: seen.append(df.columns) or stored(df, label))
+    C.physio_components(packed, tissue, ["subject"])
+    assert seen and not any("unit" in c and ("place" in c or "k" in c) for c in seen)
