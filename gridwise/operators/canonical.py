@@ -315,7 +315,7 @@ def _median_shares(units: DataFrame, courses: DataFrame, names: Sequence[str], r
                         r, p = r[order], p[order]
                         size += len(p)
                         starts = np.flatnonzero(np.diff(p, prepend=-1))
-                        for a, b in zip(starts, [*starts[1:], len(p)], strict=True):
+                        for a, b in zip(starts, np.append(starts, len(p))[1:], strict=True):  # none without a value in those bins
                             held.setdefault((*key, name, int(p[a]), s), []).append(values[r[a:b], p[a]])
             if size > HELD_VALUES:
                 yield rows()
