@@ -58,11 +58,6 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
-#: Where the k-th one of a byte is, from its lowest bit on.
-_SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [8] * 8)[k] for k in range(8)] for b in range(256)], np.int64)
-
-
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits as unary gaps in a bit vector; about two bits and the logarithm of the
     mean gap for each value."""
@@ -72,8 +67,7 @@ class EliasFano:
         self.high = np.frombuffer(raw, np.uint8, high_bytes, 24)
         self.low = np.frombuffer(raw, np.uint8, (self.n * self.low_bits + 7) // 8 + 8, 24 + high_bytes)
         self.words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))  # eight bytes from each byte on
-        counts = _ONES[self.high]
-        self.ones, self.zeros = np.cumsum(counts, dtype=np.int64), np.cumsum(8 - counts, dtype=np.int64)
+        self._ones = self._runs = None  # directories of the high bits, made when they are first asked for
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -109,19 +103,15 @@ class EliasFano:
             out |= further << (np.uint64(64) - np.maximum(shift, np.uint64(1)))
         return out & np.uint64((1 << self.low_bits) - 1)
 
-    def _select(self, bits: np.ndarray, inverted: int) -> np.ndarray:
-        """Position of the k-th one (or zero, if inverted is 255) for each k of `bits`, from 0: the byte by a directory of counts, the bit
-        by a table; behind the last one, the end."""
-        directory = self.zeros if inverted else self.ones
-        byte = np.searchsorted(directory, bits, side="right")
-        inside = np.minimum(byte, len(self.high) - 1)
-        nth = bits - np.where(byte, directory[np.maximum(byte, 1) - 1], 0)
-        found = inside * 8 + _SELECT[self.high[inside] ^ np.uint8(inverted), np.minimum(nth, 7)]
-        return np.where(byte < len(self.high), found, 8 * len(self.high))
+    def _selected(self, bit: int) -> np.ndarray:
+        """Position of each one (or zero) among the high bits, in 32 bits."""
+        return np.flatnonzero(np.unpackbits(self.high, bitorder="little") == bit).astype(np.int32)
 
     def at(self, places: np.ndarray) -> np.ndarray:
         """The values at these places."""
-        high = self._select(places, 0) - places
+        if self._ones is None:
+            self._ones = self._selected(1)
+        high = self._ones[places] - places
         return ((high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(places)).astype(np.int64)
 
     def find(self, values: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -131,20 +121,26 @@ class EliasFano:
         ask = np.arange(len(values)) if wanted is None else np.flatnonzero(wanted)
         if not self.n or not len(ask):
             return out
+        if self._runs is None:  # where the values of each number of high bits begin; behind the last of them, n
+            zeros = self._selected(0)
+            self._runs = np.concatenate([[0], np.minimum(zeros - np.arange(len(zeros)), self.n), [self.n, self.n]]).astype(np.int32)
         v = values[ask].astype(np.uint64)
-        high, low = (v >> np.uint64(self.low_bits)).astype(np.int64), v & np.uint64((1 << self.low_bits) - 1)
-        left = np.where(high > 0, np.minimum(self._select(np.maximum(high - 1, 0), 255) - np.maximum(high - 1, 0), self.n), 0)
-        end = np.minimum(self._select(high, 255) - high, self.n)
-        right = end.copy()
-        open_ = np.flatnonzero(left < right)
-        while len(open_):
-            middle = (left[open_] + right[open_]) >> 1
-            less = self._low(middle) < low[open_]
-            left[open_[less]] = middle[less] + 1
-            right[open_[~less]] = middle[~less]
-            open_ = open_[left[open_] < right[open_]]
-        inside = left < end
-        hit = inside & (self._low(np.minimum(left, self.n - 1)) == low)
+        high = np.minimum(v >> np.uint64(self.low_bits), np.uint64(len(self._runs) - 2)).astype(np.int64)
+        left, end = self._runs[high].astype(np.int64), self._runs[high + 1].astype(np.int64)
+        some = left < end
+        if not some.all():
+            ask, v, left, end = ask[some], v[some], left[some], end[some]
+        low = v & np.uint64((1 << self.low_bits) - 1)
+        open_ = np.flatnonzero(end - left > 1)
+        a, b, sought = left[open_], end[open_], low[open_]
+        while len(open_):  # the last place whose low bits do not exceed those sought, or the first of the run
+            middle = (a + b) >> 1
+            further = self._low(middle) > sought
+            a, b = np.where(further, a, middle), np.where(further, middle, b)
+            wide = b - a > 1
+            left[open_[~wide]] = a[~wide]
+            open_, a, b, sought = open_[wide], a[wide], b[wide], sought[wide]
+        hit = self._low(left) == low
         out[ask[hit]] = left[hit]
         return out
 
