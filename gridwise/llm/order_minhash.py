@@ -93,7 +93,8 @@ def next_ids(docs: DataFrame) -> DataFrame:
     """
     order = F.asc_nulls_last("doc_id")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    ids = stored(ids.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ids-by-range")
+    dealt = ids.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    ids = stored(dealt.coalesce(docs.sparkSession.sparkContext.defaultParallelism), "ids-by-range")  # ids are few bytes: a file a core
     inside = Window.partitionBy("_part").orderBy(order)
     row = ids.withColumn("_next", F.lead(F.struct("doc_id")).over(inside))
     firsts = ids.groupBy("_part").agg(F.min_by(F.struct("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_first"))
@@ -115,7 +116,7 @@ def fingerprints(docs: DataFrame, k: int = K, l: int = L, m: int = M) -> DataFra
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     wanted = next_ids(docs).join(own.select(F.col("doc_id").alias("_id"), quarter.alias("q")).groupBy("_id").agg(F.max("q").alias("q")), F.col("doc_id").eqNullSafe(F.col("_id")))
-    wanted = stored(wanted.select(F.col("doc_id").alias("of_id"), "next_id", "q"), "next-ids")
+    wanted = wanted.select(F.col("doc_id").alias("of_id"), "next_id", "q")
     heads = own.join(wanted, own.doc_id.eqNullSafe(wanted.next_id)).select("of_id", "next_id", F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, q)").alias("head")).alias("head"))
     heads = heads.groupBy("of_id").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
     rows = own.join(heads, own.doc_id.eqNullSafe(heads.of_id))
