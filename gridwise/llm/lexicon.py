@@ -31,6 +31,7 @@ TABLE_ENTRIES = 500_000
 #: Where byte-level BPE cuts a text before merging.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _RUN = regex.compile(r"[\s\x1c-\x1f]{2}")
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def compile_transducer(entries: dict[str, list[int]]) -> bytes:
@@ -141,7 +142,8 @@ class Merges:
         key = np.asarray([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
         self.pairs, self.rank = key[order], order
-        self.merged = np.asarray([vocabulary[a + b] for a, b in pairs], np.int64)[order]
+        self.merged = np.asarray([vocabulary[a + b] for a, b in pairs], np.int64)
+        self.byte_ranks = self.ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.of_pair = {k: (r, m) for r, (k, m) in enumerate(zip(key.tolist(), (vocabulary[a + b] for a, b in pairs), strict=True))}
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,34 +151,48 @@ class Merges:
         never = len(self.pairs)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         long = np.flatnonzero(lengths > MAX_WORD_CHARS)
-        parts = [(np.asarray(self.of_long(words[i])), i) for i in long.tolist()]
-        done_ids, done_words = [x for x, _ in parts], [np.full(len(x), i) for x, i in parts]
-        word = np.repeat(np.arange(len(words)), np.where(lengths > MAX_WORD_CHARS, 0, lengths))
-        ids = self.byte_ids[np.frombuffer(b"".join(w for w in words if len(w) <= MAX_WORD_CHARS), np.uint8)]
-        while len(ids):
-            key = ids[:-1] << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), never - 1)
-            rank = np.full(len(ids), never)
-            rank[:-1] = np.where((self.pairs[at] == key) & (word[:-1] == word[1:]), self.rank[at], never)
-            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            sizes = np.diff(np.append(starts, len(ids)))
-            best = np.minimum.reduceat(rank, starts)
-            least = np.repeat(best, sizes)
-            whole = least == never
-            done_ids.append(ids[whole])
-            done_words.append(word[whole])
-            chosen = np.flatnonzero((rank == least) & ~whole)
-            chosen = chosen[np.concatenate([[True], word[chosen[1:]] != word[chosen[:-1]]])] if len(chosen) else chosen
-            ids[chosen] = self.merged[at[chosen]]
-            whole[chosen + 1] = True  # the right one of the pair is gone
-            ids, word = ids[~whole], word[~whole]
-        owner = np.concatenate([np.zeros(0, np.int64), *done_words])
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate([np.zeros(0, np.int64), *done_ids])[order], np.bincount(owner, minlength=len(words))
+        parts = [self.of_long(words[i]) for i in long.tolist()]
+        done = [(long, np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter(chain.from_iterable(parts), np.int64))]
+        own = np.flatnonzero((lengths > 0) & (lengths <= MAX_WORD_CHARS))
+        sizes = lengths[own]
+        raw = np.frombuffer(b"".join(w for w in words if len(w) <= MAX_WORD_CHARS), np.uint8)
+        ids, rank = self.byte_ids[raw], np.full(len(raw), never)  # rank: of each id with the one after it in its word
+        rank[:-1] = self.byte_ranks[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank[np.cumsum(sizes) - 1] = never
+        while len(own):
+            n, starts = len(ids), np.cumsum(sizes) - sizes
+            best, at = np.divmod(np.minimum.reduceat(rank * n + np.arange(n), starts), n)
+            whole = best == never
+            live = ~whole
+            kept = np.repeat(live, sizes)
+            done.append((own[whole], sizes[whole], ids[~kept]))
+            own, sizes, at = own[live], sizes[live] - 1, at[live]
+            ids[at] = self.merged[best[live]]
+            kept[at + 1] = False  # the right one of the pair is gone
+            ids, rank = ids[kept], rank[kept]
+            new = np.cumsum(sizes) - sizes
+            at += new - starts[live]
+            rank[at] = self.ranks(ids[at], ids[np.minimum(at + 1, len(ids) - 1)])
+            rank[new + sizes - 1] = never
+            left = at[at > new] - 1
+            rank[left] = self.ranks(ids[left], ids[left + 1])
+        took = np.zeros(len(words), np.int64)
+        for word, size, _ in done:
+            took[word] = size
+        first, out = np.cumsum(took) - took, np.empty(int(took.sum()), np.int64)
+        for word, size, found in done:
+            out[np.repeat(first[word] - (np.cumsum(size) - size), size) + np.arange(len(found))] = found
+        return out, took
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; the number of merges for a pair that does not merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank[at], len(self.pairs))
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that the pattern may cut further."""
-        pieces = [[w] if w.isascii() and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else PATTERN.findall(w) for w in words]
+        pieces = [_pieces(w) for w in words]
         ids, lengths = self([p.encode() for p in chain.from_iterable(pieces)])
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], ends])])
@@ -257,10 +273,25 @@ class _Added(str):
         return hash((_Added, str.__hash__(self)))
 
 
+def _pieces(word: str) -> list[str]:
+    """What the pattern cuts a word into; letters, and letters before one stop, without a search."""
+    own = word[1:] if word.startswith(" ") else word
+    if own.isalpha():
+        return [word]
+    return [word[:-1], word[-1]] if own[:-1].isalpha() and own[-1] in ".,;:!?" else PATTERN.findall(word)
+
+
+def _has_run(text: str) -> bool:
+    """Whether white space follows white space; searched for only where other than spaces and newlines occur."""
+    if any(c in text for c in _RARE_SPACE):
+        return bool(_RUN.search(text))
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+
+
 def words_of(text: str) -> list[str]:
     """Cuts a text where the pre-token pattern always cuts: before a single space and around a single newline between
     other characters; texts with runs of white space are cut by the pattern itself."""
-    if _RUN.search(text):
+    if _has_run(text):
         return PATTERN.findall(text)
     return [w for w in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if w] if "\0" not in text else PATTERN.findall(text)
 
